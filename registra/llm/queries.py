@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .simhash import op9_simhash_near_dedup
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op5_warc": op5_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
+}
