@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .decontam import op3_benchmark_decontamination
+from .lines import OP7_SQL, op7_line_dedup
 from .simhash import op9_simhash_near_dedup
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_warc": op5_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
