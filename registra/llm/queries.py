@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op3_benchmark_decontamination
 from .lines import OP7_SQL, op7_line_dedup
+from .pieces import op10_sentencepiece
 from .simhash import op9_simhash_near_dedup
 from .warc import OP5_SQL, op5_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
