@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession, model: object) -> Broadcast:
+    """A broadcast of a fitted model, of bounded size, with its class: ``pickle.loads(it.value)`` needs no installed package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontam import op3_benchmark_decontamination
+from .langid import op1_language_id
 from .lines import OP7_SQL, op7_line_dedup
 from .pieces import op10_sentencepiece
 from .simhash import op9_simhash_near_dedup
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
