@@ -6,6 +6,7 @@ from .decontam import op3_benchmark_decontamination
 from .langid import op1_language_id
 from .lines import OP7_SQL, op7_line_dedup
 from .pieces import op10_sentencepiece
+from .quality import op8_quality_classifier
 from .simhash import op9_simhash_near_dedup
 from .warc import OP5_SQL, op5_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
