@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op3_benchmark_decontamination
 from .langid import op1_language_id
 from .lines import OP7_SQL, op7_line_dedup
+from .neighbours import op4_nearest_neighbours
 from .pieces import op10_sentencepiece
 from .quality import op8_quality_classifier
 from .simhash import op9_simhash_near_dedup
@@ -13,6 +14,7 @@ from .warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
