@@ -6,6 +6,7 @@ from .decontam import op3_benchmark_decontamination
 from .langid import op1_language_id
 from .lines import OP7_SQL, op7_line_dedup
 from .neighbours import op4_nearest_neighbours
+from .ngrams import op6_lm_scoring
 from .pieces import op10_sentencepiece
 from .quality import op8_quality_classifier
 from .simhash import op9_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_warc": op5_warc,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
