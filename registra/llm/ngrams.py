@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import Arrays, pack, small, unpack
 from .common import partitions, ship, table
 
 BACKOFF = 0.4
@@ -33,8 +33,6 @@ PER_BUCKET = 2_000_000  #: words for each partition of the count tables
 LOOK = 2000  #: documents in which frequent words are looked for; their counts then come from all documents
 FREQUENT = 0.002  #: share of all words from which a word counts as frequent
 
-Arrays = dict[str, np.ndarray]
-
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
@@ -44,25 +42,6 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 2  # never START
 
 
-def _pack(arrays: Arrays) -> bytes:
-    """Arrays byte by byte (all first bytes, then all second ones), sorted ones as differences, and compressed."""
-    out = {}
-    for name, a in arrays.items():
-        rising = len(a) > 1 and a.dtype.kind == "u" and bool((a[1:] >= a[:-1]).all())
-        d = np.concatenate([a[:1], np.diff(a)]) if rising else a
-        out[name] = (a.dtype.str, rising, zlib.compress(np.ascontiguousarray(d).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1))
-    return pickle.dumps(out)
-
-
-def _unpack(blob: bytes) -> Arrays:
-    out = {}
-    for name, (kind, rising, raw) in pickle.loads(blob).items():
-        size = np.dtype(kind).itemsize
-        a = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(kind)[:, 0]
-        out[name] = np.cumsum(a, dtype=a.dtype) if rising else a
-    return out
-
-
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts by the keys (the first foremost), and for each sorted row the number of its group."""
     order = np.lexsort(keys[::-1])
@@ -77,10 +56,6 @@ def _sums(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bincount(group, weights=values) if len(group) else np.zeros(0)
 
 
-def _small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint16 if not len(a) or a.max() < 1 << 16 else np.uint32)
-
-
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
@@ -118,7 +93,7 @@ def _pairs(part: pd.DataFrame, hot: Arrays, buckets: int) -> Iterator[tuple[int,
         kinds2, at2 = np.unique(h2[rows], return_inverse=True)
         kinds1, at1 = np.unique(h1[rows], return_inverse=True)
         docs, at = np.unique(doc[rows], return_inverse=True)
-        yield int(to[rows[0]]), _pack({"docs": keys[docs], "h2": kinds2, "at2": _small(at2), "h1": kinds1, "at1": _small(at1), "doc": _small(at), "n": _small(n[rows]), "n1": _small(n1[rows]), "n2": _small(n2[rows])})
+        yield int(to[rows[0]]), pack({"docs": keys[docs], "h2": kinds2, "at2": small(at2), "h1": kinds1, "at1": small(at1), "doc": small(at), "n": small(n[rows]), "n1": small(n1[rows]), "n2": small(n2[rows])})
 
 
 def _together(blobs: list[bytes]) -> Arrays:
@@ -126,7 +101,7 @@ def _together(blobs: list[bytes]) -> Arrays:
     out: dict[str, list[np.ndarray]] = {}
     base = 0
     for b in blobs:
-        a = _unpack(b)
+        a = unpack(b)
         for name, x in (("h2", a["h2"][a["at2"]] if "h2" in a else None), ("h1", a["h1"][a["at1"]]), ("doc", a["doc"].astype(np.int64) + base), *((c, a[c].astype(np.int64)) for c in ("n", "n1", "n2") if c in a), ("docs", a["docs"])):
             if x is not None:
                 out.setdefault(name, []).append(x)
@@ -193,7 +168,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         value = value - np.where(near, np.log(np.maximum(known["count"][at] - n1, 1)), 0.0)
         size = len(a["docs"])
         sums = {"k": a["docs"], "s": np.bincount(doc, n * value, size), "miss": np.bincount(doc, n * ~found, size), "n": np.bincount(doc, n, size)}
-        out = [(bucket, "sums", pickle.dumps(sums)), (bucket, "counts", _pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
+        out = [(bucket, "sums", pickle.dumps(sums)), (bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
         ask = np.flatnonzero(found & ~near)
         to = _bucket(h1[ask], buckets)
         ask, to = ask[np.argsort(to, kind="stable")], np.sort(to)
@@ -202,14 +177,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             first = o[np.concatenate([[True], g[1:] != g[:-1]])]
             kinds, at1 = np.unique(h1[rows][first], return_inverse=True)
             docs_, at_doc = np.unique(doc[rows][first], return_inverse=True)
-            blob = _pack({"docs": a["docs"][docs_], "h1": kinds, "at1": _small(at1), "doc": _small(at_doc), "n": _small(_sums(g, n[rows][o])), "n1": _small(n1[rows][first])})
+            blob = pack({"docs": a["docs"][docs_], "h1": kinds, "at1": small(at1), "doc": small(at_doc), "n": small(_sums(g, n[rows][o])), "n1": small(n1[rows][first])})
             out.append((int(_bucket(kinds[:1], buckets)[0]), "asked", blob))
         return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
 
     def look_up_words(group: pd.DataFrame) -> pd.DataFrame:
         by = {k: g.blob.tolist() for k, g in group.groupby("kind")}
         sums = [pickle.loads(b) for b in by.get("sums", [])]
-        table_ = [_unpack(b) for b in by.get("counts", [])]
+        table_ = [unpack(b) for b in by.get("counts", [])]
         out = [pd.DataFrame(s) for s in sums]
         if "asked" in by:
             h, c = (np.concatenate([t[x] for t in table_]) for x in ("h", "c"))

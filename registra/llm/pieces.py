@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import spread
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -110,12 +111,6 @@ def load_model(path: str = MODEL) -> dict:
     }
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions start..start+size of each pair, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Segmenter:
     """The automaton with all its moves filled in, and the words that it has seen."""
 
@@ -202,7 +197,7 @@ class Segmenter:
         single = np.flatnonzero(node == 0)
         if len(single):
             put = np.cumsum(each) - each
-            ids[_spread(put[single], each[single])] = m["byte_ids"][flat[_spread(off[row[single]] + pos[single] - length[single], each[single])]]
+            ids[spread(put[single], each[single])] = m["byte_ids"][flat[spread(off[row[single]] + pos[single] - length[single], each[single])]]
         return ids, np.bincount(word, weights=each, minlength=count).astype(np.int64)
 
     def units(self, text: str) -> list[str]:
@@ -239,11 +234,11 @@ class Segmenter:
         size = self.size[unit]
         total = np.concatenate([[0], np.cumsum(size)])
         ends = np.cumsum(count)
-        return self.ids[_spread(self.at[unit], size)], total[ends] - total[ends - count]
+        return self.ids[spread(self.at[unit], size)], total[ends] - total[ends - count]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         each = self.m["sizes"][ids]
-        raw = self.raw[_spread(self.starts[ids], each)].tobytes()
+        raw = self.raw[spread(self.starts[ids], each)].tobytes()
         total = np.concatenate([[0], np.cumsum(each)])
         ends = total[np.cumsum(sizes)].tolist()
         texts = [raw[a:b].decode("utf-8", "replace").replace(BLANK, " ") for a, b in zip([0, *ends[:-1]], ends)]

@@ -10,10 +10,12 @@ from .ngrams import op6_lm_scoring
 from .pieces import op10_sentencepiece
 from .quality import op8_quality_classifier
 from .simhash import op9_simhash_near_dedup
+from .suffixes import op2_suffix_array_dedup
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_warc": op5_warc,
