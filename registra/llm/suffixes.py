@@ -140,6 +140,14 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, begins: np.ndarray, size
             go = go[(h[go] < most) & (np.maximum(a, b) < len(raw)) & (padded[np.minimum(a, len(raw))] == padded[np.minimum(b, len(raw))])]
             h[go] += 1
         out[i], length[alive] = h, h
+    # the order is told apart to twice ``most`` bytes at best; suffixes that agree beyond may stand in either order, and the walk then
+    # starts too far on: whatever reached the full length is compared once more
+    full = np.flatnonzero(out >= most)
+    for at in np.array_split(full, max(1, len(full) // 100_000)):
+        other, same = before[at], np.ones(len(at), bool)
+        for k in range(most):
+            same &= padded[np.minimum(at + k, len(raw))] == padded[np.minimum(other + k, len(raw))]
+        out[at[~same]] = most - 1
     return out
 
 
