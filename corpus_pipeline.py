@@ -1,19 +1,58 @@
-"""The corpus pipeline: documents through the training-data operators, each stage on all its predecessor kept."""
+"""The corpus pipeline: documents through five of the training-data operators, each stage on all its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, with the columns of ``documents`` for all but the last;
+``run`` writes each result and reads it again for the next stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from registra.llm import quality
 from registra.llm.common import settle, table
+from registra.llm.decontam import without_contaminated
+from registra.llm.lines import drop_repeated_lines
+from registra.llm.pieces import encode
 from registra.llm.simhash import one_of_each_group
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled documents of ``sf_dir`` that are not held out."""
+    return quality.score(docs, quality.trained_on(spark, sf_dir)).filter("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go from the texts; every document stays."""
+    out = drop_repeated_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates stays."""
+    """One document, that with the smallest doc_id, of each group of near duplicates stays."""
     return one_of_each_group(docs)
 
 
-STAGES = [("SimHash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window similar to a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole texts as piece ids."""
+    out = encode(docs.select("doc_id", "lang", "source", "text"), digest=True)
+    return out.select("doc_id", "lang", "source", F.size("ids").alias("n_pieces"), "ids", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", tokenize),
+]
+
+#: SQL can express neither the trained classifier nor the piece segmentation.
 ORACLE_SQL = None
 
 
