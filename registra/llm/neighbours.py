@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     several = F.create_map(*[F.lit(x) for leaf, n in blocks.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in blocks.values()) else None
     spread = F.coalesce(F.try_element_at(several, F.col("leaf")), F.lit(1)) if several is not None else F.lit(1)
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), spread).cast("long"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     keys = ["leaf", "block", "part"]
     found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
