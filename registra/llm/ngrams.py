@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _chunks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def _pairs(part: pd.DataFrame, hot: Arrays, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _pairs(part: pd.DataFrame, refs: np.ndarray, hot: Arrays, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(partition, block) of some documents: their distinct pairs with counts of the pair and of both words."""
     lists = [tokens(t) for t in part.text]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -88,25 +89,32 @@ def _pairs(part: pd.DataFrame, hot: Arrays, buckets: int) -> Iterator[tuple[int,
     n1, n2 = own(first), own(second)
     order = np.lexsort((doc, h1, h2, to))
     cuts = np.flatnonzero(np.diff(to[order])) + 1
-    keys = part.k.to_numpy()
     for rows in np.split(order, cuts):
         kinds2, at2 = np.unique(h2[rows], return_inverse=True)
         kinds1, at1 = np.unique(h1[rows], return_inverse=True)
         docs, at = np.unique(doc[rows], return_inverse=True)
-        yield int(to[rows[0]]), pack({"docs": keys[docs], "h2": kinds2, "at2": small(at2), "h1": kinds1, "at1": small(at1), "doc": small(at), "n": small(n[rows]), "n1": small(n1[rows]), "n2": small(n2[rows])})
+        yield int(to[rows[0]]), pack({"docs": refs[docs], "h2": kinds2, "at2": small(at2), "h1": kinds1, "at1": small(at1), "doc": small(at), "n": small(n[rows]), "n1": small(n1[rows]), "n2": small(n2[rows])})
 
 
 def _together(blobs: list[bytes]) -> Arrays:
-    """Blocks of one partition as one set of rows; ``doc`` numbers the documents of all blocks."""
+    """Blocks of one partition as one set of rows; ``doc`` numbers the documents in the order of their references."""
     out: dict[str, list[np.ndarray]] = {}
     base = 0
     for b in blobs:
         a = unpack(b)
-        for name, x in (("h2", a["h2"][a["at2"]] if "h2" in a else None), ("h1", a["h1"][a["at1"]]), ("doc", a["doc"].astype(np.int64) + base), *((c, a[c].astype(np.int64)) for c in ("n", "n1", "n2") if c in a), ("docs", a["docs"])):
-            if x is not None:
-                out.setdefault(name, []).append(x)
+        if "h2" in a:
+            out.setdefault("h2", []).append(a["h2"][a["at2"]])
+        out.setdefault("h1", []).append(a["h1"][a["at1"]])
+        out.setdefault("doc", []).append(a["doc"].astype(np.int32) + np.int32(base))
+        for c in ("n", "n1", "n2", "docs"):
+            if c in a:
+                out.setdefault(c, []).append(a[c])
         base += len(a["docs"])
-    return {k: np.concatenate(v) for k, v in out.items()}
+    whole = {k: np.concatenate(v) for k, v in out.items()}
+    order = np.argsort(whole["docs"], kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return whole | {"docs": whole["docs"][order], "doc": place[whole["doc"]]}
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,32 +151,43 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     shared = ship(spark, hot)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(shared.value)
+        known, next_ref = pickle.loads(shared.value), TaskContext.get().partitionId() << 32
         for rows in batches:
             for part in _chunks(rows):
-                for to, blob in _pairs(part, known, buckets):
+                refs = np.arange(next_ref, next_ref + len(part), dtype=np.uint64)
+                next_ref += len(part)
+                yield pd.DataFrame({"bucket": [next_ref % buckets], "kind": ["names"], "blob": [pack({"ref": refs, "k": part.k.to_numpy()})]})
+                for to, blob in _pairs(part, refs, known, buckets):
                     yield pd.DataFrame({"bucket": [to], "kind": ["pairs"], "blob": [blob]})
 
     def look_up_pairs(group: pd.DataFrame) -> pd.DataFrame:
         known, bucket = pickle.loads(shared.value), int(group.bucket.iloc[0])
-        a = _together(group.blob.tolist())
+        out = [(bucket, "names", b) for b in group.blob[group.kind == "names"]]
+        blobs = group.blob[group.kind == "pairs"].tolist()
+        if not blobs:
+            return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
+        a = _together(blobs)
         order, pair = _groups(a["h2"], a["h1"])
-        h2, h1, doc, n, n1, n2 = (a[c][order] for c in ("h2", "h1", "doc", "n", "n1", "n2"))
+        docs = a["docs"]
+        h2, h1, doc, n, n1, n2 = (a.pop(c)[order] for c in ("h2", "h1", "doc", "n", "n1", "n2"))
+        del order, a
         others = _sums(pair, n)[pair] - n
-        word = np.cumsum(np.concatenate([[0], h2[1:] != h2[:-1]]))
-        total = _sums(word, n)
+        del pair
         firsts = np.flatnonzero(np.concatenate([[True], h2[1:] != h2[:-1]]))
+        word = np.repeat(np.arange(len(firsts), dtype=np.int32), np.diff(np.concatenate([firsts, [len(h2)]])))
+        total = _sums(word, n)
         at = np.minimum(np.searchsorted(known["hash"], h2[firsts]), len(known["hash"]) - 1)
         is_hot = known["hash"][at] == h2[firsts]
         total = np.where(is_hot, known["count"][at], total)
         found, rest = others > 0, total[word] - n2
         value = np.where(found, np.log(np.maximum(others, 1)), math.log(BACKOFF) + np.where(rest > 0, np.log(np.maximum(rest, 1)), math.log(BACKOFF)))
+        del others, rest, word
         at = np.minimum(np.searchsorted(known["hash"], h1), len(known["hash"]) - 1)
         near = found & (known["hash"][at] == h1)
-        value = value - np.where(near, np.log(np.maximum(known["count"][at] - n1, 1)), 0.0)
-        size = len(a["docs"])
-        sums = {"k": a["docs"], "s": np.bincount(doc, n * value, size), "miss": np.bincount(doc, n * ~found, size), "n": np.bincount(doc, n, size)}
-        out = [(bucket, "sums", pickle.dumps(sums)), (bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
+        value[near] -= np.log(np.maximum(known["count"][at[near]] - n1[near], 1))
+        size = len(docs)
+        sums = {"ref": docs, "s": np.bincount(doc, n * value, size), "miss": small(np.bincount(doc, n * ~found, size)), "n": small(np.bincount(doc, n, size))}
+        out += [(bucket, "sums", pack(sums)), (bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
         ask = np.flatnonzero(found & ~near)
         to = _bucket(h1[ask], buckets)
         ask, to = ask[np.argsort(to, kind="stable")], np.sort(to)
@@ -177,33 +196,35 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             first = o[np.concatenate([[True], g[1:] != g[:-1]])]
             kinds, at1 = np.unique(h1[rows][first], return_inverse=True)
             docs_, at_doc = np.unique(doc[rows][first], return_inverse=True)
-            blob = pack({"docs": a["docs"][docs_], "h1": kinds, "at1": small(at1), "doc": small(at_doc), "n": small(_sums(g, n[rows][o])), "n1": small(n1[rows][first])})
+            blob = pack({"docs": docs[docs_], "h1": kinds, "at1": small(at1), "doc": small(at_doc), "n": small(_sums(g, n[rows][o])), "n1": small(n1[rows][first])})
             out.append((int(_bucket(kinds[:1], buckets)[0]), "asked", blob))
         return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
 
     def look_up_words(group: pd.DataFrame) -> pd.DataFrame:
+        """Sums by reference; the row that names a reference's document has its key."""
         by = {k: g.blob.tolist() for k, g in group.groupby("kind")}
-        sums = [pickle.loads(b) for b in by.get("sums", [])]
-        table_ = [unpack(b) for b in by.get("counts", [])]
-        out = [pd.DataFrame(s) for s in sums]
+        names = [unpack(b) for b in by.get("names", [])]
+        out = [pd.DataFrame(unpack(b)) for b in by.get("sums", [])]
         if "asked" in by:
-            h, c = (np.concatenate([t[x] for t in table_]) for x in ("h", "c"))
+            counts = [unpack(b) for b in by.get("counts", [])]
+            h, c = (np.concatenate([t[x] for t in counts]) for x in ("h", "c"))
             order = np.argsort(h)
             a = _together(by["asked"])
             count = c[order][np.searchsorted(h[order], a["h1"])].astype(np.int64)
-            s = np.bincount(a["doc"], -a["n"] * np.log(np.maximum(count - a["n1"], 1)), len(a["docs"]))
-            out.append(pd.DataFrame({"k": a["docs"], "s": s, "miss": 0.0, "n": 0.0}))
-        return pd.concat(out).groupby("k", as_index=False).sum() if out else pd.DataFrame({"k": [], "s": [], "miss": [], "n": []})
+            s = np.bincount(a["doc"], -(a["n"] * np.log(np.maximum(count - a["n1"], 1))), len(a["docs"]))
+            out.append(pd.DataFrame({"ref": a["docs"], "s": s}))
+        named = pd.DataFrame({c: np.concatenate([np.zeros(0, np.int64), *(x[c].astype(np.int64) for x in names)]) for c in ("ref", "k")})
+        rows = pd.concat([pd.DataFrame({"ref": [], "s": [], "miss": [], "n": []}), *out]).fillna(0.0).astype({"ref": "int64"}).groupby("ref", as_index=False).sum()
+        return pd.concat([rows.assign(k=pd.array([pd.NA] * len(rows), "Int64")), named.astype({"k": "Int64"}).assign(s=0.0, miss=0.0, n=0.0)])[["ref", "k", "s", "miss", "n"]]
 
     kinds = "bucket int, kind string, blob binary"
     asked = rows.mapInPandas(blocks, kinds).groupBy("bucket").applyInPandas(look_up_pairs, kinds)
-    parts = asked.groupBy("bucket").applyInPandas(look_up_words, "k long, s double, miss double, n double")
-    sums = parts.groupBy("k").agg(F.sum("s").alias("s"), F.sum("miss").alias("miss"), F.sum("n").alias("n"))
+    parts = asked.groupBy("bucket").applyInPandas(look_up_words, "ref long, k long, s double, miss double, n double")
+    each = parts.groupBy("ref").agg(F.max("k").alias("k"), *[F.sum(c).alias(c) for c in ("s", "miss", "n")])
+    sums = each.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("s", "miss", "n")])  # equal rows have equal sums
     copies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k"))
-    twice = copies.groupBy("k").agg(F.count("*").alias("copies"))
-    sums = sums.join(twice, "k").select("k", *[(F.col(c) / F.col("copies")).alias(c) for c in ("s", "miss", "n")])
     log_score = F.col("s") - F.col("miss") * F.log(F.greatest(F.lit(float(every)) - F.col("n"), F.lit(1.0)))
-    out = copies.join(sums, "k", "left").withColumn("log_score", log_score)
+    out = copies.join(sums, "k", "left").withColumn("n", F.nullif("n", F.lit(0.0))).withColumn("log_score", F.when(F.col("n").isNotNull(), log_score))
     return out.select("doc_id", F.coalesce("n", F.lit(0.0)).cast("long").alias("n_words"), "log_score", (F.col("log_score") / F.col("n")).alias("mean_log_score"), F.coalesce("miss", F.lit(0.0)).cast("long").alias("n_backed_off"))
 
 
