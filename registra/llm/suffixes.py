@@ -218,8 +218,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for part, raw, sizes in _slices(batch):
                 r = runs(raw, sizes)
                 own, place = part.doc_id.fillna(LOW).to_numpy(np.int64), part.part.to_numpy(np.int64)
-                pairs = np.unique(np.stack([r["fp"].astype(np.int64), r["doc"]]), axis=1) if len(r["fp"]) else np.zeros((2, 0), np.int64)
-                fp, doc = pairs[0].astype(np.uint64), pairs[1]
+                order = np.argsort(r["fp"], kind="stable")  # runs come by document, so pairs end up in order
+                fp, doc = r["fp"][order], r["doc"][order]
+                new = np.ones(len(fp), bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
+                fp, doc = fp[new], doc[new]
                 for at in splits(_bucket(fp, buckets)):
                     kinds, number = np.unique(doc[at], return_inverse=True)
                     blob = pack({"fp": fp[at], "doc": small(number), "id": own[kinds], "part": place[kinds]})
