@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import filtering, statistics
+from . import filtering, jobs, statistics
 from .base import ORACLES, QUERIES, Query
 
-__all__ = ["Query", "filtering", "oracles", "queries", "statistics"]
+__all__ = ["Query", "filtering", "jobs", "oracles", "queries", "statistics"]
 
 
 def queries() -> dict[str, Query]:
