@@ -56,14 +56,15 @@ def load_records(spark: SparkSession, path: str, lines: bool | None = None) -> t
     if lines is None:
         first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
         lines = first is None or first[0] != "["
-    schema = T.StructType([*CONTRACT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
     if lines:
         raw = spark.read.text(path).filter(F.trim("value") != "")
-        parsed = raw.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
-        good = F.trim("value").startswith("{") & F.col(f"r.{_CORRUPT}").isNull() & F.col("r").isNotNull()
-        return with_seq(parsed.filter(good).select("r.*").drop(_CORRUPT)), parsed.filter(~F.coalesce(good, F.lit(False))).select("value")
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    return with_seq(rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)), rows.filter(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("value"))
+    else:  # an array is one value per file; its items become rows of their own
+        items = F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')")
+        raw = spark.read.option("wholetext", True).text(path).select(F.explode(items).alias("item")).select(F.to_json("item").alias("value"))
+    schema = T.StructType([*CONTRACT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = raw.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
+    good = F.coalesce(F.trim("value").startswith("{") & F.col(f"r.{_CORRUPT}").isNull() & F.col("r").isNotNull(), F.lit(False))
+    return with_seq(parsed.filter(good).select("r.*").drop(_CORRUPT)), parsed.filter(~good).select("value")
 
 
 def migrate(spark: SparkSession, source: str, target: str) -> int:
