@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     total = lengths["count"] if lengths else 0
     drawn = rows.withColumn("h", F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 40)))
     sample = [r.v for r in drawn.filter(F.col("h") < int(min(1.0, 0.9 * FIT / max(total, 1)) * (1 << 40))).orderBy("h", "id").limit(FIT).select("v").toLocalIterator()]
-    tree = Tree(np.array(sample, float).reshape(len(sample), -1))
+    tree = Tree(np.array(sample, float).reshape(len(sample), lengths.n if sample else 1))
     queries = rows.filter(is_query)
     asked = queries.withColumn("h", F.xxhash64("id", F.lit("ask"))).orderBy("h").limit(ASK).select(F.col("id").alias("query_id"), F.col("v").alias("q")).toPandas()
     shared = ship(spark, tree)
