@@ -39,12 +39,12 @@ add(
     coalesce(format('{:,.2f}', price_numeric_eur), '—') AS price, coalesce(published_date, '—') AS published_date FROM t WHERE n <= 500""",
 )
 add("price_prefilter", lambda c: P.price_prefilter(c, 50_000, 150_000).select(*IDS), ROWS + "price_numeric_eur >= 50000 AND price_numeric_eur <= 150000")
-_old = F.col("seq") % 3 == 0
-_url = F.concat(F.lit("https://josephine.proebiz.com/sk/tender/"), "public_procurement_id", F.when(F.col("seq") % 4 == 0, "/detail").otherwise("/summary"))
-add("tender_url_worklist", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url)), ", u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL) SELECT tender_url, min(seq) AS first_seq FROM u GROUP BY tender_url")
-add("tender_new_urls", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url), M.tender_worklist(c.filter(_old).withColumn("public_procurement_url", _url))), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL)
+_old = lambda: F.col("seq") % 3 == 0
+_url = lambda: F.concat(F.lit("https://josephine.proebiz.com/sk/tender/"), "public_procurement_id", F.when(F.col("seq") % 4 == 0, "/detail").otherwise("/summary"))
+add("tender_url_worklist", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url())), ", u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL) SELECT tender_url, min(seq) AS first_seq FROM u GROUP BY tender_url")
+add("tender_new_urls", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url()), M.tender_worklist(c.filter(_old()).withColumn("public_procurement_url", _url()))), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL)
     SELECT tender_url, min(seq) AS first_seq FROM u WHERE tender_url NOT IN (SELECT tender_url FROM u WHERE seq % 3 = 0) GROUP BY tender_url""")
-add("tender_error_rows", lambda c: (lambda u: M.with_errors(u.filter(_old).select("tender_url", F.col("seq").alias("tender_id")), u.filter(~_old).select("tender_url", F.lit("not fetched").alias("error"))))(c.withColumn("tender_url", _url).filter("tender_url IS NOT NULL")), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || CASE WHEN seq % 4 = 0 THEN '/detail' ELSE '/summary' END AS tender_url FROM c WHERE public_procurement_id IS NOT NULL)
+add("tender_error_rows", lambda c: (lambda u: M.with_errors(u.filter(_old()).select("tender_url", F.col("seq").alias("tender_id")), u.filter(~_old()).select("tender_url", F.lit("not fetched").alias("error"))))(c.withColumn("tender_url", _url()).filter("tender_url IS NOT NULL")), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || CASE WHEN seq % 4 = 0 THEN '/detail' ELSE '/summary' END AS tender_url FROM c WHERE public_procurement_id IS NOT NULL)
     SELECT tender_url, CASE WHEN seq % 3 = 0 THEN seq END AS tender_id, CASE WHEN seq % 3 <> 0 THEN 'not fetched' END AS error FROM u""")
 
 # ---------------------------------------------------------------- filters

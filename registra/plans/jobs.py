@@ -39,13 +39,16 @@ add("union_contracts", lambda c: M.union_contracts(_old(c), _new(c).drop("suppli
 add("ordered_distinct", lambda c: M.ordered_distinct(c, "supplier"), "SELECT supplier, min(seq) AS first_seq FROM c GROUP BY 1")
 add("dedup_first", lambda c: M.dedup_first(c.select("seq", "buyer", "supplier", "price_numeric_eur"), ["buyer", "supplier"]), ", t AS (SELECT seq, buyer, supplier, price_numeric_eur, row_number() OVER (PARTITION BY buyer, supplier ORDER BY seq) AS rn FROM c) SELECT seq, buyer, supplier, price_numeric_eur FROM t WHERE rn = 1")
 #: A source field in each of its shapes, from the lines beyond the first.
-_field = F.when(F.col("seq") % 4 == 0, F.concat(F.lit('[{"name": "'), "supplier", F.lit('", "ico": "'), "ico_supplier", F.lit('"}, "'), "buyer", F.lit('", {"note": 1}]')))
-_field = _field.when(F.col("seq") % 4 == 1, F.concat("supplier", F.lit("; ;"), "buyer")).when(F.col("seq") % 4 == 2, F.concat("supplier", F.lit(", x, ")))
-_expanded = lambda c: M.expand_subcontractors(c.withColumn("scanned_subcontractors", _field)).select("seq", "contract_id", "sub_ord", "subcontractor", "ico_subcontractor")
+def _field():
+    own = F.when(F.col("seq") % 4 == 0, F.concat(F.lit('[{"name": "'), "supplier", F.lit('", "ico": "'), "ico_supplier", F.lit('"}, "'), "buyer", F.lit('", {"note": 1}]')))
+    return own.when(F.col("seq") % 4 == 1, F.concat("supplier", F.lit("; ;"), "buyer")).when(F.col("seq") % 4 == 2, F.concat("supplier", F.lit(", x, ")))
+
+
+_expanded = lambda c: M.expand_subcontractors(c.withColumn("scanned_subcontractors", _field())).select("seq", "contract_id", "sub_ord", "subcontractor", "ico_subcontractor")
 _EXP = """, e AS (SELECT seq, contract_id, 0 AS sub_ord, supplier AS subcontractor, CASE WHEN seq % 4 = 0 THEN ico_supplier END AS ico_subcontractor FROM c WHERE seq % 4 < 3 AND supplier IS NOT NULL
  UNION ALL SELECT seq, contract_id, 1, CASE WHEN seq % 4 = 2 THEN 'x' ELSE buyer END, NULL FROM c WHERE seq % 4 < 3 AND supplier IS NOT NULL)"""
 add("expand_subcontractors", _expanded, _EXP + " SELECT * FROM e")
-add("subcontractor_split", lambda c: c.withColumn("f", _field).select("seq", F.size(M.subcontractor_items("f")).alias("n")), "SELECT seq, CASE WHEN seq % 4 < 3 AND supplier IS NOT NULL THEN 2 ELSE 0 END AS n FROM c")
+add("subcontractor_split", lambda c: c.withColumn("f", _field()).select("seq", F.size(M.subcontractor_items("f")).alias("n")), "SELECT seq, CASE WHEN seq % 4 < 3 AND supplier IS NOT NULL THEN 2 ELSE 0 END AS n FROM c")
 add("append_subcontractors", lambda c: (lambda e: M.append_subcontractors(e.filter("seq % 3 = 0"), e).select("seq", "subcontractor", "is_new"))(_expanded(c)), _EXP + " SELECT seq, subcontractor, false AS is_new FROM e WHERE seq % 3 = 0 UNION ALL SELECT seq, subcontractor, true FROM e WHERE seq % 3 <> 0")
 _part = lambda n: F.concat(F.lit('{"notes": "'), "p_brand", F.lit(f'", "ai_extracted": {{"error": "{n}"}}}}'))
 _legacy = lambda p: p.select(F.col("p_partkey").alias("tender_id"), F.create_map(F.lit("part_10"), _part(10), F.lit("part_2"), _part(2)).alias("legacy"))
@@ -70,9 +73,8 @@ add("contract_tender_join", lambda s, d: M.contract_tender_join(star.contracts(s
 
 # ---------------------------------------------------------------- scalar functions
 
-_price = F.concat(F.format_number("price_numeric_eur", 2), F.lit(" €"))
-_price = F.translate(_price, ",.", " ,")
-add("parse_price", lambda c: c.select("seq", X.parse_price(F.when(F.col("seq") % 11 == 0, F.lit("dohodou")).otherwise(_price)).alias("price")), "SELECT seq, CASE WHEN seq % 11 <> 0 THEN CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM c")
+_price = lambda: F.translate(F.concat(F.format_number("price_numeric_eur", 2), F.lit(" €")), ",.", " ,")
+add("parse_price", lambda c: c.select("seq", X.parse_price(F.when(F.col("seq") % 11 == 0, F.lit("dohodou")).otherwise(_price())).alias("price")), "SELECT seq, CASE WHEN seq % 11 <> 0 THEN CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM c")
 _months = "január február marec apríl Máj jún júl august september Október november december".split()
 add("parse_slovak_date", lambda c: c.select("seq", X.parse_slovak_date(F.concat(F.substring("published_date", 9, 2), F.lit(".")), F.element_at(F.array(*map(F.lit, _months)), F.substring("published_date", 6, 2).cast("int")), F.when(F.col("seq") % 13 == 0, F.lit("x")).otherwise(F.substring("published_date", 1, 4))).alias("day")), "SELECT seq, CASE WHEN seq % 13 <> 0 THEN published_date END AS day FROM c")
 add("parse_dotted_date", lambda c: c.select("seq", X.parse_dotted_date(F.when(F.col("seq") % 5 == 0, F.lit("neuvedený")).otherwise(F.date_format(F.col("published_date").cast("date"), "d.M.yyyy"))).alias("day")), "SELECT seq, CASE WHEN seq % 5 <> 0 THEN published_date END AS day FROM c")
@@ -87,12 +89,12 @@ add("truncate_text", _doc(lambda t: F.sha2(X.truncate(t, 500), 256), "h"), "SELE
 add("sanitise_message", lambda m: m.select("conv_id", "turn", "role", F.sha2(F.coalesce(X.sanitise_message(F.concat(F.lit("\x01 "), "text")), F.lit("")), 256).alias("h")), "SELECT conv_id, turn, role, sha256(regexp_replace(substring(' ' || text, 1, 4000), '^\\s+|\\s+$', '', 'g')) AS h FROM conversations", "conversations")
 add("token_cost", lambda m: m.select("conv_id", "turn", "role", X.token_estimate(F.col("text")).alias("tokens"), X.token_cost(X.token_estimate(F.col("text")), F.lit(100)).alias("cost")), "SELECT conv_id, turn, role, length(text) // 4 AS tokens, CAST((length(text) // 4 * 15 + 100 * 60 + 50) // 100 AS DOUBLE) / 1000000 AS cost FROM conversations", "conversations")
 add("mentioned_years", lambda c: c.select("seq", F.posexplode(X.mentioned_years(F.concat(F.lit("rok 2015, 12016 a "), "published_date", F.lit(" 20155")))).alias("pos", "year")), "SELECT seq, 0 AS pos, '2015' AS year FROM c")
-_tender = F.concat(F.lit("https://x.sk/sk/"), F.when(F.col("page_id") % 3 == 0, "tender/").when(F.col("page_id") % 3 == 1, "zakazka/detail/").otherwise("a/77/b/"), F.col("page_id").cast("string"), F.lit("/summary?id=99"))
-add("procurement_id", lambda p: p.select("page_id", X.procurement_id(_tender).alias("id"), X.procurement_id(F.col("url")).alias("own")), "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '(\\d+)\\D*$', 1), '') AS own FROM pages", "pages")
-_summary_url = F.concat(F.lit("HTTPS://josephine.proebiz.com/sk/tender/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "/summary/").otherwise("/documents"))
-add("is_tender_summary_url", lambda p: p.select("page_id", X.is_tender_summary(_summary_url).alias("ok"), X.is_tender_summary(F.col("url")).alias("own")), "SELECT page_id, page_id % 2 = 0 AS ok, false AS own FROM pages", "pages")
-_portal = F.concat(F.when(F.col("page_id") % 2 == 0, "https://uvo.gov.sk").otherwise("https://other.sk"), F.lit("/vyhladavanie/vyhladavanie-zakaziek/detail/dokumenty/"), F.col("page_id").cast("string"), F.lit("?a=1#x"))
-add("canonical_tender_url", lambda p: p.select("page_id", X.canonical_tender_url(_portal).alias("u")), "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/' || page_id || '?a=1' END AS u FROM pages", "pages")
+_tender = lambda: F.concat(F.lit("https://x.sk/sk/"), F.when(F.col("page_id") % 3 == 0, "tender/").when(F.col("page_id") % 3 == 1, "zakazka/detail/").otherwise("a/77/b/"), F.col("page_id").cast("string"), F.lit("/summary?id=99"))
+add("procurement_id", lambda p: p.select("page_id", X.procurement_id(_tender()).alias("id"), X.procurement_id(F.col("url")).alias("own")), "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '(\\d+)\\D*$', 1), '') AS own FROM pages", "pages")
+_summary_url = lambda: F.concat(F.lit("HTTPS://josephine.proebiz.com/sk/tender/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "/summary/").otherwise("/documents"))
+add("is_tender_summary_url", lambda p: p.select("page_id", X.is_tender_summary(_summary_url()).alias("ok"), X.is_tender_summary(F.col("url")).alias("own")), "SELECT page_id, page_id % 2 = 0 AS ok, false AS own FROM pages", "pages")
+_portal = lambda: F.concat(F.when(F.col("page_id") % 2 == 0, "https://uvo.gov.sk").otherwise("https://other.sk"), F.lit("/vyhladavanie/vyhladavanie-zakaziek/detail/dokumenty/"), F.col("page_id").cast("string"), F.lit("?a=1#x"))
+add("canonical_tender_url", lambda p: p.select("page_id", X.canonical_tender_url(_portal()).alias("u")), "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/' || page_id || '?a=1' END AS u FROM pages", "pages")
 add("documents_url", lambda p: p.select("page_id", X.documents_url(F.concat(F.lit("https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/"), F.col("page_id").cast("string"), F.lit("?d=1"))).alias("u")), "SELECT page_id, 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/dokumenty/' || page_id || '?d=1' AS u FROM pages", "pages")
 add("listing_url", lambda p: p.select("page_id", X.listing_url(F.lit("https://r.sk/list/?page=1&art=2"), F.col("page_id"), {"q": "a b", "art": None}).alias("u")), "SELECT page_id, 'https://r.sk/list/?page=' || page_id || '&art=2&q=a+b' AS u FROM pages", "pages")
 add("url_id", lambda p: p.select("page_id", X.url_id(F.concat(F.lit("https://r.sk/zmluva/"), F.col("page_id").cast("string"), F.lit("/"))).alias("id"), X.url_id(F.col("url")).alias("own")), "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(url, '/zmluva/(\\d+)/', 1), '') AS own FROM pages", "pages")
