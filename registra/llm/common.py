@@ -10,16 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor can reach.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which every executor can reach, made known to ``checkpoint()``.
 
     Only where the session has no such setting (a test on one machine) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/registra-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return base or context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/registra-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

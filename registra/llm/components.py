@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint_folder
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smallest neighbour (or itself) to its larger neighbours."""
@@ -27,6 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     the driver sees one row of totals a round. Self loops and repeated edges change nothing; null ends are dropped;
     no edges give no rows.
     """
+    checkpoint_folder(edges.sparkSession)
     now = edges.select("src", "dst").dropna().filter("src <> dst")
     now = now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct().checkpoint()
     before = None
