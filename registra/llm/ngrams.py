@@ -32,6 +32,7 @@ START = 1  #: stands for the beginning of a document
 SLICE = 6_000_000  #: characters of a block's documents
 PER_BUCKET = 2_000_000  #: words for each partition of the count tables
 LOOK = 2000  #: documents in which frequent words are looked for; their counts then come from all documents
+UNIT = 1 << 24  #: sums of logarithms travel as whole numbers of 1/UNIT
 FREQUENT = 0.002  #: share of all words from which a word counts as frequent
 
 
@@ -117,6 +118,11 @@ def _together(blobs: list[bytes]) -> Arrays:
     return whole | {"docs": whole["docs"][order], "doc": place[whole["doc"]]}
 
 
+def _by_part(refs: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of sorted references by the part that they begin with."""
+    return np.split(np.arange(len(refs)), np.flatnonzero(np.diff(refs >> np.uint64(32))) + 1) if len(refs) else []
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_backed_off): one row for each row of ``docs``.
 
@@ -154,9 +160,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         known, next_ref = pickle.loads(shared.value), TaskContext.get().partitionId() << 32
         for rows in batches:
             for part in _chunks(rows):
+                home = (next_ref >> 32) % buckets
                 refs = np.arange(next_ref, next_ref + len(part), dtype=np.uint64)
                 next_ref += len(part)
-                yield pd.DataFrame({"bucket": [next_ref % buckets], "kind": ["names"], "blob": [pack({"ref": refs, "k": part.k.to_numpy()})]})
+                yield pd.DataFrame({"bucket": [home], "kind": ["names"], "blob": [pack({"ref": refs, "k": part.k.to_numpy()})]})
                 for to, blob in _pairs(part, refs, known, buckets):
                     yield pd.DataFrame({"bucket": [to], "kind": ["pairs"], "blob": [blob]})
 
@@ -186,8 +193,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         near = found & (known["hash"][at] == h1)
         value[near] -= np.log(np.maximum(known["count"][at[near]] - n1[near], 1))
         size = len(docs)
-        sums = {"ref": docs, "s": np.bincount(doc, n * value, size), "miss": small(np.bincount(doc, n * ~found, size)), "n": small(np.bincount(doc, n, size))}
-        out += [(bucket, "sums", pack(sums)), (bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
+        sums = {"ref": docs, "s": np.round(np.bincount(doc, n * value, size) * UNIT).astype(np.int64), "miss": small(np.bincount(doc, n * ~found, size)), "n": small(np.bincount(doc, n, size))}
+        out += [(int(docs[rows[0]] >> np.uint64(32)) % buckets, "sums", pack({c: x[rows] for c, x in sums.items()})) for rows in _by_part(docs)]
+        out += [(bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
         ask = np.flatnonzero(found & ~near)
         to = _bucket(h1[ask], buckets)
         ask, to = ask[np.argsort(to, kind="stable")], np.sort(to)
@@ -201,26 +209,38 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
 
     def look_up_words(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums by reference; the row that names a reference's document has its key."""
+        """Blocks for each part of the documents: names, and sums that belong to its references."""
         by = {k: g.blob.tolist() for k, g in group.groupby("kind")}
-        names = [unpack(b) for b in by.get("names", [])]
-        out = [pd.DataFrame(unpack(b)) for b in by.get("sums", [])]
+        out = [(int(unpack(b)["ref"][0] >> np.uint64(32)), b) for b in [*by.get("names", []), *by.get("sums", [])]]
         if "asked" in by:
             counts = [unpack(b) for b in by.get("counts", [])]
             h, c = (np.concatenate([t[x] for t in counts]) for x in ("h", "c"))
             order = np.argsort(h)
             a = _together(by["asked"])
             count = c[order][np.searchsorted(h[order], a["h1"])].astype(np.int64)
-            s = np.bincount(a["doc"], -(a["n"] * np.log(np.maximum(count - a["n1"], 1))), len(a["docs"]))
-            out.append(pd.DataFrame({"ref": a["docs"], "s": s}))
-        named = pd.DataFrame({c: np.concatenate([np.zeros(0, np.int64), *(x[c].astype(np.int64) for x in names)]) for c in ("ref", "k")})
-        rows = pd.concat([pd.DataFrame({"ref": [], "s": [], "miss": [], "n": []}), *out]).fillna(0.0).astype({"ref": "int64"}).groupby("ref", as_index=False).sum()
-        return pd.concat([rows.assign(k=pd.array([pd.NA] * len(rows), "Int64")), named.astype({"k": "Int64"}).assign(s=0.0, miss=0.0, n=0.0)])[["ref", "k", "s", "miss", "n"]]
+            refs, doc = np.unique(a["docs"], return_inverse=True)
+            s = np.round(np.bincount(doc[a["doc"]], -(a["n"] * np.log(np.maximum(count - a["n1"], 1))), len(refs)) * UNIT).astype(np.int64)
+            out += [(int(refs[rows[0]] >> np.uint64(32)), pack({"ref": refs[rows], "s": s[rows]})) for rows in _by_part(refs)]
+        return pd.DataFrame(out, columns=["part", "blob"])
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        """One row for each document of a part."""
+        sets = [unpack(b) for b in group.blob]
+        ref, k = (np.concatenate([a[c] for a in sets if "k" in a]) for c in ("ref", "k"))
+        order = np.argsort(ref)
+        ref, k = ref[order], k[order]
+        sums = {c: np.zeros(len(ref), np.int64) for c in ("s", "miss", "n")}
+        for a in sets:
+            at = np.searchsorted(ref, a["ref"])
+            for c, x in sums.items():
+                if c in a:
+                    np.add.at(x, at, a[c].astype(np.int64))
+        return pd.DataFrame({"k": k, "s": sums["s"] / UNIT, "miss": sums["miss"].astype(float), "n": sums["n"].astype(float)})
 
     kinds = "bucket int, kind string, blob binary"
     asked = rows.mapInPandas(blocks, kinds).groupBy("bucket").applyInPandas(look_up_pairs, kinds)
-    parts = asked.groupBy("bucket").applyInPandas(look_up_words, "ref long, k long, s double, miss double, n double")
-    each = parts.groupBy("ref").agg(F.max("k").alias("k"), *[F.sum(c).alias(c) for c in ("s", "miss", "n")])
+    parts = asked.groupBy("bucket").applyInPandas(look_up_words, "part long, blob binary")
+    each = parts.groupBy("part").applyInPandas(total, "k long, s double, miss double, n double")
     sums = each.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("s", "miss", "n")])  # equal rows have equal sums
     copies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k"))
     log_score = F.col("s") - F.col("miss") * F.log(F.greatest(F.lit(float(every)) - F.col("n"), F.lit(1.0)))
