@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import settle, ship, table
 
 FIT = 20_000  #: vectors that the tree is fitted on at most
-BRANCH, LEAF, DEPTH = 8, 40, 4  #: children of a node, sample vectors from which a node is split, levels
+BRANCH, LEAF, DEPTH = 6, 40, 3  #: children of a node, sample vectors from which a node is split, levels: the number of leaves, and so of visits, is bounded
 BLOCK = 4_000  #: vectors of a leaf that are compared together
 QUERIES = 20_000  #: queries that meet one block in one task
 ASK = 100  #: queries that recall is measured with
