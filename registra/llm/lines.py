@@ -4,6 +4,9 @@ Every window of ``window`` consecutive lines selects the smallest of its line ha
 that many lines that occurs twice has a fingerprint in common wherever it stands. Positions meet by fingerprint; a
 meeting counts once the lines on both sides, as far as the window reaches, agree too. Windows that have an earlier
 counterpart are joined into runs, and the lines of those runs are deleted.
+
+A run also qualifies by its length in words or characters: a line of at least ``LONG_WORDS`` words or ``LONG_CHARS`` characters
+(for languages without blanks) is a window of its own, whatever stands beside it, also where it is the whole text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 WINDOW = 2
+LONG_WORDS, LONG_CHARS = 50, 300
 
 
 def _line_hashes(lines: Column) -> Column:
@@ -21,44 +25,56 @@ def _line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b")))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, th, s): first line numbers of windows that occur earlier, ``th`` telling rows of one doc_id apart.
+def _is_long(line: Column) -> Column:
+    enough = (F.length(line) >= 2 * LONG_WORDS - 1) & (F.regexp_count(line, F.lit(r"[^ \t\r]+")) >= LONG_WORDS)
+    return (F.length(line) >= LONG_CHARS) | enough
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
+    """(doc_id, th, s, m): first line number and length of windows that occur earlier, ``th`` telling rows of one doc_id apart.
 
+    Windows have ``window`` lines; with ``long_lines`` each long line is one too.
     Earlier means a smaller (doc_id, th, line number); within a document the two must not overlap. Occurrences
     of a window are aggregated to the first one before anything is joined, so frequent lines make no pairs.
     """
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), _line_hashes(F.split("text", "\n", -1)).alias("h")).filter(F.size("h") >= window)
+    lines = F.split("text", "\n", -1)
+    long_at = F.filter(F.transform(lines, lambda x, i: F.when(_is_long(x), i)), lambda i: i.isNotNull()) if long_lines else F.array().cast("array<int>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), _line_hashes(lines).alias("h"), long_at.alias("long_at"))
+    hashed = hashed.filter((F.size("h") >= window) | (F.size("long_at") > 0))
     # the fingerprint is the window's least line hash; what lies left and right of it is compared through l and r
-    spans = F.transform(
-        F.sequence(F.lit(0), F.size("h") - window),
+    spans = lambda at, m: F.transform(
+        at,
         lambda s: F.struct(
             s.alias("s"),
-            F.array_min(F.slice("h", s + 1, window)).alias("fp"),
-            F.xxhash64(F.slice("h", s + 1, window)).alias("l"),
-            F.xxhash64(F.lit("right"), F.slice("h", s + 1, window)).alias("r"),
+            F.lit(m).alias("m"),
+            F.array_min(F.slice("h", s + 1, m)).alias("fp"),
+            F.xxhash64(F.slice("h", s + 1, m)).alias("l"),
+            F.xxhash64(F.lit("right"), F.slice("h", s + 1, m)).alias("r"),
         ),
     )
-    windows = hashed.select("doc_id", "th", F.explode(spans).alias("w")).select("doc_id", "th", "w.s", F.col("w.fp.a").alias("fp"), "w.l", "w.r")
-    firsts = windows.groupBy("fp", "l", "r").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = windows.join(settle(firsts), ["fp", "l", "r"])
+    starts = F.when(F.size("h") >= window, F.sequence(F.lit(0), F.size("h") - window)).otherwise(F.array().cast("array<int>"))
+    laid = F.concat(spans(starts, window), spans(F.col("long_at"), 1)) if long_lines else spans(starts, window)
+    windows = hashed.select("doc_id", "th", F.explode(laid).alias("w")).select("doc_id", "th", "w.s", "w.m", F.col("w.fp.a").alias("fp"), "w.l", "w.r")
+    firsts = windows.groupBy("m", "fp", "l", "r").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = windows.join(settle(firsts), ["m", "fp", "l", "r"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    return met.filter(~own | (F.col("s") >= F.col("first.s") + window)).select("doc_id", "th", "s")
+    return met.filter(~own | (F.col("s") >= F.col("first.s") + F.col("m"))).select("doc_id", "th", "s", "m")
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", long_lines: bool = True) -> DataFrame:
     """``docs`` with repeated lines deleted from ``text``, plus n_lines and n_removed.
 
     A line goes when it belongs to a run of at least ``window`` consecutive lines that occurs earlier in the corpus: in a
-    row with a smaller doc_id or further up in the same text. Lines end at line feeds and are compared exactly. A null text
+    row with a smaller doc_id or further up in the same text. With ``long_lines`` a line that is long goes as well when it alone does. Lines end at line feeds and are compared exactly. A null text
     stays null with no lines; an empty one has one empty line. Rows that are equal in doc_id and text are the same document and
     keep the same lines; a null doc_id comes before all others. Other columns stay as they are; empty tables stay empty.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = repeated_windows(rows.select("doc_id", "text"), window)
-    gone = found.groupBy("doc_id", "th").agg(F.collect_set("s").alias("at")).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
+    found = repeated_windows(rows.select("doc_id", "text"), window, long_lines)
+    gone = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "m")).alias("at")).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     rows = rows.withColumn("lines", F.split("text", "\n", -1))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s, s + window - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["s"], x["s"] + x["m"] - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
     rows = rows.withColumn("kept", F.when(F.col("at").isNotNull(), F.transform(kept, lambda i: F.get("lines", i))))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
@@ -68,12 +84,20 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "do
     return rows.select(*others, new.alias(text), "n_lines", "n_removed")
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, how many were deleted, and the SHA-256 of the text that stays."""
-    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many were deleted, and the SHA-256 of the text that stays; by runs of two lines, as OP7_SQL has it."""
+    return _digest(drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_lines=False))
+
+
+def op7_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with single long lines as runs of their own: the whole rule, as the pipeline applies it."""
+    return _digest(drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
      l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM t),
@@ -88,3 +112,20 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+OP7_LONG_SQL = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM t),
+     w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l),
+     f AS (SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY line, nxt) AS first FROM w WHERE nxt IS NOT NULL),
+     r AS (SELECT doc_id, i FROM f WHERE first.d <> doc_id OR i >= first.i + 2),
+     s AS (SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY line) AS first FROM l
+           WHERE length(line) >= 300 OR len(regexp_extract_all(line, '[^ \t\r]+')) >= 50),
+     gone AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r UNION SELECT doc_id, i FROM s WHERE first.d <> doc_id OR i > first.i),
+     kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+                     coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS text
+              FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

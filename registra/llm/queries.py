@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontam import op3_benchmark_decontamination
 from .langid import op1_language_id
-from .lines import OP7_SQL, op7_line_dedup
+from .lines import OP7_LONG_SQL, OP7_SQL, op7_line_dedup, op7_long_line_dedup
 from .neighbours import op4_nearest_neighbours
 from .ngrams import op6_lm_scoring
 from .pieces import op10_sentencepiece
@@ -21,6 +21,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
+    "op7_long_line_dedup": op7_long_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
@@ -29,4 +30,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op7_long_line_dedup": OP7_LONG_SQL,
 }

@@ -250,6 +250,30 @@ def test_line_dedup(spark):
     assert drop_repeated_lines(docs_of(spark, [])).count() == 0
 
 
+def test_single_long_lines_go(spark):
+    from registra.llm.lines import drop_repeated_lines
+
+    words, signs, short = " ".join(f"w{i}" for i in range(50)), "漢" * 300, " ".join(f"w{i}" for i in range(49))
+    texts = [f"a\n{words}\nb", f"c\n{words}\nd", words, f"{signs}\ne\n{signs}", signs, f"f\n{short}\ng", f"h\n{short}\ni", f"{words}\nd", None]
+    got = {r.doc_id: r for r in drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert [got[i].text for i in range(9)] == [texts[0], "c\nd", "", f"{signs}\ne", "", texts[5], texts[6], "", None]
+    assert [got[i].n_removed for i in range(9)] == [0, 1, 1, 1, 1, 0, 0, 2, 0]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["op7_line_dedup", "op7_long_line_dedup"])
+def test_line_dedup_gives_the_rows_of_its_sql(spark, name):
+    import duckdb
+
+    from registra.llm.queries import ORACLES, QUERIES
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = QUERIES[name](spark, SF)
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # ---------------------------------------------------------------- 1, 8
 
 
