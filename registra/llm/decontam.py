@@ -2,26 +2,21 @@
 
 A document is contaminated when one of its item-sized windows is similar to a benchmark item: the weighted Jaccard similarity
 of their word shingles (weight: how often a shingle occurs) is at least 0.8. Windows have the item's number of words and
-are laid so that a shingle which both share stands at the same place in both; a window without any
-such shingle has similarity zero.
+start at every word; a document shorter than the item is one window.
 
-Windows and items get 64-bit SimHashes of their shingles. Six blocks of bits index the items under every value within two bits,
-so that every pair within 17 bits meets in some block; exact similarity then decides.
+Documents and items meet by shared shingles. A window of that similarity shares eight ninths of its shingles with the item or
+more, so the places of shared shingles, counted along the document, tell which windows can be similar; each of those is compared
+exactly. No window and no order of shingles is left out: the result is that of brute force over all windows.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
 WORDS, SIMILAR = 5, 0.8
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  #: first bit and width
-PER_BLOCK = 2
-RADIUS = len(BLOCKS) * (PER_BLOCK + 1) - 1
 BROADCAST_ROWS = 500_000  #: rows of the item tables up to which they are sent to every executor
 
 
@@ -35,25 +30,6 @@ def shingles(ws: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]))
 
 
-def simhash(sh: Column) -> Column:
-    """64 bits as a long; a bit is set when it is set in over half of the hashes."""
-    ones = lambda b: F.aggregate(sh, F.lit(0), lambda n, x: n + F.getbit(x, b).cast("int"))
-    bits = F.array_join(F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda b: (2 * ones(b) > F.size(sh)).cast("int").cast("string")), "")
-    half = lambda at: F.conv(F.substring(bits, at, 32), 2, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(33))
-
-
-def block(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two lists of hashes, weights being their counts."""
-    count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, s: n + F.least(count(a, s), count(b, s)))
-    return shared / (F.size(a) + F.size(b) - shared)
-
-
 def _sized(df: DataFrame) -> tuple[DataFrame, bool]:
     """A written table, and whether its rows are few enough to be broadcast; others take a shuffled join."""
     df = settle(df)
@@ -65,21 +41,13 @@ def _maybe(sized: tuple[DataFrame, bool]) -> DataFrame:
 
 
 def prepare_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, w, k, sh, item_fp): shingles of k = min(5, words) words; items without a word are left out."""
+    """(item_id, w, k, sh): shingles of k = min(5, words) words; items without a word are left out."""
     ws = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
     k = F.least(F.size("ws"), F.lit(WORDS))
     cases = F.when(k == WORDS, shingles(F.col("ws"), WORDS))
     for n in range(1, WORDS):
         cases = cases.when(k == n, shingles(F.col("ws"), n))
-    sh = settle(ws.select("item_id", F.size("ws").alias("w"), k.alias("k"), cases.alias("sh")).distinct())
-    return settle(sh.withColumn("item_fp", simhash(F.col("sh"))))
-
-
-def _neighbours(i: int, first: int, width: int) -> Column:
-    """Block i of an item's fingerprint and all values within PER_BLOCK bits of it."""
-    flips = [sum(1 << b for b in bits) for n in range(PER_BLOCK + 1) for bits in combinations(range(width), n)]
-    own = block(F.col("item_fp"), first, width)
-    return F.transform(F.lit(flips).cast("array<long>"), lambda m: F.struct(F.lit(i).alias("b"), own.bitwiseXOR(m).alias("v")))
+    return settle(ws.select("item_id", F.size("ws").alias("w"), k.alias("k"), cases.alias("sh")).distinct())
 
 
 def contaminated_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,33 +58,42 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_i
     """
     items = prepare_items(items)
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most five numbers
-    spots = _sized(items.select("k", "w", F.posexplode("sh").alias("at", "h")).distinct())
+    # item_key tells items of one item_id apart, c is how often the item has the shingle
+    spots = items.select("item_id", F.xxhash64("sh").alias("item_key"), "k", "w", F.explode("sh").alias("h"))
+    spots = _sized(spots.groupBy("item_id", "item_key", "k", "w", "h").agg(F.count("*").cast("int").alias("c")))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), words(F.col(text)).alias("ws"))
-    found = None
+    hits = None
     for k in sizes or [WORDS]:
         shown = base.select("doc_id", "th", F.size("ws").alias("n"), F.posexplode(shingles(F.col("ws"), k)).alias("pos", "h"))
-        hit = shown.join(_maybe((spots[0].filter(F.col("k") == k).drop("k"), spots[1])), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("w")))
-        hit = hit.select("doc_id", "th", F.struct(start.alias("start"), "w", F.lit(k).alias("k")).alias("win"))
-        found = hit if found is None else found.union(hit)
-    wins = found.groupBy("doc_id", "th").agg(F.collect_set("win").alias("wins")).withColumnsRenamed({"doc_id": "c_id", "th": "c_th"})
-    held = base.join(wins, base.doc_id.eqNullSafe(F.col("c_id")) & (base.th == F.col("c_th"))).select("doc_id", "th", "ws", "wins")
-    cut = F.transform("wins", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), F.slice("ws", x["start"] + 1, x["w"]).alias("ws")))
-    held = held.select("doc_id", "th", F.explode(cut).alias("x")).select("doc_id", "th", "x.start", "x.k", "x.ws")
-    sh = F.when(F.col("k") == WORDS, shingles(F.col("ws"), WORDS))
-    for n in range(1, WORDS):
-        sh = sh.when(F.col("k") == n, shingles(F.col("ws"), n))
-    windows = settle(held.select("doc_id", "th", "start", F.size("ws").alias("n_words"), "k", sh.alias("wsh")))
-    windows = windows.withColumn("fp", simhash(F.col("wsh")))
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), block(F.col("fp"), *x).alias("v")) for i, x in enumerate(BLOCKS)]))
-    windows = windows.select("*", keys.alias("key")).select("*", "key.b", "key.v")
-    near = F.flatten(F.array(*[_neighbours(i, *x) for i, x in enumerate(BLOCKS)]))
-    index = _sized(items.select("item_id", F.col("k").alias("ik"), "sh", "item_fp", F.explode(near).alias("key")).select("item_id", "ik", "sh", "item_fp", "key.b", "key.v"))
-    near_by = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    right = _maybe(index)
-    pairs = windows.join(right, (windows.b == right.b) & (windows.v == right.v) & (windows.k == right.ik) & near_by)
-    pairs = pairs.select("doc_id", "th", "item_id", "start", "n_words", similarity(F.col("wsh"), F.col("sh")).alias("similarity"))
-    return pairs.filter(F.col("similarity") >= SIMILAR).distinct()
+        hit = shown.join(_maybe((spots[0].filter(F.col("k") == k), spots[1])), "h")
+        hits = hit if hits is None else hits.union(hit)
+    pair = ["doc_id", "th", "n", "item_id", "item_key", "k", "w"]
+    # a place adds to what a window shares unless the window already has c earlier places of the same shingle: back is the c-th before it
+    places = hits.repartition("doc_id", "th").groupBy(*pair, "h", "c").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    back = lambda x, i: F.struct(x.alias("pos"), F.when(i >= F.col("c"), F.get("ps", i - F.col("c"))).otherwise(-1).alias("back"))
+    places = places.select(*pair, F.transform("ps", back).alias("at"))
+    m, held = F.col("w") - F.col("k") + 1, F.least("w", "n") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.ceil(SIMILAR / (1 + SIMILAR) * (m + held) - 1e-6)).cast("int")
+    met = places.groupBy(*pair).agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+    met = settle(met.select(*pair, m.alias("m"), held.alias("held"), need.alias("need"), "at").filter(F.size("at") >= F.col("need")))
+    # windows whose first shared place is the i-th and that reach as far as the need-th place from it
+    place = lambda i: F.get("at", i)["pos"]
+    last = F.greatest(F.lit(0), F.col("n") - F.col("w"))
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.when(i > 0, place(i - 1) + 1).otherwise(0), place(i + F.col("need") - 1) - F.col("held") + 1)
+        high = F.least(place(i), last)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("start"), i.alias("i")))).otherwise(F.array().cast("array<struct<start:int,i:int>>"))
+
+    def shared(x: Column) -> Column:
+        return F.size(F.filter(F.slice("at", x["i"] + 1, F.col("held")), lambda p: (p["pos"] < x["start"] + F.col("held")) & (p["back"] < x["start"])))
+
+    laid = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts))
+    compared = F.transform(laid, lambda x: F.struct(x["start"].alias("start"), shared(x).alias("shared")))
+    found = met.select("doc_id", "th", "item_id", "m", "held", F.least("w", "n").alias("n_words"), F.explode(compared).alias("x"))
+    similarity = F.col("x.shared") / (F.col("m") + F.col("held") - F.col("x.shared"))
+    found = found.select("doc_id", "th", "item_id", "x.start", "n_words", similarity.alias("similarity"))
+    return found.filter(F.col("similarity") >= SIMILAR).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

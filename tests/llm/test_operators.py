@@ -153,6 +153,46 @@ def test_decontamination(spark):
     assert contamination(docs_of(spark, []), items).count() == 0
 
 
+def _similar_windows(texts, items):
+    def cut(ws, k):
+        return Counter(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+
+    found = {}
+    for d, text in enumerate(texts):
+        ws = re.findall(r"[^\W_]+", (text or "").lower())
+        for item_id, item in items:
+            goal = re.findall(r"[^\W_]+", item.lower())
+            k = min(5, len(goal))
+            b = cut(goal, k)
+            for start in range(max(1, len(ws) - len(goal) + 1)) if ws else ():
+                a = cut(ws[start : start + len(goal)], k)
+                both = sum((a & b).values())
+                if a and both / (a.total() + b.total() - both) >= 0.8:
+                    found[d, item_id, start] = round(both / (a.total() + b.total() - both), 9)
+    return found
+
+
+def test_decontamination_matches_brute_force(spark):
+    from registra.llm.decontam import contaminated_windows, contamination
+
+    rng = random.Random(3)
+    halves = [" ".join(f"{h}{i}" for i in range(50)) for h in "ab"]
+    items = [(1, " ".join(halves)), (2, "one"), (3, "one two one two one two one two one two one two"), (4, " ".join(f"v{rng.randrange(9)}" for _ in range(30)))]
+    texts = [f"x y z {halves[1]} {halves[0]} q r", f"{halves[1]} {halves[0]}", " ".join(halves[::-1]).replace("a7 ", "other "), "one two " * 12, "two one " * 5 + "x " + "one two " * 9]
+    for _ in range(40):
+        ws = items[rng.choice([0, 3])][1].split()
+        for _ in range(rng.randrange(4)):
+            at, to = rng.randrange(len(ws)), rng.randrange(len(ws))
+            ws = rng.choice([ws[at:] + ws[:at], ws[:at] + ["new"] + ws[at + 1 :], ws[:at] + ws[at + 1 :], ws[:at] + ws[to:]]) or ws
+        texts.append(" ".join([f"p{i}" for i in range(rng.randrange(30))] + ws + ["s"] * rng.randrange(30)))
+    want = _similar_windows(texts, items)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.item_id, r.start): round(r.similarity, 9) for r in contaminated_windows(docs.union(docs), table).collect()}
+    assert got == want and {0, 1, 2, 3, 4} <= {d for d, _, _ in want}
+    assert {r.doc_id for r in contamination(docs, table).collect() if r.contaminated} == {d for d, _, _ in want}
+
+
 # ---------------------------------------------------------------- 4
 
 
