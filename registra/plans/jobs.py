@@ -121,6 +121,8 @@ add("scoped_context_summary", lambda c: Q.scoped_context(_slim(P.apply(c, Filter
  SELECT 0 AS ord, 'Contracts in scope: ' || contract_count AS text FROM a UNION ALL SELECT 1, 'Total value: ' || format('{{:,.2f}}', total_spend) || ' EUR' FROM a UNION ALL SELECT 2, 'Average value: ' || format('{{:,.2f}}', avg_value) || ' EUR' FROM a UNION ALL SELECT 3, 'Maximum value: ' || format('{{:,.2f}}', max_value) || ' EUR' FROM a UNION ALL SELECT 4, 'Date range: ' || d0 || ' to ' || d1 FROM a""")
 add("scoped_context_small", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(institutions=["NATION_6 BUILDING"], date_from="2001-01-01")))).filter("section = 'contract'").select("ord", F.substring_index("text", "\n", 1).alias("first_line")), ", t AS (SELECT contract_id, row_number() OVER (ORDER BY seq) AS ord FROM c WHERE buyer = 'NATION_6 BUILDING' AND published_date >= '2001-01-01') SELECT ord, 'Contract ID [contract_id]: ' || contract_id AS first_line FROM t WHERE (SELECT count(*) FROM t) <= 100")
 add("contract_context_sections", lambda s, d: (lambda j: Q.contract_context(j).select("contract_id", "section", "ord"))(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")).filter("seq % 50 = 1"), _bids(s.read.parquet(f"{d}/part.parquet")))), W + "SELECT contract_id, 'fields' AS section, 0 AS ord FROM c WHERE seq % 50 = 1 UNION ALL SELECT contract_id, x, 0 FROM c JOIN part ON p_partkey = seq, (VALUES ('tender'), ('parts')) v(x) WHERE seq % 50 = 1", "")
+#: The same over all contracts, whatever their number.
+add("contract_context_all", lambda s, d: Q.contract_context(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")), _bids(s.read.parquet(f"{d}/part.parquet")))).select("contract_id", "section", "ord"), W + "SELECT contract_id, 'fields' AS section, 0 AS ord FROM c UNION ALL SELECT contract_id, x, 0 FROM c JOIN part ON p_partkey = seq, (VALUES ('tender'), ('parts')) v(x)", "")
 
 # ---------------------------------------------------------------- pages
 
