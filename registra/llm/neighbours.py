@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every vector is then put into its leaf. A query walks the tree with a priority
 queue of branches by the distance to their centres and visits leaves in that order. How many leaves a search visits is widened
-until the wished recall, measured against brute force over all rows for a sample of queries, is reached.
+until the wished recall, measured against brute force over all rows for a sample of queries, is reached; a query whose leaves
+hold fewer than k other rows then goes on until they do.
 
 Leaves are dealt into blocks of bounded size before queries meet them, so that no task depends on how full a
 leaf is; each block returns its best candidates for each query.
@@ -171,16 +172,22 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
                 yield part.assign(leaf=t.assign(np.stack(part.v.to_numpy())))
 
     placed = settle(rows.mapInPandas(leaf_of, "id long, v array<double>, leaf long"))
-    counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))  # a row for each leaf of the tree
-    blocks = {r.leaf: r.blocks for r in counts.collect()}
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).collect()  # a row for each leaf of the tree
+    blocks, sizes = {r.leaf: r.blocks for r in counts}, {r.leaf: r.n for r in counts}
     groups = max(1, -(-queries.count() // QUERIES))
     visits = _calibrated(tree, asked, placed, k, recall)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = pickle.loads(shared.value)
         for part in batches:
-            for qid, q in zip(part.id, part.v):
-                order = [leaf for leaf in t.visits(np.asarray(q)) if leaf in blocks][:visits]
+            for qid, q, own in zip(part.id, part.v, part.own):
+                order, held = [], 0
+                for leaf in t.visits(np.asarray(q)):
+                    if len(order) >= visits and held >= k + own:
+                        break
+                    if leaf in blocks:
+                        order.append(leaf)
+                        held += sizes[leaf]
                 goes = [(leaf, b) for leaf in order for b in range(blocks[leaf])]
                 if goes:
                     yield pd.DataFrame({"query_id": qid, "q": [q] * len(goes), "leaf": [x[0] for x in goes], "block": [x[1] for x in goes]})
@@ -189,7 +196,8 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         found = _best(left, right.id.to_numpy(), np.stack(right.v.to_numpy()), k) if len(left) and len(right) else ()
         return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
-    sent = queries.mapInPandas(leaves, "query_id long, q array<double>, leaf long, block long")
+    # rows that share the query's id are none of its neighbours
+    sent = queries.withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInPandas(leaves, "query_id long, q array<double>, leaf long, block long")
     sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     several = F.create_map(*[F.lit(x) for leaf, n in blocks.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in blocks.values()) else None
     spread = F.coalesce(F.try_element_at(several, F.col("leaf")), F.lit(1)) if several is not None else F.lit(1)

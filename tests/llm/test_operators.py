@@ -219,6 +219,16 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_go_on_from_small_leaves(spark):
+    from registra.llm.neighbours import nearest
+
+    m = np.random.default_rng(4).normal(size=(600, 16))
+    ids = [0 if i % 100 == 0 else i for i in range(600)]  # six rows are one another's self
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, m)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("id") % 7 == 0, recall=0.01).groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()
+    assert {r.query_id for r in got} == {i for i in ids if i % 7 == 0} and all(r.ranks == [1, 2, 3, 4, 5] for r in got)
+
+
 # ---------------------------------------------------------------- 5
 
 
