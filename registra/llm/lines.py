@@ -1,8 +1,7 @@
-"""Line de-duplication by winnowing over line hashes, in DataFrame functions only.
+"""Line de-duplication over line hashes, in DataFrame functions only.
 
-Every window of ``window`` consecutive lines selects the smallest of its line hashes as its fingerprint, so a run of at least
-that many lines that occurs twice has a fingerprint in common wherever it stands. Positions meet by fingerprint; a
-meeting counts once the lines on both sides, as far as the window reaches, agree too. Windows that have an earlier
+Every window of ``window`` consecutive lines is hashed, none is selected by its minimum: windows meet when all their lines agree, so a run
+of at least that many lines that occurs twice is found wherever it stands. Windows that have an earlier
 counterpart are joined into runs, and the lines of those runs are deleted.
 
 A run also qualifies by its length in words or characters: a line of at least ``LONG_WORDS`` words or ``LONG_CHARS`` characters
@@ -41,7 +40,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, long_lines: bool = T
     long_at = F.filter(F.transform(lines, lambda x, i: F.when(_is_long(x), i)), lambda i: i.isNotNull()) if long_lines else F.array().cast("array<int>")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), _line_hashes(lines).alias("h"), long_at.alias("long_at"))
     hashed = hashed.filter((F.size("h") >= window) | (F.size("long_at") > 0))
-    # the fingerprint is the window's least line hash; what lies left and right of it is compared through l and r
+    # the window's least line hash and two hashes of the whole window, which stand for its lines
     spans = lambda at, m: F.transform(
         at,
         lambda s: F.struct(
