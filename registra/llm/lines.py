@@ -1,8 +1,14 @@
-"""Line de-duplication over line hashes, in DataFrame functions only.
+"""Line de-duplication by winnowing over line hashes, in DataFrame functions only.
 
-Every window of ``window`` consecutive lines is hashed, none is selected by its minimum: windows meet when all their lines agree, so a run
-of at least that many lines that occurs twice is found wherever it stands. Windows that have an earlier
-counterpart are joined into runs, and the lines of those runs are deleted.
+Every window of ``window`` lines selects its least line hash (the last one among equals): the selected lines are the text's
+fingerprints. Two texts that share ``window`` lines in a row select the same line of them, so positions that are joined by fingerprint
+find every such run. A frequent line is a fingerprint of many places; so each selected line meets only the first
+place of the same line that has, in a window which selected it, the same lines to its left and right. From there the match
+is extended both ways, line hash by line hash, and the later run is deleted. An extension stops after
+``window - 1`` lines: a longer run selects further lines, which carry it on.
+
+``window`` is the least number of lines in a run. The guarantee holds for any window from 1: a run of that length is itself a
+window, and what it selects depends on its own lines alone. With two lines, two thirds of all lines are selected.
 
 A run also qualifies by its length in words or characters: a line of at least ``LONG_WORDS`` words or ``LONG_CHARS`` characters
 (for languages without blanks) is a window of its own, whatever stands beside it, also where it is the whole text.
@@ -17,6 +23,7 @@ from .common import settle, table
 
 WINDOW = 2
 LONG_WORDS, LONG_CHARS = 50, 300
+NOWHERE = "array<int>"
 
 
 def _line_hashes(lines: Column) -> Column:
@@ -29,58 +36,99 @@ def _is_long(line: Column) -> Column:
     return (F.length(line) >= LONG_CHARS) | enough
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
-    """(doc_id, th, s, m): first line number and length of windows that occur earlier, ``th`` telling rows of one doc_id apart.
+def _leading(same: Column) -> Column:
+    """How many true elements an array begins with."""
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+
+
+def winnow(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
+    """(doc_id, th, p, fp, lo, around, wins): one row for each selected line.
 
-    Windows have ``window`` lines; with ``long_lines`` each long line is one too.
-    Earlier means a smaller (doc_id, th, line number); within a document the two must not overlap. Occurrences
-    of a window are aggregated to the first one before anything is joined, so frequent lines make no pairs.
+    ``p`` is its number, ``fp`` its hash, ``around`` the hashes from line ``lo`` on that a window with it can reach, ``wins`` the windows
+    (first line ``s``, ``m`` lines) that selected it. ``th``, the text's hash, tells rows of one doc_id apart.
     """
-    lines = F.split("text", "\n", -1)
-    long_at = F.filter(F.transform(lines, lambda x, i: F.when(_is_long(x), i)), lambda i: i.isNotNull()) if long_lines else F.array().cast("array<int>")
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), _line_hashes(lines).alias("h"), long_at.alias("long_at"))
-    hashed = hashed.filter((F.size("h") >= window) | (F.size("long_at") > 0))
-    # the window's least line hash and two hashes of the whole window, which stand for its lines
-    spans = lambda at, m: F.transform(
-        at,
-        lambda s: F.struct(
-            s.alias("s"),
-            F.lit(m).alias("m"),
-            F.array_min(F.slice("h", s + 1, m)).alias("fp"),
-            F.xxhash64(F.slice("h", s + 1, m)).alias("l"),
-            F.xxhash64(F.lit("right"), F.slice("h", s + 1, m)).alias("r"),
-        ),
-    )
-    starts = F.when(F.size("h") >= window, F.sequence(F.lit(0), F.size("h") - window)).otherwise(F.array().cast("array<int>"))
-    laid = F.concat(spans(starts, window), spans(F.col("long_at"), 1)) if long_lines else spans(starts, window)
-    windows = hashed.select("doc_id", "th", F.explode(laid).alias("w")).select("doc_id", "th", "w.s", "w.m", F.col("w.fp.a").alias("fp"), "w.l", "w.r")
-    firsts = windows.groupBy("m", "fp", "l", "r").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = windows.join(settle(firsts), ["m", "fp", "l", "r"])
+    lines, none = F.split("text", "\n", -1), F.array().cast(NOWHERE)
+    long_at = F.filter(F.transform(lines, lambda x, i: F.when(_is_long(x), i)), lambda i: i.isNotNull()) if long_lines else none
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), _line_hashes(lines).alias("h"), long_at.alias("long_at"))
+    rows = rows.filter((F.size("h") >= window) | (F.size("long_at") > 0)).withColumn("n", F.size("h"))
+    starts = F.when(F.col("n") >= window, F.sequence(F.lit(0), F.col("n") - window)).otherwise(none)
+
+    def last_least(s: Column) -> Column:
+        part = F.slice("h", s + 1, window)
+        return (s + window - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
+
+    rows = rows.withColumn("of", F.transform(starts, last_least))  # the line that each window selects: never falls along the text
+    changes = F.filter("of", lambda p, i: (i == 0) | (p != F.get("of", i - 1)))
+    rows = rows.select("doc_id", "th", "h", "n", "of", "long_at", F.explode(F.array_union(changes, "long_at")).alias("p"))
+    tried = F.when(F.size("of") > 0, F.sequence(F.greatest(F.lit(0), F.col("p") - window + 1), F.least("p", F.size("of") - 1))).otherwise(none)
+    tried = F.when(F.col("p") - window + 1 <= F.size("of") - 1, tried).otherwise(none)
+    won = F.transform(F.filter(tried, lambda s: F.get("of", s) == F.col("p")), lambda s: F.struct(s.alias("s"), F.lit(window).alias("m")))
+    own = F.when(F.array_contains("long_at", F.col("p")), F.array(F.struct(F.col("p").alias("s"), F.lit(1).alias("m")))).otherwise(F.array().cast("array<struct<s:int,m:int>>"))
+    lo = F.greatest(F.lit(0), F.col("p") - window + 1)
+    around = F.slice("h", lo + 1, F.col("p") + window - lo)
+    return rows.select("doc_id", "th", "p", F.get("h", F.col("p")).alias("fp"), lo.alias("lo"), around.alias("around"), F.concat(won, own).alias("wins"))
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
+    """(doc_id, th, s, m): first line and number of lines of runs that occur earlier.
+
+    Earlier means a smaller (doc_id, th, line number); within a document the windows that meet must not overlap. The places of a
+    fingerprint are aggregated to the first one before anything is joined, so frequent lines make no pairs.
+    """
+    chosen = winnow(docs, window, long_lines).withColumn("w", F.explode("wins"))
+    at = F.col("p") - F.col("lo")
+    from_, to = F.col("w.s") - F.col("lo"), F.col("w.s") + F.col("w.m") - 1 - F.col("lo")
+    left, right = F.xxhash64(F.slice("around", from_ + 1, at - from_)), F.xxhash64(F.slice("around", at + 2, to - at))
+    # what the extension compares: one 64-bit hash a line, left of the fingerprint outwards and right of it
+    near = F.transform("around", lambda x: x["a"])
+    before, after = F.reverse(F.slice(near, 1, at)), F.slice(near, at + 2, F.greatest(F.size("around") - at - 1, F.lit(0)))
+    places = chosen.select("doc_id", "th", F.col("w.s").alias("s"), F.col("w.m").alias("m"), "p", F.col("fp.a").alias("a"), F.col("fp.b").alias("b"), left.alias("l"), right.alias("r"), before.alias("before"), after.alias("after"))
+    key = ["m", "a", "b", "l", "r"]
+    firsts = places.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "s", "before", "after")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = places.join(settle(firsts), key)
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    return met.filter(~own | (F.col("s") >= F.col("first.s") + F.col("m"))).select("doc_id", "th", "s", "m")
+    met = met.filter(~own | (F.col("s") >= F.col("first.s") + F.col("m")))
+    # equal lines on from the fingerprint; where one text ends, zip_with gives null
+    same = lambda side: F.zip_with(side, f"first.{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    run = met.select("doc_id", "th", "p", _leading(same("before")).alias("back"), _leading(same("after")).alias("on"))
+    return run.select("doc_id", "th", (F.col("p") - F.col("back")).alias("s"), (F.col("back") + F.col("on") + 1).alias("m"))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", long_lines: bool = True) -> DataFrame:
-    """``docs`` with repeated lines deleted from ``text``, plus n_lines and n_removed.
-
-    A line goes when it belongs to a run of at least ``window`` consecutive lines that occurs earlier in the corpus: in a
-    row with a smaller doc_id or further up in the same text. With ``long_lines`` a line that is long goes as well when it alone does. Lines end at line feeds and are compared exactly. A null text
-    stays null with no lines; an empty one has one empty line. Rows that are equal in doc_id and text are the same document and
-    keep the same lines; a null doc_id comes before all others. Other columns stay as they are; empty tables stay empty.
-    """
+def _cut(docs: DataFrame, window: int, doc_id: str, text: str, long_lines: bool) -> DataFrame:
+    """(row, new, n_lines, n_removed): each row of ``docs`` as a struct, so that its own columns clash with nothing."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = repeated_windows(rows.select("doc_id", "text"), window, long_lines)
+    found = repeated_runs(rows.select("doc_id", "text"), window, long_lines)
     gone = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "m")).alias("at")).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     rows = rows.withColumn("lines", F.split("text", "\n", -1))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["s"], x["s"] + x["m"] - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
     rows = rows.withColumn("kept", F.when(F.col("at").isNotNull(), F.transform(kept, lambda i: F.get("lines", i))))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    rows = rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
     new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return rows.select("row", new.alias("new"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", long_lines: bool = True) -> DataFrame:
+    """``docs`` with repeated lines deleted from ``text``, plus n_lines and n_removed.
+
+    A line goes when it belongs to a run of at least ``window`` consecutive lines that occurs earlier in the corpus: in a
+    row with a smaller doc_id or further up in the same text. With ``long_lines`` a line that is long goes as well when it alone does.
+    Lines end at line feeds and are compared exactly. A null text stays null with no lines; an empty one has one empty line.
+    Very long texts are one row like any other; work on a row grows with its lines. Rows that are equal in doc_id and text are
+    the same document and keep the same lines; a null doc_id comes before all others. Other columns stay as they are, but
+    columns named n_lines and n_removed are replaced (``texts_without_repeats`` keeps them); empty tables stay empty.
+    """
     others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    return rows.select(*others, new.alias(text), "n_lines", "n_removed")
+    return _cut(docs, window, doc_id, text, long_lines).select(*others, F.col("new").alias(text), "n_lines", "n_removed")
+
+
+def texts_without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
+    """``docs`` with the columns it has: ``text`` as ``drop_repeated_lines`` leaves it, and ``size``, if given, its new number of characters."""
+    cut = _cut(docs, window, doc_id, text, True)
+    changed = {text: F.col("new")} | ({size: F.when(F.col("n_removed") > 0, F.length("new")).otherwise(F.col("row").getField(size)).cast("long")} if size else {})
+    return cut.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _digest(out: DataFrame) -> DataFrame:
