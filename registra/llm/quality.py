@@ -1,114 +1,181 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with a temperature.
 
-Each word gets a sparse random index vector for itself and one for its shape (upper, lower, digit and other characters, runs
-shortened). Its context vector is the sum of the index vectors that stood within two words of that shape in the
-training texts. The two together are the word's vector; a document is the mean and the spread of its words' vectors.
+Each word has a sparse random index vector, drawn from its hash and from that of its shape (upper, lower, digit and other
+characters in their order, without run lengths). A word's context vector is the sum of the index vectors of the words that stood
+within two words of it in the training texts, scaled to the length of an index vector; shapes have context vectors in
+the same way, over all words of the shape. A word's vector is the sum of its index vector and the two context vectors; words
+that the training texts do not have, or have too seldom, go without one of their own. A document is the mean and the spread of
+its words' vectors and how far neighbouring words' vectors agree.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, ship, table
 
-DIMS, BUCKETS, NONZERO, REACH = 64, 1 << 14, 6, 2
+DIMS, NONZERO, REACH = 64, 6, 2
 HIDDEN, EPOCHS, SEED = 32, 60, 7
 SAMPLE = 2500  #: labelled documents of each class at most, those with the smallest hashes of their ids
 CALIBRATE = 5  #: one in so many of them is kept from the fit, for the temperature
 THRESHOLD = 0.7
+VOCABULARY = 50_000  #: most frequent words of the training texts that keep a context vector of their own; others share their shape's
+SELDOM = 8  #: a word with fewer occurrences in the training texts has no context vector of its own
 REMEMBER = 300_000  #: distinct words remembered in a task
-SLICE = 100_000  #: words pooled at once
+SLICE = 100_000  #: words pooled at once, and words of one text that are split off at once
 
 _SHAPE = {**{c: "x" for c in range(97, 123)}, **{c: "X" for c in range(65, 91)}, **{c: "0" for c in range(48, 58)}}
 _RUN = re.compile(r"(.)\1+", re.S)
+_WORD = re.compile(r"\S+")
 
 
 def shape(word: str) -> str:
+    """The kinds of characters of a word in order, a run of one kind as that kind and a plus sign."""
     if not word.isascii():
         word = "".join("x" if c.islower() else "X" if c.isupper() else c for c in word)
-    return _RUN.sub(r"\1+", word.translate(_SHAPE))[:12]
+    return _RUN.sub(r"\1+", word.translate(_SHAPE))
+
+
+def _hash(items: list[str], seed: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w.encode("utf-8", "surrogatepass"), seed) for w in items), np.uint64, len(items))
+
+
+def _draws(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an index vector is not zero, and its signs there: NONZERO of each, drawn from a hash (a place may be drawn twice)."""
+    k = np.arange(NONZERO, dtype=np.uint64)
+    bits = (h[:, None] ^ (h[:, None] >> np.uint64(29))) * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2) * k)
+    return (bits >> np.uint64(40)).astype(np.int64) % DIMS, 1.0 - 2.0 * (bits >> np.uint64(63)).astype(float)
+
+
+def index_vectors(*hashes: np.ndarray) -> np.ndarray:
+    """The sum of the sparse vectors that are drawn from each row's hashes."""
+    size, cells, signs = len(hashes[0]), [], []
+    for h in hashes:
+        at, sign = _draws(h)
+        cells.append((np.arange(size)[:, None] * DIMS + at).ravel())
+        signs.append(sign.ravel())
+    return np.bincount(np.concatenate(cells), np.concatenate(signs), size * DIMS).reshape(size, DIMS).astype(np.float32)
+
+
+def _scaled(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
 
 
 class Words:
-    """Index and context vectors by hash bucket; the words met so far have their vectors in one matrix."""
+    """Context vectors of the training texts' words and shapes by sorted hash; words met in a task have their vectors in one matrix."""
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(SEED)
-        self.index = np.zeros((BUCKETS, DIMS), np.float32)
-        for k in range(NONZERO):
-            self.index[np.arange(BUCKETS), rng.integers(0, DIMS, BUCKETS)] += 1.0 if k % 2 else -1.0
-        self.context = np.zeros((BUCKETS, DIMS), np.float32)
+        none = np.zeros(0, np.uint64), np.zeros((0, DIMS), np.float32)
+        self.of_word, self.of_shape = none, none
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.vectors = np.zeros((0, DIMS), np.float32)
-        self.shapes = np.zeros(0, np.int64)
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Each hash's vector in a table, zeros where it has none."""
+        keys, vectors = table
+        if not len(keys):
+            return np.zeros((len(h), DIMS), np.float32)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where((keys[at] == h)[:, None], vectors[at], np.float32(0))
+
+    def vectors_of(self, words: list[str]) -> np.ndarray:
+        h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
+        return index_vectors(h, forms) + self._find(self.of_word, h) + self._find(self.of_shape, forms)
 
     def ids(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words' rows in ``vectors``."""
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         if fresh:
-            digest = xxhash.xxh64_intdigest
-            own = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in fresh), np.uint64, len(fresh)) % np.uint64(BUCKETS)
-            form = np.fromiter((digest(shape(w).encode("utf-8", "surrogatepass"), 1) for w in fresh), np.uint64, len(fresh)) % np.uint64(BUCKETS)
-            self.vectors = np.concatenate([self.vectors, self.index[own] + self.index[form] + self.context[form]])
-            self.shapes = np.concatenate([self.shapes, form.astype(np.int64)])
+            self.vectors = np.concatenate([self.vectors, self.vectors_of(fresh)])
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def learn(self, texts: list[str]) -> None:
-        """Context vectors from the words around each shape, scaled to the length of index vectors."""
-        sums = np.zeros_like(self.context, np.float64)
-        for t in texts:
-            ids = self.ids(t.split())
-            v, form = self.vectors[ids], self.shapes[ids]
-            for d in range(1, REACH + 1):
-                np.add.at(sums, form[d:], v[:-d])
-                np.add.at(sums, form[:-d], v[d:])
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        self.context = (sums / np.maximum(norm, 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
+        """Random indexing: to each word's context the index vector of each neighbour is added once for each time they meet."""
+        number: dict[str, int] = {}
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int64) for t in texts]
+        words = list(number)
+        h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
+        at, sign = (np.concatenate(x, axis=1) for x in zip(_draws(h), _draws(forms)))
+        size = len(words)
+        sums = np.zeros(size * DIMS)
+        for d in range(1, REACH + 1):
+            a = np.concatenate([x[d:] for x in ids]) if ids else np.zeros(0, np.int64)
+            b = np.concatenate([x[:-d] for x in ids]) if ids else a
+            for word, other in ((a, b), (b, a)):
+                for k in range(2 * NONZERO):
+                    sums += np.bincount(word * DIMS + at[other, k], sign[other, k], size * DIMS)
+        sums = sums.reshape(size, DIMS)
+        kinds, form = np.unique(forms, return_inverse=True)
+        of_kind = np.zeros((len(kinds), DIMS))
+        np.add.at(of_kind, form, sums)
+        often = np.bincount(np.concatenate(ids), minlength=size) if ids else np.zeros(0, np.int64)
+        kept = np.lexsort((h, -often))[:VOCABULARY]
+        kept = kept[often[kept] >= SELDOM]
+        kept = kept[np.argsort(h[kept])]
+        self.of_word, self.of_shape = (h[kept], _scaled(sums[kept])), (kinds, _scaled(of_kind))
         self.forget()
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
-        """Mean and spread of the words' vectors, and the logarithm of their number; zeros for a text without words."""
-        n, first, second = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS))
-        words: list[str] = []
-        owner: list[tuple[int, int]] = []
+        """Mean and spread of the words' vectors, how far neighbouring words agree (mean cosine), and the logarithm of the number of words.
+
+        Zeros for a text without words. A text's words are added up in the same steps whatever texts stand beside it.
+        """
+        n, mean, second, agree = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS)), np.zeros(len(texts))
+        held: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
-            ids = self.ids(words)
-            v = self.vectors[ids]
-            starts = np.cumsum([0, *(k for _, k in owner[:-1])])
-            rows = [i for i, _ in owner]
-            if owner:
-                np.add.at(first, rows, np.add.reduceat(v, starts, axis=0, dtype=np.float64))
-                np.add.at(second, rows, np.add.reduceat(v * v, starts, axis=0, dtype=np.float64))
-            words.clear(), owner.clear()
             if len(self.known) > REMEMBER:
                 self.forget()
-
+            ids, at = self.ids([w for _, part in held for w in part]), 0
+            for i, part in held:
+                v = self.vectors[ids[at : at + len(part)]]
+                size = np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9
+                mean[i] += v.sum(axis=0)
+                second[i] += np.einsum("ij,ij->j", v, v)
+                agree[i] += (np.einsum("ij,ij->i", v[1:], v[:-1]) / (size[1:] * size[:-1])).sum()
+                at += len(part)
+            held.clear()
+
+        waiting = 0
         for i, t in enumerate(texts):
-            own = (t or "").split()
-            n[i] = len(own)
-            for a in range(0, len(own), SLICE):
-                part = own[a : a + SLICE]
-                words += part
-                owner.append((i, len(part)))
-                if len(words) >= SLICE:
+            for part in _parts(t or ""):
+                n[i] += len(part)
+                held.append((i, part))
+                waiting += len(part)
+                if waiting >= SLICE:
                     flush()
+                    waiting = 0
         flush()
-        some = np.maximum(n, 1)[:, None]
-        mean = first / some
-        return np.concatenate([mean, np.sqrt(np.maximum(second / some - mean**2, 0)), np.log1p(n)[:, None] / 5], axis=1)
+        some = np.maximum(n, 1)
+        mean, second = mean / some[:, None], second / some[:, None]
+        return np.concatenate([mean, np.sqrt(np.maximum(second - mean**2, 0)), (agree / some)[:, None], np.log1p(n)[:, None] / 5], axis=1)
+
+
+def _parts(text: str) -> Iterator[list[str]]:
+    """A text's words, at most SLICE of them at once; a very long text is never split as a whole."""
+    if len(text) < 2 * SLICE:
+        if part := text.split():
+            yield part
+        return
+    found = _WORD.finditer(text)
+    while part := [m.group() for m in itertools.islice(found, SLICE)]:
+        yield part
 
 
 class Network:
@@ -184,22 +251,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
     return words, net
 
 
+def probability(spark: SparkSession, model: tuple[Words, Network] | float) -> Callable[[Column], Column]:
+    """The score (0 to 1) as a function of a text column; null and empty texts are scored as texts without words.
+
+    A text is scored alone and whole, however long it is: repeats, ties and other columns play no part.
+    """
+    shared = ship(spark, model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = pickle.loads(shared.value)
+        for texts in batches:
+            yield pd.Series(np.full(len(texts), m)) if isinstance(m, float) else pd.Series(m[1].score(m[0].pool(texts.tolist())).astype(float))
+
+    return lambda text: run(text)
+
+
 def score(docs: DataFrame, model: tuple[Words, Network] | float, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.7) to each row; null and empty texts are scored as texts without words.
 
-    Rows are scored one by one, so repeats, ties and other columns play no part; columns with these two names are replaced.
+    Columns with these two names are replaced, other columns stay as they are; an empty table stays empty.
     """
-    shared = ship(docs.sparkSession, model)
+    out = docs.withColumn("score", probability(docs.sparkSession, model)(F.col(text)))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pickle.loads(shared.value)
-        for rows in batches:
-            rows["score"] = m if isinstance(m, float) else m[1].score(m[0].pool(rows[text].tolist())).astype(float)
-            rows["predicted"] = (rows["score"] >= THRESHOLD).astype("int32")
-            yield rows
 
-    rest = docs.drop("score", "predicted")
-    return rest.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double", "predicted int"]))
+def accepted(docs: DataFrame, model: tuple[Words, Network] | float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least 0.7, with the columns they have; nulls and empty texts are judged by their score too."""
+    return docs.filter(probability(docs.sparkSession, model)(F.col(text)) >= THRESHOLD)
 
 
 def trained_on(spark: SparkSession, sf_dir: str) -> tuple[Words, Network] | float:
@@ -208,5 +287,9 @@ def trained_on(spark: SparkSession, sf_dir: str) -> tuple[Words, Network] | floa
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score and predicted, by the model of the labelled rows that are not held out.
+
+    Null and empty texts are scored as texts without words; repeated doc_ids give a row each; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
     return score(docs, trained_on(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
