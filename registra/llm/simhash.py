@@ -160,28 +160,43 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInPandas(within, "src long, dst long").distinct()
 
 
+def _members(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` (doc_id, fp and more; a written table) with ``group``, the fingerprint that names the row's component, and component_id."""
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = settle(components(fingerprint_links(classes.select("fp"), radius)))
+    # components are named by fingerprints; each takes the smallest doc_id among its classes
+    named = classes.join(found, classes.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("group"))
+    lows = named.groupBy("group").agg(F.min("low").alias("component_id"))
+    return prints.join(named.join(lows, "group").select("fp", "group", "component_id"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
     component_id is the smallest doc_id that links of at most ``radius`` bits reach, the row's own included. Null and
     empty texts have fingerprint zero and are linked like any other. A null doc_id keeps its row; its component is the
-    smallest known id, or null where there is none. An empty table gives an empty result; other columns play no part.
+    smallest known id, or null where there is none. Very long texts are fingerprinted whole, in chunks. An empty table gives an
+    empty result; other columns play no part.
     """
     prints = settle(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", n).select("doc_id", "fp"))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = settle(components(fingerprint_links(classes.select("fp"), radius)))
-    # components are named by fingerprints; each takes the smallest doc_id among its classes
-    named = classes.join(found, classes.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "component").select("fp", "component_id")
-    return prints.join(ids, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _members(prints, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint and its near-duplicate component; nulls, repeats and empty tables as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the smallest id of their near-duplicate group."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each near-duplicate group of ``docs``: that with the smallest doc_id, with the columns it has.
+
+    Rows are told apart by doc_id and text together, so another text under a repeated doc_id stays. Among rows of one id the smaller hash
+    of the text decides; of rows that are equal in both, one stays. A null doc_id comes after all others. Null and empty texts are
+    near duplicates of each other. An empty table stays empty.
+    """
+    key = lambda *seed: F.xxhash64(*seed, F.col(doc_id), F.col(text))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), key().alias("k1"), key(F.lit("second")).alias("k2"))
+    prints = settle(with_fingerprint(rows.select("doc_id", "k1", "k2", "text"), "text").select("doc_id", "k1", "k2", "fp"))
+    kept = _members(prints, RADIUS).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
+    kept = kept.select("first.k1", "first.k2")
+    return rows.select("row", "k1", "k2").join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
