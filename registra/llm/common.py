@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which every executor can reach, made known to ``checkpoint()``.
 
-    Only where the session has no such setting (a test on one machine) a temporary folder takes its place.
+    Where the session has no such setting a temporary folder takes its place, on a local master only: on a cluster the other
+    machines would not see it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return base or context.getCheckpointDir()
 
@@ -35,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(df: DataFrame, path: str) -> None:
+    """Deletes a table written below the checkpoint folder, once nothing reads it any more."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,9 @@ _GAPS = re.compile(r"[\W\d_]+")
 
 
 def normalize(text: str | None) -> str:
-    return _GAPS.sub(" ", (text or "").lower()).strip()
+    """Lower case with one blank between runs of letters; empty where the text has no letter at all (signs such as a half or a Roman numeral are none)."""
+    text = _GAPS.sub(" ", (text or "").lower()).strip()
+    return text if any(map(str.isalpha, text)) else ""
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
