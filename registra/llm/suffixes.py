@@ -94,7 +94,7 @@ def suffix_order(raw: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.n
     for step in (1, 2, 4):
         v = v[: len(v) - step] << np.uint64(8 * step) | v[step:]
     key = v[: len(raw)]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(raw) else np.zeros(0, bool)
     rank = np.zeros(len(raw) + depth * 2, np.int64)  # beyond the end: rank 0, before all others
     start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(raw) else np.zeros(0, np.int64)
@@ -107,7 +107,7 @@ def suffix_order(raw: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.n
             break
         who = order[open_]
         group, follow = rank[who], rank[who + done]
-        sort = np.lexsort((follow, group))
+        sort = np.argsort(group * (len(raw) + 2) + follow)
         who, group, follow = who[sort], group[sort], follow[sort]
         order[open_] = who
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 rows_, number = rows_[order], number[order]
                 own, doc = np.unique(f["doc"][rows_], return_inverse=True)
                 sizes = np.array([len(texts[i]) for i in kinds])
-                blob = pack({"raw": np.frombuffer(b"".join(texts[i] for i in kinds), np.uint8), "size": small(sizes), "of": small(number), "at": small(f["at"][rows_]), "doc": small(doc), "row": small(own), "id": ids[own]})
+                blob = pack({"raw": np.frombuffer(b"".join(texts[i] for i in kinds), np.uint8), "size": small(sizes), "of": small(number), "at": small(f["at"][rows_]), "doc": small(doc), "row": small(own), "id": ids[own], "gram": (f["fp"][rows_[np.searchsorted(number, np.arange(len(kinds)))]] >> np.uint64(32)).astype(np.uint32)})
                 out.append((int(_bucket(f["fp"][rows_[:1]], buckets)[0]), int(key[0]), blob))
         return pd.DataFrame(out, columns=["bucket", "part", "blob"])
 
@@ -285,24 +285,39 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         low = np.full(len(seen), np.iinfo(np.int64).max)
         for n, x in zip(numbers, least):
             np.minimum.at(low, n, x)
-        found = least_documents(list(seen), low)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        begin, flat = np.cumsum(size) - size, np.concatenate(found) if found else np.zeros(0, np.int64)
+        # a piece whose gram stands in no other piece has all its windows to itself; the others need suffix arrays
+        gram = np.zeros(len(seen), np.uint32)
+        for a, n in zip(sets, numbers):
+            gram[n] = a["gram"]
+        texts, size = list(seen), np.fromiter((len(x) - LENGTH + 1 for x in seen), np.int64, len(seen))
+        kinds, number, times = np.unique(gram, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(times[number] > 1)
+        several = several[np.argsort(number[several], kind="stable")]
+        begin, flat, least_of, most_of = np.zeros(len(seen), np.int64), np.zeros(0, np.int64), low.copy(), low.copy()
+        if len(several):
+            found = least_documents([texts[i] for i in several], low[several])
+            begin[several] = np.cumsum(size[several]) - size[several]
+            flat = np.concatenate(found)
+            least_of[several], most_of[several] = np.minimum.reduceat(flat, begin[several]), np.maximum.reduceat(flat, begin[several])
         out = []
         for part, a, n in zip(group.part, sets, numbers):
-            piece = n[a["of"]]
-            window = spread(begin[piece], size[piece])
-            occurrence = np.repeat(np.arange(len(piece)), size[piece])
-            start = spread(a["at"].astype(np.int64), size[piece])
-            doc = a["doc"][occurrence].astype(np.int64)
-            hit = flat[window] < a["id"][doc]
-            doc, start = a["row"][doc[hit]].astype(np.int64), start[hit]
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])) if len(doc) else doc
-            if len(first):
-                last = np.concatenate([first[1:], [len(doc)]]) - 1
-                out.append((int(part), pack({"row": small(doc[first]), "start": small(start[first]), "n": small(start[last] - start[first] + LENGTH)})))
+            piece, row, start = n[a["of"]], a["row"][a["doc"]].astype(np.int64), a["at"].astype(np.int64)
+            own = a["id"][a["doc"]]
+            whole = own > most_of[piece]  # every window of the piece stands in an earlier document
+            some = np.flatnonzero(~whole & (own > least_of[piece]))
+            rows, starts, ends = [row[whole]], [start[whole]], [(start + size[piece])[whole]]
+            if len(some):
+                many = size[piece[some]]
+                hit = flat[spread(begin[piece[some]], many)] < np.repeat(own[some], many)
+                of, place = np.repeat(some, many), spread(start[some], many)
+                edge = np.concatenate([[True], of[1:] != of[:-1]])
+                opens = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
+                closes = np.flatnonzero(hit & np.concatenate([edge[1:] | ~hit[1:], [True]]))
+                rows, starts, ends = [*rows, row[of[opens]]], [*starts, place[opens]], [*ends, place[closes] + 1]
+            rows, starts, ends = map(np.concatenate, (rows, starts, ends))
+            if len(rows):
+                order = np.argsort(rows, kind="stable")
+                out.append((int(part), pack({"row": small(rows[order]), "start": small(starts[order]), "n": small((ends - starts)[order] + LENGTH - 1)})))
         return pd.DataFrame(out, columns=["part", "blob"])
 
     wanted = rows.mapInPandas(grams, "bucket int, blob binary").groupBy("bucket").applyInPandas(shared, "part int, blob binary")
