@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is then put into its leaf. A query walks the tree with a priority
-queue of branches by the distance to their centres and visits leaves in that order. How many leaves a search visits is widened
-until the wished recall, measured against brute force over all rows for a sample of queries, is reached; a query whose leaves
-hold fewer than k other rows then goes on until they do.
-
-Leaves are dealt into blocks of bounded size before queries meet them, so that no task depends on how full a
-leaf is; each block returns its best candidates for each query.
+The tree is fitted on a bounded sample, down to leaves of a few sample vectors; every vector is then put into its leaf. A query
+walks the tree with a priority queue of branches by the distance to their centres and visits leaves in that order. How many leaves
+a search visits is widened until the wished recall, measured against brute force over all rows for a sample of queries, is reached;
+a query whose leaves hold fewer than k other rows then goes on until they do.
+
+Leaves that lie side by side in the tree are packed into bins of a bounded number of rows, and a leaf with more rows is dealt over
+several bins. A query goes once to each bin that has leaves it visits, and a bin meets its queries in parts of bounded size, so a bin's rows
+are copied only when very many queries ask for them.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import splits
 from .common import settle, ship, table
 
 FIT = 20_000  #: vectors that the tree is fitted on at most
-BRANCH, LEAF, DEPTH = 6, 40, 3  #: children of a node, sample vectors from which a node is split, levels: the number of leaves, and so of visits, is bounded
-BLOCK = 4_000  #: vectors of a leaf that are compared together
-QUERIES = 20_000  #: queries that meet one block in one task
-ASK = 100  #: queries that recall is measured with
-RECALL = 0.97  #: wished recall at k on those queries
+BRANCH, LEAF, DEPTH = 8, 24, 16  #: children of a node, sample vectors from which a node is split, levels (against many equal vectors)
+BIN = 5_000  #: vectors that are compared in one task
+QUERIES = 20_000  #: queries that meet one bin in one task
+ASK = 200  #: queries that recall is measured with
+RECALL = 0.96  #: wished recall at k on those queries
 TOP = 5
 
 
@@ -45,9 +47,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosine(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows, in double precision and the same for equal rows wherever they stand."""
-    q, m = q / np.abs(q).max(), m / np.abs(m).max(axis=1, keepdims=True)
-    return (m * q).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((q * q).sum()))
+    """Cosines of the rows of ``q`` (or one vector) with the rows of ``m``, in double precision and the same for equal pairs wherever they stand."""
+    q = np.broadcast_to(q, m.shape)
+    q, m = q / np.abs(q).max(axis=1, keepdims=True), m / np.abs(m).max(axis=1, keepdims=True)
+    return (m * q).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
 class Tree:
@@ -58,7 +61,8 @@ class Tree:
         self.leaves = 0
         rng = np.random.default_rng(seed)
         self._grow(_unit(sample) if len(sample) else sample, rng, 0)
-        self.kids = [np.array([self.centre[c] for c in x]) for x in self.children]
+        self.centres = np.array(self.centre, float).reshape(len(self.centre), -1) if len(sample) else np.zeros((1, 1))
+        self.squares = (self.centres * self.centres).sum(axis=1)
 
     def _grow(self, m: np.ndarray, rng: np.random.Generator, depth: int) -> int:
         node = len(self.centre)
@@ -89,44 +93,72 @@ class Tree:
             if self.leaf[node] >= 0:
                 out[rows] = self.leaf[node]
             elif len(rows):
-                c = self.kids[node]
-                best = (m[rows] @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
-                todo += [(child, rows[best == g]) for g, child in enumerate(self.children[node])]
+                c = self.children[node]
+                best = (m[rows] @ self.centres[c].T - self.squares[c] / 2).argmax(axis=1)
+                todo += [(child, rows[best == g]) for g, child in enumerate(c)]
         return out
 
-    def visits(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves for one query, best bin first."""
-        q = _unit(q[None])[0]
+    def visits(self, queries: np.ndarray) -> Iterator[Iterator[int]]:
+        """For each query its leaves, best bin first."""
+        for at in range(0, len(queries), 256):
+            far = self.squares - 2 * (_unit(queries[at : at + 256]) @ self.centres.T)
+            for row in far:
+                yield self._walk(row.tolist())
+
+    def _walk(self, far: list[float]) -> Iterator[int]:
         queue = [(0.0, 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            node = heapq.heappop(queue)[1]
             if self.leaf[node] >= 0:
                 yield self.leaf[node]
-                continue
-            c = self.kids[node]
-            far = ((c - q) ** 2).sum(axis=1)
-            for d, child in zip(far.tolist(), self.children[node]):
-                heapq.heappush(queue, (d, child))
-
-
-def _best(queries: pd.DataFrame, ids: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """For each query its k largest cosines among the rows, ties to smaller ids; a row that is the query itself is left out."""
-    if not len(ids) or not len(queries):
-        return
-    units = _unit(m)
-    for start in range(0, len(queries), 256):
-        part = queries.iloc[start : start + 256]
-        q = np.stack(part.q.to_numpy())
-        rough = _unit(q) @ units.T
-        qid = part.query_id.to_numpy()
-        rough[qid[:, None] == ids[None]] = -np.inf
-        take = min(k, rough.shape[1])
-        floor = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take] - 1e-9
-        for i in range(len(part)):
-            near = np.flatnonzero((rough[i] >= floor[i]) & np.isfinite(rough[i]))
-            score = cosine(q[i], m[near])
-            for j in np.lexsort((ids[near], -score))[:k]:
-                yield int(qid[i]), int(ids[near][j]), float(score[j])
+            for child in self.children[node]:
+                heapq.heappush(queue, (far[child], child))
+
+
+class Best:
+    """The k largest cosines of each query among the rows it has met, ties to smaller ids; rows with the query's id are left out."""
+
+    def __init__(self, query_id: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> None:
+        self.query_id, self.q, self.ids, self.m, self.k = query_id, q, ids, m, k
+        self.qu, self.mu = _unit(q), _unit(m)
+        self.floor = np.full(len(q), -np.inf)  # nothing below can be among the best
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        """Compares queries with rows (both by number)."""
+        for part in np.array_split(queries, max(1, len(queries) * len(rows) // 2_000_000)):
+            rough = self.qu[part] @ self.mu[rows].T
+            rough[self.query_id[part][:, None] == self.ids[rows][None]] = -np.inf
+            if len(rows) >= self.k:
+                least = np.partition(rough, len(rows) - self.k, axis=1)[:, len(rows) - self.k] - 1e-9
+                self.floor[part] = np.maximum(self.floor[part], least)
+            i, j = np.nonzero((rough >= self.floor[part][:, None]) & np.isfinite(rough))
+            self.found.append((part[i], rows[j]))
+            self.held += len(i)
+        if self.held > 500_000:
+            self._tidy()
+
+    def _tidy(self) -> np.ndarray:
+        i, j = (np.concatenate([x[n] for x in self.found] or [np.zeros(0, np.int64)]) for n in (0, 1))
+        score = np.concatenate([cosine(self.q[i[at : at + 100_000]], self.m[j[at : at + 100_000]]) for at in range(0, len(i), 100_000)] or [np.zeros(0)])
+        order = np.lexsort((self.ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, score = (x[rank < self.k] for x in (i, j, score))
+        self.found, self.held = [(i, j)], len(i)
+        last = np.flatnonzero(np.concatenate([i[1:] != i[:-1], [True]])) if len(i) else np.zeros(0, np.int64)
+        full = last[np.bincount(i, minlength=len(self.q))[i[last]] == self.k]
+        self.floor[i[full]] = np.maximum(self.floor[i[full]], score[full] - 1e-9)
+        return score
+
+    def rows(self) -> pd.DataFrame:
+        score = self._tidy()
+        i, j = self.found[0]
+        return pd.DataFrame({"query_id": self.query_id[i], "vec_id": self.ids[j], "score": score})
+
+
+FOUND = "query_id long, vec_id long, score double"
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -139,28 +171,38 @@ def brute_force(vectors: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     shared = ship(vectors.sparkSession, queries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = pickle.loads(shared.value)
+        asked = pickle.loads(shared.value)
         for rows in batches:
-            if len(rows):
-                yield pd.DataFrame(list(_best(q, rows.id.to_numpy(), np.stack(rows.v.to_numpy()), k)), columns=["query_id", "vec_id", "score"])
+            if len(rows) and len(asked):
+                best = Best(asked.query_id.to_numpy(), np.stack(asked.q.to_numpy()), rows.id.to_numpy(), np.stack(rows.v.to_numpy()), k)
+                best.meet(np.arange(len(asked)), np.arange(len(rows)))
+                yield best.rows()
 
-    return _top(vectors.mapInPandas(run, "query_id long, vec_id long, score double"), k).toPandas()
+    return _top(vectors.mapInPandas(run, FOUND), k).toPandas()
 
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a condition on ``id``) its k nearest other rows.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most. Rows
-    that share an id are one another's self. Fewer than k candidates are all returned; no vectors give no rows.
+    Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different lengths have no cosine: each
+    length is searched by itself, with a tree of its own. Rows that share an id are one another's self. Fewer than k
+    candidates are all returned; no vectors give no rows. Other columns play no part.
     """
-    spark = vectors.sparkSession
-    rows = unit_vectors(vectors, key, vector)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = settle(rows.filter(F.size("v") == (lengths.n if lengths else 0)))
-    total = lengths["count"] if lengths else 0
+    rows = settle(unit_vectors(vectors, key, vector).withColumn("length", F.size("v")))
+    lengths = [r.length for r in rows.select("length").distinct().orderBy("length").collect()]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        out = out.union(_search(rows.filter(F.col("length") == n).select("id", "v"), is_query, n, k, recall))
+    return out
+
+
+def _search(rows: DataFrame, is_query: Column, length: int, k: int, recall: float) -> DataFrame:
+    """``nearest`` for the rows (id, v) of a written table, all of one length."""
+    spark = rows.sparkSession
+    total = rows.count()
     drawn = rows.withColumn("h", F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 40)))
     sample = [r.v for r in drawn.filter(F.col("h") < int(min(1.0, 0.9 * FIT / max(total, 1)) * (1 << 40))).orderBy("h", "id").limit(FIT).select("v").toLocalIterator()]
-    tree = Tree(np.array(sample, float).reshape(len(sample), lengths.n if sample else 1))
+    tree = Tree(np.array(sample, float).reshape(len(sample), length if sample else 1))
     queries = rows.filter(is_query)
     asked = queries.withColumn("h", F.xxhash64("id", F.lit("ask"))).orderBy("h").limit(ASK).select(F.col("id").alias("query_id"), F.col("v").alias("q")).toPandas()
     shared = ship(spark, tree)
@@ -172,39 +214,56 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
                 yield part.assign(leaf=t.assign(np.stack(part.v.to_numpy())))
 
     placed = settle(rows.mapInPandas(leaf_of, "id long, v array<double>, leaf long"))
-    counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).collect()  # a row for each leaf of the tree
-    blocks, sizes = {r.leaf: r.blocks for r in counts}, {r.leaf: r.n for r in counts}
-    groups = max(1, -(-queries.count() // QUERIES))
+    sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf of the tree
     visits = _calibrated(tree, asked, placed, k, recall)
+    # leaves in the order of the tree, one after the other: the first bin of each and how many bins it reaches into
+    laid, at = {}, 0
+    for leaf in sorted(sizes):
+        laid[leaf] = (at // BIN, (at + sizes[leaf] - 1) // BIN - at // BIN + 1)
+        at += sizes[leaf]
 
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = pickle.loads(shared.value)
         for part in batches:
-            for qid, q, own in zip(part.id, part.v, part.own):
-                order, held = [], 0
-                for leaf in t.visits(np.asarray(q)):
-                    if len(order) >= visits and held >= k + own:
+            out = []
+            for qid, q, own, walk in zip(part.id, part.v, part.own, t.visits(np.stack(part.v.to_numpy())) if len(part) else ()):
+                bins: dict[int, list[int]] = {}
+                met = held = 0
+                for leaf in walk:
+                    if met >= visits and held >= k + own:
                         break
-                    if leaf in blocks:
-                        order.append(leaf)
+                    met += 1
+                    if leaf in laid:
                         held += sizes[leaf]
-                goes = [(leaf, b) for leaf in order for b in range(blocks[leaf])]
-                if goes:
-                    yield pd.DataFrame({"query_id": qid, "q": [q] * len(goes), "leaf": [x[0] for x in goes], "block": [x[1] for x in goes]})
+                        first, n = laid[leaf]
+                        for b in range(first, first + n):
+                            bins.setdefault(b, []).append(leaf)
+                out += [(qid, q, b, leaves) for b, leaves in bins.items()]
+            yield pd.DataFrame(out, columns=["query_id", "q", "bin", "leaves"])
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _best(left, right.id.to_numpy(), np.stack(right.v.to_numpy()), k) if len(left) and len(right) else ()
-        return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["query_id", "vec_id", "score"])
+        best = Best(left.query_id.to_numpy(), np.stack(left.q.to_numpy()), right.id.to_numpy(), np.stack(right.v.to_numpy()), k)
+        leaf = right.leaf.to_numpy()
+        by_leaf = dict(zip(np.unique(leaf).tolist(), splits(leaf)))
+        asks = np.concatenate(left.leaves.to_list())
+        who = np.repeat(np.arange(len(left)), left.leaves.map(len))
+        for number, at in zip(np.unique(asks).tolist(), splits(asks)):
+            if number in by_leaf:
+                best.meet(who[at], by_leaf[number])
+        return best.rows()
 
     # rows that share the query's id are none of its neighbours
-    sent = queries.withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInPandas(leaves, "query_id long, q array<double>, leaf long, block long")
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    several = F.create_map(*[F.lit(x) for leaf, n in blocks.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in blocks.values()) else None
-    spread = F.coalesce(F.try_element_at(several, F.col("leaf")), F.lit(1)) if several is not None else F.lit(1)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), spread).cast("long"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    keys = ["leaf", "block", "part"]
-    found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    own = queries.groupBy("id").agg(F.count("*").alias("own"))
+    sent = settle(queries.join(own, "id").mapInPandas(ask, "query_id long, q array<double>, bin long, leaves array<long>"))
+    parts = sent.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts"))
+    first = spark.createDataFrame([(int(x), *laid[x]) for x in laid], "leaf long, first long, n long")
+    dealt = placed.join(F.broadcast(first), "leaf")  # a row for each leaf of the tree
+    dealt = dealt.withColumn("bin", F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("n"))).join(parts, "bin")
+    dealt = dealt.select("id", "v", "leaf", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    sent = sent.join(parts, "bin").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    found = sent.groupBy("bin", "part").cogroup(dealt.groupBy("bin", "part")).applyInPandas(meet, FOUND)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -217,10 +276,11 @@ def _calibrated(tree: Tree, asked: pd.DataFrame, placed: DataFrame, k: int, reca
         return tree.leaves
     where = placed.filter(F.col("id").isin([int(x) for x in truth.vec_id.unique()])).select("id", "leaf").toPandas()
     leaf = dict(zip(where.id, where.leaf))
-    order = {qid: {x: i + 1 for i, x in enumerate(tree.visits(np.asarray(q)))} for qid, q in zip(asked.query_id, asked.q)}
+    order = {qid: {x: i + 1 for i, x in enumerate(walk)} for qid, walk in zip(asked.query_id, tree.visits(np.stack(asked.q.to_numpy())))}
     needed = np.sort([order[q][leaf[v]] for q, v in zip(truth.query_id, truth.vec_id)])
     return int(needed[min(len(needed), int(np.ceil(recall * len(needed)))) - 1])
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of each row of ``embeddings`` whose vec_id is divisible by 50, by cosine over all other rows; see ``nearest`` for odd rows."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
