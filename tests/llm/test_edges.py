@@ -248,3 +248,43 @@ def test_pipeline_follows_its_stages(spark):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for k, (i, t) in enumerate(rows) if k not in dirty}
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def test_neighbours_with_repeats_lengths_and_clashes(spark):
+    from registra.llm.neighbours import cosine, nearest
+
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(300, 8))
+    m[100:160] = m[50]  # many equal vectors: ties go to smaller ids
+    rows = [(i if i < 290 else 0, [float(x) for x in v], 7) for i, v in enumerate(m)] + [(1000 + i, [float(i + 1), 1.0], 7) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf long").withColumn("id", F.lit(50)).withColumn("query_id", F.lit(1))
+    got = nearest(df, F.col("id") % 50 == 0, recall=1.0).toPandas()
+    assert set(got.query_id) == {0, 50, 100, 150, 200, 250, 1000}
+    ids = np.array([r[0] for r in rows[:300]])
+    for q in (50, 100, 150, 200, 250):
+        s = cosine(m[q], m)
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        if q in (50, 100, 150):
+            assert list(mine.vec_id) == [int(ids[j]) for j in best]  # ties included
+        assert np.allclose(mine.score, s[best])
+    assert sorted(got[got.query_id == 1000].vec_id) == [1001, 1002, 1003]  # another length: searched among its own
+    zero = got[got.query_id == 0].groupby("rank").size()
+    assert (zero >= 1).all() and 0 not in set(got[got.query_id == 0].vec_id)  # rows that share an id are one another's self
+
+
+@needs_tables
+def test_recall_on_queries_that_were_not_asked(spark):
+    import pandas as pd
+
+    from registra.llm.neighbours import brute_force, nearest, unit_vectors
+
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = nearest(vectors, F.col("id") % 2 == 0).toPandas()  # 250 queries, of which 200 calibrate
+    asked = unit_vectors(vectors, "vec_id", "embedding").filter("id % 2 = 0").toPandas()
+    truth = brute_force(unit_vectors(vectors, "vec_id", "embedding"), pd.DataFrame({"query_id": asked.id, "q": asked.v}), 5)
+    hit = len(got.merge(truth, on=["query_id", "vec_id"]))
+    assert hit / len(truth) >= 0.9
