@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.labels import category_label, group_key, nz, period_key, service_subtype, service_type
+from registra.functions.numbering import first_numbered, numbered
 
 from .filters import FilterState, apply
 
 PRICE = "price_numeric_eur"
 
 
+def cents(c: Column | str = PRICE) -> Column:
+    """A price in whole cents: longs add up exactly, in any order, and without decimals."""
+    return F.rint((F.col(c) if isinstance(c, str) else c) * 100).cast("long")
+
+
 def money_sum(c: Column | str = PRICE) -> Column:
     """An exact sum of cents, as a double; 0 without rows."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(c.cast("decimal(18,2)")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(cents(c)) / F.lit(100.0), F.lit(0.0))
 
 
 def _mean(total: Column, n: Column) -> Column:
@@ -57,8 +62,8 @@ def aggregate_groups(df: DataFrame, field: str) -> DataFrame:
     """Summary per group with its place: most spend first, ties as first seen."""
     keyed = with_key(df, field).filter("group_value IS NOT NULL")
     groups = keyed.groupBy("group_value").agg(*summary_columns(), F.min("seq").alias("first_seq"))
-    place = F.row_number().over(Window.orderBy(F.desc("total_spend"), "first_seq"))  # over groups, not contracts
-    return groups.select(F.lit(field).alias("group_key"), "group_value", "contract_count", "total_spend", "avg_value", "max_value", place.alias("ord"))
+    placed = numbered(groups, [F.desc("total_spend"), F.asc("first_seq")])
+    return placed.select(F.lit(field).alias("group_key"), "group_value", "contract_count", "total_spend", "avg_value", "max_value", "ord")
 
 
 def aggregations_with_total(df: DataFrame, field: str) -> DataFrame:
@@ -69,33 +74,38 @@ def aggregations_with_total(df: DataFrame, field: str) -> DataFrame:
 
 
 def parties(df: DataFrame, column: str, ico: str) -> DataFrame:
-    """Name, first ICO that is not empty, number of contracts and spend of each party, most spend first."""
+    """Name, first ICO that is not empty, number of contracts, spend and first row of each party."""
     named = df.filter(F.col(column).isNotNull())
-    groups = named.groupBy(F.col(column).alias("name")).agg(
+    return named.groupBy(F.col(column).alias("name")).agg(
         F.min_by(nz(ico), F.when(nz(ico).isNotNull(), F.col("seq"))).alias("ico"),
         F.count(F.lit(1)).alias("contract_count"),
         money_sum().alias("total_spend"),
         F.min("seq").alias("first_seq"),
     )
-    return groups.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("total_spend"), "first_seq"))).drop("first_seq")
+
+
+_BY_SPEND = [F.desc("total_spend"), F.asc("first_seq")]
 
 
 def institutions(df: DataFrame) -> DataFrame:
-    return parties(df, "buyer", "ico_buyer")
+    """All buyers with their places, most spend first."""
+    return numbered(parties(df, "buyer", "ico_buyer"), _BY_SPEND).drop("first_seq")
 
 
 def vendors(df: DataFrame) -> DataFrame:
-    return parties(df, "supplier", "ico_supplier")
+    """All suppliers with their places, most spend first."""
+    return numbered(parties(df, "supplier", "ico_supplier"), _BY_SPEND).drop("first_seq")
 
 
 def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
-    return vendors(df).filter(F.col("ord") <= n)
+    """The n suppliers with most spend."""
+    return first_numbered(parties(df, "supplier", "ico_supplier"), _BY_SPEND, n).drop("first_seq")
 
 
 def ico_map(df: DataFrame) -> DataFrame:
     """Names with their ICOs, institutions and vendors."""
-    both = institutions(df).select(F.lit("institution").alias("kind"), "name", "ico").union(vendors(df).select(F.lit("vendor"), "name", "ico"))
-    return both.filter("ico IS NOT NULL")
+    sides = [parties(df, c, ico).select(F.lit(kind).alias("kind"), "name", "ico") for kind, c, ico in (("institution", "buyer", "ico_buyer"), ("vendor", "supplier", "ico_supplier"))]
+    return sides[0].union(sides[1]).filter("ico IS NOT NULL")
 
 
 def direct_award_rate(df: DataFrame) -> DataFrame:
@@ -106,33 +116,51 @@ def vendor_concentration(df: DataFrame, entity: str | None = None, top_n: int =
     """Share of the top vendors' spend in all spend, per entity or of everything; supplier and price must be there."""
     keys = [entity] if entity else []
     rows = df.filter(nz("supplier").isNotNull() & F.col(PRICE).isNotNull())
-    spend = rows.groupBy(*keys, "supplier").agg(F.sum(F.col(PRICE).cast("decimal(18,2)")).alias("spend"), F.min("seq").alias("first_seq"))
-    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("spend"), "first_seq"))
-    ranked = spend.withColumn("rn", rank)
-    share = F.try_divide(F.sum(F.when(F.col("rn") <= top_n, F.col("spend"))).cast("double"), F.sum("spend").cast("double"))
-    return ranked.groupBy(*keys).agg(F.coalesce(share, F.lit(0.0)).alias("vendor_concentration"))
+    spend = rows.groupBy(*keys, "supplier").agg(F.sum(cents()).alias("spend"), F.min("seq").alias("first_seq"))
+    if entity:
+        top = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("spend"), "first_seq")) <= top_n
+        sums = spend.withColumn("top", top).groupBy(entity).agg(F.sum(F.when(F.col("top"), F.col("spend"))).alias("some"), F.sum("spend").alias("all"))
+    else:  # n rows by a bounded sort against the whole
+        some = spend.orderBy(F.desc("spend"), "first_seq").limit(top_n).agg(F.sum("spend").alias("some"))
+        sums = spend.agg(F.sum("spend").alias("all")).crossJoin(some)
+    share = F.try_divide(F.col("some").cast("double"), F.col("all").cast("double"))
+    return sums.select(*keys, F.coalesce(share, F.lit(0.0)).alias("vendor_concentration"))
+
+
+def _middle(df: DataFrame, entity: str | None) -> DataFrame:
+    """(entity, price, below, n): the price in place n div 2 of the sorted prices (from zero) and how many prices are smaller.
+
+    Prices are counted by range first (a fiftieth of a doubling each, so there are a few thousand ranges whatever the data), and
+    only the range that holds the middle is then looked at price by price.
+    """
+    keys = [entity] if entity else []
+    size = F.floor(F.log2(F.abs(F.col(PRICE)) + 1) * 50)
+    prices = df.filter(F.col(PRICE).isNotNull()).groupBy(*keys, PRICE).agg(F.count(F.lit(1)).alias("k"))
+    prices = prices.withColumn("range", F.when(F.col(PRICE) < 0, -size).otherwise(size))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # over ranges
+    ranges = prices.groupBy(*keys, "range").agg(F.sum("k").alias("k"))
+    ranges = ranges.withColumns({"upto": F.sum("k").over(whole.orderBy("range")), "n": F.sum("k").over(whole)}).withColumn("before", F.col("upto") - F.col("k"))
+    place = F.floor(F.col("n") / 2) + 1
+    ranges = ranges.filter((F.col("before") < place) & (place <= F.col("upto"))).select(*[F.col(c).alias(f"r_{c}") for c in keys], F.col("range").alias("r_range"), "before", "n")
+    same = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys]
+    inside = prices.join(ranges, [F.col("range") == F.col("r_range"), *same])
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy(*keys, "range").orderBy(PRICE))
+    inside = inside.withColumn("upto", upto).filter(F.col("upto") >= place)
+    found = inside.groupBy(*keys).agg(F.min(F.struct(F.col(PRICE).alias("price"), (F.col("upto") - F.col("k")).alias("below"), "n")).alias("m"))
+    return found.select(*keys, "m.*")
 
 
 def upper_median(df: DataFrame, entity: str | None = None) -> DataFrame:
-    """The price in place n div 2 of the sorted prices, counted from zero; counts per price keep the window small."""
+    """The price in place n div 2 of the sorted prices, counted from zero, per entity or of everything."""
     keys = [entity] if entity else []
-    prices = df.filter(F.col(PRICE).isNotNull()).groupBy(*keys, PRICE).agg(F.count(F.lit(1)).alias("k"))
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranked = prices.withColumn("upto", F.sum("k").over(part.orderBy(PRICE))).withColumn("n", F.sum("k").over(part))
-    middle = F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= middle, F.col(PRICE))).alias("upper_median"), F.max("n").alias("priced"))
+    return _middle(df, entity).select(*keys, F.col("price").alias("upper_median"), F.col("n").alias("priced"))
 
 
 def fragmentation_score(df: DataFrame, entity: str | None = None) -> DataFrame:
     """Share of priced contracts that are strictly below the upper median; 0 where that is 0."""
     keys = [entity] if entity else []
-    prices = df.filter(F.col(PRICE).isNotNull()).groupBy(*keys, PRICE).agg(F.count(F.lit(1)).alias("k"))
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranked = prices.withColumn("upto", F.sum("k").over(part.orderBy(PRICE))).withColumn("n", F.sum("k").over(part))
-    at = F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.struct(PRICE, (F.col("upto") - F.col("k")).alias("below")))
-    found = ranked.groupBy(*keys).agg(F.min(at).alias("m"), F.max("n").alias("n"))
-    score = F.when(F.col(f"m.{PRICE}") == 0, 0.0).otherwise(F.col("m.below") / F.col("n"))
-    return found.select(*keys, score.alias("fragmentation_score"))
+    score = F.when(F.col("price") == 0, 0.0).otherwise(F.col("below") / F.col("n"))
+    return _middle(df, entity).select(*keys, score.alias("fragmentation_score"))
 
 
 FACETS = {
@@ -147,16 +175,24 @@ FACETS = {
 
 
 def filter_options(df: DataFrame, state: FilterState) -> DataFrame:
-    """(dim, value, contract_count): values of seven dimensions, each under all predicates but its own, in one scan."""
+    """(dim, value, contract_count): values of seven dimensions, each under all predicates but its own, in one scan.
+
+    The predicates are evaluated once a row, as bits of those that fail: a row counts in every dimension when none fails, and only
+    in the dimension of its own predicate when that one fails alone.
+    """
     tests = {k: F.coalesce(v, F.lit(False)) for k, v in state.predicates(df).items()}
-    without = lambda own: reduce(lambda a, b: a & b, [v for k, v in tests.items() if k != own], F.lit(True))
-    entries = [F.struct(F.lit(dim).alias("dim"), nz(F.trim(value(df))).alias("value"), without(own).alias("keep")) for dim, (value, own) in FACETS.items()]
-    return df.select(F.explode(F.array(*entries)).alias("f")).select("f.*").filter("keep AND value IS NOT NULL").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("contract_count"))
+    bit = {k: 1 << i for i, k in enumerate(tests)}
+    failed = reduce(lambda a, b: a.bitwiseOR(b), [F.when(v, 0).otherwise(bit[k]) for k, v in tests.items()], F.lit(0))
+    own_bits = [bit[own] for _, own in FACETS.values() if own in bit]
+    rows = df.select(*[nz(F.trim(value(df))).alias(dim) for dim, (value, _) in FACETS.items()], failed.alias("failed")).filter(F.col("failed").isin([0, *own_bits]))
+    entries = [F.when((F.col("failed") == 0) | (F.col("failed") == bit.get(own, 0)), F.struct(F.lit(dim).alias("dim"), F.col(dim).alias("value"))) for dim, (_, own) in FACETS.items()]
+    kept = F.filter(F.array(*entries), lambda x: x["value"].isNotNull())
+    return rows.select(F.explode(kept).alias("f")).groupBy("f.dim", "f.value").agg(F.count(F.lit(1)).alias("contract_count"))
 
 
 def categories(df: DataFrame) -> DataFrame:
     labels = df.select(category_label(df).alias("category")).filter("category <> ''").distinct()
-    return labels.withColumn("ord", F.row_number().over(Window.orderBy("category")))
+    return numbered(labels, [F.asc("category")])
 
 
 def treemap(df: DataFrame, first: str, second: str | None = None) -> DataFrame:
@@ -262,7 +298,7 @@ def peer_group(df: DataFrame, target: str, min_contracts: int) -> DataFrame:
     named = df.filter(nz("buyer").isNotNull() & (F.col("buyer") != target))
     peers = named.groupBy("buyer").agg(F.count(F.lit(1)).alias("contract_count"), money_sum().alias("total_spend"), F.min("seq").alias("first_seq"))
     peers = peers.filter(F.col("contract_count") >= min_contracts)
-    return peers.select("buyer", "contract_count", "total_spend", F.row_number().over(Window.orderBy(F.desc("total_spend"), "first_seq")).alias("ord"))
+    return numbered(peers, _BY_SPEND).drop("first_seq")
 
 
 def profile(contracts: DataFrame, name: str, ico: str) -> DataFrame:
@@ -272,14 +308,23 @@ def profile(contracts: DataFrame, name: str, ico: str) -> DataFrame:
 
 
 def compare_sets(primary: DataFrame, secondary: DataFrame | None, field: str) -> DataFrame:
-    """Groups of contracts beside the same groups of subcontracts; what one side lacks counts 0."""
-    one = aggregate_groups(primary, field).select("group_value", *[F.col(c).alias(f"primary_{c}") for c in ("total_spend", "contract_count", "avg_value")], F.col("ord").alias("p"))
-    other = aggregate_groups(secondary if secondary is not None else primary.limit(0), field)
-    other = other.select("group_value", *[F.col(c).alias(f"secondary_{c}") for c in ("total_spend", "contract_count", "avg_value")], F.col("ord").alias("s"))
-    rows = one.join(other, "group_value", "full_outer")
-    values = [F.coalesce(c, F.lit(0)).alias(c) for side in (one, other) for c in side.columns if "_" in c and c != "group_value"]
-    place = F.row_number().over(Window.orderBy(F.desc(F.coalesce("primary_total_spend", F.lit(0.0))), F.asc_nulls_last("p"), "s"))
-    return rows.select("group_value", *values, place.alias("ord"))
+    """Groups of contracts beside the same groups of subcontracts; what one side lacks counts 0.
+
+    Most primary spend first; ties as first seen among the contracts, groups that only subcontracts have by their spend there. One
+    grouped pass over each side, one aggregate that puts them together.
+    """
+    sides = []
+    for side, df in (("primary", primary), ("secondary", secondary)):
+        if df is not None:
+            keyed = with_key(df, field).filter("group_value IS NOT NULL")
+            sums = keyed.groupBy("group_value").agg(money_sum().alias("total_spend"), F.count(F.lit(1)).alias("contract_count"), _mean(money_sum(), F.count(PRICE)).alias("avg_value"), F.min("seq").alias("first_seq"))
+            sides.append(sums.withColumn("side", F.lit(side)))
+    rows = reduce(DataFrame.unionByName, sides).groupBy("group_value").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}") for side in ("primary", "secondary") for c in ("total_spend", "contract_count", "avg_value", "first_seq")
+    ])
+    values = [F.coalesce(F.col(f"{side}_{c}"), F.lit(0).cast(kind)).alias(f"{side}_{c}") for side in ("primary", "secondary") for c, kind in (("total_spend", "double"), ("contract_count", "bigint"), ("avg_value", "double"))]
+    order = [F.desc("primary_total_spend"), F.asc_nulls_last("primary_first_seq"), F.desc("secondary_total_spend"), F.asc("secondary_first_seq")]
+    return numbered(rows.select("group_value", *values, "primary_first_seq", "secondary_first_seq"), order).drop("primary_first_seq", "secondary_first_seq")
 
 
 def scope_summary(df: DataFrame) -> DataFrame:
@@ -288,22 +333,21 @@ def scope_summary(df: DataFrame) -> DataFrame:
 
 def category_breakdown(df: DataFrame) -> DataFrame:
     groups = with_key(df, "category", "category").groupBy("category").agg(F.count(F.lit(1)).alias("contract_count"), money_sum().alias("total_spend"), F.min("seq").alias("first_seq"))
-    return groups.select("category", "contract_count", "total_spend", F.row_number().over(Window.orderBy(F.desc("contract_count"), "first_seq")).alias("ord"))
+    return numbered(groups, [F.desc("contract_count"), F.asc("first_seq")]).drop("first_seq")
 
 
 def top_contracts(df: DataFrame, n: int = 20) -> DataFrame:
     """The n most valuable contracts, a missing price as 0, ties in input order."""
     value = F.coalesce(F.col(PRICE), F.lit(0.0))
-    top = df.orderBy(value.desc(), "seq").limit(n)
-    return top.withColumn("ord", F.row_number().over(Window.orderBy(value.desc(), "seq")))  # over n rows
+    return first_numbered(df, [value.desc(), F.asc("seq")], n)
 
 
 def remainder_summary(df: DataFrame, n: int = 20) -> DataFrame:
     """Number and spend of the contracts beyond the first n: all less the first n, without a global sort."""
-    whole = df.agg(F.count(F.lit(1)).alias("a"), F.sum(F.col(PRICE).cast("decimal(18,2)")).alias("b"))
-    top = top_contracts(df, n).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(PRICE).cast("decimal(18,2)")).alias("d"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,2)"))
-    return whole.crossJoin(top).select((F.col("a") - F.col("c")).alias("remaining"), (zero("b") - zero("d")).cast("double").alias("remaining_total"))
+    whole = df.agg(F.count(F.lit(1)).alias("a"), F.sum(cents()).alias("b"))
+    top = top_contracts(df, n).agg(F.count(F.lit(1)).alias("c"), F.sum(cents()).alias("d"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return whole.crossJoin(top).select((F.col("a") - F.col("c")).alias("remaining"), ((zero("b") - zero("d")) / 100.0).alias("remaining_total"))
 
 
 def session_usage(usage: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.labels import SORT_FIELDS, sort_value
+from registra.functions.numbering import first_numbered, numbered
 
 from .aggregates import METRICS, PLANNED, entity_metrics
 
@@ -19,8 +20,7 @@ def _rank(df: DataFrame, entity: str, metric: str, allowed: Sequence[str], by_sp
     metric = metric if metric in allowed else "total_spend"
     ties = [F.desc("spend"), F.asc("first_seq")] if by_spend_first else [F.asc("first_seq")]
     values = entity_metrics(df, entity, [metric]).withColumn("value", F.col(metric).cast("double"))
-    rank = F.row_number().over(Window.orderBy(F.desc("value"), *ties))  # over entities, not contracts
-    return values.select(rank.alias("rank"), "name", "value", F.col("n").alias("contract_count"))
+    return numbered(values, [F.desc("value"), *ties], "rank").select("rank", "name", "value", F.col("n").alias("contract_count"))
 
 
 def rank_institutions(df: DataFrame, metric: str = "total_spend") -> DataFrame:
@@ -57,10 +57,14 @@ def sort_contracts(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
     return df.orderBy(*sort_order(df, spec))
 
 
+def sorted_with_places(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
+    """All contracts with their places in the order; the sort runs by range partitions."""
+    return numbered(df, sort_order(df, spec))
+
+
 def sorted_head(df: DataFrame, spec: Sequence[tuple[str, str]], n: int) -> DataFrame:
     """The first n contracts in order, with their places; a bounded top-n, no global sort."""
-    order = sort_order(df, spec)
-    return df.orderBy(*order).limit(n).withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    return first_numbered(df, sort_order(df, spec), n)
 
 
 def contracts_page(df: DataFrame, spec: Sequence[tuple[str, str]], page: int, size: int) -> DataFrame:
@@ -88,8 +92,7 @@ def suggest(values: DataFrame, column: str, q: str, limit: int = 20) -> DataFram
     score = F.when(place == 1, 0).when(F.contains(F.concat(F.lit(" "), low), F.lit(" " + want)), 1).otherwise(2)
     found = values.select(column).distinct().filter(F.contains(low, F.lit(want))).withColumns({"score": score, "pos": place})
     order = [F.asc("score"), F.asc("pos"), F.collate(F.col(column), "UNICODE_CI_AI").asc(), F.asc(column)]
-    top = found.orderBy(*order).limit(limit)
-    return top.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    return first_numbered(found, order, limit)
 
 
 def options_selected_first(options: DataFrame, selected: Sequence[str]) -> DataFrame:
@@ -97,4 +100,4 @@ def options_selected_first(options: DataFrame, selected: Sequence[str]) -> DataF
     chosen = options.sparkSession.createDataFrame([(i, v) for i, v in enumerate(dict.fromkeys(selected))], "sel int, value string")
     rows = options.join(F.broadcast(chosen), "value", "full_outer").withColumn("contract_count", F.coalesce("contract_count", F.lit(0)))
     order = [F.asc_nulls_last("sel"), F.asc("value")]
-    return rows.select("value", "contract_count", F.col("sel").isNotNull().alias("selected"), F.row_number().over(Window.orderBy(*order)).alias("ord"))
+    return numbered(rows, order).select("value", "contract_count", F.col("sel").isNotNull().alias("selected"), "ord")

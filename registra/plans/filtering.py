@@ -93,6 +93,8 @@ add("custom_conditions_totals", lambda c: P.custom_totals(P.apply(c, FilterState
 add("contract_lookup", lambda c: P.contract_lookup(c, "7").select(*IDS), "SELECT seq, buyer, supplier, price_numeric_eur FROM c WHERE contract_id = '7' ORDER BY seq LIMIT 1")
 add("entity_by_ico_or_name", lambda c: P.resolve_entity(c, "buyer", "ico_buyer", "NATION_6 BUILDING").select(*IDS), ROWS + "buyer = 'NATION_6 BUILDING'")
 
+add("entity_by_ico", lambda c: P.resolve_entity(c, "supplier", "ico_supplier", "00000007").select(*IDS), ROWS + "ico_supplier = '00000007'")
+
 # ---------------------------------------------------------------- labels
 
 add("category_label", lambda c: c.select("seq", L.category_label(c).alias("label")), f"SELECT seq, {LABEL} AS label FROM c")
@@ -120,6 +122,10 @@ _SORTS = {
 }
 for _name, (_spec, _sql) in _SORTS.items():
     add(_name, lambda c, s=_spec: K.sorted_head(c, s, 1000).select("seq", "ord"), f", t AS (SELECT seq, row_number() OVER (ORDER BY {_sql}, seq) AS ord FROM c) SELECT seq, ord FROM t WHERE ord <= 1000")
+#: The whole table in order, every contract with its place.
+for _name in ("sort_price_desc", "sort_multi", "sort_text", "sort_service_type"):
+    _spec, _sql = _SORTS[_name]
+    add(_name.replace("sort_", "sort_all_"), lambda c, s=_spec: K.sorted_with_places(c, s).select("seq", "ord"), f"SELECT seq, row_number() OVER (ORDER BY {_sql}, seq) AS ord FROM c")
 add("contracts_page", lambda c: K.contracts_page(c, [("published_date", "desc")], 3, 50).select("seq", "ord", "total", "total_pages"), ", t AS (SELECT seq, row_number() OVER (ORDER BY published_date DESC NULLS LAST, seq) AS ord, count(*) OVER () AS total FROM c) SELECT seq, ord, total, CAST(ceil(total / 50.0) AS BIGINT) AS total_pages FROM t WHERE ord BETWEEN 101 AND 150")
 add("top_contracts", lambda c: A.top_contracts(c).select("seq", "ord"), ", t AS (SELECT seq, row_number() OVER (ORDER BY coalesce(price_numeric_eur, 0) DESC, seq) AS ord FROM c) SELECT seq, ord FROM t WHERE ord <= 20")
 add("suggest", lambda c: K.suggest(c, "buyer", "n_1", 20).select("buyer", "score", "pos", "ord"), """, v AS (SELECT DISTINCT buyer, instr(lower(buyer), 'n_1') AS pos FROM c WHERE contains(lower(buyer), 'n_1')),

@@ -58,6 +58,9 @@ add("fragmentation_score", lambda c: A.fragmentation_score(c, "buyer"), _FRAG +
 add("upper_median", lambda c: A.upper_median(c, "buyer"), _FRAG + " SELECT * FROM med")
 add("upper_median_overall", lambda c: A.upper_median(c), ", p AS (SELECT price_numeric_eur AS price, row_number() OVER (ORDER BY price_numeric_eur) AS rn, count(*) OVER () AS n FROM c WHERE price_numeric_eur IS NOT NULL) SELECT price AS upper_median, n AS priced FROM p WHERE rn = n // 2 + 1")
 
+add("vendor_concentration_overall", lambda c: A.vendor_concentration(c), ", v AS (SELECT supplier, sum(CAST(price_numeric_eur AS DECIMAL(18,2))) AS spend, min(seq) AS f FROM c WHERE supplier IS NOT NULL AND price_numeric_eur IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY spend DESC, f) AS rn FROM v) SELECT CAST(sum(spend) FILTER (rn <= 3) AS DOUBLE) / CAST(sum(spend) AS DOUBLE) AS vendor_concentration FROM r")
+add("fragmentation_overall", lambda c: A.fragmentation_score(c), ", p AS (SELECT price_numeric_eur AS price, row_number() OVER (ORDER BY price_numeric_eur) AS rn, count(*) OVER () AS n FROM c WHERE price_numeric_eur IS NOT NULL), m AS (SELECT price AS mid, n FROM p WHERE rn = n // 2 + 1) SELECT CAST(count(*) FILTER (price < mid) AS DOUBLE) / any_value(m.n) AS fragmentation_score FROM p, m")
+
 _D = "published_date BETWEEN '1996-01-01' AND '1999-12-31'"
 _TESTS = {"c": f"{LABEL} IN ('EUROPE', 'ASIA', '1-URGENT')", "a": "award_type IN ('direct_award', 'tendered')"}
 
