@@ -30,7 +30,7 @@ CALIBRATE = 5  #: one in so many of them is kept from the fit, for the temperatu
 THRESHOLD = 0.7
 VOCABULARY = 50_000  #: most frequent words of the training texts that keep a context vector of their own; others share their shape's
 SELDOM = 8  #: a word with fewer occurrences in the training texts has no context vector of its own
-REMEMBER = 300_000  #: distinct words remembered in a task
+REMEMBER = 100_000  #: distinct words remembered in a task
 SLICE = 100_000  #: words pooled at once, and words of one text that are split off at once
 
 _SHAPE = {**{c: "x" for c in range(97, 123)}, **{c: "X" for c in range(65, 91)}, **{c: "0" for c in range(48, 58)}}
@@ -106,29 +106,34 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def learn(self, texts: list[str]) -> None:
-        """Random indexing: to each word's context the index vector of each neighbour is added once for each time they meet."""
+        """Random indexing: to each word's context the index vector of each neighbour is added once for each time they meet.
+
+        Only words that are frequent enough have sums of their own; all words add to those of their shape.
+        """
         number: dict[str, int] = {}
-        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int64) for t in texts]
-        words = list(number)
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
+        words, size = list(number), len(number)
         h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
-        at, sign = (np.concatenate(x, axis=1) for x in zip(_draws(h), _draws(forms)))
-        size = len(words)
-        sums = np.zeros(size * DIMS)
-        for d in range(1, REACH + 1):
-            a = np.concatenate([x[d:] for x in ids]) if ids else np.zeros(0, np.int64)
-            b = np.concatenate([x[:-d] for x in ids]) if ids else a
-            for word, other in ((a, b), (b, a)):
-                for k in range(2 * NONZERO):
-                    sums += np.bincount(word * DIMS + at[other, k], sign[other, k], size * DIMS)
-        sums = sums.reshape(size, DIMS)
+        draws = [_draws(h), _draws(forms)]
+        at, sign = np.concatenate([x[0] for x in draws], axis=1).astype(np.int16), np.concatenate([x[1] for x in draws], axis=1).astype(np.int8)
         kinds, form = np.unique(forms, return_inverse=True)
-        of_kind = np.zeros((len(kinds), DIMS))
-        np.add.at(of_kind, form, sums)
         often = np.bincount(np.concatenate(ids), minlength=size) if ids else np.zeros(0, np.int64)
         kept = np.lexsort((h, -often))[:VOCABULARY]
         kept = kept[often[kept] >= SELDOM]
         kept = kept[np.argsort(h[kept])]
-        self.of_word, self.of_shape = (h[kept], _scaled(sums[kept])), (kinds, _scaled(of_kind))
+        own = np.full(size, -1)
+        own[kept] = np.arange(len(kept))
+        of_word, of_kind = np.zeros(len(kept) * DIMS), np.zeros(len(kinds) * DIMS)
+        for d in range(1, REACH + 1):
+            a, b = (np.concatenate([x[part] for x in ids] or [np.zeros(0, np.int32)]) for part in (slice(d, None), slice(None, -d)))
+            for word, other in ((a, b), (b, a)):
+                has = np.flatnonzero(own[word] >= 0)
+                row, kind = own[word[has]] * DIMS, form[word] * DIMS
+                for k in range(2 * NONZERO):
+                    cell, value = at[other, k], sign[other, k]
+                    of_word += np.bincount(row + cell[has], value[has], len(of_word))
+                    of_kind += np.bincount(kind + cell, value, len(of_kind))
+        self.of_word, self.of_shape = (h[kept], _scaled(of_word.reshape(-1, DIMS))), (kinds, _scaled(of_kind.reshape(-1, DIMS)))
         self.forget()
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
