@@ -36,13 +36,20 @@ def service_subtype(df: DataFrame) -> Column:
     return _first(df, ["scanned_service_subtype", "service_subtype"])
 
 
+def field_of(df: DataFrame, field: str) -> Column:
+    """A field by name: a column, else one of the unknown fields that ``extra`` keeps, else null."""
+    if field in df.columns:
+        return F.col(field)
+    return F.try_element_at(F.col("extra"), F.lit(field)) if "extra" in df.columns else F.lit(None).cast("string")
+
+
 def group_key(df: DataFrame, field: str) -> Column:
     """The key to group by; null keys are dropped by the caller. Categories are grouped by service type."""
     if field == "month":
         return F.substring(nz("published_date"), 1, 7)
     if field == "category":
         return F.coalesce(nz(service_type(df)), F.lit(UNASSIGNED))
-    return F.col(field).cast("string") if field in df.columns else F.lit(None).cast("string")
+    return field_of(df, field).cast("string")
 
 
 def period_key(granularity: str = "month") -> Column:
@@ -56,9 +63,11 @@ def period_key(granularity: str = "month") -> Column:
     return F.substring(d, 1, 7)
 
 
+# fixed values: the fields that contracts can be sorted by
 SORT_FIELDS = (
-    "contract_title contract_number price_numeric_eur supplier buyer published_date date_concluded category award_type date_effective scanned_suggested_title scanned_service_type scanned_service_subtype date_published"
-).split()
+    "contract_title", "contract_number", "price_numeric_eur", "supplier", "buyer", "published_date", "date_concluded", "category", "award_type",
+    "date_effective", "scanned_suggested_title", "scanned_service_type", "scanned_service_subtype", "date_published",
+)
 
 
 def sort_value(df: DataFrame, field: str) -> Column:
@@ -130,6 +139,10 @@ def contract_block(df: DataFrame, but: tuple[str, ...] = ("seq",)) -> Column:
         if name in but:
             continue
         c = F.col(name)
+        if kind.startswith("map"):  # unknown fields, each a line of its own
+            entry = lambda e: F.concat(F.initcap(F.substring(e["key"], 1, 1)), F.replace(F.substring(e["key"], 2, 1000), F.lit("_"), F.lit(" ")), F.lit(" ["), e["key"], F.lit("]: "), F.coalesce(nz(e["value"]), F.lit("not extracted")))
+            lines.append(nz(F.array_join(F.transform(F.map_entries(c), entry), "\n")))
+            continue
         if kind.startswith("array"):
             value = F.when(F.size(c) == 0, "none").otherwise(F.array_join(c, ", "))
         elif name == "price_numeric_eur":

@@ -84,22 +84,24 @@ def parties(df: DataFrame, column: str, ico: str) -> DataFrame:
     )
 
 
-_BY_SPEND = [F.desc("total_spend"), F.asc("first_seq")]
+def _by_spend() -> list[Column]:
+    """Most spend first, ties as first seen."""
+    return [F.desc("total_spend"), F.asc("first_seq")]
 
 
 def institutions(df: DataFrame) -> DataFrame:
     """All buyers with their places, most spend first."""
-    return numbered(parties(df, "buyer", "ico_buyer"), _BY_SPEND).drop("first_seq")
+    return numbered(parties(df, "buyer", "ico_buyer"), _by_spend()).drop("first_seq")
 
 
 def vendors(df: DataFrame) -> DataFrame:
     """All suppliers with their places, most spend first."""
-    return numbered(parties(df, "supplier", "ico_supplier"), _BY_SPEND).drop("first_seq")
+    return numbered(parties(df, "supplier", "ico_supplier"), _by_spend()).drop("first_seq")
 
 
 def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
     """The n suppliers with most spend."""
-    return first_numbered(parties(df, "supplier", "ico_supplier"), _BY_SPEND, n).drop("first_seq")
+    return first_numbered(parties(df, "supplier", "ico_supplier"), _by_spend(), n).drop("first_seq")
 
 
 def ico_map(df: DataFrame) -> DataFrame:
@@ -298,7 +300,7 @@ def peer_group(df: DataFrame, target: str, min_contracts: int) -> DataFrame:
     named = df.filter(nz("buyer").isNotNull() & (F.col("buyer") != target))
     peers = named.groupBy("buyer").agg(F.count(F.lit(1)).alias("contract_count"), money_sum().alias("total_spend"), F.min("seq").alias("first_seq"))
     peers = peers.filter(F.col("contract_count") >= min_contracts)
-    return numbered(peers, _BY_SPEND).drop("first_seq")
+    return numbered(peers, _by_spend()).drop("first_seq")
 
 
 def profile(contracts: DataFrame, name: str, ico: str) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Filters over contracts and the condition builder, as predicates that reach the scan."""
+"""Filters over contracts and the condition builder, as predicates on plain columns.
+
+On stored contracts they reach the scan. Over the star schema, where buyer and date are computed by joins, they are applied after those."""
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registra.functions.labels import UNASSIGNED, category_label, nz, service_subtype, service_type
+from registra.functions.labels import UNASSIGNED, category_label, field_of, nz, service_subtype, service_type
 
 
 @dataclass(frozen=True)
@@ -146,7 +148,11 @@ class Condition:
     def column(self, df: DataFrame) -> Column:
         """Never null: a null field, an unknown field or operator and a value that does not fit are false."""
         kinds = {n.lower(): k for n, k in df.dtypes}
-        kind, value = kinds.get(self.field.lower()), self.value
+        kind, value, c = kinds.get(self.field.lower()), self.value, F.col(self.field)
+        if kind is None and "extra" in df.columns:  # an unknown field, kept as text; compared with numbers it is a number
+            number = isinstance(value, (int, float))
+            c = field_of(df, self.field)
+            kind, c = ("double", c.try_cast("double")) if number else ("string", c)
         if kind is None or self.operator not in OPERATORS or value is None:
             return F.lit(False)
         if kind in ("double", "float", "int", "bigint"):
@@ -154,7 +160,6 @@ class Condition:
                 value = float(value)
             except (TypeError, ValueError):
                 return F.lit(False)
-        c = F.col(self.field)
         return F.coalesce(c.isNotNull() & OPERATORS[self.operator](c, value, kind), F.lit(False))
 
 
@@ -195,10 +200,6 @@ def price_prefilter(df: DataFrame, low: float | None, high: float | None) -> Dat
     return apply(df, FilterState(value_min=low, value_max=high))
 
 
-def filter_fields() -> list[str]:
-    return [f.name for f in fields(FilterState)]
-
-
 def last_of_session(messages: DataFrame, n: int, session: str = "conv_id", turn: str = "turn") -> DataFrame:
     """The last n messages of each session."""
     rank = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(turn), F.desc("role"), F.desc("text")))

@@ -55,15 +55,38 @@ def _tagged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("_base", F.col("_ord") == first).filter("_src = 1 OR _base")
 
 
+def _filled_entries(m: Column) -> Column:
+    return F.map_filter(m, lambda k, v: F.coalesce(F.length(F.trim(v)) > 0, F.lit(False)))
+
+
+def _merged_map(ordered: Column) -> Column:
+    """Maps in order as one: of each key the last filled value, of keys that begin with scanned_ the first."""
+
+    def put(acc: Column, m: Column) -> Column:
+        fresh = F.map_filter(_filled_entries(m), lambda k, v: ~(k.startswith("scanned_") & F.map_contains_key(acc, k)))
+        return F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
+
+    return F.aggregate(ordered, F.create_map().cast("map<string,string>"), put)
+
+
+def _fields(rows: DataFrame) -> list[T.StructField]:
+    return [f for f in rows.schema.fields if f.name not in ("seq", "_src", "_key", "_ord", "_base")]
+
+
 def merge_contracts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert: the last filled value of each field wins, of scanned fields the first; existing rows come first, then new ones.
 
-    ``seq`` numbers each side's rows; the result has ``merged_ord`` = (source, seq) of the row that a record began with.
+    Unknown fields (maps) are merged key by key in the same way. ``seq`` numbers each side's rows; the result has ``merged_ord`` =
+    (source, seq) of the row that a record began with.
     """
     rows = _tagged(existing, incoming)
-    fields = [f for f in rows.schema.fields if f.name not in ("seq", "_src", "_key", "_ord", "_base")]
     values = []
-    for f in fields:
+    for f in _fields(rows):
+        if isinstance(f.dataType, T.MapType):
+            held = F.array_sort(F.collect_list(F.when(F.col(f.name).isNotNull(), F.struct("_ord", F.map_entries(f.name).alias("m")))))
+            merged = _merged_map(F.transform(held, lambda x: F.map_from_entries(x["m"])))
+            values.append(F.when(F.size(merged) > 0, merged).alias(f.name))
+            continue
         pick = F.min_by if f.name.startswith("scanned_") else F.max_by
         filled = is_filled(f.name, f.dataType)
         values.append(F.coalesce(pick(F.when(filled, F.col(f.name)), F.when(filled, F.col("_ord"))), F.min_by(f.name, "_ord")).alias(f.name))
@@ -73,10 +96,15 @@ def merge_contracts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def merge_stats(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: rows before, incoming, added, updated (incoming rows that changed a field) and after."""
     rows = _tagged(existing, incoming)
-    fields = [f for f in rows.schema.fields if f.name not in ("seq", "_src", "_key", "_ord", "_base")]
     upto = Window.partitionBy("_key").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
     changed = F.lit(False)
-    for f in fields:
+    for f in _fields(rows):
+        if isinstance(f.dataType, T.MapType):
+            before = _merged_map(F.collect_list(f.name).over(upto))
+            own = F.map_entries(_filled_entries(F.col(f.name)))
+            differs = lambda e, old=before: F.when(e["key"].startswith("scanned_"), ~F.map_contains_key(old, e["key"])).otherwise(~F.try_element_at(old, e["key"]).eqNullSafe(e["value"]))
+            changed = changed | F.coalesce(F.exists(own, differs), F.lit(False))
+            continue
         filled = is_filled(f.name, f.dataType)
         before = (F.first if f.name.startswith("scanned_") else F.last)(F.when(filled, F.col(f.name)), ignorenulls=True).over(upto)
         differs = before.isNull() if f.name.startswith("scanned_") else ~before.eqNullSafe(F.col(f.name))
@@ -156,16 +184,35 @@ def append_subcontractors(existing: DataFrame, expanded: DataFrame) -> DataFrame
     return existing.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)), allowMissingColumns=True)
 
 
+_BIDDERS = "array<struct<name:string,ico:string,proposed_sum:string,proposed_sum_eur:double>>"
+
+
 def normalise_parts(tenders: DataFrame) -> DataFrame:
-    """Tenders (tender_id, legacy: map of part_N to JSON objects) -> an array of parts in order of N, numbered where they are not."""
-    part = "struct<part_number:int,notes:string,error:string,ai_extracted:struct<notes:string,error:string>>"
-    entries = F.transform(F.map_entries("legacy"), lambda e: F.struct(F.regexp_extract(e["key"], r"^part_(\d+)$", 1).try_cast("int").alias("n"), e["value"].alias("json")))
-    entries = F.array_sort(F.filter(entries, lambda e: e["n"].isNotNull() & F.try_parse_json(e["json"]).isNotNull()))
-    parsed = F.transform(entries, lambda e, i: F.struct((i + 1).alias("i"), F.from_json(e["json"], part).alias("p")))
-    flat = F.transform(parsed, lambda x: F.struct(
-        F.coalesce(x["p"]["part_number"], x["i"]).alias("part_number"),
-        F.coalesce(x["p"]["ai_extracted"]["notes"], x["p"]["notes"]).alias("notes"),
-        F.coalesce(x["p"]["ai_extracted"]["error"], x["p"]["error"]).alias("error"),
+    """Tenders (tender_id, legacy: their fields as JSON texts by name) -> an array of parts (part_number, notes, error, participants, fields).
+
+    A list called ``parts`` is taken as it is, else the objects called part_N in the order of N; anything but objects is left out. What
+    a part's ``ai_extracted`` holds takes the place of its own fields. ``fields`` keeps every field of a part by name, as
+    text or JSON text; a part without a number is numbered by its place.
+    """
+    given = F.from_json(F.try_element_at("legacy", F.lit("parts")), "array<string>")
+    keyed = F.transform(F.map_entries("legacy"), lambda e: F.struct(F.regexp_extract(e["key"], r"^part_(\d+)$", 1).try_cast("int").alias("n"), e["value"].alias("json")))
+    is_object = lambda j: F.coalesce(F.ltrim(j).startswith("{") & F.try_parse_json(j).isNotNull(), F.lit(False))
+    keyed = F.transform(F.array_sort(F.filter(keyed, lambda e: e["n"].isNotNull() & is_object(e["json"]))), lambda e: e["json"])
+    listed = F.transform(F.when(given.isNotNull(), given).otherwise(keyed), lambda j, i: F.struct((i + 1).alias("i"), j.alias("json")))
+    read = lambda j: F.from_json(j, "map<string,string>")
+
+    def fields(j: Column) -> Column:
+        own, ai = F.map_filter(read(j), lambda k, v: k != "ai_extracted"), F.coalesce(read(F.try_element_at(read(j), F.lit("ai_extracted"))), F.create_map().cast("map<string,string>"))
+        return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(ai, k)), ai)
+
+    parts = F.transform(F.filter(listed, lambda x: is_object(x["json"])), lambda x: F.struct(x["i"].alias("i"), fields(x["json"]).alias("f")))
+    at = lambda x, name: F.try_element_at(x["f"], F.lit(name))
+    flat = F.transform(parts, lambda x: F.struct(
+        F.coalesce(at(x, "part_number").try_cast("int"), x["i"]).alias("part_number"),
+        at(x, "notes").alias("notes"),
+        at(x, "error").alias("error"),
+        F.from_json(at(x, "participants"), _BIDDERS).alias("participants"),
+        x["f"].alias("fields"),
     ))
     return tenders.select("tender_id", flat.alias("parts"))
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra.functions import text as X
+from registra.operators import aggregates as A
 from registra.operators import context as Q
 from registra.operators import extraction as H
 from registra.operators import filters as P
 from registra.operators import maintenance as M
 from registra.operators.filters import FilterState
-from registra.sources import star
+from registra.sources import model, star
 from registra.streaming import ingest as T
 
-from .base import SPEND, SUMMARY, W, add
+from .base import SUMMARY, W, add, scratch
 
 # ---------------------------------------------------------------- maintenance
 
@@ -50,22 +49,68 @@ _EXP = """, e AS (SELECT seq, contract_id, 0 AS sub_ord, supplier AS subcontract
 add("expand_subcontractors", _expanded, _EXP + " SELECT * FROM e")
 add("subcontractor_split", lambda c: c.withColumn("f", _field()).select("seq", F.size(M.subcontractor_items("f")).alias("n")), "SELECT seq, CASE WHEN seq % 4 < 3 AND supplier IS NOT NULL THEN 2 ELSE 0 END AS n FROM c")
 add("append_subcontractors", lambda c: (lambda e: M.append_subcontractors(e.filter("seq % 3 = 0"), e).select("seq", "subcontractor", "is_new"))(_expanded(c)), _EXP + " SELECT seq, subcontractor, false AS is_new FROM e WHERE seq % 3 = 0 UNION ALL SELECT seq, subcontractor, true FROM e WHERE seq % 3 <> 0")
-_part = lambda n: F.concat(F.lit('{"notes": "'), "p_brand", F.lit(f'", "ai_extracted": {{"error": "{n}"}}}}'))
-_legacy = lambda p: p.select(F.col("p_partkey").alias("tender_id"), F.create_map(F.lit("part_10"), _part(10), F.lit("part_2"), _part(2)).alias("legacy"))
-add("tender_parts_normalise", lambda p: M.normalise_parts(_legacy(p)).select("tender_id", F.explode("parts").alias("x")).select("tender_id", "x.*"), "SELECT p_partkey AS tender_id, 1 AS part_number, p_brand AS notes, '2' AS error FROM part UNION ALL SELECT p_partkey, 2, p_brand, '10' FROM part", "part")
+
+
+def _legacy(p: DataFrame) -> DataFrame:
+    """Parts as tenders of the old form: numbered part objects with all that they hold, some as a list, some not an object."""
+    bidders = F.to_json(F.transform(F.sequence(F.lit(1), F.col("p_size") % 3 + 1), lambda i: F.struct(F.concat("p_brand", F.lit(" "), i.cast("string")).alias("name"), i.cast("string").alias("ico"), (F.col("p_retailprice") + i).alias("proposed_sum_eur"))))
+    ai = F.to_json(F.struct(F.col("p_type").alias("winner"), F.concat(F.lit("ai "), "p_brand").alias("notes")))
+    ten = F.concat(F.lit('{"notes": "own", "lot": '), F.col("p_size").cast("string"), F.lit(', "ai_extracted": '), ai, F.lit("}"))
+    two = F.concat(F.lit('{"error": "'), "p_name", F.lit('", "participants": '), bidders, F.lit("}"))
+    listed = F.create_map(F.lit("parts"), F.concat(F.lit('["no object", {"part_number": 7, "notes": "'), "p_name", F.lit('"}]')), F.lit("part_1"), two)
+    keyed = F.create_map(F.lit("part_10"), ten, F.lit("part_2"), two, F.lit("part_3"), F.lit("[1]"), F.lit("title"), F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("tender_id"), F.when(F.col("p_partkey") % 5 == 0, listed).otherwise(keyed).alias("legacy"))
+
+
+def _normalised(p: DataFrame) -> DataFrame:
+    rows = M.normalise_parts(_legacy(p)).select("tender_id", F.explode("parts").alias("x"))
+    return rows.select("tender_id", "x.part_number", "x.notes", "x.error", F.size(F.coalesce("x.participants", F.array())).alias("bidders"), F.try_element_at("x.fields", F.lit("winner")).alias("winner"), F.try_element_at("x.fields", F.lit("lot")).alias("lot"))
+
+
+add("tender_parts_normalise", _normalised, """
+SELECT p_partkey AS tender_id, 1 AS part_number, NULL AS notes, p_name AS error, p_size % 3 + 1 AS bidders, NULL AS winner, NULL AS lot FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey, 2, 'ai ' || p_brand, NULL, 0, p_type, CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey, 7, p_name, NULL, 0, NULL, NULL FROM part WHERE p_partkey % 5 = 0""", "part")
+add("tender_bids_of_parts", lambda p: M.tender_bids(M.normalise_parts(_legacy(p))).select("tender_id", "part_number", "pos", "name", "ico", "proposed_sum_eur", "is_winner"), """
+SELECT p_partkey AS tender_id, 1 AS part_number, i - 1 AS pos, p_brand || ' ' || i AS name, CAST(i AS VARCHAR) AS ico, p_retailprice + i AS proposed_sum_eur, i = 1 AS is_winner
+FROM part, range(1, 4) t(i) WHERE p_partkey % 5 <> 0 AND i <= p_size % 3 + 1""", "part")
 _bids = lambda p: p.select(F.col("p_partkey").alias("tender_id"), F.array(F.struct(F.lit(1).alias("part_number"), F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_retailprice").alias("proposed_sum_eur")), F.struct(F.lit("other").alias("name"), (F.col("p_retailprice") + 1).alias("proposed_sum_eur"))).alias("participants"))).alias("parts"))
 add("tender_bids", lambda p: M.tender_bids(_bids(p)), "SELECT p_partkey AS tender_id, 1 AS part_number, 0 AS pos, p_brand AS name, p_retailprice AS proposed_sum_eur, true AS is_winner FROM part UNION ALL SELECT p_partkey, 1, 1, 'other', p_retailprice + 1, false FROM part", "part")
-_docs = lambda p: p.select(F.col("p_partkey").alias("tender_id"), F.array(F.struct(F.lit("Informácia o výsledku vyhodnotenia ponúk ").alias("document_type")), F.struct(F.when(F.col("p_size") % 2 == 0, "Zápisnica - INFORMÁCIA O VÝSLEDKU VYHODNOTENIA PONÚK").otherwise("iné").alias("document_type"))).alias("documents"))
-add("result_documents", lambda p: M.result_documents(_docs(p)).select("tender_id", "result_document_count"), "SELECT p_partkey AS tender_id, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS result_document_count FROM part", "part")
+
+
+def _with_documents(p: DataFrame) -> DataFrame:
+    """Parts as tenders with three documents each, titled by the part."""
+    kinds = [
+        F.concat(F.lit("Informácia o výsledku vyhodnotenia ponúk "), "p_brand"),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_type"), F.lit(" - INFORMÁCIA O VÝSLEDKU VYHODNOTENIA PONÚK"))).otherwise(F.col("p_type")),
+        F.col("p_name"),
+    ]
+    documents = F.array(*[F.struct(k.alias("document_type"), F.concat(F.lit(f"{i} "), "p_name").alias("title")) for i, k in enumerate(kinds)])
+    return p.select(F.col("p_partkey").alias("tender_id"), documents.alias("documents"))
+
+
+add("result_documents", lambda p: M.result_documents(_with_documents(p)).select("tender_id", "result_document_count", F.array_join(F.transform("documents", lambda d: d["title"]), "; ").alias("titles")), """
+SELECT p_partkey AS tender_id, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS result_document_count, '0 ' || p_name || CASE WHEN p_size % 2 = 0 THEN '; 1 ' || p_name ELSE '' END AS titles FROM part""", "part")
 _work = lambda c: c.withColumns({"scanned_service_type": F.when(F.col("seq") % 5 == 0, F.col("scanned_service_type")), "pdf_text": F.when(F.col("seq") % 3 == 0, F.concat(F.lit("a  b\r\n\n c "), "pdf_text_summary")), "pdf_url": F.when(F.col("seq") % 2 == 0, F.lit("u")), "pdf_local_path": F.when(F.col("seq") % 7 < 3, F.lit("p"))})
 _STATUS = "CASE WHEN seq % 5 = 0 AND scanned_service_type IS NOT NULL THEN 'skipped' WHEN seq % 3 = 0 AND pdf_text_summary IS NOT NULL THEN 'process' WHEN seq % 2 = 0 THEN 'fetch' ELSE 'skipped' END"
 add("enrichment_worklist", lambda c: M.enrichment_worklist(_work(c)), f"SELECT {_STATUS} AS status, count(*) AS n FROM c GROUP BY 1")
 add("enrichment_requests", lambda c: M.enrichment_requests(_work(c)).select("seq", "text", F.length("taxonomy").alias("n_taxonomy")), f"SELECT seq, 'abc ' || pdf_text_summary AS text, {len(chr(10).join(f'{k}: ' + ', '.join(v) for k, v in M.TAXONOMY.items()))} AS n_taxonomy FROM c WHERE {_STATUS} = 'process'")
 _types = list(M.TAXONOMY)
-_sub = lambda t: M.TAXONOMY[t][0]
-_taxed = lambda c: c.select("seq", F.when(F.col("seq") % 4 == 0, F.lit(_types[0])).when(F.col("seq") % 4 == 1, F.lit("nothing")).alias("service_type"), F.when(F.col("seq") % 3 == 0, F.lit(f" {_sub(_types[0])} ")).when(F.col("seq") % 3 == 1, F.lit(_sub(_types[1]))).otherwise(F.lit("?")).alias("service_subtype"))
-_TAXED = f"SELECT seq, CASE WHEN seq % 4 = 0 THEN '{_types[0]}' WHEN seq % 3 = 0 THEN '{_types[0]}' WHEN seq % 3 = 1 THEN '{_types[1]}' END AS service_type, CASE WHEN seq % 3 = 0 THEN '{_sub(_types[0])}' WHEN seq % 3 = 1 AND seq % 4 <> 0 THEN '{_sub(_types[1])}' END AS service_subtype FROM c"
-add("service_taxonomy", lambda c: M.service_taxonomy(_taxed(c)), _TAXED)
+_firsts = [M.TAXONOMY[t][0] for t in _types]
+_of = lambda names, c: F.when(F.col(c).isNotNull(), F.get(F.array(*map(F.lit, names)), F.col(c).cast("int") % len(names)))
+
+
+def _taxed(c: DataFrame) -> DataFrame:
+    """Contracts with a type by the supplier (or their own, which the taxonomy does not know) and a subtype by the buyer (or their own)."""
+    kind = F.when(F.col("award_type") == "tendered", _of(_types, "ico_supplier")).when(F.col("award_type") == "direct_award", F.col("scanned_service_type"))
+    sub = F.when(F.col("published_year") % 2 == 0, F.concat(F.lit(" "), _of(_firsts, "ico_buyer"), F.lit(" "))).otherwise(F.col("scanned_service_subtype"))
+    return c.select("seq", kind.alias("service_type"), sub.alias("service_subtype"))
+
+
+_pick = lambda names, c: "(['" + "', '".join(names) + f"'])[CAST({c} AS INTEGER) % {len(names)} + 1]"
+add("service_taxonomy", lambda c: M.service_taxonomy(_taxed(c)), f""", x AS (SELECT seq, CASE WHEN award_type = 'tendered' THEN {_pick(_types, 'ico_supplier')} END AS t,
+ CASE WHEN CAST(published_year AS INTEGER) % 2 = 0 THEN {_pick(_firsts, 'ico_buyer')} END AS s, CASE WHEN CAST(published_year AS INTEGER) % 2 = 0 THEN {_pick(_types, 'ico_buyer')} END AS o FROM c)
+ SELECT seq, coalesce(t, o) AS service_type, CASE WHEN t IS NULL OR t = o THEN s END AS service_subtype FROM x""")
 _resp = lambda c: c.filter("seq % 2 = 0").select("seq", F.to_json(F.struct(F.lit(_types[0]).alias("service_type"), F.lit("zzz").alias("service_subtype"), F.col("buyer").alias("summary"), F.col("price_numeric_eur").alias("contract_value"))).alias("response"))
 add("apply_scanned_fields", lambda c: M.apply_scanned_fields(c, _resp(c)).select("seq", "scanned_service_type", "scanned_service_subtype", "scanned_summary", "scanned_contract_value"), f"SELECT seq, CASE WHEN seq % 2 = 0 THEN '{_types[0]}' ELSE scanned_service_type END AS scanned_service_type, CASE WHEN seq % 2 <> 0 THEN scanned_service_subtype END AS scanned_service_subtype, CASE WHEN seq % 2 = 0 THEN buyer END AS scanned_summary, CASE WHEN seq % 2 = 0 THEN price_numeric_eur END AS scanned_contract_value FROM c")
 add("unreadable_text_candidates", lambda c: M.unreadable_candidates(_work(c)), "SELECT count(*) AS total, count(*) FILTER (seq % 7 < 3) AS candidates, count(*) FILTER (seq % 7 >= 3) AS skipped FROM c")
@@ -150,50 +195,124 @@ add("portal2_detail", lambda p: H.portal2_detail(_P2(p)), "SELECT page_id, f AS
 add("portal2_documents", lambda p: H.portal2_documents(_P2(p)).select("page_id", "document_name", "document_type", "uploaded_at", "link"), "SELECT page_id, 'b' AS document_name, 'a' AS document_type, 'd' AS uploaded_at, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/dok/' || page_id AS link FROM pages", "pages")
 add("portal2_file_meta", lambda p: H.portal2_file_meta(_as(lambda: F.concat(F.lit("<td>Názov súboru: f"), _id(), F.lit(".pdf<br>Veľkosť: 10 kB<a href='/s/1'>x</a></td>")))(p)), "SELECT page_id, 'f' || page_id || '.pdf' AS document_title, '10 kB' AS file_size, '/s/1' AS download_link FROM pages", "pages")
 
+# ---------------------------------------------------------------- files
+
+
+def _rich(c: DataFrame) -> DataFrame:
+    """Contracts with two fields that the schema does not know."""
+    extra = F.create_map(F.lit("lot"), (F.col("seq") % 7).cast("string"), F.lit("scanned_note"), F.col("buyer"))
+    return c.select(*_CORE, "published_date", extra.alias("extra"))
+
+
+_CORE = ["seq", "contract_id", "contract_title", "buyer", "supplier", "price_numeric_eur", "category", "award_type"]
+_LOADED = ["contract_id", "contract_title", "buyer", "supplier", "price_numeric_eur", "category", "pdf_text_summary", "award_type"]
+_LOADED_SQL = "SELECT contract_id, contract_title, buyer, supplier, price_numeric_eur, category, 'not_summarized' AS pdf_text_summary, award_type"
+
+
+def load_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    model.write_json_arrays(_rich(star.contracts(spark, sf_dir)), folder)
+    return model.load_contracts(spark, folder)
+
+
+def _to_lines(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Contracts one JSON object a line, after every seventh a line that is none."""
+    rows = star.contracts(spark, sf_dir)
+    bad = F.when(F.col("seq") % 7 == 0, F.array(F.lit("not json"), F.lit(" "), F.lit("[1]"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.to_json(F.struct(*[c for c in _CORE if c != "seq"], (F.col("seq") % 7).alias("lot")))), bad)
+    rows.select(F.explode(lines).alias("value")).write.text(folder)
+
+
+def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    _to_lines(spark, sf_dir, folder)
+    good, bad = model.load_records(spark, folder)
+    return good.select("contract_id", "buyer", F.col("extra.lot").alias("lot"), F.lit(True).alias("accepted")).union(bad.select(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("value"), F.lit(False)))
+
+
+def migrate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    _to_lines(spark, sf_dir, f"{folder}/in")
+    written = model.migrate(spark, f"{folder}/in", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select(*_LOADED, F.lit(written).alias("written"))
+
+
+def load_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The API for records that a program holds in memory: here those of the nation table, which has a row for each nation."""
+    held = [{"contract_id": str(r.n_nationkey), "buyer": r.n_name, "region": r.n_regionkey} for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+    return model.load_from_list(spark, held).select("contract_id", "buyer", "category", "award_type", F.col("extra.region").alias("region"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    rows = star.contracts(spark, sf_dir).withColumns({"contract_url": F.concat(F.lit("u/"), "contract_id"), "price_numeric_eur": F.col("price_numeric_eur").cast("decimal(18,2)")})
+    model.write_csv(rows, folder, [F.asc("seq")])
+    return spark.read.option("header", True).csv(folder).na.fill("")
+
+
+add("load_contracts_json", lambda s, d: load_arrays(s, d).select(*_LOADED, F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note")), W + _LOADED_SQL + ", CAST(seq % 7 AS VARCHAR) AS lot, buyer AS scanned_note FROM c", "")
+add("group_by_unknown_field", lambda c: A.group_by(_rich(c), "lot"), "SELECT CAST(seq % 7 AS VARCHAR) AS group_value, count(*) AS contract_count, min(seq) AS first_seq FROM c GROUP BY 1")
+add("cond_unknown_field", lambda c: P.custom_conditions(_rich(c), P.ConditionGroup([P.Condition("lot", "ge", 3), P.Condition("scanned_note", "contains", "nation_1")])).select("seq"), "SELECT seq FROM c WHERE seq % 7 >= 3 AND contains(lower(buyer), 'nation_1')")
+add("load_records_lines", load_lines, W + "SELECT contract_id, buyer, CAST(seq % 7 AS VARCHAR) AS lot, true AS accepted FROM c UNION ALL SELECT NULL, NULL, v, false FROM c, (VALUES ('not json'), ('[1]')) t(v) WHERE seq % 7 = 0", "")
+add("migrate_records", migrate_lines, W + _LOADED_SQL + ", (SELECT count(*) FROM c) AS written FROM c", "")
+add("load_from_memory", load_dicts, "SELECT CAST(n_nationkey AS VARCHAR) AS contract_id, n_name AS buyer, 'not_decided' AS category, 'unknown' AS award_type, CAST(n_regionkey AS VARCHAR) AS region FROM nation", "")
+add("write_csv", csv_round_trip, W + "SELECT contract_id, coalesce(contract_title, '') AS contract_title, buyer, coalesce(supplier, '') AS supplier, coalesce(CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS VARCHAR), '') AS price_numeric_eur, published_date, category, award_type, 'u/' || contract_id AS contract_url FROM c", "")
+add("merge_unknown_fields", lambda c: (lambda r: M.merge_contracts(r.filter("seq % 2 = 0").select("seq", "contract_id", "extra"), r.filter("seq % 3 = 0").select("seq", "contract_id", F.create_map(F.lit("lot"), F.lit("new"), F.lit("scanned_note"), F.lit("late"), F.lit("blank"), F.lit(" ")).alias("extra"))))(_rich(c)).select("contract_id", F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note"), F.size("extra").alias("n")),
+    "SELECT contract_id, CASE WHEN seq % 3 = 0 THEN 'new' ELSE CAST(seq % 7 AS VARCHAR) END AS lot, CASE WHEN seq % 2 = 0 THEN buyer ELSE 'late' END AS scanned_note, 2 AS n FROM c WHERE seq % 2 = 0 OR seq % 3 = 0")
+
 # ---------------------------------------------------------------- streaming
 
+_FILES = 4  #: files of a page
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _arriving(pages: list[DataFrame], folder: str) -> None:
+    """Pages that arrive one after the other, each as a few files."""
+    for page in pages:
+        page.repartition(_FILES).write.mode("append").parquet(folder)
 
 
-def _pages_of(contracts: DataFrame, folder: str, n: int) -> None:
-    """Contracts as n files that arrive one after the other."""
-    for i in range(n):
-        contracts.filter(f"seq % {n} = {i}").select(*_C).coalesce(1).write.mode("append").parquet(folder)
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Three pages: the first has repeats, the second changes known contracts, the third brings the rest."""
+    folder, c = scratch(spark), star.contracts(spark, sf_dir).select(*_C).withColumn("scanned_subcontractors", F.concat("supplier", F.lit("; "), "buyer"))
+    first = c.filter("seq % 3 = 0")
+    again = first.filter("seq % 2 = 0").withColumns({"seq": F.col("seq") + (1 << 35), "buyer": F.lit(" "), "supplier": F.concat("supplier", F.lit("*"))})
+    changed = first.filter("seq % 5 = 0").withColumns({"price_numeric_eur": F.lit(1.0), "scanned_service_type": F.lit("late")})
+    _arriving([first.unionByName(again), changed, c.filter("seq % 3 <> 0")], f"{folder}/in")
+    source = T.stream_contracts(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, _FILES)
+    T.merge_ingest(source, f"{folder}/out", f"{folder}/cp", f"{folder}/subs").awaitTermination()
+    return f"{folder}/out", f"{folder}/subs"
 
 
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, rows = _folder(spark), star.contracts(spark, sf_dir)
-    _pages_of(rows, f"{folder}/in", 3)
-    schema = spark.read.parquet(f"{folder}/in").schema
-    T.merge_ingest(T.stream_contracts(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/cp").awaitTermination()
-    return T.latest_snapshot(spark, f"{folder}/out").select("contract_id", "buyer", "supplier", "price_numeric_eur")
+    return T.latest_snapshot(spark, _ingested(spark, sf_dir)[0]).select("contract_id", "buyer", "supplier", "price_numeric_eur", "scanned_service_type", "category")
+
+
+def stream_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.latest_snapshot(spark, _ingested(spark, sf_dir)[1]).select("contract_id", "subcontractor", "supplier")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, rows = _folder(spark), star.contracts(spark, sf_dir).select(*_C)
-    rows.union(rows.filter("seq % 2 = 0")).coalesce(2).write.parquet(f"{folder}/in")
-    source = T.stream_contracts(spark, f"{folder}/in", rows.schema)
+    """Contracts in two pages, half of them twice; some have no id or an empty one."""
+    folder, rows = scratch(spark), star.contracts(spark, sf_dir).select("seq", F.expr("CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END").alias("contract_id"))
+    _arriving([rows, rows.filter("seq % 2 = 1")], f"{folder}/in")
+    source = T.stream_contracts(spark, f"{folder}/in", rows.schema, _FILES)
     T.dedup_ids(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("contract_id")
 
 
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, events = _folder(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder, events = scratch(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/*vents.parquet")
-    usage = T.running_usage(source.select(F.col("user_id").alias("session_id"), F.col("value").alias("cost_usd")))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
-
-    usage.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    requests = source.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 1000).alias("prompt_tokens"), (F.col("event_id") % 77).alias("completion_tokens"), F.col("value").alias("cost_usd"), F.col("event_id").alias("seq"))
+    T.usage_ingest(T.running_usage(requests), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    out = T.latest_usage(spark, f"{folder}/out")
+    return out.select("session_id", "prompt_tokens", "completion_tokens", "cost_usd", "requests", F.col("last.prompt_tokens").alias("last_prompt_tokens"), F.col("last.completion_tokens").alias("last_completion_tokens"), F.col("last.cost_usd").alias("last_cost_usd"))
 
 
-add("stream_merge_ingest", stream_merge, W + "SELECT contract_id, buyer, supplier, price_numeric_eur FROM c", "")
-add("stream_dedup_ids", stream_dedup, W + "SELECT contract_id FROM c", "")
-add("stream_usage", stream_usage, "SELECT user_id AS session_id, count(*) AS requests, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd FROM events GROUP BY 1", "")
+_PAGED = """, first AS (SELECT * FROM c WHERE seq % 3 = 0), m AS (SELECT contract_id, buyer, CASE WHEN seq % 3 = 0 AND seq % 2 = 0 AND seq % 5 <> 0 THEN supplier || '*' ELSE supplier END AS supplier,
+ CASE WHEN seq % 15 = 0 THEN 1.0 ELSE price_numeric_eur END AS price_numeric_eur, CASE WHEN seq % 15 = 0 THEN coalesce(scanned_service_type, 'late') ELSE scanned_service_type END AS scanned_service_type, seq, supplier AS own FROM c)"""
+add("stream_merge_ingest", stream_merge, W + _PAGED + " SELECT contract_id, buyer, CASE WHEN own IS NULL THEN NULL ELSE supplier END AS supplier, price_numeric_eur, scanned_service_type, 'not_decided' AS category FROM m", "")
+add("stream_expand_ingest", stream_expand, W + """, p AS (SELECT *, CASE WHEN seq % 6 = 0 THEN supplier || '*' ELSE supplier END AS first_supplier FROM c WHERE supplier IS NOT NULL)
+ SELECT contract_id, supplier AS subcontractor, first_supplier AS supplier FROM p UNION ALL SELECT contract_id, buyer, first_supplier FROM p""", "")
+add("stream_dedup_ids", stream_dedup, W + "SELECT CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END AS contract_id FROM c UNION ALL SELECT CASE WHEN seq % 10 = 3 THEN NULL ELSE '' END FROM c WHERE seq % 10 IN (3, 7)", "")
+add("stream_usage", stream_usage, "SELECT user_id AS session_id, CAST(sum(event_id % 1000) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 77) AS BIGINT) AS completion_tokens, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd, count(*) AS requests, max(event_id) % 1000 AS last_prompt_tokens, max(event_id) % 77 AS last_completion_tokens, arg_max(value, event_id) AS last_cost_usd FROM events GROUP BY 1", "")

@@ -6,30 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from registra.operators.maintenance import merge_contracts
+from registra.functions.labels import nz
+from registra.operators.maintenance import append_subcontractors, expand_subcontractors, merge_contracts
 from registra.sources.model import backfill_defaults
 
+PAGE = 40  #: bits of seq that a page's own row numbers take; the page's number stands above them
+
 
 def stream_contracts(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """Files of contracts as they arrive, a few at a time."""
+    """Files of contracts as they arrive, ``per_trigger`` at a time: as many as a page has."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def merge_ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Each batch is filled with defaults and merged into the snapshot before it.
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def merge_ingest(pages: DataFrame, target: str, checkpoint: str, subcontracts: str | None = None) -> StreamingQuery:
+    """Each page is filled with defaults and merged into the contracts before it, the first one into none.
 
-    Batch n writes the folder ``target``/snapshot=n, so a batch that is run again after a failure overwrites its own result; readers
-    take the highest number.
+    With ``subcontracts`` the merged contracts are then expanded, and rows that are new there are appended to a second dataset. Batch n
+    writes the folder snapshot=n, so a batch that is run again after a failure overwrites its own result; readers take the highest
+    number, and older folders than the one before are deleted. ``seq`` is unique over all pages and rises with them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         rows = backfill_defaults(batch)
-        if number:
-            before = batch.sparkSession.read.parquet(f"{target}/snapshot={number - 1}")
-            merged = merge_contracts(before, rows)
-            order = F.col("merged_ord")
-            rows = merged.withColumn("seq", order["_src"] * F.lit(1 << 50) + order["seq"]).drop("merged_ord")
-        rows.write.mode("overwrite").parquet(f"{target}/snapshot={number}")
+        before = spark.read.parquet(f"{target}/snapshot={number - 1}") if number else rows.limit(0)
+        merged = merge_contracts(before, rows)
+        order = F.col("merged_ord")
+        merged = merged.withColumn("seq", order["seq"] + F.when(order["_src"] == 1, F.lit(number << PAGE)).otherwise(F.lit(0))).drop("merged_ord")
+        merged.write.mode("overwrite").parquet(f"{target}/snapshot={number}")
+        if subcontracts:
+            expanded = expand_subcontractors(spark.read.parquet(f"{target}/snapshot={number}"))
+            known = spark.read.parquet(f"{subcontracts}/snapshot={number - 1}") if number else expanded.limit(0)
+            append_subcontractors(known, expanded).drop("is_new").write.mode("overwrite").parquet(f"{subcontracts}/snapshot={number}")
+        for folder in filter(None, (target, subcontracts)):
+            _remove(spark, f"{folder}/snapshot={number - 2}")
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -41,10 +56,36 @@ def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
 
 
 def dedup_ids(stream: DataFrame) -> DataFrame:
-    """Rows whose contract id was not seen before, in this run or an earlier one; the state is kept with the checkpoint."""
-    return stream.filter("contract_id IS NOT NULL").dropDuplicates(["contract_id"])
+    """Rows whose contract id was not seen before, in this run or an earlier one, and every row without an id.
+
+    The state holds ids only and is kept with the checkpoint; an empty id is none.
+    """
+    known = stream.filter(nz("contract_id").isNotNull()).dropDuplicates(["contract_id"])
+    return known.union(stream.filter(nz("contract_id").isNull()))
 
 
 def running_usage(stream: DataFrame) -> DataFrame:
-    """Requests and cost per session so far."""
-    return stream.groupBy("session_id").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum(F.col("cost_usd").cast("decimal(28,6)")).cast("double"), 6).alias("cost_usd"))
+    """Tokens, cost and requests per session so far, and its last request (the one with the largest seq)."""
+    return stream.groupBy("session_id").agg(
+        F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+        F.round(F.sum(F.col("cost_usd").cast("decimal(28,6)")).cast("double"), 6).alias("cost_usd"),
+        F.count(F.lit(1)).alias("requests"),
+        F.max_by(F.struct("prompt_tokens", "completion_tokens", "cost_usd"), "seq").alias("last"),
+    )
+
+
+def usage_ingest(usage: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes the sessions that a batch changed as the folder batch=n: work grows with the changes, not with all sessions."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return usage.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_usage(spark: SparkSession, target: str) -> DataFrame:
+    """The newest row of each session."""
+    rows = spark.read.parquet(target)
+    values = [c for c in rows.columns if c not in ("session_id", "batch")]
+    return rows.groupBy("session_id").agg(F.max_by(F.struct(*values), "batch").alias("r")).select("session_id", "r.*")
