@@ -1,157 +1,184 @@
 """Page tables (page_id, url, html) to rows: register listings, contract details and tender pages.
 
-A small reader on the standard library's HTML parser turns a page into raw cells, labels and links inside ``mapInPandas``; all
-further work on them is columns. Malformed markup is read leniently: unknown end tags are ignored.
+``cells`` turns pages into one table of elements: a small reader on the standard library's HTML parser gives each element of interest
+a row with its text, its attributes and where it stands (card, table, row, cell, list item, heading). Everything else is relational
+work on that table: filters, groups by where elements stand, and picks by position. Malformed markup is read
+leniently: unknown end tags are ignored, an open cell or item ends where the next one begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions import text as X
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that become rows; "#text" is a run of text that stands in none of them.
+KEPT = frozenset(["a", "dd", "dt", "h2", "li", "span", "strong", "td", "th", "#text"])
+_VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
+_WALLS = frozenset(["ul", "ol", "dl", "table"])
+#: Where an element stands: the number of the nearest element around it that fits, by column.
+_AROUND = {"card": lambda t, c: t == "div" and "card" in c, "body": lambda t, c: t == "div" and "card-body" in c, "tbl": lambda t, c: t == "table", "tbody": lambda t, c: t == "tbody", "tr": lambda t, c: t == "tr", "cell": lambda t, c: t in ("td", "th"), "item": lambda t, c: t == "li", "dl": lambda t, c: t == "dl", "link": lambda t, c: t == "a", "main": lambda t, c: t == "main"}
+CELLS = (
+    "page_id long, url string, ord int, tag string, text string, glued string, parts array<string>, classes array<string>, title string, href string, "
+    + ", ".join(f"{c} int" for c in _AROUND)
+    + ", table_classes array<string>, onclick string, heading string, heading_ord int"
+)
 
 
-class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.inside = tag, attrs, parent, []
+class _Reader(HTMLParser):
+    """Collects one dictionary for each kept element, in the order in which they begin."""
 
-    def walk(self) -> Iterator[Node]:
-        for x in self.inside:
-            if isinstance(x, Node):
-                yield x
-                yield from x.walk()
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.open: list[dict] = []  # tag, place and, for kept elements, the row
+        self.n = 0
+        self.heading: dict | None = None
+
+    def _begin(self, tag: str, attrs: dict[str, str]) -> dict:
+        self.n += 1
+        around = self.open[-1] if self.open else {"at": dict.fromkeys(_AROUND), "table_classes": [], "onclick": None, "mute": False}
+        classes = attrs.get("class", "").split()
+        node = {"tag": tag, "at": around["at"] | {k: self.n for k, fits in _AROUND.items() if fits(tag, classes)}}
+        node["table_classes"] = classes if tag == "table" else around["table_classes"]
+        node["onclick"] = attrs.get("onclick") if tag == "tr" else around["onclick"]
+        node["mute"] = around["mute"] or tag in ("script", "style")
+        if tag in KEPT:
+            head = self.heading or {}
+            row = {"ord": self.n, "tag": tag, "parts": [], "classes": classes, "title": attrs.get("title"), "href": attrs.get("href") or None, **around["at"], "table_classes": node["table_classes"], "onclick": node["onclick"], "head": head}
+            node["row"] = row
+            self.found.append(row)
+            if tag == "h2":
+                self.heading = row
+        return node
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] in _WALLS or tag not in _ENDS:
+                break
+            if self.open[i]["tag"] in _ENDS[tag]:
+                del self.open[i:]
+                if tag != "tr":
+                    break
+        node = self._begin(tag, {k: v or "" for k, v in attrs})
+        if tag not in _VOID:
+            self.open.append(node)
 
-    def all(self, *tags: str, cls: str | None = None) -> list[Node]:
-        return [n for n in self.walk() if n.tag in tags and (cls is None or cls in n.attrs.get("class", "").split())]
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._begin(tag, {k: v or "" for k, v in attrs})
 
-    def first(self, *tags: str, cls: str | None = None) -> Node | None:
-        return next(iter(self.all(*tags, cls=cls)), None)
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] == tag:
+                del self.open[i:]
+                break
 
-    def strings(self) -> Iterator[str]:
-        for x in self.inside:
-            if isinstance(x, str):
-                yield x
-            elif x.tag not in ("script", "style"):
-                yield from x.strings()
+    def handle_data(self, data: str) -> None:
+        text = data.strip()
+        if not text or (self.open and self.open[-1]["mute"]):
+            return
+        holders = [n["row"] for n in self.open if "row" in n] or [self._begin("#text", {})["row"]]
+        for row in holders:
+            row["parts"].append(text)
 
-    def text(self, sep: str = " ") -> str:
-        return sep.join(s for s in (x.strip() for x in self.strings()) if s)
+    def rows(self) -> Iterator[dict]:
+        for r in self.found:
+            head = r["head"]
+            yield r | {"text": " ".join(" ".join(r["parts"]).split()), "glued": "".join(r["parts"]), "heading": " ".join(head["parts"]) if head else None, "heading_ord": head.get("ord")}
 
-    def clean(self) -> str:
-        return " ".join(self.text().split())
 
-    def after(self) -> Iterator[Node]:
-        """Elements that follow beside this one."""
-        own = [x for x in self.parent.inside if isinstance(x, Node)] if self.parent else []
-        yield from own[own.index(self) + 1 :] if self.parent else ()
+def cells(pages: DataFrame) -> DataFrame:
+    """One row for each element of interest of each page; see ``CELLS``. A null page has none."""
+    names = [c.split()[0] for c in CELLS.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for page_id, url, html in zip(part.page_id, part.url, part.html):
+                reader = _Reader()
+                reader.feed(html or "")
+                reader.close()
+                out += [{"page_id": page_id, "url": url} | r for r in reader.rows()]
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.astype({c: "Int32" for c in (*_AROUND, "heading_ord", "ord")})
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):  # these end their like
-            n = self.at
-            while n.parent and n.tag not in ("ul", "ol", "table", "tbody", "thead", "dl", "select"):
-                if n.tag == tag or (tag in ("td", "th") and n.tag in ("td", "th")) or (tag in ("dt", "dd") and n.tag in ("dt", "dd")):
-                    self.at = n.parent
-                    break
-                if tag in ("td", "th") and n.tag == "tr":
-                    break
-                n = n.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.inside.append(node)
-        if tag not in _VOID:
-            self.at = node
+    return pages.select("page_id", "url", "html").mapInPandas(run, CELLS)
 
-    def handle_startendtag(self, tag, attrs):
-        self.at.inside.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
-    def handle_endtag(self, tag):
-        n = self.at
-        while n.parent and n.tag != tag:
-            n = n.parent
-        if n.parent:
-            self.at = n.parent
+def _is(*tags: str) -> Column:
+    return F.col("tag").isin(*tags)
 
-    def handle_data(self, data):
-        self.at.inside.append(data)
 
+def _has(classes: str, name: str) -> Column:
+    return F.array_contains(classes, name)
 
-def read_page(html: str | None) -> Node:
-    reader = _Reader()
-    reader.feed(html or "")
-    return reader.root
 
+def _nth(condition: Column, value: Column | str, n: int = 0) -> Column:
+    """Aggregate: the value of the n-th element (from zero) that fits, in the order of the page."""
+    value = F.col(value) if isinstance(value, str) else value
+    found = F.array_sort(F.collect_list(F.when(condition, F.struct("ord", value.alias("v")))))
+    return F.get(F.transform(found, lambda x: x["v"]), F.lit(n))
 
-def _rows(pages: DataFrame, extract: Callable[[Node], list[dict]], schema: str) -> DataFrame:
-    """(page_id, url, ord, ...): what ``extract`` finds in each page, in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found = [{"page_id": p, "url": u, "ord": i} | r for p, u, h in zip(part.page_id, part.url, part.html) for i, r in enumerate(extract(read_page(h)))]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in ("page_id long", "url string", "ord int", *schema.split(", "))])
+def _first(condition: Column, value: Column | str) -> Column:
+    """Aggregate: the value of the first element that fits."""
+    return F.min_by(F.col(value) if isinstance(value, str) else value, F.when(condition, F.col("ord")))
+
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, ord int, {schema}")
+def _positions(rows: DataFrame) -> DataFrame:
+    """Elements of table rows with ``pos``, the place (from zero) of their cell in its row, and ``n_cells``."""
+    own = Window.partitionBy("page_id", "tr")
+    starts = rows.filter(F.col("tr").isNotNull() & _is("td")).select("page_id", "tr", F.col("ord").alias("td"))
+    starts = starts.withColumns({"pos": F.row_number().over(own.orderBy("td")) - 1, "n_cells": F.count("*").over(own)})
+    inside = rows.filter("tr IS NOT NULL").withColumn("td", F.when(_is("td"), F.col("ord")).otherwise(F.col("cell")))
+    return inside.join(starts, ["page_id", "tr", "td"])
 
 
 def listing_rows(pages: DataFrame, base: str) -> DataFrame:
     """Rows of a register listing: date parts, title, link, number, price, parties and id."""
-
-    def extract(page: Node) -> list[dict]:
-        table = page.first("table", cls="table_list")
-        body = table.first("tbody") if table else None
-        out = []
-        for tr in body.all("tr") if body else []:
-            cells = tr.all("td")
-            if len(cells) < 5:
-                continue
-            days, link, spans = [s.text("") for s in cells[0].all("span", cls="d-block")], cells[1].first("a"), cells[1].all("span")
-            day, month, year = days[:3] if len(days) >= 3 else (None, None, None)
-            out.append({"day": day, "month": month, "year": year, "title": link.text("") if link else None, "href": link.attrs.get("href") if link else None, "number": spans[0].text("") if spans else None, "price": cells[2].text(""), "supplier": cells[3].text(""), "buyer": cells[4].text("")})
-        return out
-
-    raw = _rows(pages, extract, "day string, month string, year string, title string, href string, number string, price string, supplier string, buyer string")
-    link = X.absolute_url(F.lit(base), F.nullif("href", F.lit("")))
+    rows = _positions(cells(pages).filter(_has("table_classes", "table_list") & F.col("tbody").isNotNull())).filter("n_cells >= 5")
+    at = lambda pos, *tags: (F.col("pos") == pos) & _is(*tags)
+    day = at(0, "span") & _has("classes", "d-block")
+    raw = rows.groupBy("page_id", "tr").agg(
+        *[_nth(day, "glued", i).alias(c) for i, c in enumerate(("day", "month", "year"))],
+        _first(at(1, "a"), "glued").alias("title"), _first(at(1, "a"), "href").alias("href"), _first(at(1, "span"), "glued").alias("number"),
+        _first(at(2, "td"), "glued").alias("price"), _first(at(3, "td"), "glued").alias("supplier"), _first(at(4, "td"), "glued").alias("buyer"),
+    )
+    whole = F.col("year").isNotNull()
+    raw = raw.withColumns({c: F.when(whole, F.col(c)) for c in ("day", "month", "year")})
+    link = X.absolute_url(F.lit(base), F.col("href"))
     return raw.select(
-        "page_id", "ord", F.col("day").alias("published_day"), F.col("month").alias("published_month"), F.col("year").alias("published_year"),
+        "page_id", F.col("tr").alias("ord"), F.col("day").alias("published_day"), F.col("month").alias("published_month"), F.col("year").alias("published_year"),
         X.parse_slovak_date(F.col("day"), F.col("month"), F.col("year")).alias("published_date"), F.col("title").alias("contract_title"), F.col("number").alias("contract_number"),
         F.col("price").alias("price_raw"), X.parse_price(F.col("price")).alias("price_numeric_eur"), "supplier", "buyer", link.alias("contract_url"), X.url_id(link).alias("contract_id"),
     )
 
 
+def _card_names(rows: DataFrame) -> DataFrame:
+    headers = rows.filter(_is("h2") & _has("classes", "card-header") & F.col("card").isNotNull())
+    return headers.groupBy("page_id", "card").agg(_first(F.lit(True), "glued").alias("card_name"))
+
+
 def label_values(pages: DataFrame) -> DataFrame:
     """(page_id, url, ord, card, label, value, href, link_text): list items with a label, in cards and elsewhere (card null)."""
-
-    def extract(page: Node) -> list[dict]:
-        out, seen = [], set()
-        for card in [*page.all("div", cls="card"), page]:
-            whole = card is page
-            header, body = (None, page) if whole else (card.first("h2", cls="card-header"), card.first("div", cls="card-body"))
-            if not body or not (whole or header):
-                continue
-            for li in body.all("li"):
-                strong = li.first("strong")
-                if not strong or (whole and id(li) in seen):
-                    continue
-                seen.add(id(li))
-                raw, span, link = strong.text(), li.first("span"), li.first("a")
-                label = raw.rstrip(":").strip()
-                if label:
-                    value = span.text() if span else li.text().replace(raw, "", 1).strip(" :")
-                    out.append({"card": None if whole else header.text(""), "label": label, "value": value or None, "href": link.attrs.get("href") if link else None, "link_text": link.text() if link else None})
-        return out
-
-    return _rows(pages, extract, "card string, label string, value string, href string, link_text string")
+    rows = cells(pages)
+    rows = rows.join(_card_names(rows).alias("h"), ["page_id", "card"], "left").withColumn("item", F.when(_is("li"), F.col("ord")).otherwise(F.col("item")))
+    items = rows.filter("item IS NOT NULL").groupBy("page_id", "url", "item").agg(
+        _first(_is("li"), F.when(F.col("body").isNotNull(), F.col("card_name"))).alias("card"),
+        _first(_is("strong"), "text").alias("raw"), _first(_is("span"), "text").alias("span"), _first(_is("li"), "text").alias("whole"),
+        _first(_is("a"), "href").alias("href"), _first(_is("a"), "text").alias("link_text"),
+    )
+    label = F.trim(F.regexp_replace("raw", r":+$", ""))
+    at = F.expr("instr(whole, raw)")  # without the label
+    rest = F.concat(F.substring(F.col("whole"), F.lit(1), at - 1), F.substring(F.col("whole"), at + F.length("raw"), F.length("whole")))
+    value = F.nullif(F.when(F.col("span").isNotNull(), F.col("span")).otherwise(F.btrim(rest, F.lit(" :"))), F.lit(""))
+    return items.filter(label != "").select("page_id", "url", F.col("item").alias("ord"), "card", label.alias("label"), value.alias("value"), "href", F.when(F.col("link_text") != "", F.col("link_text")).alias("link_text"))
 
 
 def detail_identification(labels: DataFrame, base: str) -> DataFrame:
@@ -183,13 +210,10 @@ def detail_dates(labels: DataFrame) -> DataFrame:
 
 def detail_attachments(pages: DataFrame, base: str) -> DataFrame:
     """Absolute links to PDF files of the attachments card, in order; the first is the primary one."""
-
-    def extract(page: Node) -> list[dict]:
-        cards = [(c.first("h2", cls="card-header"), c.first("div", cls="card-body")) for c in page.all("div", cls="card")]
-        return [{"header": h.text(""), "href": a.attrs["href"]} for h, b in cards if h and b for a in b.all("a") if a.attrs.get("href")]
-
-    rows = _rows(pages, extract, "header string, href string").filter(F.contains(X.normalize_text(F.col("header")), F.lit("priloha")) & F.contains(F.lower("href"), F.lit(".pdf")))
-    links = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", X.absolute_url(F.lit(base), F.col("href")).alias("u")))).alias("l"))
+    rows = cells(pages)
+    links = rows.filter(_is("a") & F.col("body").isNotNull() & F.contains(F.lower("href"), F.lit(".pdf")))
+    links = links.join(_card_names(rows), ["page_id", "card"]).filter(F.contains(X.normalize_text(F.col("card_name")), F.lit("priloha")))
+    links = links.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", X.absolute_url(F.lit(base), F.col("href")).alias("u")))).alias("l"))
     return links.select("page_id", F.transform("l", lambda x: x["u"]).alias("pdf_urls"), F.get(F.transform("l", lambda x: x["u"]), F.lit(0)).alias("pdf_url"))
 
 
@@ -247,111 +271,74 @@ PORTAL2 = {
 }
 
 
-def _after_heading(page: Node, tag: str) -> Iterator[tuple[str, Node]]:
-    for h in page.all("h2"):
-        for n in h.after():
-            if n.tag == tag:
-                yield h.text(), n
-            if n.tag in (tag, "h2"):
-                break
+def _under_headings(rows: DataFrame, part: str) -> DataFrame:
+    """Elements in the first list or table (column ``part``) after each heading."""
+    first = F.min(part).over(Window.partitionBy("page_id", "heading_ord"))
+    return rows.filter(F.col(part).isNotNull() & F.col("heading_ord").isNotNull()).withColumn("first", first).filter(F.col(part) == F.col("first"))
 
 
 def tender_sections(pages: DataFrame) -> DataFrame:
     """(page_id, section, field, value): label lists below the three headings, labels translated or prefixed."""
-
-    def extract(page: Node) -> list[dict]:
-        out = []
-        for title, dl in _after_heading(page, "dl"):
-            for dt in dl.all("dt"):
-                dd = next((n for n in dt.after() if n.tag == "dd"), None)
-                if dd and dt.clean():
-                    out.append({"section": title, "label": dt.clean(), "value": dd.clean()})
-        return out
-
     spark = pages.sparkSession
     words = F.broadcast(spark.createDataFrame([(s, label, name) for s, (_, names) in SECTIONS.items() for label, name in names.items()], "s string, label string, field string"))
     prefixes = F.broadcast(spark.createDataFrame([(s, p) for s, (p, _) in SECTIONS.items()], "s string, prefix string"))
-    rows = _rows(pages, extract, "section string, label string, value string").withColumn("s", X.normalize_text(F.col("section"))).join(prefixes, "s")
-    rows = rows.join(words, ["s", "label"], "left").withColumn("field", F.coalesce("field", F.concat("prefix", F.lit("_"), X.snake_case(F.col("label")))))
+    later = Window.partitionBy("page_id", "dl").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    rows = _under_headings(cells(pages).filter(_is("dt", "dd")), "dl").withColumn("value", F.first(F.when(_is("dd"), F.col("text")), ignorenulls=True).over(later))
+    rows = rows.filter(_is("dt") & (F.col("text") != "") & F.col("value").isNotNull()).select("page_id", "ord", X.normalize_text(F.col("heading")).alias("s"), F.col("text").alias("label"), "value")
+    rows = rows.join(prefixes, "s").join(words, ["s", "label"], "left").withColumn("field", F.coalesce("field", F.concat("prefix", F.lit("_"), X.snake_case(F.col("label")))))
     return rows.groupBy("page_id", F.col("prefix").alias("section"), "field").agg(F.max_by("value", "ord").alias("value"))
 
 
-_DOCUMENT = "document_name string, document_title string, document_type string, file_size string, uploaded_at string, href string, is_external_link boolean"
-
-
 def _with_links(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("link", X.absolute_url(F.col("url"), F.col("href"))).drop("href", "url")
+    return rows.withColumn("link", X.absolute_url(F.col("url"), F.col("href"))).drop("href", "url", "tr")
 
 
 def tender_documents(pages: DataFrame) -> DataFrame:
     """Rows of the documents table of the first portal."""
-
-    def extract(page: Node) -> list[dict]:
-        out = []
-        for title, table in _after_heading(page, "table"):
-            body = table.first("tbody") if title.strip().lower() == "dokumenty" else None
-            for tr in body.all("tr") if body else []:
-                cells = [n for n in tr.inside if isinstance(n, Node) and n.tag == "td"]
-                if len(cells) < 4:
-                    continue
-                titled = [s for s in cells[0].all("span") if "title" in s.attrs]
-                plain = [s for s in titled if "file-icon" not in s.attrs.get("class", "")] or titled
-                link = next((a for a in cells[-1].all("a") if a.attrs.get("href")), None)
-                icon = link.first("span") if link else None
-                name = " ".join(plain[0].attrs["title"].split()) if plain else ""
-                out.append({"document_name": cells[0].clean(), "document_title": name or None, "document_type": cells[1].clean(), "file_size": cells[2].clean(), "uploaded_at": cells[3].clean(), "href": link.attrs["href"] if link else None, "is_external_link": bool(icon and "external-link" in icon.attrs.get("class", ""))})
-        return out
-
-    return _with_links(_rows(pages, extract, _DOCUMENT))
+    tables = _under_headings(cells(pages), "tbl").filter((F.lower(F.trim("heading")) == "dokumenty") & F.col("tbody").isNotNull())
+    rows = _positions(tables).filter("n_cells >= 4")
+    cell = lambda pos: _first((F.col("pos") == pos) & _is("td"), "text")
+    titled = (F.col("pos") == 0) & _is("span") & F.col("title").isNotNull()
+    last = F.col("pos") == F.col("n_cells") - 1
+    first_link = F.min(F.when(last & _is("a") & F.col("href").isNotNull(), F.col("ord"))).over(Window.partitionBy("page_id", "tr"))
+    rows = rows.withColumn("first_link", first_link)
+    out = rows.groupBy("page_id", "url", "tr").agg(
+        cell(0).alias("document_name"), F.coalesce(_first(titled & ~_has("classes", "file-icon"), "title"), _first(titled, "title")).alias("document_title"),
+        cell(1).alias("document_type"), cell(2).alias("file_size"), cell(3).alias("uploaded_at"), _first(_is("a") & (F.col("ord") == F.col("first_link")), "href").alias("href"),
+        F.coalesce(_first(_is("span") & (F.col("link") == F.col("first_link")), F.exists("classes", lambda x: F.contains(x, F.lit("external-link")))), F.lit(False)).alias("is_external_link"),
+    )
+    return _with_links(out.withColumn("document_title", F.nullif(X.clean_whitespace(F.col("document_title")), F.lit(""))))
 
 
 def portal2_detail(pages: DataFrame) -> DataFrame:
     """(page_id, field, value): header and value cells of the main tables of the second portal."""
-
-    def extract(page: Node) -> list[dict]:
-        main = page.first("main")
-        rows = [(tr.first("th"), tr.first("td")) for t in (main.all("table") if main else []) for tr in t.all("tr")]
-        found = [{"label": th.clean().rstrip(":"), "value": td.clean()} for th, td in rows if th and td]
-        return [r for r in found if r["label"] and r["value"]]
-
     words = F.broadcast(pages.sparkSession.createDataFrame(list(PORTAL2.items()), "n string, field string"))
-    rows = _rows(pages, extract, "label string, value string").withColumn("n", X.normalize_text(F.col("label"))).join(words, "n", "left")
+    rows = cells(pages).filter(F.col("main").isNotNull() & F.col("tr").isNotNull() & _is("th", "td"))
+    rows = rows.groupBy("page_id", "tr").agg(_first(_is("th"), "text").alias("label"), _first(_is("td"), "text").alias("value"))
+    rows = rows.withColumn("label", F.regexp_replace("label", ":+$", "")).filter((F.col("label") != "") & (F.col("value") != ""))
+    rows = rows.withColumn("n", X.normalize_text(F.col("label"))).join(words, "n", "left")
     rows = rows.withColumn("field", F.coalesce("field", F.concat(F.lit("info_"), X.snake_case(F.col("label")))))
-    return rows.groupBy("page_id", "field").agg(F.max_by("value", "ord").alias("value"))
+    return rows.groupBy("page_id", "field").agg(F.max_by("value", "tr").alias("value"))
 
 
 def portal2_documents(pages: DataFrame) -> DataFrame:
     """Rows of the second portal's documents table, which is known by a header; links come from the rows' click handlers."""
-
-    def extract(page: Node) -> list[dict]:
-        out = []
-        for table in page.all("table"):
-            if not any("druh dokumentu" in th.clean().lower() for th in table.all("th")):
-                continue
-            body = table.first("tbody")
-            for tr in body.all("tr") if body else []:
-                cells = [n for n in tr.inside if isinstance(n, Node) and n.tag == "td"]
-                if len(cells) >= 4:
-                    out.append({"document_name": cells[1].clean(), "document_title": cells[1].clean() or None, "document_type": cells[0].clean(), "file_size": None, "uploaded_at": cells[3].clean(), "href": tr.attrs.get("onclick"), "is_external_link": False})
-            break
-        return out
-
-    rows = _rows(pages, extract, _DOCUMENT)
-    target = F.nullif(F.regexp_extract("href", r"window\.location\.href\s*=\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))
-    return _with_links(rows.withColumn("href", target))
+    known = F.when(_is("th") & F.contains(F.lower("text"), F.lit("druh dokumentu")), F.col("tbl"))
+    rows = cells(pages).withColumn("wanted", F.min(known).over(Window.partitionBy("page_id")))
+    rows = _positions(rows.filter((F.col("tbl") == F.col("wanted")) & F.col("tbody").isNotNull())).filter("n_cells >= 4")
+    cell = lambda pos: _first((F.col("pos") == pos) & _is("td"), "text")
+    out = rows.groupBy("page_id", "url", "tr").agg(cell(1).alias("document_name"), cell(0).alias("document_type"), cell(3).alias("uploaded_at"), F.first("onclick", ignorenulls=True).alias("onclick"))
+    target = F.nullif(F.regexp_extract("onclick", r"window\.location\.href\s*=\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))
+    out = out.select("page_id", "url", "tr", "document_name", F.nullif("document_name", F.lit("")).alias("document_title"), "document_type", F.lit(None).cast("string").alias("file_size"), "uploaded_at", target.alias("href"), F.lit(False).alias("is_external_link"))
+    return _with_links(out)
 
 
 def portal2_file_meta(pages: DataFrame) -> DataFrame:
     """Title and size of the file cell (the text after the colon) and its link."""
-
-    def extract(page: Node) -> list[dict]:
-        link = next((a for a in page.all("a") if a.attrs.get("href")), None)
-        return [{"line": " ".join(s.split()), "href": link.attrs["href"] if link else None} for s in page.strings() if s.strip()]
-
-    rows = _rows(pages, extract, "line string, href string").withColumn("n", X.normalize_text(F.col("line")))
+    rows = cells(pages).withColumn("line", F.explode("parts")).withColumn("n", X.normalize_text(F.col("line")))
     value = F.nullif(F.trim(F.regexp_replace("line", "^[^:]*:", "")), F.lit(""))
     pick = lambda t: F.max_by(F.when(F.startswith("n", F.lit(t)), value), F.when(F.startswith("n", F.lit(t)), F.col("ord")))
-    return rows.groupBy("page_id").agg(pick("nazov suboru").alias("document_title"), pick("velkost").alias("file_size"), F.max("href").alias("download_link"))
+    return rows.groupBy("page_id").agg(pick("nazov suboru").alias("document_title"), pick("velkost").alias("file_size"), _first(_is("a") & F.col("href").isNotNull(), "href").alias("download_link"))
 
 
 def page_title(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra.functions import text as X
@@ -174,26 +177,74 @@ add("contract_context_all", lambda s, d: Q.contract_context(M.contract_tender_jo
 add("page_title", H.page_title, "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS page_title FROM pages", "pages")
 add("page_links", H.page_links, """SELECT page_id, pos AS ord, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE regexp_extract(regexp_replace(url, '[?#].*', ''), '^(.*/)', 1) || href END AS link
  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)))) AS pos FROM pages)""", "pages")
-#: Register pages written around the given pages' titles and URLs, so that the extraction jobs run over the whole table.
-_t = lambda: F.coalesce(F.regexp_extract("url", r"example\.com/(\w+)", 1), F.lit(""))
-_id = lambda: F.col("page_id").cast("string")
-_as = lambda html: lambda p: p.select("page_id", "url", html().alias("html"))
-_LIST = _as(lambda: F.concat(F.lit('<table class="table_list"><tbody><tr><td><span class="d-block">3.</span><span class="d-block">Marec</span><span class="d-block">2021</span></td><td><a href="/zmluva/'), _id(), F.lit('/">T '), _t(), F.lit("</a><span>N"), _id(), F.lit("</span></td><td>1 2"), F.lpad(F.col("page_id") % 100, 2, "0"), F.lit(",50 €</td><td>S</td><td>B</td></tr><tr><td>short</td></tr></tbody></table>")))
-_DETAIL = _as(lambda: F.concat(F.lit('<div class="card"><h2 class="card-header">Identifikácia zmluvy</h2><div class="card-body"><ul><li><strong>Č. zmluvy:</strong> <span>'), _id(), F.lit("</span></li><li><strong>Objednávateľ:</strong><span>B "), _t(), F.lit("</span></li><li><strong>IČO:</strong><span>1</span></li><li><strong>Dodávateľ:</strong><span>S</span></li><li><strong>IČO:</strong><span>2</span></li><li><strong>Verejné obstarávanie:</strong><a href='https://x.sk/sk/tender/"), _id(), F.lit("/summary'>Josephine</a></li></ul></div></div><div class='card'><h2 class='card-header'>Dátumy</h2><div class='card-body'><ul><li><strong>Dátum zverejnenia:</strong><span class='col-auto'>1.3.2026</span></li><li><strong>Dátum účinnosti:</strong><span class='col-auto'>neuvedený</span></li></ul></div></div><div class='card'><h2 class='card-header'>Príloha</h2><div class='card-body'><a href='/data/"), _id(), F.lit(".PDF'>x</a><a href='/y.doc'>y</a></div></div>")))
+#: Register and tender pages are not among the given ones. They are written here out of each given page: its title, its links and
+#: the page itself behind them, so that every answer depends on the whole ``html``.
 _BASE = "https://www.crz.gov.sk"
-add("listing_rows", lambda p: H.listing_rows(_LIST(p), _BASE).select("page_id", "published_date", "contract_title", "contract_number", "price_numeric_eur", "contract_url", "contract_id"), "SELECT page_id, '2021-03-03' AS published_date, trim('T ' || regexp_extract(url, 'example\\.com/(\\w+)', 1)) AS contract_title, 'N' || page_id AS contract_number, CAST('12' || lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '.5' AS DOUBLE) AS price_numeric_eur, 'https://www.crz.gov.sk/zmluva/' || page_id || '/' AS contract_url, CAST(page_id AS VARCHAR) AS contract_id FROM pages", "pages")
-add("detail_identification", lambda p: H.detail_identification(H.label_values(_DETAIL(p)), _BASE).select("page_id", "contract_number_detail", "buyer_detail", "supplier_detail", "ico_buyer", "ico_supplier"), "SELECT page_id, CAST(page_id AS VARCHAR) AS contract_number_detail, trim('B ' || regexp_extract(url, 'example\\.com/(\\w+)', 1)) AS buyer_detail, 'S' AS supplier_detail, '1' AS ico_buyer, '2' AS ico_supplier FROM pages", "pages")
-add("detail_dates", lambda p: H.detail_dates(H.label_values(_DETAIL(p))).select("page_id", "date_published", "date_effective"), "SELECT page_id, '2026-03-01' AS date_published, CAST(NULL AS VARCHAR) AS date_effective FROM pages", "pages")
-add("detail_attachments", lambda p: H.detail_attachments(_DETAIL(p), _BASE).select("page_id", "pdf_url", F.size("pdf_urls").alias("n")), "SELECT page_id, 'https://www.crz.gov.sk/data/' || page_id || '.PDF' AS pdf_url, 1 AS n FROM pages", "pages")
-add("detail_procurement_link", lambda p: H.detail_procurement_link(H.label_values(_DETAIL(p)), _BASE), "SELECT page_id, 'https://x.sk/sk/tender/' || page_id || '/summary' AS public_procurement_url, CAST(page_id AS VARCHAR) AS public_procurement_id, 'Josephine' AS public_procurement_portal FROM pages", "pages")
-add("canonical_listing_url", lambda p: H.canonical_listing_url(_as(lambda: F.concat(F.lit('<form class="f" id="frm_filter_3" action="/list/'), _id(), F.lit('/">')))(p), _BASE), "SELECT page_id, 'https://www.crz.gov.sk/list/' || page_id || '/' AS listing_url FROM pages", "pages")
-_TENDER = _as(lambda: F.concat(F.lit("<title> T "), _id(), F.lit(" </title><h2>Informácie</h2><dl><dt>ID zákazky</dt><dd>"), _id(), F.lit("</dd><dt>Niečo iné</dt><dd>x  y</dd></dl><h2>Termíny</h2><dl><dt>Lehota na predkladanie ponúk</dt><dd>zajtra</dd></dl><h2>Dokumenty</h2><table><tbody><tr><td><span title='Plný názov'>d"), _id(), F.lit("</span></td><td>Zmluva</td><td>3 kB</td><td>dnes</td><td><a href='/d/"), _id(), F.lit("'><span class='icon external-link'></span></a></td></tr><tr><td>1</td></tr></tbody></table>")))
-add("tender_sections", lambda p: H.tender_sections(_TENDER(p)), "SELECT page_id, s AS section, f AS field, coalesce(v, CAST(page_id AS VARCHAR)) AS value FROM pages, (VALUES ('info', 'notice_id', NULL), ('info', 'info_nieco_ine', 'x y'), ('term', 'offer_submission_deadline', 'zajtra')) t(s, f, v)", "pages")
-add("tender_documents", lambda p: H.tender_documents(_TENDER(p)).drop("ord"), "SELECT page_id, 'd' || page_id AS document_name, 'Plný názov' AS document_title, 'Zmluva' AS document_type, '3 kB' AS file_size, 'dnes' AS uploaded_at, true AS is_external_link, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/d/' || page_id AS link FROM pages", "pages")
-_P2 = _as(lambda: F.concat(F.lit("<main><table><tr><th>Názov zákazky:</th><td>"), _id(), F.lit("</td></tr><tr><th>Iný údaj</th><td>z</td></tr></table></main><table><thead><tr><th>Druh dokumentu</th></tr></thead><tbody><tr onclick=\"window.location.href='/dok/"), _id(), F.lit("'\"><td>a</td><td>b</td><td>c</td><td>d</td></tr></tbody></table>")))
-add("portal2_detail", lambda p: H.portal2_detail(_P2(p)), "SELECT page_id, f AS field, coalesce(v, CAST(page_id AS VARCHAR)) AS value FROM pages, (VALUES ('subject_name', NULL), ('info_iny_udaj', 'z')) t(f, v)", "pages")
-add("portal2_documents", lambda p: H.portal2_documents(_P2(p)).select("page_id", "document_name", "document_type", "uploaded_at", "link"), "SELECT page_id, 'b' AS document_name, 'a' AS document_type, 'd' AS uploaded_at, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/dok/' || page_id AS link FROM pages", "pages")
-add("portal2_file_meta", lambda p: H.portal2_file_meta(_as(lambda: F.concat(F.lit("<td>Názov súboru: f"), _id(), F.lit(".pdf<br>Veľkosť: 10 kB<a href='/s/1'>x</a></td>")))(p)), "SELECT page_id, 'f' || page_id || '.pdf' AS document_title, '10 kB' AS file_size, '/s/1' AS download_link FROM pages", "pages")
+
+
+def _page(*parts: str, each: str | None = None, end: str = "") -> Callable[[DataFrame], DataFrame]:
+    """Pages of a template: {id}, {title}, {first} (the first link), {size} (length of the title), {n} (number of links); ``each`` is repeated for each link ({link}, {i})."""
+
+    def fill(text: str, values: dict) -> Column:
+        pieces = re.split(r"\{(\w+)\}", text)
+        return F.concat(*[F.lit(x) if i % 2 == 0 else values[x] for i, x in enumerate(pieces)])
+
+    def run(pages: DataFrame) -> DataFrame:
+        links = F.regexp_extract_all("html", F.lit(r'<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
+        title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+        values = {"id": F.col("page_id").cast("string"), "title": title, "first": F.coalesce(F.get(links, F.lit(0)), F.lit("")), "size": F.length(title).cast("string"), "n": F.size(links).cast("string"), "month": (F.col("page_id") % 12 + 1).cast("string"), "year": (2000 + F.length(title) % 25).cast("string")}
+        rows = F.array_join(F.transform(links, lambda x, i: fill(each, values | {"link": x, "i": i.cast("string")})), "") if each else F.lit("")
+        return pages.select("page_id", "url", F.concat(fill("".join(parts), values), rows, F.lit(end), "html").alias("html"))
+
+    return run
+
+
+_LIST = _page(
+    '<table class="table_list"><tbody><tr><td>short</td></tr>',
+    each='<tr><td><span class="d-block">3.</span><span class="d-block">Marec</span><span class="d-block">{year}</span></td><td><a href="/zmluva/{id}0{i}/">{title}</a><span>{link}</span></td><td>{size} 0{i},50 €</td><td>{link}</td><td>{title}</td></tr>',
+    end="</tbody></table>",
+)
+_DETAIL = _page(
+    '<div class="card"><h2 class="card-header">Identifikácia zmluvy</h2><div class="card-body"><ul><li><strong>Č. zmluvy:</strong> <span>{id}</span></li>',
+    "<li><strong>Objednávateľ:</strong><span>{title}</span></li><li><strong>IČO:</strong><span>{size}</span></li><li><strong>Dodávateľ:</strong> {first} </li><li><strong>IČO:</strong><span>{n}</span></li>",
+    "<li><strong>Verejné obstarávanie:</strong><a href='https://x.sk/sk/tender/{id}{first}/summary'>{title}</a></li></ul></div></div>",
+    "<div class='card'><h2 class='card-header'>Dátumy</h2><div class='card-body'><ul><li><strong>Dátum zverejnenia:</strong><span class='col-auto'>{n}.{month}.{year}</span></li><li><strong>Dátum účinnosti:</strong><span>neuvedený</span></li></ul></div></div>",
+    "<div class='card'><h2 class='card-header'>Príloha</h2><div class='card-body'><a href='/y.doc'>y</a>",
+    each="<a href='{link}.PDF'>x</a>",
+    end="</div></div>",
+)
+_TENDER = _page(
+    "<h2>Informácie</h2><dl><dt>ID zákazky</dt><dd>{id}</dd><dt>Niečo iné</dt><dd>{title}</dd></dl><h2>Termíny</h2><dl><dt>Lehota na predkladanie ponúk</dt><dd>{first}</dd></dl><h2>Dokumenty</h2><table><tbody><tr><td>1</td></tr>",
+    each="<tr><td><span class='file-icon' title='no'></span><span title='{link}  {i}'>{link}</span></td><td>{title}</td><td>{size} kB</td><td>{id}</td><td><a href='{link}'><span class='icon external-link'></span></a></td></tr>",
+    end="</tbody></table>",
+)
+_P2 = _page(
+    "<main><table><tr><th>Názov zákazky:</th><td>{title}</td></tr><tr><th>Iný údaj</th><td>{first}</td></tr></table></main><table><thead><tr><th>Druh dokumentu</th></tr></thead><tbody>",
+    each="<tr onclick=\"window.location.href='{link}'\"><td>{id}</td><td>{link}</td><td>{i}</td><td>{title}</td></tr>",
+    end="</tbody></table>",
+)
+_PG = """WITH pg AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t0, length(t0) AS size, trim(regexp_replace(replace(replace(t0, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t,
+  regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1) AS ls, coalesce(ls[1], '') AS l1, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site FROM pages),
+ lk AS (SELECT *, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM pg) """
+add("listing_rows", lambda p: H.listing_rows(_LIST(p), _BASE).select("page_id", "published_date", "contract_title", "contract_number", "price_numeric_eur", "supplier", "buyer", "contract_url", "contract_id"), _PG + """
+SELECT page_id, (2000 + size % 25) || '-03-03' AS published_date, t AS contract_title, l AS contract_number, CAST(size || '0' || i || '.5' AS DOUBLE) AS price_numeric_eur, l AS supplier, t AS buyer,
+ 'https://www.crz.gov.sk/zmluva/' || page_id || '0' || i || '/' AS contract_url, page_id || '0' || i AS contract_id FROM lk""", "pages")
+add("detail_identification", lambda p: H.detail_identification(H.label_values(_DETAIL(p)), _BASE).select("page_id", "contract_number_detail", "buyer_detail", "supplier_detail", "ico_buyer", "ico_supplier"), _PG + """
+SELECT page_id, CAST(page_id AS VARCHAR) AS contract_number_detail, t AS buyer_detail, nullif(l1, '') AS supplier_detail, CAST(size AS VARCHAR) AS ico_buyer, CAST(len(ls) AS VARCHAR) AS ico_supplier FROM pg""", "pages")
+add("detail_dates", lambda p: H.detail_dates(H.label_values(_DETAIL(p))).select("page_id", "date_published", "date_effective"), _PG + """
+SELECT page_id, (2000 + size % 25) || '-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(len(ls) AS VARCHAR), 2, '0') AS date_published, CAST(NULL AS VARCHAR) AS date_effective FROM pg""", "pages")
+add("detail_attachments", lambda p: H.detail_attachments(_DETAIL(p), _BASE).select("page_id", "pdf_url", F.array_join("pdf_urls", " ").alias("pdf_urls")), _PG + """
+SELECT page_id, 'https://www.crz.gov.sk' || l1 || '.PDF' AS pdf_url, array_to_string(list_transform(ls, lambda x: 'https://www.crz.gov.sk' || x || '.PDF'), ' ') AS pdf_urls FROM pg WHERE len(ls) > 0""", "pages")
+add("detail_procurement_link", lambda p: H.detail_procurement_link(H.label_values(_DETAIL(p)), _BASE), _PG + """
+SELECT page_id, 'https://x.sk/sk/tender/' || page_id || l1 || '/summary' AS public_procurement_url, CAST(page_id AS VARCHAR) AS public_procurement_id, t AS public_procurement_portal FROM pg""", "pages")
+add("canonical_listing_url", lambda p: H.canonical_listing_url(_page('<form class="f" id="frm_filter_3" action="/list{first}">')(p), _BASE), _PG + "SELECT page_id, 'https://www.crz.gov.sk/list' || l1 AS listing_url FROM pg", "pages")
+add("tender_sections", lambda p: H.tender_sections(_TENDER(p)), _PG + """
+SELECT page_id, s AS section, f AS field, CASE v WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN t ELSE l1 END AS value FROM pg, (VALUES ('info', 'notice_id', 0), ('info', 'info_nieco_ine', 1), ('term', 'offer_submission_deadline', 2)) x(s, f, v)""", "pages")
+add("tender_documents", lambda p: H.tender_documents(_TENDER(p)), _PG + """
+SELECT page_id, l AS document_name, l || ' ' || i AS document_title, t AS document_type, size || ' kB' AS file_size, CAST(page_id AS VARCHAR) AS uploaded_at, true AS is_external_link, site || l AS link FROM lk""", "pages")
+add("portal2_detail", lambda p: H.portal2_detail(_P2(p)), _PG + "SELECT page_id, f AS field, CASE v WHEN 0 THEN t ELSE l1 END AS value FROM pg, (VALUES ('subject_name', 0), ('info_iny_udaj', 1)) x(f, v)", "pages")
+add("portal2_documents", lambda p: H.portal2_documents(_P2(p)).select("page_id", "document_name", "document_type", "uploaded_at", "link"), _PG + "SELECT page_id, l AS document_name, CAST(page_id AS VARCHAR) AS document_type, t AS uploaded_at, site || l AS link FROM lk", "pages")
+add("portal2_file_meta", lambda p: H.portal2_file_meta(_page("<td>Názov súboru: {title}<br>Veľkosť: {size} kB<a href='{first}'>x</a></td>")(p)), _PG + "SELECT page_id, t AS document_title, size || ' kB' AS file_size, l1 AS download_link FROM pg", "pages")
 
 # ---------------------------------------------------------------- files
 
