@@ -82,6 +82,7 @@ def parse_dotted_date(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Contract text: line breaks and blanks evened out, letters set apart glued together."""
+    # fixed values: the four patterns
     c = F.regexp_replace(c, "\r", "\n")
     c = F.regexp_replace(c, "\n{2,}", "\n")
     c = F.regexp_replace(c, "[ \t]{2,}", " ")

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from registra.functions.labels import contract_block, money_text, nz, provenance, reference_line
+from registra.functions.labels import contract_block, money_text, nz, reference_line
 from registra.functions.text import mentioned_years
 
-from .aggregates import PRICE, category_breakdown, institutions, remainder_summary, scope_summary, top_contracts, vendors
+from .aggregates import category_breakdown, remainder_summary, scope_summary, top_contracts
 from .filters import FilterState
 
 FULL, TOP, REFERENCES = 100, 20, 50
@@ -53,37 +54,83 @@ def scoped_context(df: DataFrame, top_n: int = TOP) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def context_provenance(df: DataFrame, top_n: int = TOP) -> DataFrame:
-    few = df.limit(FULL + 1).count() <= FULL
-    rows = df if few else top_contracts(df, top_n)
-    return rows.withColumn("contract_url", F.col("contract_url") if "contract_url" in rows.columns else F.lit(None).cast("string")).select(*provenance())
+def _value(c: Column) -> Column:
+    return F.coalesce(nz(c.cast("string")), F.lit("not extracted"))
+
+
+def _named_lines(pairs: list[tuple[str, Column]], indent: str) -> Column:
+    """Lines "name: value" of the fields that are there."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{indent}{name}: "), value.cast("string")) for name, value in pairs])
+
+
+def _document_lines(d: Column, number: Column, fields: list[str]) -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("  Document "), number.cast("string"), F.lit(":")), nz(_named_lines([(f, d[f]) for f in fields], "    ")))
+
+
+def _bidder_line(b: Column, number: Column, fields: list[str]) -> Column:
+    at = lambda f: F.coalesce(b[f].cast("string"), F.lit("?")) if f in fields else F.lit("?")
+    return F.concat(F.lit("      "), number.cast("string"), F.lit(". "), at("name"), F.lit(" (ICO: "), at("ico"), F.lit(") — proposed: "), at("proposed_sum"), F.lit(" ("), at("proposed_sum_eur"), F.lit(" EUR)"))
+
+
+def _part_lines(p: Column, number: Column, kind: StructType) -> Column:
+    """A part of a tender: its number, its other fields as they come, its bidders and its notes."""
+    names = kind.fieldNames()
+    lines = [F.concat(F.lit("  ─── Part "), F.coalesce(p["part_number"].cast("string"), number.cast("string")), F.lit(" ───"))]
+    if "fields" in names:
+        others = F.filter(F.map_entries(p["fields"]), lambda e: ~e["key"].isin("part_number", "participants", "notes", "document", "pdf_text"))
+        lines.append(nz(F.array_join(F.transform(others, lambda e: F.concat(F.lit("    "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")))
+        text = F.try_element_at(p["fields"], F.lit("pdf_text"))
+        lines.append(F.when(nz(text).isNotNull(), F.concat(F.lit("    Part PDF text:\n    "), text)))
+    if "participants" in names:
+        fields = kind["participants"].dataType.elementType.fieldNames()
+        bidders = F.transform(p["participants"], lambda b, i: _bidder_line(b, i + 1, fields))
+        lines.append(F.when(F.size(p["participants"]) > 0, F.concat(F.lit("    Participants ("), F.size(p["participants"]).cast("string"), F.lit("):\n"), F.array_join(bidders, "\n"))))
+    if "notes" in names:
+        lines.append(F.concat(F.lit("    Notes: "), nz(p["notes"])))
+    return F.concat_ws("\n", *lines)
 
 
 def contract_context(joined: DataFrame) -> DataFrame:
-    """(contract_id, section, ord, text) of contracts with their tender struct: fields, tender, documents, parts and bidders."""
+    """(contract_id, section, ord, text) of contracts with their tender struct: fields, tender, documents and parts with their bidders.
+
+    Every document and every part is a row of its own, so no contract gathers more than it has. A contract that names a tender which is not
+    there says so.
+    """
     plain = joined.drop("tender")
-    parts = [joined.select("contract_id", F.lit("fields").alias("section"), F.lit(0).alias("ord"), contract_block(plain).alias("text"))]
+    row = lambda df, section, order, text: df.select("contract_id", F.lit(section).alias("section"), order.cast("int").alias("ord"), text.alias("text"))
+    parts = [row(joined, "fields", F.lit(0), contract_block(plain))]
     fields = {f.name: f.dataType for f in joined.schema["tender"].dataType.fields}
-    has = joined.filter("tender IS NOT NULL")
+    has, without = joined.filter("tender IS NOT NULL"), joined.filter("tender IS NULL")
     scalars = [n for n, t in fields.items() if t.typeName() not in ("array", "map", "struct")]
-    lines = [F.concat(F.lit(f"{n}: "), F.coalesce(nz(F.col(f"tender.{n}").cast("string")), F.lit("not extracted"))) for n in scalars]
-    parts.append(has.select("contract_id", F.lit("tender").alias("section"), F.lit(0).alias("ord"), F.concat_ws("\n", *lines).alias("text")))
-    for name in ("documents", "parts"):
+    lines = [F.concat(F.lit(f"{n.replace('_', ' ').capitalize()} [{n}]: "), _value(F.col(f"tender.{n}"))) for n in scalars]
+    parts.append(row(has, "tender", F.lit(0), F.concat_ws("\n", *lines)))
+    number = nz(F.trim(F.col("public_procurement_id").cast("string")))
+    note = F.concat(F.lit("Note: contract has public_procurement_id="), number, F.lit(" but no matching tender record was found."))
+    parts.append(row(without.filter(number.isNotNull()), "note", F.lit(0), note))
+    shown = {"documents": lambda x, i, kind: _document_lines(x, i + 1, kind.fieldNames()), "parts": lambda x, i, kind: _part_lines(x, i + 1, kind)}
+    for name, text in shown.items():
         if name in fields:
+            kind = fields[name].elementType
             rows = has.select("contract_id", F.posexplode(f"tender.{name}").alias("ord", "x"))
-            parts.append(rows.select("contract_id", F.lit(name).alias("section"), "ord", F.to_json("x").alias("text")))
+            parts.append(row(rows, name, F.col("ord"), text(F.col("x"), F.col("ord"), kind)))
+            parts.append(row(has.filter(F.coalesce(F.size(f"tender.{name}"), F.lit(0)) <= 0), name, F.lit(0), F.lit(f"Tender {name}: none")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _entities(df: DataFrame) -> DataFrame:
-    return institutions(df).select(F.lit("institution").alias("kind"), "name").union(vendors(df).select(F.lit("vendor"), "name"))
+    sides = [df.filter(F.col(c).isNotNull()).select(F.lit(kind).alias("kind"), F.col(c).alias("name")).distinct() for kind, c in (("institution", "buyer"), ("vendor", "supplier"))]
+    return sides[0].union(sides[1])
+
+
+GRAM = 8  #: characters by which names and messages meet; a shorter name meets by all it has
 
 
 def entity_refusals(messages: DataFrame, contracts: DataFrame, state: FilterState) -> DataFrame:
     """(message_id, kind, name): entities that a message names and the active selection of that kind lacks.
 
-    Names are looked up as single words first: a name can only be in a message that has its first word, so messages and names
-    meet by word, and the whole name is then looked for. Without a selection of a kind nothing of that kind is refused.
+    A message that holds a name holds each run of eight characters of it. Names wait under the run that fewest names share, messages
+    look up all of theirs, by equality; only then is the whole name looked for in the text. Beginnings that many names share
+    bring nothing together. Without a selection of a kind nothing of that kind is refused.
     """
     scoped = {"institution": [x.lower() for x in state.institutions or []], "vendor": [x.lower() for x in state.vendors or []]}
     names = _entities(contracts).filter(F.trim("name") != "").withColumn("low", F.lower("name"))
@@ -91,14 +138,20 @@ def entity_refusals(messages: DataFrame, contracts: DataFrame, state: FilterStat
     for kind, chosen in scoped.items():
         if chosen:
             wanted = wanted | ((F.col("kind") == kind) & ~F.col("low").isin(chosen))
-    names = names.filter(wanted).withColumn("gram", F.substring(F.regexp_replace("low", r"^\s+", ""), 1, 5))
+    names = names.filter(wanted).withColumn("size", F.least(F.length("low"), F.lit(GRAM)))
+
+    def runs(text: str, size: Column | int) -> Column:
+        last = F.length(text) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(size) if isinstance(size, int) else size)))).otherwise(F.array().cast("array<string>"))
+
+    grams = names.select("kind", "name", "low", F.explode(runs("low", F.col("size"))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    waiting = grams.join(shared, "gram").groupBy("kind", "name", "low").agg(F.min(F.struct("names", "gram")).alias("g")).select("kind", "name", "low", "g.gram")
+    sizes = [r.size for r in names.select("size").distinct().collect()]  # at most eight numbers
     text = messages.select("message_id", F.lower("text").alias("msg"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("msg"), F.lit(1))), lambda i: F.substring(F.col("msg"), i, 5)))
-    by_gram = text.select("message_id", "msg", F.explode(grams).alias("gram"))
-    short = names.filter(F.length("gram") < 5)
-    long_hits = by_gram.join(names.filter(F.length("gram") == 5), "gram").filter(F.contains("msg", "low"))
-    short_hits = text.join(short, F.contains("msg", "low"))
-    return long_hits.select("message_id", "kind", "name").union(short_hits.select("message_id", "kind", "name")).distinct()
+    asked = text.select("message_id", F.explode(F.flatten(F.array(*[runs("msg", n) for n in sizes]) if sizes else F.array().cast("array<array<string>>"))).alias("gram"))
+    met = asked.join(waiting, "gram").select("message_id", "kind", "name", "low")
+    return met.join(text, "message_id").filter(F.contains("msg", "low")).select("message_id", "kind", "name").distinct()
 
 
 def year_refusals(messages: DataFrame, state: FilterState) -> DataFrame:

@@ -130,7 +130,12 @@ _doc = lambda f, name: lambda d: d.select("doc_id", f(F.col("text")).alias(name)
 add("normalize_text", _doc(lambda t: F.sha2(X.normalize_text(t), 256), "h"), "SELECT doc_id, sha256(lower(regexp_replace(strip_accents(text), '^\\s+|\\s+$', '', 'g'))) AS h FROM documents", "documents")
 add("clean_whitespace", _doc(lambda t: F.sha2(X.clean_whitespace(t), 256), "h"), "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents", "documents")
 add("snake_case", lambda c: c.select("seq", X.snake_case(F.concat_ws(" / ", "contract_title", "buyer")).alias("s")), "SELECT seq, coalesce(nullif(trim(regexp_replace(lower(concat_ws(' / ', contract_title, buyer)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS s FROM c")
-add("clean_text", _doc(lambda t: F.length(X.clean_text(t)), "n"), None, "documents")
+_WORD = "[\\p{L}\\p{M}\\p{N}_]"
+add("clean_text", _doc(lambda t: F.sha2(X.clean_text(t), 256), "h"), f"""
+WITH e AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '\\n{{2,}}', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g') AS t FROM documents),
+ k AS (SELECT doc_id, t, regexp_extract_all(t, '\\S+|\\s+') AS ks FROM e)
+SELECT doc_id, sha256(regexp_replace(coalesce(array_to_string(list_transform(ks, lambda x, i: CASE WHEN regexp_matches(x, '^\\s') AND i > 1 AND i < len(ks)
+ AND regexp_matches(ks[i - 1], '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){_WORD}$') AND regexp_matches(ks[i + 1], '^{_WORD}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN '' ELSE x END), ''), t), '^\\s+|\\s+$', '', 'g')) AS h FROM k""", "documents")
 add("safe_filename", lambda p: p.select("page_id", X.safe_filename(F.col("url")).alias("name")), "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '._') AS name FROM pages", "pages")
 add("is_readable_text", _doc(lambda t: X.is_readable(t), "ok"), "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) >= 30 AS ok FROM documents", "documents")
 add("truncate_text", _doc(lambda t: F.sha2(X.truncate(t, 500), 256), "h"), "SELECT doc_id, sha256(substring(text, 1, 500)) AS h FROM documents", "documents")
@@ -168,9 +173,33 @@ add("scoped_context_sections", lambda c: Q.scoped_context(_slim(P.apply(c, Filte
 add("scoped_context_summary", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).filter("section = 'summary'").select("ord", "text"), f""", a AS (SELECT {SUMMARY}, min(published_date) AS d0, max(published_date) AS d1 FROM c WHERE published_date >= '1996-01-01')
  SELECT 0 AS ord, 'Contracts in scope: ' || contract_count AS text FROM a UNION ALL SELECT 1, 'Total value: ' || format('{{:,.2f}}', total_spend) || ' EUR' FROM a UNION ALL SELECT 2, 'Average value: ' || format('{{:,.2f}}', avg_value) || ' EUR' FROM a UNION ALL SELECT 3, 'Maximum value: ' || format('{{:,.2f}}', max_value) || ' EUR' FROM a UNION ALL SELECT 4, 'Date range: ' || d0 || ' to ' || d1 FROM a""")
 add("scoped_context_small", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(institutions=["NATION_6 BUILDING"], date_from="2001-01-01")))).filter("section = 'contract'").select("ord", F.substring_index("text", "\n", 1).alias("first_line")), ", t AS (SELECT contract_id, row_number() OVER (ORDER BY seq) AS ord FROM c WHERE buyer = 'NATION_6 BUILDING' AND published_date >= '2001-01-01') SELECT ord, 'Contract ID [contract_id]: ' || contract_id AS first_line FROM t WHERE (SELECT count(*) FROM t) <= 100")
-add("contract_context_sections", lambda s, d: (lambda j: Q.contract_context(j).select("contract_id", "section", "ord"))(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")).filter("seq % 50 = 1"), _bids(s.read.parquet(f"{d}/part.parquet")))), W + "SELECT contract_id, 'fields' AS section, 0 AS ord FROM c WHERE seq % 50 = 1 UNION ALL SELECT contract_id, x, 0 FROM c JOIN part ON p_partkey = seq, (VALUES ('tender'), ('parts')) v(x) WHERE seq % 50 = 1", "")
-#: The same over all contracts, whatever their number.
-add("contract_context_all", lambda s, d: Q.contract_context(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")), _bids(s.read.parquet(f"{d}/part.parquet")))).select("contract_id", "section", "ord"), W + "SELECT contract_id, 'fields' AS section, 0 AS ord FROM c UNION ALL SELECT contract_id, x, 0 FROM c JOIN part ON p_partkey = seq, (VALUES ('tender'), ('parts')) v(x)", "")
+add("contract_context_sections", lambda s, d: _contexts(s, d).select("contract_id", "section", "ord"), W + """, h AS (SELECT c.contract_id, p_partkey FROM c LEFT JOIN part ON p_partkey = seq)
+SELECT contract_id, 'fields' AS section, 0 AS ord FROM h UNION ALL SELECT contract_id, 'note', 0 FROM h WHERE p_partkey IS NULL UNION ALL SELECT contract_id, 'tender', 0 FROM h WHERE p_partkey IS NOT NULL
+UNION ALL SELECT contract_id, 'documents', i FROM h, range(3) t(i) WHERE p_partkey IS NOT NULL UNION ALL SELECT contract_id, 'parts', i FROM h, range(2) t(i) WHERE p_partkey IS NOT NULL AND (i = 0 OR p_partkey % 5 <> 0)""", "")
+
+
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    """Every contract's context, with a tender of the contract's number where there is a part of it."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    tenders = M.normalise_parts(_legacy(p)).join(_with_documents(p), "tender_id").join(p.select(F.col("p_partkey").alias("tender_id"), F.col("p_name").alias("subject_name")), "tender_id")
+    return Q.contract_context(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")), tenders))
+
+
+#: The same over all contracts, with every section's text.
+add("contract_context_all", lambda s, d: _contexts(s, d).select("contract_id", "section", "ord", F.sha2("text", 256).alias("h")), W + """,
+x AS (SELECT contract_id, 'fields' AS section, 0 AS ord, 'Contract ID [contract_id]: ' || contract_id || chr(10) || 'Title [contract_title]: ' || coalesce(contract_title, 'not extracted') || chr(10) || 'Buyer [buyer]: ' || buyer || chr(10)
+  || 'Supplier [supplier]: ' || coalesce(supplier, 'not extracted') || chr(10) || 'Price in EUR (numeric) [price_numeric_eur]: ' || coalesce(format('{:,.2f}', price_numeric_eur) || ' EUR', 'not extracted') || chr(10)
+  || 'Published date (normalized) [published_date]: ' || published_date || chr(10) || 'Scanned service type [scanned_service_type]: ' || coalesce(scanned_service_type, 'not extracted') || chr(10) || 'Award type [award_type]: ' || award_type || chr(10)
+  || 'Supplier ICO [ico_supplier]: ' || coalesce(ico_supplier, 'not extracted') || chr(10) || 'Public procurement id [public_procurement_id]: ' || contract_id AS text FROM c
+ UNION ALL SELECT contract_id, 'note', 0, 'Note: contract has public_procurement_id=' || contract_id || ' but no matching tender record was found.' FROM c WHERE seq NOT IN (SELECT p_partkey FROM part)
+ UNION ALL SELECT contract_id, 'tender', 0, 'Tender id [tender_id]: ' || p_partkey || chr(10) || 'Subject name [subject_name]: ' || p_name FROM c JOIN part ON p_partkey = seq
+ UNION ALL SELECT contract_id, 'documents', i, '  Document ' || (i + 1) || ':' || chr(10) || '    document_type: ' || CASE i WHEN 0 THEN 'Informácia o výsledku vyhodnotenia ponúk ' || p_brand WHEN 1 THEN p_type || CASE WHEN p_size % 2 = 0 THEN ' - INFORMÁCIA O VÝSLEDKU VYHODNOTENIA PONÚK' ELSE '' END ELSE p_name END
+  || chr(10) || '    title: ' || i || ' ' || p_name FROM c JOIN part ON p_partkey = seq, range(3) t(i)
+ UNION ALL SELECT contract_id, 'parts', 0, '  ─── Part 7 ───' || chr(10) || '    Notes: ' || p_name FROM c JOIN part ON p_partkey = seq WHERE p_partkey % 5 = 0
+ UNION ALL SELECT contract_id, 'parts', 0, '  ─── Part 1 ───' || chr(10) || '    error: ' || p_name || chr(10) || '    Participants (' || (p_size % 3 + 1) || '):' || chr(10)
+  || array_to_string(list_transform(range(1, p_size % 3 + 2), lambda i: '      ' || i || '. ' || p_brand || ' ' || i || ' (ICO: ' || i || ') — proposed: ? (' || (p_retailprice + i) || ' EUR)'), chr(10)) FROM c JOIN part ON p_partkey = seq WHERE p_partkey % 5 <> 0
+ UNION ALL SELECT contract_id, 'parts', 1, '  ─── Part 2 ───' || chr(10) || '    lot: ' || p_size || chr(10) || '    winner: ' || p_type || chr(10) || '    Notes: ai ' || p_brand FROM c JOIN part ON p_partkey = seq WHERE p_partkey % 5 <> 0)
+SELECT contract_id, section, ord, sha256(text) AS h FROM x""", "")
 
 # ---------------------------------------------------------------- pages
 
