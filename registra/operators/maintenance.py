@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,12 @@ def _merged_map(ordered: Column) -> Column:
     return F.aggregate(ordered, F.create_map().cast("map<string,string>"), put)
 
 
+def _differs_from(old: Column) -> Callable[[Column], Column]:
+    """Would an entry (key, value) change the map that was merged so far?"""
+    known = lambda e: F.map_contains_key(old, e["key"])
+    return lambda e: F.when(e["key"].startswith("scanned_"), ~known(e)).otherwise(~F.try_element_at(old, e["key"]).eqNullSafe(e["value"]))
+
+
 def _fields(rows: DataFrame) -> list[T.StructField]:
     return [f for f in rows.schema.fields if f.name not in ("seq", "_src", "_key", "_ord", "_base")]
 
@@ -102,8 +110,7 @@ def merge_stats(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.MapType):
             before = _merged_map(F.collect_list(f.name).over(upto))
             own = F.map_entries(_filled_entries(F.col(f.name)))
-            differs = lambda e, old=before: F.when(e["key"].startswith("scanned_"), ~F.map_contains_key(old, e["key"])).otherwise(~F.try_element_at(old, e["key"]).eqNullSafe(e["value"]))
-            changed = changed | F.coalesce(F.exists(own, differs), F.lit(False))
+            changed = changed | F.coalesce(F.exists(own, _differs_from(before)), F.lit(False))
             continue
         filled = is_filled(f.name, f.dataType)
         before = (F.first if f.name.startswith("scanned_") else F.last)(F.when(filled, F.col(f.name)), ignorenulls=True).over(upto)

@@ -81,8 +81,9 @@ def first_contract_per_vendor(df: DataFrame) -> DataFrame:
     from registra.functions.labels import nz
 
     dated = df.filter(nz("supplier").isNotNull() & nz("published_date").isNotNull())
-    first = dated.groupBy("supplier").agg(F.min(F.struct("published_date", "seq", F.struct(*[c for c in df.columns if c not in ("supplier", "published_date", "seq")]).alias("rest"))).alias("f"))
-    return first.select("supplier", "f.published_date", "f.seq", "f.rest.*")
+    rest = [c for c in df.columns if c != "supplier"]
+    first = dated.groupBy("supplier").agg(F.min_by(F.struct(*rest), F.struct("published_date", "seq")).alias("f"))
+    return first.select("supplier", "f.*")
 
 
 def suggest(values: DataFrame, column: str, q: str, limit: int = 20) -> DataFrame:

@@ -132,37 +132,126 @@ def test_severity_is_capped_and_rules_are_checked(spark):
         R.evaluate(df, [{"id": "fragmentation", "params": {"no_such": 1}}])
 
 
-def test_merge_follows_the_sequence(spark):
-    import random
-
-    fields = ["buyer", "supplier", "price_numeric_eur", "scanned_summary"]
-    rng = random.Random(3)
-
-    def rows(n):
-        return [{"contract_id": str(rng.randrange(5)), "buyer": rng.choice([None, "", " ", "b1", "b2"]), "supplier": rng.choice([None, "s1", "s2"]), "price_numeric_eur": rng.choice([None, 0.0, 1.0]), "scanned_summary": rng.choice([None, "x", "y"])} for _ in range(n)]
-
-    filled = lambda v: v is not None and str(v).strip() != ""
-    for _ in range(4):
-        old, new = rows(6), rows(8)
-        merged, added, updated = {}, 0, 0
-        for r in old:
-            merged.setdefault(r["contract_id"], dict(r))
-        before = len(old)
-        for r in new:
-            if r["contract_id"] not in merged:
-                merged[r["contract_id"]] = dict(r)
-                added += 1
-                continue
-            m, changed = merged[r["contract_id"]], False
-            for f in fields:
-                if filled(r[f]) and not (f.startswith("scanned_") and filled(m[f])) and m[f] != r[f]:
-                    m[f], changed = r[f], True
-            updated += changed
-        a, b = (model.load_from_list(spark, x).select("contract_id", *fields, "seq") for x in (old, new))
-        got = {r.contract_id: r for r in M.merge_contracts(a, b).collect()}
-        assert {k: [v[f] for f in fields] for k, v in merged.items()} == {k: [v[f] for f in fields] for k, v in got.items()}
-        stats = one(M.merge_stats(a, b))
-        assert stats == {"existing_before": before, "incoming": len(new), "added": added, "updated": updated, "total_after": len(merged)}
+def _merge_rows(spark, rows):
+    keys = ["contract_id", "buyer", "supplier", "price_numeric_eur", "scanned_summary", "extra"]
+    schema = "contract_id string, buyer string, supplier string, price_numeric_eur double, scanned_summary string, extra map<string,string>, seq long"
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema).select("seq", *keys)
+
+
+def test_merge_by_hand(spark):
+    old = _merge_rows(spark, [
+        ("1", "Mesto A", None, 10.0, "first", {"lot": "1", "scanned_x": "kept"}),
+        ("1", "Mesto B", "dropped", 99.0, "dropped", None),  # a second existing row of one id is no update
+        ("2", "", "S", None, None, None),
+        ("3", "Mesto C", "S", 5.0, None, None),
+    ])
+    new = _merge_rows(spark, [
+        ("1", "  ", "S1", 10.0, "late", {"lot": "2", "scanned_x": "late", "blank": " "}),  # fills the supplier, changes the lot
+        ("2", "Mesto D", "S", 0.0, "summary", None),  # 0 is a value
+        ("3", "Mesto C", "S", 5.0, None, None),  # nothing new
+        ("4", None, "S4", None, None, None),  # new
+        ("4", "Mesto E", "S5", None, "s", {"lot": "4"}),  # and changed within the same page
+    ])
+    got = {r.contract_id: r for r in M.merge_contracts(old, new).collect()}
+    assert {k: (r.buyer, r.supplier, r.price_numeric_eur, r.scanned_summary, r.extra) for k, r in got.items()} == {
+        "1": ("Mesto A", "S1", 10.0, "first", {"scanned_x": "kept", "lot": "2"}),
+        "2": ("Mesto D", "S", 0.0, "summary", None),
+        "3": ("Mesto C", "S", 5.0, None, None),
+        "4": ("Mesto E", "S5", None, "s", {"lot": "4"}),
+    }
+    assert one(M.merge_stats(old, new)) == {"existing_before": 4, "incoming": 5, "added": 1, "updated": 3, "total_after": 4}
+
+
+def test_ingest_merges_from_the_first_page(spark, tmp_path):
+    from registra.streaming import ingest as T
+
+    schema = "seq long, contract_id string, buyer string, supplier string, price_numeric_eur double, scanned_subcontractors string"
+    pages = [[(0, "a", None, "S", 1.0, "x; y"), (1, "a", "B", "S", 2.0, None), (2, "b", "B", "S", 1.0, None)], [(0, "a", "C", " ", None, "x; z"), (1, "c", "B", "S", 3.0, "w")]]
+    for page in pages:
+        spark.createDataFrame(page, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = T.stream_contracts(spark, str(tmp_path / "in"), schema)
+    T.merge_ingest(source, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "subs")).awaitTermination()
+    rows = {r.contract_id: (r.buyer, r.supplier, r.price_numeric_eur, r.category, r.seq) for r in T.latest_snapshot(spark, str(tmp_path / "out")).collect()}
+    assert rows == {"a": ("C", "S", 2.0, "not_decided", 0), "b": ("B", "S", 1.0, "not_decided", 2), "c": ("B", "S", 3.0, "not_decided", (1 << T.PAGE) + 1)}
+    subs = sorted((r.contract_id, r.subcontractor) for r in T.latest_snapshot(spark, str(tmp_path / "subs")).collect())
+    assert subs == [("a", "x"), ("a", "y"), ("c", "w")]  # the first scanned list of a stays
+
+
+def test_rows_without_an_id_are_all_kept(spark, tmp_path):
+    from registra.streaming import ingest as T
+
+    rows = [(None,), ("",), ("",), ("k",), ("k",)]
+    spark.createDataFrame(rows, "contract_id string").write.parquet(str(tmp_path / "in"))
+    query = T.dedup_ids(T.stream_contracts(spark, str(tmp_path / "in"), "contract_id string", 9)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.contract_id for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == ["", "", "None", "k"] or sorted((str(r.contract_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())) == ["", "", "None", "k"]
+
+
+def test_unknown_fields_stay(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"contract_id": "1", "lot": 3, "who": "x", "deep": {"a": [1]}},\n {"contract_id": "2"}]\n')
+    rows = model.load_contracts(spark, str(tmp_path / "c.json")).orderBy("seq").collect()
+    assert [r.contract_id for r in rows] == ["1", "2"] and rows[0].extra == {"lot": "3", "who": "x", "deep": '{"a":[1]}'} and rows[1].extra is None
+    held = model.load_from_list(spark, [{"contract_id": "1", "lot": 3, "who": "x"}])
+    assert held.first().extra == {"lot": "3", "who": "x"}
+    assert [r.group_value for r in A.group_by(held, "lot").collect()] == ["3"]
+    assert P.custom_conditions(held, ConditionGroup([Condition("lot", "gt", 2)])).count() == 1
+    assert "Lot [lot]: 3" in held.select(L.contract_block(held).alias("b")).first().b
+    with pytest.raises(Exception):
+        (tmp_path / "bad.json").write_text('[{"contract_id": "1", "price_numeric_eur": "much"}]')
+        model.load_contracts(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_rows_are_numbered_in_the_order_of_files(spark, tmp_path):
+    for name, n in (("b.ndjson", 2), ("a.ndjson", 3)):
+        (tmp_path / name).write_text("".join(f'{{"contract_id": "{name[0]}{i}"}}\n' for i in range(n)))
+    rows = model.load_records(spark, str(tmp_path))[0].orderBy("seq").collect()
+    assert [r.contract_id for r in rows] == ["a0", "a1", "a2", "b0", "b1"]
+
+
+def test_parts_keep_all_their_fields(spark):
+    legacy = {"part_2": '{"notes": "n", "x": 1, "ai_extracted": {"notes": "ai", "winner": "W", "participants": [{"name": "A", "proposed_sum_eur": 5.5}, {"name": "B"}]}}', "part_10": '{"part_number": 4}', "part_3": "[1]", "other": "{}"}
+    listed = {"parts": '["no", {"notes": "z"}]', "part_1": "{}"}
+    df = spark.createDataFrame([(1, legacy), (2, listed), (3, {})], "tender_id long, legacy map<string,string>")
+    out = {r.tender_id: r.parts for r in M.normalise_parts(df).collect()}
+    assert [(p.part_number, p.notes) for p in out[1]] == [(1, "ai"), (4, None)] and out[1][0].fields["winner"] == "W" and out[1][0].fields["x"] == "1"
+    assert [(p.part_number, p.notes) for p in out[2]] == [(2, "z")] and out[3] == []
+    bids = M.tender_bids(M.normalise_parts(df)).collect()
+    assert [(r.tender_id, r.part_number, r.name, r.proposed_sum_eur, r.is_winner) for r in bids] == [(1, 1, "A", 5.5, True), (1, 1, "B", None, False)]
+
+
+TENDER_PAGE = """<h2>Informácie</h2><dl><dt>ID zákazky<dd>77<dt>Doplňujúci údaj</dt><dd>x</dd></dl>
+<h2>Dokumenty</h2><table><tbody><tr><td><span title="Celý názov.pdf">krátky</span></td><td>typ</td><td>2 kB</td><td>dnes</td><td><a href="/d/1"><span class="fa"></span></a></td></tr></tbody></table>
+<div class="card"><h2 class="card-header">Identifikácia zmluvy</h2><div class="card-body"><ul><li><strong>Typ:</strong> Zmluva o dielo</li><li>bez označenia</li></ul></div></div>
+<ul><li><strong>Verejné obstarávanie:</strong> <a href="/sk/tender/5/summary">portál</a></li></ul>"""
+
+
+def test_page_parts(spark):
+    from registra.operators import extraction as H
+
+    pages = spark.createDataFrame([(1, "https://x.sk/a/b", TENDER_PAGE), (2, "https://x.sk/", None), (3, "https://x.sk/", "<table><tr><td>open <b>cell<td>next")], "page_id long, url string, html string")
+    assert {(r.section, r.field, r.value) for r in H.tender_sections(pages).collect()} == {("info", "notice_id", "77"), ("info", "info_doplnujuci_udaj", "x")}
+    (doc,) = H.tender_documents(pages).collect()
+    assert (doc.document_name, doc.document_title, doc.file_size, doc.link, doc.is_external_link) == ("krátky", "Celý názov.pdf", "2 kB", "https://x.sk/d/1", False)
+    labels = H.label_values(pages)
+    assert {(r.card, r.label, r.value) for r in labels.collect()} == {("Identifikácia zmluvy", "Typ", "Zmluva o dielo"), (None, "Verejné obstarávanie", "portál")}
+    (link,) = H.detail_procurement_link(labels, "https://x.sk").collect()
+    assert link.public_procurement_url == "https://x.sk/sk/tender/5/summary" and link.public_procurement_id == "5"
+    assert [r.text for r in H.cells(pages).filter("page_id = 3 AND tag = 'td'").orderBy("ord").collect()] == ["open cell", "next"]
+
+
+def test_places_in_a_whole_order(spark):
+    from registra.functions.numbering import numbered
+
+    rows = numbered(spark.range(0, 5000, 1, 7).withColumn("k", F.col("id") % 10), [F.desc("k"), F.asc("id")]).collect()
+    assert [r.ord for r in rows] == list(range(1, 5001)) and [r.id for r in rows] == sorted(range(5000), key=lambda i: (-(i % 10), i))
+
+
+def test_short_and_similar_names_in_messages(spark):
+    names = ["Zakladna skola A", "Zakladna skola B", "Ab", "Obec Nova Ves"]
+    contracts = spark.createDataFrame([(i, n, "S") for i, n in enumerate(names)], "seq long, buyer string, supplier string")
+    messages = spark.createDataFrame([("1", "co robi zakladna skola b?"), ("2", "cab"), ("3", "obec nova")], "message_id string, text string")
+    got = {(r.message_id, r.name) for r in Q.entity_refusals(messages, contracts, FilterState(institutions=["nobody"])).collect()}
+    assert got == {("1", "Zakladna skola B"), ("2", "Ab")}
 
 
 def test_subcontractor_shapes(spark):
