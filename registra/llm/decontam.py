@@ -7,6 +7,9 @@ start at every word; a document shorter than the item is one window.
 Documents and items meet by shared shingles. A window of that similarity shares eight ninths of its shingles with the item or
 more, so the places of shared shingles, counted along the document, tell which windows can be similar; each of those is compared
 exactly. No window and no order of shingles is left out: the result is that of brute force over all windows.
+
+This stands in for SimHash fingerprints in Hamming blocks, which cannot give that result: two windows of similarity 0.8 differ in
+more bits than any radius that blocks can serve, often enough to lose links (a test shows it for 17 bits, README has the figures).
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 WORDS, SIMILAR = 5, 0.8
-BROADCAST_ROWS = 500_000  #: rows of the item tables up to which they are sent to every executor
+BROADCAST_BYTES = 48 << 20  #: size of the item table, as rows in memory, up to which it is sent to every executor
+ROW = 120  #: bytes of one of its rows beside the item's id
 
 
 def words(text: Column) -> Column:
@@ -31,9 +35,10 @@ def shingles(ws: Column, k: int) -> Column:
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, bool]:
-    """A written table, and whether its rows are few enough to be broadcast; others take a shuffled join."""
+    """A written table, and whether its bytes are few enough to be broadcast; a larger one takes a shuffled join."""
     df = settle(df)
-    return df, df.count() <= BROADCAST_ROWS
+    size = df.agg(F.sum(F.lit(ROW) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)))).first()[0] or 0
+    return df, size <= BROADCAST_BYTES
 
 
 def _maybe(sized: tuple[DataFrame, bool]) -> DataFrame:
@@ -53,7 +58,8 @@ def prepare_items(items: DataFrame, item_id: str = "item_id", text: str = "text"
 def contaminated_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, item_id, start, n_words, similarity): each window and item that are similar; ``th`` is the text's hash.
 
-    Null and empty texts have no window; a document shorter than an item is one window itself. Repeated rows and null ids
+    Null and empty texts have no window; a document shorter than an item is one window itself. A very long text has as many windows as any
+    other of its words; only stretches that share enough shingles with one item are looked at. Repeated rows and null ids
     are treated like any other row; repeated items count once. Without items or documents the result is empty.
     """
     items = prepare_items(items)
@@ -99,7 +105,7 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_i
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, contaminated, n_items, and the most similar item with its window.
 
-    Ties go to the smallest item_id, then the first window.
+    Ties go to the smallest item_id, then the first window. Null and empty texts are clean; other columns play no part.
     """
     found = settle(contaminated_windows(docs, items, doc_id, text))
     best = found.groupBy("doc_id", "th").agg(F.count_distinct("item_id").alias("n_items"), F.min(F.struct(-F.col("similarity"), "item_id", "start", "n_words")).alias("best"))
@@ -119,10 +125,14 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: is a window of it similar to a benchmark item, to how many, and to which most; odd rows as in ``contamination``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a window similar to an item."""
+    """``docs`` without the rows that hold a window similar to an item, with the columns it has.
+
+    Rows are told apart by doc_id and text together; null and empty texts stay, repeated rows go or stay together, an empty table stays empty.
+    """
     gone = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.g_id) & (F.xxhash64(docs.text) == gone.g_th), "left_anti")

@@ -282,6 +282,10 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text") -> Data
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, the language of its whole text, its probability, and whether it is far from all known texts.
+
+    Null texts and texts without a letter get und; repeats get a row each; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     models = train(docs.filter(~held_out()))
     out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), models)

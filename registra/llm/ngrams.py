@@ -254,4 +254,5 @@ def _share(rows: DataFrame, wished: int) -> int:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, its score under the bigrams of all other documents, and how many words backed off; odd rows as in ``score``."""
     return score(table(spark, sf_dir, "documents"))

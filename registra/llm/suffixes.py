@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each row of ``docs``.
 
     ``kept`` is what is left, as bytes. Null texts are empty. Rows with the same doc_id do not remove each other's bytes; a null doc_id comes
-    before all others. Texts of fewer than 50 bytes lose nothing. Empty tables stay empty; other columns play no part.
+    before all others. Texts of fewer than 50 bytes lose nothing; very long ones are worked on whole, by one task. Empty tables stay empty; other columns play no part.
     """
     dealt, marks = repeated_spans(docs, doc_id, text)
 
@@ -370,4 +370,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, removed bytes and spans, and the digest of what is left; odd rows as in ``remove_repeats``."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

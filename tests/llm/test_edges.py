@@ -288,3 +288,18 @@ def test_recall_on_queries_that_were_not_asked(spark):
     truth = brute_force(unit_vectors(vectors, "vec_id", "embedding"), pd.DataFrame({"query_id": asked.id, "q": asked.v}), 5)
     hit = len(got.merge(truth, on=["query_id", "vec_id"]))
     assert hit / len(truth) >= 0.9
+
+
+# ---------------------------------------------------------------- why decontamination does not rest on SimHash
+
+
+def test_simhash_loses_pairs_at_the_threshold():
+    """Windows that share eight ninths of their shingles (similarity 0.8) differ in more than 17 of 64 bits now and then: those links would be lost."""
+    rng = np.random.default_rng(8)
+    lost = pairs = 0
+    for m in (9, 18, 36, 54):
+        bits = rng.integers(0, 2, (3000, m + m // 9, 64), dtype=np.int8)
+        one, other = bits[:, :m].sum(axis=1), bits[:, m // 9 :].sum(axis=1)
+        far = ((2 * one > m) != (2 * other > m)).sum(axis=1)
+        lost, pairs = lost + int((far > 17).sum()), pairs + len(far)
+    assert 0 < lost / pairs < 0.02
