@@ -1,256 +1,132 @@
-"""Stupid-backoff scores of documents under the bigram counts of the whole corpus, the document's own counts left out.
+"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus, the document's own counts left out.
 
-    S(w | v) = c(v w) / c(v)   if the pair occurs in another document, else  a * c(w) / N,  else  a * a / N
+    S(w | h) = c(h w) / c(h)   if h w occurs in another document, else  a * S(w | h without its first word);
+    S(w)     = c(w) / N,  or  a / N  where no other document has the word,
 
-with all counts less those of the scored document. The count tables are partitioned by hash: pairs by their second word, words
-by themselves. Documents' distinct pairs go to the pairs' partition, where they are counted and looked up; what is left to look up, the
-first word of pairs that were found, goes to that word's partition; logarithms are summed per document.
+with all counts less those of the scored document, and beginnings of documents as words of their own in h.
 
-Rows are packed before they are shuffled: a block holds the pairs of some thousand documents for one partition as sorted,
-compressed numpy arrays, each pair once for a document, however often it occurs there. Words that make up a noticeable
-share of all words are counted beforehand, exactly; their pairs are spread over all partitions by the pair's hash.
+Documents are dealt into parts of a few megabytes. Each part's distinct n-grams of all orders are exploded with their counts there and meet
+in the count table, which is partitioned by the n-grams' hash and adds the counts of all parts up. An n-gram that other parts have too goes back
+with its count to the parts that asked; one that does not come back is the part's own. There each word is scored, and scores are summed per document.
+
+On the way n-grams travel as arrays, a row for each part and hash bucket; in the count table they are rows. A frequent n-gram has
+one row for each part at most, whatever the number of documents that hold it.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Arrays, pack, small, unpack
-from .common import partitions, ship, table
+from .blocks import splits
+from .common import partitions, settle, table
 
+ORDER = 2
 BACKOFF = 0.4
-START = 1  #: stands for the beginning of a document
-SLICE = 6_000_000  #: characters of a block's documents
-PER_BUCKET = 2_000_000  #: words for each partition of the count tables
-LOOK = 2000  #: documents in which frequent words are looked for; their counts then come from all documents
-UNIT = 1 << 24  #: sums of logarithms travel as whole numbers of 1/UNIT
-FREQUENT = 0.002  #: share of all words from which a word counts as frequent
+PART = 8 << 20  #: bytes of texts in a part
+BUCKET = 16 << 20  #: bytes of texts for each bucket of the count table
+START = np.uint64(0x9E3779B97F4A7C15)  #: stands for the beginning of a document
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 2  # never START
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by the keys (the first foremost), and for each sorted row the number of its group."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.cumsum(new)
-
-
-def _sums(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.bincount(group, weights=values) if len(group) else np.zeros(0)
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from the hashes of what comes before its last word and of that word."""
+    x = (before * np.uint64(0xBF58476D1CE4E5B9)) ^ (word + np.uint64(0x94D049BB133111EB))
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ x >> np.uint64(32)
 
 
-def _chunks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    size = rows.text.map(lambda t: len(t or "")).to_numpy().cumsum()
-    for _, part in rows.groupby((size - 1).clip(0) // SLICE, sort=False):
-        yield part
-
-
-def _pairs(part: pd.DataFrame, refs: np.ndarray, hot: Arrays, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(partition, block) of some documents: their distinct pairs with counts of the pair and of both words."""
-    lists = [tokens(t) for t in part.text]
+def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words of each text, hashes of the n-grams that end at each word for n = 1, 2, ... order); words of all texts one after the other."""
+    lists = [tokens(t) for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     vocabulary: dict[str, int] = {}
-    second = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for ws in lists for w in ws), np.int64, int(sizes.sum()))
-    if not len(second):
-        return
-    hashes = np.concatenate([[np.uint64(START)], np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))])
-    doc = np.repeat(np.arange(len(lists)), sizes)
-    first = np.concatenate([[0], second[:-1]])
-    first[np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0]] = 0
-    v = len(hashes)
-    pairs, n = np.unique((doc * v + first) * v + second, return_counts=True)
-    doc, first, second = pairs // (v * v), pairs // v % v, pairs % v
-    words, counts = np.unique(np.concatenate([np.repeat(np.arange(len(lists)), sizes), np.arange(len(lists))]) * v + np.concatenate([np.fromiter((vocabulary[w] for ws in lists for w in ws), np.int64, int(sizes.sum())), np.zeros(len(lists), np.int64)]), return_counts=True)
-    own = lambda w: counts[np.searchsorted(words, doc * v + w)]
-    h1, h2 = hashes[first], hashes[second]
-    to = np.where(np.isin(h2, hot["hash"]), _bucket(h1 * np.uint64(0x9E3779B97F4A7C15) ^ h2, buckets), _bucket(h2, buckets))
-    n1, n2 = own(first), own(second)
-    order = np.lexsort((doc, h1, h2, to))
-    cuts = np.flatnonzero(np.diff(to[order])) + 1
-    for rows in np.split(order, cuts):
-        kinds2, at2 = np.unique(h2[rows], return_inverse=True)
-        kinds1, at1 = np.unique(h1[rows], return_inverse=True)
-        docs, at = np.unique(doc[rows], return_inverse=True)
-        yield int(to[rows[0]]), pack({"docs": refs[docs], "h2": kinds2, "at2": small(at2), "h1": kinds1, "at1": small(at1), "doc": small(at), "n": small(n[rows]), "n1": small(n1[rows]), "n2": small(n2[rows])})
-
-
-def _together(blobs: list[bytes]) -> Arrays:
-    """Blocks of one partition as one set of rows; ``doc`` numbers the documents in the order of their references."""
-    out: dict[str, list[np.ndarray]] = {}
-    base = 0
-    for b in blobs:
-        a = unpack(b)
-        if "h2" in a:
-            out.setdefault("h2", []).append(a["h2"][a["at2"]])
-        out.setdefault("h1", []).append(a["h1"][a["at1"]])
-        out.setdefault("doc", []).append(a["doc"].astype(np.int32) + np.int32(base))
-        for c in ("n", "n1", "n2", "docs"):
-            if c in a:
-                out.setdefault(c, []).append(a[c])
-        base += len(a["docs"])
-    whole = {k: np.concatenate(v) for k, v in out.items()}
-    order = np.argsort(whole["docs"], kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    return whole | {"docs": whole["docs"][order], "doc": place[whole["doc"]]}
-
-
-def _by_part(refs: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of sorted references by the part that they begin with."""
-    return np.split(np.arange(len(refs)), np.flatnonzero(np.diff(refs >> np.uint64(32))) + 1) if len(refs) else []
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score, n_backed_off): one row for each row of ``docs``.
-
-    Words are what stands between white space, in lower case. Null and empty texts have no words and null scores. Rows that are equal
-    in doc_id and text are two documents with one result. A corpus of one document backs off everywhere. Empty tables stay empty.
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in lists for w in ws), np.int64, int(sizes.sum()))
+    digest = xxhash.xxh64_intdigest
+    word = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in vocabulary), np.uint64, len(vocabulary))[ids]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out, blank = [word], START
+    for _ in range(order - 1):
+        before = np.concatenate([out[-1][:1], out[-1][:-1]])
+        before[first] = blank
+        out.append(_mixed(before, word))
+        with np.errstate(over="ignore"):
+            blank = blank * START  # the same number of beginnings for each order
+    return sizes, out
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score, n_backed_off): one row for each row of ``docs``, under n-grams of up to ``order`` words.
+
+    Words are what stands between white space, in lower case; n_backed_off counts those whose longest n-gram no other document has. Null
+    and empty texts have no words and null scores. Rows that are equal in doc_id and text are two documents with one result. A corpus of
+    one document backs off everywhere. A very long text is worked on whole, by one task. Empty tables stay empty; other columns play no part.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(doc_id, text).alias("k"), F.col(text).alias("text"))
-    looked = rows.filter(F.pmod("k", F.lit(1 << 20)) < _share(rows, LOOK)).select("text").limit(2 * LOOK)
-    seen = looked.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy("w").count()
-    total_seen = seen.agg(F.sum("count")).first()[0] or 0
-    frequent = [r.w for r in seen.filter(F.col("count") >= FREQUENT * total_seen).orderBy(F.desc("count"), "w").limit(400).collect()]
-    wanted = np.unique(np.array([word_hash(w) for w in frequent if w], np.uint64))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, every, texts = np.zeros(len(wanted), np.int64), 0, 0
-        names = {word_hash(w): w for w in frequent}
-        number = {names[int(h)]: i for i, h in enumerate(wanted)}
-        for part in batches:
-            for t in part.text:
-                ws = tokens(t)
-                every, texts = every + len(ws), texts + bool(ws)
-                at = np.fromiter((number[w] for w in ws if w in number), np.int64)
-                sums += np.bincount(at, minlength=len(wanted))
-        yield pd.DataFrame({"i": [-2, -1, *range(len(wanted))], "n": [texts, every, *sums.tolist()]})
-
-    counted = {r.i: r.n for r in rows.select("text").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    every = counted.get(-1) or 0
-    buckets = max(partitions(spark), math.ceil(every / PER_BUCKET))
-    order = np.argsort(np.concatenate([[np.uint64(START)], wanted]))
-    hot = {"hash": np.concatenate([[np.uint64(START)], wanted])[order], "count": np.array([counted.get(-2) or 0, *(counted.get(i, 0) for i in range(len(wanted)))], np.int64)[order]}
-    shared = ship(spark, hot)
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, next_ref = pickle.loads(shared.value), TaskContext.get().partitionId() << 32
-        for rows in batches:
-            for part in _chunks(rows):
-                home = (next_ref >> 32) % buckets
-                refs = np.arange(next_ref, next_ref + len(part), dtype=np.uint64)
-                next_ref += len(part)
-                yield pd.DataFrame({"bucket": [home], "kind": ["names"], "blob": [pack({"ref": refs, "k": part.k.to_numpy()})]})
-                for to, blob in _pairs(part, refs, known, buckets):
-                    yield pd.DataFrame({"bucket": [to], "kind": ["pairs"], "blob": [blob]})
-
-    def look_up_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        known, bucket = pickle.loads(shared.value), int(group.bucket.iloc[0])
-        out = [(bucket, "names", b) for b in group.blob[group.kind == "names"]]
-        blobs = group.blob[group.kind == "pairs"].tolist()
-        if not blobs:
-            return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
-        a = _together(blobs)
-        order, pair = _groups(a["h2"], a["h1"])
-        docs = a["docs"]
-        h2, h1, doc, n, n1, n2 = (a.pop(c)[order] for c in ("h2", "h1", "doc", "n", "n1", "n2"))
-        del order, a
-        others = _sums(pair, n)[pair] - n
-        del pair
-        firsts = np.flatnonzero(np.concatenate([[True], h2[1:] != h2[:-1]]))
-        word = np.repeat(np.arange(len(firsts), dtype=np.int32), np.diff(np.concatenate([firsts, [len(h2)]])))
-        total = _sums(word, n)
-        at = np.minimum(np.searchsorted(known["hash"], h2[firsts]), len(known["hash"]) - 1)
-        is_hot = known["hash"][at] == h2[firsts]
-        total = np.where(is_hot, known["count"][at], total)
-        found, rest = others > 0, total[word] - n2
-        value = np.where(found, np.log(np.maximum(others, 1)), math.log(BACKOFF) + np.where(rest > 0, np.log(np.maximum(rest, 1)), math.log(BACKOFF)))
-        del others, rest, word
-        at = np.minimum(np.searchsorted(known["hash"], h1), len(known["hash"]) - 1)
-        near = found & (known["hash"][at] == h1)
-        value[near] -= np.log(np.maximum(known["count"][at[near]] - n1[near], 1))
-        size = len(docs)
-        sums = {"ref": docs, "s": np.round(np.bincount(doc, n * value, size) * UNIT).astype(np.int64), "miss": small(np.bincount(doc, n * ~found, size)), "n": small(np.bincount(doc, n, size))}
-        out += [(int(docs[rows[0]] >> np.uint64(32)) % buckets, "sums", pack({c: x[rows] for c, x in sums.items()})) for rows in _by_part(docs)]
-        out += [(bucket, "counts", pack({"h": h2[firsts][~is_hot], "c": total[~is_hot].astype(np.uint64)}))]
-        ask = np.flatnonzero(found & ~near)
-        to = _bucket(h1[ask], buckets)
-        ask, to = ask[np.argsort(to, kind="stable")], np.sort(to)
-        for rows in np.split(ask, np.flatnonzero(np.diff(to)) + 1) if len(ask) else []:
-            o, g = _groups(h1[rows], doc[rows])
-            first = o[np.concatenate([[True], g[1:] != g[:-1]])]
-            kinds, at1 = np.unique(h1[rows][first], return_inverse=True)
-            docs_, at_doc = np.unique(doc[rows][first], return_inverse=True)
-            blob = pack({"docs": docs[docs_], "h1": kinds, "at1": small(at1), "doc": small(at_doc), "n": small(_sums(g, n[rows][o])), "n1": small(n1[rows][first])})
-            out.append((int(_bucket(kinds[:1], buckets)[0]), "asked", blob))
-        return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
-
-    def look_up_words(group: pd.DataFrame) -> pd.DataFrame:
-        """Blocks for each part of the documents: names, and sums that belong to its references."""
-        by = {k: g.blob.tolist() for k, g in group.groupby("kind")}
-        out = [(int(unpack(b)["ref"][0] >> np.uint64(32)), b) for b in [*by.get("names", []), *by.get("sums", [])]]
-        if "asked" in by:
-            counts = [unpack(b) for b in by.get("counts", [])]
-            h, c = (np.concatenate([t[x] for t in counts]) for x in ("h", "c"))
-            order = np.argsort(h)
-            a = _together(by["asked"])
-            count = c[order][np.searchsorted(h[order], a["h1"])].astype(np.int64)
-            refs, doc = np.unique(a["docs"], return_inverse=True)
-            s = np.round(np.bincount(doc[a["doc"]], -(a["n"] * np.log(np.maximum(count - a["n1"], 1))), len(refs)) * UNIT).astype(np.int64)
-            out += [(int(refs[rows[0]] >> np.uint64(32)), pack({"ref": refs[rows], "s": s[rows]})) for rows in _by_part(refs)]
-        return pd.DataFrame(out, columns=["part", "blob"])
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        """One row for each document of a part."""
-        sets = [unpack(b) for b in group.blob]
-        ref, k = (np.concatenate([a[c] for a in sets if "k" in a]) for c in ("ref", "k"))
-        order = np.argsort(ref)
-        ref, k = ref[order], k[order]
-        sums = {c: np.zeros(len(ref), np.int64) for c in ("s", "miss", "n")}
-        for a in sets:
-            at = np.searchsorted(ref, a["ref"])
-            for c, x in sums.items():
-                if c in a:
-                    np.add.at(x, at, a[c].astype(np.int64))
-        return pd.DataFrame({"k": k, "s": sums["s"] / UNIT, "miss": sums["miss"].astype(float), "n": sums["n"].astype(float)})
-
-    kinds = "bucket int, kind string, blob binary"
-    asked = rows.mapInPandas(blocks, kinds).groupBy("bucket").applyInPandas(look_up_pairs, kinds)
-    parts = asked.groupBy("bucket").applyInPandas(look_up_words, "part long, blob binary")
-    each = parts.groupBy("part").applyInPandas(total, "k long, s double, miss double, n double")
-    sums = each.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("s", "miss", "n")])  # equal rows have equal sums
-    copies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k"))
-    log_score = F.col("s") - F.col("miss") * F.log(F.greatest(F.lit(float(every)) - F.col("n"), F.lit(1.0)))
-    out = copies.join(sums, "k", "left").withColumn("n", F.nullif("n", F.lit(0.0))).withColumn("log_score", F.when(F.col("n").isNotNull(), log_score))
-    return out.select("doc_id", F.coalesce("n", F.lit(0.0)).cast("long").alias("n_words"), "log_score", (F.col("log_score") / F.col("n")).alias("mean_log_score"), F.coalesce("miss", F.lit(0.0)).cast("long").alias("n_backed_off"))
-
-
-def _share(rows: DataFrame, wished: int) -> int:
-    """Threshold among 2**20 hash values that about ``wished`` rows stay under."""
-    return int(min(1.0, wished / max(rows.count(), 1)) * (1 << 20)) + 1
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    every = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, buckets = max(partitions(spark), math.ceil(every / PART)), max(partitions(spark), math.ceil(every / BUCKET))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "part")
+
+    def explode(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """A part's distinct n-grams with their counts in it, for each bucket of the count table."""
+        kinds = [np.unique(h, return_counts=True) for h in grams(group.text.tolist(), order)[1]]
+        h, c = (np.concatenate([x[i] for x in kinds]) for i in (0, 1))
+        bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        out = [(int(bucket[at[0]]), int(key[0]), h[at].view(np.int64), c[at].astype(np.int32)) for at in splits(bucket)]
+        return pd.DataFrame(out, columns=["bucket", "part", "h", "c"])
+
+    asked = dealt.groupBy("part").applyInPandas(explode, "bucket int, part int, h array<long>, c array<int>").repartition(buckets, "bucket")
+    asked = asked.select("bucket", "part", F.explode(F.arrays_zip("h", "c")).alias("g")).select("bucket", "part", "g.h", "g.c")
+    counted = asked.withColumn("n", F.sum("c").over(Window.partitionBy("bucket", "h"))).filter("n > c")
+    known = counted.groupBy("bucket", "part").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n")).select("part", "h", "n")
+
+    def look_up(h: np.ndarray, doc: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each n-gram how often the other documents have it."""
+        kinds, at, total = np.unique(h, return_inverse=True, return_counts=True)
+        keys, counts = table
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
+            total = np.where(keys[place] == kinds, counts[place], total)
+        _, pair, own = np.unique(doc * len(kinds) + at, return_inverse=True, return_counts=True)
+        return total[at] - own[pair]
+
+    def sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Each document's sum of logarithms without the numbers of all words and documents, and how often those are still to be divided by."""
+        h, n = (np.concatenate([*right[c], np.zeros(0, np.int64)]).astype(np.int64) for c in ("h", "n"))
+        by = np.argsort(h.view(np.uint64))
+        table = h.view(np.uint64)[by], n[by]
+        sizes, hashes = grams(left.text.tolist(), order)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        count = [look_up(x, doc, table) for x in hashes]
+        value, todo, opening = np.zeros(len(doc)), np.ones(len(doc), bool), np.zeros(len(doc), bool)
+        opening[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        by_documents = np.zeros(len(doc), bool)
+        for k in range(order, 1, -1):
+            hit = np.flatnonzero(todo & (count[k - 1] > 0))
+            context = np.where(opening[hit], 1, count[k - 2][hit - 1])
+            value[hit] = (order - k) * math.log(BACKOFF) + np.log(count[k - 1][hit]) - np.log(np.maximum(context, 1))
+            by_documents[hit] = opening[hit]
+            todo[hit] = False
+        value[todo] = (order - 1) * math.log(BACKOFF) + np.log(np.maximum(count[0][todo], BACKOFF))
+        add = lambda x: np.bincount(doc, x, len(sizes))
+        return pd.DataFrame({"doc_id": left.doc_id, "n": sizes, "s": add(value), "by_words": add(todo), "by_documents": add(by_documents), "missed": add(count[-1] == 0)})
+
+    each = settle(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(sums, "doc_id string, n long, s double, by_words double, by_documents double, missed double"))
+    words, texts = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    others = lambda whole, own: F.log(F.greatest(F.lit(float(whole)) - own, F.lit(1.0)))
+    log_score = F.when(F.col("n") > 0, F.col("s") - F.col("by_words") * others(words, F.col("n")) - F.col("by_documents") * others(texts, F.lit(1)))
+    return each.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_words"), log_score.alias("log_score"), (log_score / F.col("n")).alias("mean_log_score"), F.col("missed").cast("long").alias("n_backed_off"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

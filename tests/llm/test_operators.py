@@ -256,34 +256,46 @@ def test_warc_round_trip(spark, tmp_path):
 # ---------------------------------------------------------------- 6
 
 
-def test_lm_scores_match_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores_match_brute_force(spark, order):
     import math
 
     from registra.llm.ngrams import BACKOFF, score, tokens
 
     texts = some_texts(8, 30, 60) + EDGES
     lists = [tokens(t) for t in texts]
-    uni, bi, own = Counter(), Counter(), []
-    for ws in lists:
-        u, b = Counter(ws), Counter(zip([None, *ws[:-1]], ws))
-        if ws:
-            u[None] = 1
-        own.append((u, b))
-        uni += u
-        bi += b
-    total = sum(map(len, lists))
-    got = {r.doc_id: r for r in score(docs_of(spark, texts)).collect()}
-    for i, (u, b) in enumerate(own):
-        s, missed = 0.0, 0
-        for (v, w), n in b.items():
-            if bi[v, w] > n:
-                s += n * math.log((bi[v, w] - n) / (uni[v] - u[v]))
-            else:
-                rest, missed = uni[w] - u[w], missed + n
-                s += n * math.log(BACKOFF * (rest or BACKOFF) / max(total - len(lists[i]), 1))
-        assert got[i].n_words == len(lists[i]) and got[i].n_backed_off == missed
-        assert (got[i].log_score is None) == (not lists[i]) and (not lists[i] or abs(got[i].log_score - s) < 1e-5)
-    assert score(docs_of(spark, [])).count() == 0
+
+    def cut(ws):  # n-grams of all orders, those that reach before the text with None
+        padded = [None] * (order - 1) + ws
+        found = Counter(tuple(padded[i - k + order : i + order]) for i in range(len(ws)) for k in range(1, order + 1))
+        return found + Counter({(None,) * k: 1 for k in range(1, order)} if ws else {})
+
+    own = [cut(ws) for ws in lists]
+    whole, total = sum(own, Counter()), sum(map(len, lists))
+    got = {r.doc_id: r for r in score(docs_of(spark, texts), order=order).collect()}
+    for i, ws in enumerate(lists):
+        others = lambda g: whole[g] - own[i][g]  # noqa: B023, E731
+        s, missed, padded = 0.0, 0, [None] * (order - 1) + ws
+        for j in range(len(ws)):
+            k, weight = order, 1.0
+            gram = tuple(padded[j : j + order])
+            missed += not others(gram)
+            while k > 1 and not others(gram):
+                k, weight, gram = k - 1, weight * BACKOFF, gram[1:]
+            s += math.log(weight * (others(gram) / others(gram[:-1]) if k > 1 else (others(gram) or BACKOFF) / max(total - len(ws), 1)))
+        assert got[i].n_words == len(ws) and got[i].n_backed_off == missed
+        assert (got[i].log_score is None) == (not ws) and (not ws or abs(got[i].log_score - s) < 1e-6)
+    assert score(docs_of(spark, []), order=order).count() == 0
+
+
+def test_lm_scores_of_repeats_and_large_ids(spark):
+    from registra.llm.ngrams import score
+
+    big = 2**62 + 1
+    got = score(docs_of(spark, ["a b c", "a b c", None, "a b"], [big, big, None, 3])).collect()
+    twins = [r for r in got if r.doc_id == big]
+    assert len(twins) == 2 and twins[0] == twins[1] and twins[0].n_backed_off == 0
+    assert [r.log_score for r in got if r.doc_id is None] == [None]
 
 
 # ---------------------------------------------------------------- 7
