@@ -107,8 +107,8 @@ class _Stream:
 
     STEP = 1 << 20
 
-    def __init__(self, source) -> None:
-        self.source, self.held = source, b""
+    def __init__(self, source, seekable: bool = False) -> None:
+        self.source, self.held, self.seekable = source, b"", seekable
 
     def until(self, mark: bytes) -> bytes | None:
         seen = 0
@@ -137,6 +137,14 @@ class _Stream:
         return out
 
     def skip(self, n: int) -> None:
+        """Moves on by n bytes: in an uncompressed archive without reading them."""
+        if n > len(self.held) and self.seekable:
+            at = self.source.tell() + n - len(self.held)
+            if at > self.source.size():
+                raise ValueError("an archive ends within a record")
+            self.source.seek(at)
+            self.held = b""
+            return
         while n > len(self.held):
             n -= len(self.held)
             self.held = self.source.read(self.STEP)
@@ -180,6 +188,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.path = schema, options["path"]
         self.most = int(options.get("maxpartitionbytes", 64 << 20))
+        self.tasks = int(options.get("tasks", 1))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -190,19 +199,20 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcFiles]:
-        """Files in order, small ones together up to the wished size; a file is never split."""
+        """Files in order, small ones together up to the wished size, or less where that leaves tasks without work; a file is never split."""
         from pyarrow import fs
 
         system, root = _file_system(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")) and x.size)
+        most = min(self.most, sum(size for _, size in files) // self.tasks + 1)
         parts: list[list[str]] = []
         room = 0
         for name, size in files:
             if not parts or size > room:
                 parts.append([])
-                room = self.most
+                room = most
             parts[-1].append(name)
             room -= size
         return [WarcFiles(x) for x in parts]
@@ -214,8 +224,9 @@ class WarcReader(DataSourceReader):
         rows: list[dict] = []
         held = 0
         for name in partition.value:
-            with system.open_input_stream(name, compression="gzip" if name.endswith(".gz") else None) as source:
-                stream = _Stream(source)
+            packed = name.endswith(".gz")
+            with system.open_input_stream(name, compression="gzip") if packed else system.open_input_file(name) as source:
+                stream = _Stream(source, seekable=not packed)
                 while (raw := stream.until(b"\r\n\r\n")) is not None:
                     h = _headers(raw.lstrip(b"\r\n"))
                     n = int(h["content-length"])
@@ -264,7 +275,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False, where: Colu
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    records = spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    records = spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", spark.sparkContext.defaultParallelism).load(path)
     return records if where is None else records.filter(where)
 
 

@@ -303,3 +303,19 @@ def test_simhash_loses_pairs_at_the_threshold():
         far = ((2 * one > m) != (2 * other > m)).sum(axis=1)
         lost, pairs = lost + int((far > 17).sum()), pairs + len(far)
     assert 0 < lost / pairs < 0.02
+
+
+# ---------------------------------------------------------------- WARC
+
+
+@pytest.mark.parametrize("how", ["gzip", "none"])
+def test_large_records_are_stepped_over(spark, tmp_path, how):
+    from registra.llm.warc import plan_records, read_warc, write_warc
+
+    pages = [(i, f"u{i}", chr(97 + i) * (3 << 20) if i % 2 == 0 else f"small {i}", 7) for i in range(6)]
+    path = str(tmp_path / how)
+    write_warc(plan_records(spark.createDataFrame(pages, "page_id long, url string, html string, n int").coalesce(1)), path, compression=how)
+    assert sorted(r.page_id for r in read_warc(spark, path, where="target_uri IN ('u1', 'u5')").collect()) == ["1", "5"]
+    assert sorted(r.page_id for r in read_warc(spark, path).collect()) == [str(i) for i in range(6)]
+    back = {r.page_id: len(r.payload) for r in read_warc(spark, path, payload=True).collect()}
+    assert back == {str(i): len(h) for i, _, h, _ in pages}
