@@ -30,8 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  #: kinds of pieces in a model file
 UNKNOWN_COST = 10.0
-SLICE = 4_000_000  #: characters that are worked on at once
-REMEMBER = 400_000  #: distinct words that are remembered in a task
+SLICE = 2_000_000  #: characters that are worked on at once
+REMEMBER = 200_000  #: distinct words that are remembered in a task
 
 
 # ---------------------------------------------------------------- the model file
