@@ -20,11 +20,25 @@ ROWS = "SELECT seq, buyer, supplier, price_numeric_eur FROM c WHERE "
 # ---------------------------------------------------------------- loading
 
 _CORE = ["seq", "contract_id", "contract_title", "buyer", "supplier", "price_numeric_eur", "category", "pdf_text_summary", "award_type"]
-add("load_contracts", lambda c: model.backfill_defaults(c).select(*_CORE), "SELECT seq, contract_id, contract_title, buyer, supplier, price_numeric_eur, coalesce(category, 'not_decided') AS category, coalesce(pdf_text_summary, 'not_summarized') AS pdf_text_summary, award_type FROM c")
-add("backfill_defaults", lambda c: model.backfill_defaults(c.select("seq", F.nullif("category", F.lit("not_decided")).alias("category"), "pdf_text_summary")).select("seq", "category", "pdf_text_summary", "award_type"), "SELECT seq, category, coalesce(pdf_text_summary, 'not_summarized') AS pdf_text_summary, 'unknown' AS award_type FROM c")
+add(
+    "load_contracts",
+    lambda c: model.backfill_defaults(c).select(*_CORE),
+    """SELECT seq, contract_id, contract_title, buyer, supplier, price_numeric_eur, coalesce(category, 'not_decided') AS category, coalesce(pdf_text_summary, 'not_summarized') AS pdf_text_summary, award_type
+    FROM c""",
+)
+add(
+    "backfill_defaults",
+    lambda c: model.backfill_defaults(c.select("seq", F.nullif("category", F.lit("not_decided")).alias("category"), "pdf_text_summary")).select("seq", "category", "pdf_text_summary", "award_type"),
+    "SELECT seq, category, coalesce(pdf_text_summary, 'not_summarized') AS pdf_text_summary, 'unknown' AS award_type FROM c",
+)
 add("contract_count", lambda c: c.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM c")
 add("load_subcontractors", lambda s, d: model.as_subcontractors(star.subcontractors(s, d)).select(*IDS, "ico_supplier"), W + "SELECT seq, buyer, supplier, price_numeric_eur, ico_supplier FROM s", "")
-add("tender_index", lambda s, d: model.tender_index(star.tenders(s, d)).select("tender_id", "subject_name", "buyer_organization_name", "estimated_value"), "SELECT CAST(p_partkey AS VARCHAR) AS tender_id, p_name AS subject_name, p_brand AS buyer_organization_name, p_retailprice AS estimated_value FROM part", "")
+add(
+    "tender_index",
+    lambda s, d: model.tender_index(star.tenders(s, d)).select("tender_id", "subject_name", "buyer_organization_name", "estimated_value"),
+    "SELECT CAST(p_partkey AS VARCHAR) AS tender_id, p_name AS subject_name, p_brand AS buyer_organization_name, p_retailprice AS estimated_value FROM part",
+    "",
+)
 add(
     "export_csv_rows",
     lambda c: model.export_rows(c.withColumns({"contract_url": F.concat(F.lit("https://register/zmluva/"), "contract_id", F.lit("/")), "price_numeric_eur": F.col("price_numeric_eur").cast("decimal(18,2)")})),
@@ -41,11 +55,24 @@ add(
 add("price_prefilter", lambda c: P.price_prefilter(c, 50_000, 150_000).select(*IDS), ROWS + "price_numeric_eur >= 50000 AND price_numeric_eur <= 150000")
 _old = lambda: F.col("seq") % 3 == 0
 _url = lambda: F.concat(F.lit("https://josephine.proebiz.com/sk/tender/"), "public_procurement_id", F.when(F.col("seq") % 4 == 0, "/detail").otherwise("/summary"))
-add("tender_url_worklist", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url())), ", u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL) SELECT tender_url, min(seq) AS first_seq FROM u GROUP BY tender_url")
-add("tender_new_urls", lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url()), M.tender_worklist(c.filter(_old()).withColumn("public_procurement_url", _url()))), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL)
-    SELECT tender_url, min(seq) AS first_seq FROM u WHERE tender_url NOT IN (SELECT tender_url FROM u WHERE seq % 3 = 0) GROUP BY tender_url""")
-add("tender_error_rows", lambda c: (lambda u: M.with_errors(u.filter(_old()).select("tender_url", F.col("seq").alias("tender_id")), u.filter(~_old()).select("tender_url", F.lit("not fetched").alias("error"))))(c.withColumn("tender_url", _url()).filter("tender_url IS NOT NULL")), """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || CASE WHEN seq % 4 = 0 THEN '/detail' ELSE '/summary' END AS tender_url FROM c WHERE public_procurement_id IS NOT NULL)
-    SELECT tender_url, CASE WHEN seq % 3 = 0 THEN seq END AS tender_id, CASE WHEN seq % 3 <> 0 THEN 'not fetched' END AS error FROM u""")
+add(
+    "tender_url_worklist",
+    lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url())),
+    """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c
+    WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL) SELECT tender_url, min(seq) AS first_seq FROM u GROUP BY tender_url""",
+)
+add(
+    "tender_new_urls",
+    lambda c: M.tender_worklist(c.withColumn("public_procurement_url", _url()), M.tender_worklist(c.filter(_old()).withColumn("public_procurement_url", _url()))),
+    """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || '/summary' AS tender_url FROM c WHERE seq % 4 <> 0 AND public_procurement_id IS NOT NULL)
+    SELECT tender_url, min(seq) AS first_seq FROM u WHERE tender_url NOT IN (SELECT tender_url FROM u WHERE seq % 3 = 0) GROUP BY tender_url""",
+)
+add(
+    "tender_error_rows",
+    lambda c: (lambda u: M.with_errors(u.filter(_old()).select("tender_url", F.col("seq").alias("tender_id")), u.filter(~_old()).select("tender_url", F.lit("not fetched").alias("error"))))(c.withColumn("tender_url", _url()).filter("tender_url IS NOT NULL")),
+    """, u AS (SELECT seq, 'https://josephine.proebiz.com/sk/tender/' || public_procurement_id || CASE WHEN seq % 4 = 0 THEN '/detail' ELSE '/summary' END AS tender_url FROM c WHERE public_procurement_id IS NOT NULL)
+    SELECT tender_url, CASE WHEN seq % 3 = 0 THEN seq END AS tender_id, CASE WHEN seq % 3 <> 0 THEN 'not fetched' END AS error FROM u""",
+)
 
 # ---------------------------------------------------------------- filters
 
@@ -89,7 +116,12 @@ for _name, (_cond, _sql) in _CONDITIONS.items():
 _both = [_CONDITIONS["cond_eq"][0], _CONDITIONS["cond_gt"][0]]
 add("cond_group_and", lambda c: P.custom_conditions(c, ConditionGroup(_both)).select(*IDS), ROWS + "award_type = 'tendered' AND price_numeric_eur > 250000")
 add("cond_group_or", lambda c: P.custom_conditions(c, ConditionGroup(_both, "OR")).select(*IDS), ROWS + "(award_type = 'tendered' OR coalesce(price_numeric_eur > 250000, false))")
-add("custom_conditions_totals", lambda c: P.custom_totals(P.apply(c, FilterState(date_from="1996-01-01")), ConditionGroup(_both)), "SELECT count(*) FILTER (award_type = 'tendered' AND price_numeric_eur > 250000) AS total_matched, count(*) AS total_evaluated FROM c WHERE published_date >= '1996-01-01'")
+add(
+    "custom_conditions_totals",
+    lambda c: P.custom_totals(P.apply(c, FilterState(date_from="1996-01-01")), ConditionGroup(_both)),
+    """SELECT count(*) FILTER (award_type = 'tendered' AND price_numeric_eur > 250000) AS total_matched, count(*) AS total_evaluated FROM c
+    WHERE published_date >= '1996-01-01'""",
+)
 add("contract_lookup", lambda c: P.contract_lookup(c, "7").select(*IDS), "SELECT seq, buyer, supplier, price_numeric_eur FROM c WHERE contract_id = '7' ORDER BY seq LIMIT 1")
 add("entity_by_ico_or_name", lambda c: P.resolve_entity(c, "buyer", "ico_buyer", "NATION_6 BUILDING").select(*IDS), ROWS + "buyer = 'NATION_6 BUILDING'")
 
@@ -100,16 +132,47 @@ add("entity_by_ico", lambda c: P.resolve_entity(c, "supplier", "ico_supplier", "
 add("category_label", lambda c: c.select("seq", L.category_label(c).alias("label")), f"SELECT seq, {LABEL} AS label FROM c")
 add("service_type", lambda c: c.select("seq", L.service_type(c).alias("label")), "SELECT seq, coalesce(scanned_service_type, '') AS label FROM c")
 add("service_subtype", lambda c: c.select("seq", L.service_subtype(c).alias("label")), "SELECT seq, coalesce(scanned_service_subtype, '') AS label FROM c")
-add("group_key", lambda c: c.select("seq", L.group_key(c, "category").alias("category"), L.group_key(c, "month").alias("month")), f"SELECT seq, {CAT} AS category, substring(published_date, 1, 7) AS month FROM c")
-add("period_key", lambda c: c.select("seq", L.period_key("quarter").alias("quarter"), L.period_key("year").alias("year")), "SELECT seq, substring(published_date, 1, 4) || '-Q' || CAST((CAST(substring(published_date, 6, 2) AS INTEGER) - 1) // 3 + 1 AS VARCHAR) AS quarter, substring(published_date, 1, 4) AS year FROM c")
+add(
+    "group_key",
+    lambda c: c.select("seq", L.group_key(c, "category").alias("category"), L.group_key(c, "month").alias("month")),
+    f"SELECT seq, {CAT} AS category, substring(published_date, 1, 7) AS month FROM c",
+)
+add(
+    "period_key",
+    lambda c: c.select("seq", L.period_key("quarter").alias("quarter"), L.period_key("year").alias("year")),
+    """SELECT seq, substring(published_date, 1, 4) || '-Q' || CAST((CAST(substring(published_date, 6, 2) AS INTEGER) - 1) // 3 + 1 AS VARCHAR) AS quarter, substring(published_date, 1, 4) AS year
+    FROM c""",
+)
 _numbered = lambda c: c.withColumns({"contract_number": F.lit(None).cast("string"), "contract_url": F.lit(None).cast("string")})
-add("reference_line", lambda c: _numbered(c).select("seq", L.reference_line().alias("line")), "SELECT seq, '- ' || contract_id || ' | ' || coalesce(supplier, '?') || ' | ' || buyer || ' | ' || format('{:,.2f}', coalesce(price_numeric_eur, 0.0)) || ' EUR' AS line FROM c")
+add(
+    "reference_line",
+    lambda c: _numbered(c).select("seq", L.reference_line().alias("line")),
+    """SELECT seq, '- ' || contract_id || ' | ' || coalesce(supplier, '?') || ' | ' || buyer || ' | ' || format('{:,.2f}', coalesce(price_numeric_eur, 0.0)) || ' EUR' AS line
+    FROM c""",
+)
 add("provenance", lambda c: _numbered(c).select(*L.provenance()), "SELECT contract_id AS id, coalesce(contract_title, '(untitled)') AS title, '' AS source, published_date AS date FROM c")
-add("ico_mismatch", lambda c: (lambda x: x.select("seq", L.ico_mismatch(x).alias("mismatch")))(c.withColumn("ico_supplier_scanned", F.when(F.col("seq") % 5 == 0, F.concat(F.lit(" "), "ico_supplier")).when(F.col("seq") % 7 == 0, F.col("ico_buyer")))), """SELECT seq, CASE WHEN ico_supplier IS NULL THEN false WHEN seq % 5 = 0 THEN false WHEN seq % 7 = 0 THEN ico_supplier <> ico_buyer ELSE false END AS mismatch FROM c""")
-add("contract_block", lambda c: (lambda x: x.select("seq", L.contract_block(x).alias("block")))(c.select("seq", "contract_title", "supplier", "price_numeric_eur", "award_type", "ico_supplier")), """SELECT seq, 'Title [contract_title]: ' || coalesce(contract_title, 'not extracted') || chr(10) || 'Supplier [supplier]: ' || coalesce(supplier, 'not extracted') || chr(10) ||
-    'Price in EUR (numeric) [price_numeric_eur]: ' || coalesce(format('{:,.2f}', price_numeric_eur) || ' EUR', 'not extracted') || chr(10) || 'Award type [award_type]: ' || award_type || chr(10) || 'Supplier ICO [ico_supplier]: ' || coalesce(ico_supplier, 'not extracted') AS block FROM c""")
-add("severity_label", lambda c: c.select("seq", L.severity_label(F.col("seq") % 11 / 10).alias("label")), "SELECT seq, CASE WHEN (seq % 11) / 10.0 >= 0.7 THEN 'High' WHEN (seq % 11) / 10.0 >= 0.4 THEN 'Medium' ELSE 'Low' END AS label FROM c")
-add("format_compact", lambda c: c.filter("price_numeric_eur IS NOT NULL").select("seq", L.format_compact(F.floor("price_numeric_eur") * 10.0).alias("text")), "SELECT seq, CASE WHEN floor(price_numeric_eur) * 10 >= 1e6 THEN format('{:.1f}M €', round(floor(price_numeric_eur) * 10 / 1e6, 1)) WHEN floor(price_numeric_eur) * 10 >= 1e3 THEN format('{:.0f}k €', round(floor(price_numeric_eur) * 10 / 1e3)) ELSE format('{:.0f} €', floor(price_numeric_eur) * 10) END AS text FROM c WHERE price_numeric_eur IS NOT NULL")
+add(
+    "ico_mismatch",
+    lambda c: (lambda x: x.select("seq", L.ico_mismatch(x).alias("mismatch")))(c.withColumn("ico_supplier_scanned", F.when(F.col("seq") % 5 == 0, F.concat(F.lit(" "), "ico_supplier")).when(F.col("seq") % 7 == 0, F.col("ico_buyer")))),
+    """SELECT seq, CASE WHEN ico_supplier IS NULL THEN false WHEN seq % 5 = 0 THEN false WHEN seq % 7 = 0 THEN ico_supplier <> ico_buyer ELSE false END AS mismatch FROM c""",
+)
+add(
+    "contract_block",
+    lambda c: (lambda x: x.select("seq", L.contract_block(x).alias("block")))(c.select("seq", "contract_title", "supplier", "price_numeric_eur", "award_type", "ico_supplier")),
+    """SELECT seq, 'Title [contract_title]: ' || coalesce(contract_title, 'not extracted') || chr(10) || 'Supplier [supplier]: ' || coalesce(supplier, 'not extracted') || chr(10) ||
+    'Price in EUR (numeric) [price_numeric_eur]: ' || coalesce(format('{:,.2f}', price_numeric_eur) || ' EUR', 'not extracted') || chr(10) || 'Award type [award_type]: ' || award_type || chr(10) || 'Supplier ICO [ico_supplier]: ' || coalesce(ico_supplier, 'not extracted') AS block FROM c""",
+)
+add(
+    "severity_label",
+    lambda c: c.select("seq", L.severity_label(F.col("seq") % 11 / 10).alias("label")),
+    "SELECT seq, CASE WHEN (seq % 11) / 10.0 >= 0.7 THEN 'High' WHEN (seq % 11) / 10.0 >= 0.4 THEN 'Medium' ELSE 'Low' END AS label FROM c",
+)
+add(
+    "format_compact",
+    lambda c: c.filter("price_numeric_eur IS NOT NULL").select("seq", L.format_compact(F.floor("price_numeric_eur") * 10.0).alias("text")),
+    """SELECT seq, CASE WHEN floor(price_numeric_eur) * 10 >= 1e6 THEN format('{:.1f}M €', round(floor(price_numeric_eur) * 10 / 1e6, 1)) WHEN floor(price_numeric_eur) * 10 >= 1e3 THEN format('{:.0f}k €', round(floor(price_numeric_eur) * 10 / 1e3)) ELSE format('{:.0f} €', floor(price_numeric_eur) * 10) END AS text
+    FROM c WHERE price_numeric_eur IS NOT NULL""",
+)
 
 # ---------------------------------------------------------------- sorting
 
@@ -126,10 +189,27 @@ for _name, (_spec, _sql) in _SORTS.items():
 for _name in ("sort_price_desc", "sort_multi", "sort_text", "sort_service_type"):
     _spec, _sql = _SORTS[_name]
     add(_name.replace("sort_", "sort_all_"), lambda c, s=_spec: K.sorted_with_places(c, s).select("seq", "ord"), f"SELECT seq, row_number() OVER (ORDER BY {_sql}, seq) AS ord FROM c")
-add("contracts_page", lambda c: K.contracts_page(c, [("published_date", "desc")], 3, 50).select("seq", "ord", "total", "total_pages"), ", t AS (SELECT seq, row_number() OVER (ORDER BY published_date DESC NULLS LAST, seq) AS ord, count(*) OVER () AS total FROM c) SELECT seq, ord, total, CAST(ceil(total / 50.0) AS BIGINT) AS total_pages FROM t WHERE ord BETWEEN 101 AND 150")
-add("top_contracts", lambda c: A.top_contracts(c).select("seq", "ord"), ", t AS (SELECT seq, row_number() OVER (ORDER BY coalesce(price_numeric_eur, 0) DESC, seq) AS ord FROM c) SELECT seq, ord FROM t WHERE ord <= 20")
-add("suggest", lambda c: K.suggest(c, "buyer", "n_1", 20).select("buyer", "score", "pos", "ord"), """, v AS (SELECT DISTINCT buyer, instr(lower(buyer), 'n_1') AS pos FROM c WHERE contains(lower(buyer), 'n_1')),
+add(
+    "contracts_page",
+    lambda c: K.contracts_page(c, [("published_date", "desc")], 3, 50).select("seq", "ord", "total", "total_pages"),
+    """, t AS (SELECT seq, row_number() OVER (ORDER BY published_date DESC NULLS LAST, seq) AS ord, count(*) OVER () AS total FROM c)
+    SELECT seq, ord, total, CAST(ceil(total / 50.0) AS BIGINT) AS total_pages FROM t WHERE ord BETWEEN 101 AND 150""",
+)
+add(
+    "top_contracts",
+    lambda c: A.top_contracts(c).select("seq", "ord"),
+    ", t AS (SELECT seq, row_number() OVER (ORDER BY coalesce(price_numeric_eur, 0) DESC, seq) AS ord FROM c) SELECT seq, ord FROM t WHERE ord <= 20",
+)
+add(
+    "suggest",
+    lambda c: K.suggest(c, "buyer", "n_1", 20).select("buyer", "score", "pos", "ord"),
+    """, v AS (SELECT DISTINCT buyer, instr(lower(buyer), 'n_1') AS pos FROM c WHERE contains(lower(buyer), 'n_1')),
     t AS (SELECT buyer, pos, CASE WHEN pos = 1 THEN 0 WHEN contains(' ' || lower(buyer), ' n_1') THEN 1 ELSE 2 END AS score FROM v),
-    r AS (SELECT *, row_number() OVER (ORDER BY score, pos, lower(buyer)) AS ord FROM t) SELECT buyer, CAST(score AS BIGINT) AS score, pos, ord FROM r WHERE ord <= 20""")
-add("options_selected_first", lambda c: K.options_selected_first(P.apply(c, FilterState(date_from="1996-01-01")).groupBy(F.col("award_type").alias("value")).agg(F.count(F.lit(1)).alias("contract_count")), ["tendered", "withdrawn"]), """, o2 AS (SELECT award_type AS value, count(*) AS contract_count FROM c WHERE published_date >= '1996-01-01' GROUP BY 1), s2 AS (SELECT * FROM (VALUES (0, 'tendered'), (1, 'withdrawn')) t(sel, value))
-    SELECT coalesce(o2.value, s2.value) AS value, coalesce(contract_count, 0) AS contract_count, sel IS NOT NULL AS selected, row_number() OVER (ORDER BY sel NULLS LAST, coalesce(o2.value, s2.value)) AS ord FROM o2 FULL JOIN s2 ON o2.value = s2.value""")
+    r AS (SELECT *, row_number() OVER (ORDER BY score, pos, lower(buyer)) AS ord FROM t) SELECT buyer, CAST(score AS BIGINT) AS score, pos, ord FROM r WHERE ord <= 20""",
+)
+add(
+    "options_selected_first",
+    lambda c: K.options_selected_first(P.apply(c, FilterState(date_from="1996-01-01")).groupBy(F.col("award_type").alias("value")).agg(F.count(F.lit(1)).alias("contract_count")), ["tendered", "withdrawn"]),
+    """, o2 AS (SELECT award_type AS value, count(*) AS contract_count FROM c WHERE published_date >= '1996-01-01' GROUP BY 1), s2 AS (SELECT * FROM (VALUES (0, 'tendered'), (1, 'withdrawn')) t(sel, value))
+    SELECT coalesce(o2.value, s2.value) AS value, coalesce(contract_count, 0) AS contract_count, sel IS NOT NULL AS selected, row_number() OVER (ORDER BY sel NULLS LAST, coalesce(o2.value, s2.value)) AS ord FROM o2 FULL JOIN s2 ON o2.value = s2.value""",
+)

@@ -28,18 +28,43 @@ _old = lambda c: c.filter("seq % 3 <> 0").select(*_C)
 _new = lambda c: c.filter("seq % 2 = 0").select("seq", "contract_id", F.when(F.col("seq") % 4 == 0, F.lit(" ")).otherwise(F.concat("buyer", F.lit("*"))).alias("buyer"), "supplier", (F.col("price_numeric_eur") + 1).alias("price_numeric_eur"), F.lit("NEW").alias("scanned_service_type"))
 _OLDNEW = """, old AS (SELECT seq, contract_id, buyer, supplier, price_numeric_eur, scanned_service_type FROM c WHERE seq % 3 <> 0),
  new AS (SELECT seq, contract_id, CASE WHEN seq % 4 = 0 THEN ' ' ELSE buyer || '*' END AS buyer, supplier, price_numeric_eur + 1 AS price_numeric_eur, 'NEW' AS scanned_service_type FROM c WHERE seq % 2 = 0)"""
-add("record_key", lambda c: (lambda x: x.select("seq", M.record_key(x)["kind"].alias("kind"), M.record_key(x)["value"].alias("value")))(c.withColumn("contract_id", F.when(F.col("seq") % 3 == 0, F.lit(" ")).otherwise(F.col("contract_id"))).withColumn("contract_url", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("u/"), F.col("seq").cast("string"))))), """SELECT seq, CASE WHEN seq % 3 <> 0 THEN 'id' WHEN seq % 2 = 0 THEN 'url' ELSE 'parts' END AS kind, CASE WHEN seq % 3 <> 0 THEN contract_id WHEN seq % 2 = 0 THEN 'u/' || seq ELSE '|' || published_date || '|' || buyer || '|' || coalesce(supplier, '') END AS value FROM c""")
-add("merge_contracts", lambda c: M.merge_contracts(_old(c), _new(c)).select("contract_id", "buyer", "supplier", "price_numeric_eur", "scanned_service_type", F.col("merged_ord._src").alias("source")), _OLDNEW + """
+add(
+    "record_key",
+    lambda c: (lambda x: x.select("seq", M.record_key(x)["kind"].alias("kind"), M.record_key(x)["value"].alias("value")))(c.withColumn("contract_id", F.when(F.col("seq") % 3 == 0, F.lit(" ")).otherwise(F.col("contract_id"))).withColumn("contract_url", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("u/"), F.col("seq").cast("string"))))),
+    """SELECT seq, CASE WHEN seq % 3 <> 0 THEN 'id' WHEN seq % 2 = 0 THEN 'url' ELSE 'parts' END AS kind, CASE WHEN seq % 3 <> 0 THEN contract_id WHEN seq % 2 = 0 THEN 'u/' || seq ELSE '|' || published_date || '|' || buyer || '|' || coalesce(supplier, '') END AS value FROM c""",
+)
+add(
+    "merge_contracts",
+    lambda c: M.merge_contracts(_old(c), _new(c)).select("contract_id", "buyer", "supplier", "price_numeric_eur", "scanned_service_type", F.col("merged_ord._src").alias("source")),
+    _OLDNEW + """
  SELECT coalesce(o1.contract_id, n.contract_id) AS contract_id, CASE WHEN n.buyer IS NOT NULL AND trim(n.buyer) <> '' THEN n.buyer ELSE coalesce(o1.buyer, n.buyer) END AS buyer, coalesce(n.supplier, o1.supplier) AS supplier,
- coalesce(n.price_numeric_eur, o1.price_numeric_eur) AS price_numeric_eur, coalesce(o1.scanned_service_type, n.scanned_service_type) AS scanned_service_type, CASE WHEN o1.contract_id IS NULL THEN 1 ELSE 0 END AS source FROM old o1 FULL JOIN new n ON o1.contract_id = n.contract_id""")
-add("merge_stats", lambda c: M.merge_stats(_old(c), _new(c)), _OLDNEW + """, b AS (SELECT o1.contract_id AS oid, n.contract_id AS nid, n.buyer AS nb, n.price_numeric_eur AS np, o1.scanned_service_type AS os FROM old o1 FULL JOIN new n ON o1.contract_id = n.contract_id)
- SELECT (SELECT count(*) FROM old) AS existing_before, (SELECT count(*) FROM new) AS incoming, count(*) FILTER (oid IS NULL) AS added, count(*) FILTER (oid IS NOT NULL AND nid IS NOT NULL AND (trim(nb) <> '' OR np IS NOT NULL OR os IS NULL)) AS updated, count(*) AS total_after FROM b""")
-add("append_new_contracts", lambda c: M.append_new(_old(c), _new(c).withColumn("contract_id", F.when(F.col("seq") % 10 == 0, F.lit("")).otherwise(F.col("contract_id")))).select("seq", "contract_id", "is_new"), _OLDNEW + " SELECT seq, contract_id, false AS is_new FROM old UNION ALL SELECT seq, CASE WHEN seq % 10 = 0 THEN '' ELSE contract_id END, true FROM new WHERE seq % 10 = 0 OR contract_id NOT IN (SELECT contract_id FROM old)")
-add("append_with_limit", lambda c: M.append_new(_old(c), _new(c), 100).filter("is_new").select("seq"), _OLDNEW + " SELECT seq FROM new WHERE contract_id NOT IN (SELECT contract_id FROM old) ORDER BY seq LIMIT 100")
+ coalesce(n.price_numeric_eur, o1.price_numeric_eur) AS price_numeric_eur, coalesce(o1.scanned_service_type, n.scanned_service_type) AS scanned_service_type, CASE WHEN o1.contract_id IS NULL THEN 1 ELSE 0 END AS source FROM old o1 FULL JOIN new n ON o1.contract_id = n.contract_id""",
+)
+add(
+    "merge_stats",
+    lambda c: M.merge_stats(_old(c), _new(c)),
+    _OLDNEW + """, b AS (SELECT o1.contract_id AS oid, n.contract_id AS nid, n.buyer AS nb, n.price_numeric_eur AS np, o1.scanned_service_type AS os FROM old o1 FULL JOIN new n ON o1.contract_id = n.contract_id)
+ SELECT (SELECT count(*) FROM old) AS existing_before, (SELECT count(*) FROM new) AS incoming, count(*) FILTER (oid IS NULL) AS added, count(*) FILTER (oid IS NOT NULL AND nid IS NOT NULL AND (trim(nb) <> '' OR np IS NOT NULL OR os IS NULL)) AS updated, count(*) AS total_after FROM b""",
+)
+add(
+    "append_new_contracts",
+    lambda c: M.append_new(_old(c), _new(c).withColumn("contract_id", F.when(F.col("seq") % 10 == 0, F.lit("")).otherwise(F.col("contract_id")))).select("seq", "contract_id", "is_new"),
+    _OLDNEW + " SELECT seq, contract_id, false AS is_new FROM old UNION ALL SELECT seq, CASE WHEN seq % 10 = 0 THEN '' ELSE contract_id END, true FROM new WHERE seq % 10 = 0 OR contract_id NOT IN (SELECT contract_id FROM old)",
+)
+add(
+    "append_with_limit",
+    lambda c: M.append_new(_old(c), _new(c), 100).filter("is_new").select("seq"),
+    _OLDNEW + " SELECT seq FROM new WHERE contract_id NOT IN (SELECT contract_id FROM old) ORDER BY seq LIMIT 100",
+)
 add("anti_known_ids", lambda c: c.join(_old(c).select("contract_id"), "contract_id", "left_anti").select("seq"), "SELECT seq FROM c WHERE seq % 3 = 0")
 add("union_contracts", lambda c: M.union_contracts(_old(c), _new(c).drop("supplier")).select("seq", "supplier"), _OLDNEW + " SELECT seq, supplier FROM old UNION ALL SELECT seq, NULL FROM new")
 add("ordered_distinct", lambda c: M.ordered_distinct(c, "supplier"), "SELECT supplier, min(seq) AS first_seq FROM c GROUP BY 1")
-add("dedup_first", lambda c: M.dedup_first(c.select("seq", "buyer", "supplier", "price_numeric_eur"), ["buyer", "supplier"]), ", t AS (SELECT seq, buyer, supplier, price_numeric_eur, row_number() OVER (PARTITION BY buyer, supplier ORDER BY seq) AS rn FROM c) SELECT seq, buyer, supplier, price_numeric_eur FROM t WHERE rn = 1")
+add(
+    "dedup_first",
+    lambda c: M.dedup_first(c.select("seq", "buyer", "supplier", "price_numeric_eur"), ["buyer", "supplier"]),
+    """, t AS (SELECT seq, buyer, supplier, price_numeric_eur, row_number() OVER (PARTITION BY buyer, supplier ORDER BY seq) AS rn FROM c)
+    SELECT seq, buyer, supplier, price_numeric_eur FROM t WHERE rn = 1""",
+)
 #: A source field in each of its shapes, from the lines beyond the first.
 def _field():
     own = F.when(F.col("seq") % 4 == 0, F.concat(F.lit('[{"name": "'), "supplier", F.lit('", "ico": "'), "ico_supplier", F.lit('"}, "'), "buyer", F.lit('", {"note": 1}]')))
@@ -50,8 +75,16 @@ _expanded = lambda c: M.expand_subcontractors(c.withColumn("scanned_subcontracto
 _EXP = """, e AS (SELECT seq, contract_id, 0 AS sub_ord, supplier AS subcontractor, CASE WHEN seq % 4 = 0 THEN ico_supplier END AS ico_subcontractor FROM c WHERE seq % 4 < 3 AND supplier IS NOT NULL
  UNION ALL SELECT seq, contract_id, 1, CASE WHEN seq % 4 = 2 THEN 'x' ELSE buyer END, NULL FROM c WHERE seq % 4 < 3 AND supplier IS NOT NULL)"""
 add("expand_subcontractors", _expanded, _EXP + " SELECT * FROM e")
-add("subcontractor_split", lambda c: c.withColumn("f", _field()).select("seq", F.size(M.subcontractor_items("f")).alias("n")), "SELECT seq, CASE WHEN seq % 4 < 3 AND supplier IS NOT NULL THEN 2 ELSE 0 END AS n FROM c")
-add("append_subcontractors", lambda c: (lambda e: M.append_subcontractors(e.filter("seq % 3 = 0"), e).select("seq", "subcontractor", "is_new"))(_expanded(c)), _EXP + " SELECT seq, subcontractor, false AS is_new FROM e WHERE seq % 3 = 0 UNION ALL SELECT seq, subcontractor, true FROM e WHERE seq % 3 <> 0")
+add(
+    "subcontractor_split",
+    lambda c: c.withColumn("f", _field()).select("seq", F.size(M.subcontractor_items("f")).alias("n")),
+    "SELECT seq, CASE WHEN seq % 4 < 3 AND supplier IS NOT NULL THEN 2 ELSE 0 END AS n FROM c",
+)
+add(
+    "append_subcontractors",
+    lambda c: (lambda e: M.append_subcontractors(e.filter("seq % 3 = 0"), e).select("seq", "subcontractor", "is_new"))(_expanded(c)),
+    _EXP + " SELECT seq, subcontractor, false AS is_new FROM e WHERE seq % 3 = 0 UNION ALL SELECT seq, subcontractor, true FROM e WHERE seq % 3 <> 0",
+)
 
 
 def _legacy(p: DataFrame) -> DataFrame:
@@ -78,7 +111,13 @@ add("tender_bids_of_parts", lambda p: M.tender_bids(M.normalise_parts(_legacy(p)
 SELECT p_partkey AS tender_id, 1 AS part_number, i - 1 AS pos, p_brand || ' ' || i AS name, CAST(i AS VARCHAR) AS ico, p_retailprice + i AS proposed_sum_eur, i = 1 AS is_winner
 FROM part, range(1, 4) t(i) WHERE p_partkey % 5 <> 0 AND i <= p_size % 3 + 1""", "part")
 _bids = lambda p: p.select(F.col("p_partkey").alias("tender_id"), F.array(F.struct(F.lit(1).alias("part_number"), F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_retailprice").alias("proposed_sum_eur")), F.struct(F.lit("other").alias("name"), (F.col("p_retailprice") + 1).alias("proposed_sum_eur"))).alias("participants"))).alias("parts"))
-add("tender_bids", lambda p: M.tender_bids(_bids(p)), "SELECT p_partkey AS tender_id, 1 AS part_number, 0 AS pos, p_brand AS name, p_retailprice AS proposed_sum_eur, true AS is_winner FROM part UNION ALL SELECT p_partkey, 1, 1, 'other', p_retailprice + 1, false FROM part", "part")
+add(
+    "tender_bids",
+    lambda p: M.tender_bids(_bids(p)),
+    """SELECT p_partkey AS tender_id, 1 AS part_number, 0 AS pos, p_brand AS name, p_retailprice AS proposed_sum_eur, true AS is_winner FROM part UNION ALL
+    SELECT p_partkey, 1, 1, 'other', p_retailprice + 1, false FROM part""",
+    "part",
+)
 
 
 def _with_documents(p: DataFrame) -> DataFrame:
@@ -92,12 +131,22 @@ def _with_documents(p: DataFrame) -> DataFrame:
     return p.select(F.col("p_partkey").alias("tender_id"), documents.alias("documents"))
 
 
-add("result_documents", lambda p: M.result_documents(_with_documents(p)).select("tender_id", "result_document_count", F.array_join(F.transform("documents", lambda d: d["title"]), "; ").alias("titles")), """
-SELECT p_partkey AS tender_id, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS result_document_count, '0 ' || p_name || CASE WHEN p_size % 2 = 0 THEN '; 1 ' || p_name ELSE '' END AS titles FROM part""", "part")
+add(
+    "result_documents",
+    lambda p: M.result_documents(_with_documents(p)).select("tender_id", "result_document_count", F.array_join(F.transform("documents", lambda d: d["title"]), "; ").alias("titles")),
+    """
+SELECT p_partkey AS tender_id, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS result_document_count, '0 ' || p_name || CASE WHEN p_size % 2 = 0 THEN '; 1 ' || p_name ELSE '' END AS titles FROM part""",
+    "part",
+)
 _work = lambda c: c.withColumns({"scanned_service_type": F.when(F.col("seq") % 5 == 0, F.col("scanned_service_type")), "pdf_text": F.when(F.col("seq") % 3 == 0, F.concat(F.lit("a  b\r\n\n c "), "pdf_text_summary")), "pdf_url": F.when(F.col("seq") % 2 == 0, F.lit("u")), "pdf_local_path": F.when(F.col("seq") % 7 < 3, F.lit("p"))})
 _STATUS = "CASE WHEN seq % 5 = 0 AND scanned_service_type IS NOT NULL THEN 'skipped' WHEN seq % 3 = 0 AND pdf_text_summary IS NOT NULL THEN 'process' WHEN seq % 2 = 0 THEN 'fetch' ELSE 'skipped' END"
 add("enrichment_worklist", lambda c: M.enrichment_worklist(_work(c)), f"SELECT {_STATUS} AS status, count(*) AS n FROM c GROUP BY 1")
-add("enrichment_requests", lambda c: M.enrichment_requests(_work(c)).select("seq", "text", F.length("taxonomy").alias("n_taxonomy")), f"SELECT seq, 'abc ' || pdf_text_summary AS text, {len(chr(10).join(f'{k}: ' + ', '.join(v) for k, v in M.TAXONOMY.items()))} AS n_taxonomy FROM c WHERE {_STATUS} = 'process'")
+add(
+    "enrichment_requests",
+    lambda c: M.enrichment_requests(_work(c)).select("seq", "text", F.length("taxonomy").alias("n_taxonomy")),
+    f"""SELECT seq, 'abc ' || pdf_text_summary AS text, {len(chr(10).join(f'{k}: ' + ', '.join(v) for k, v in M.TAXONOMY.items()))} AS n_taxonomy FROM c
+    WHERE {_STATUS} = 'process'""",
+)
 _types = list(M.TAXONOMY)
 _firsts = [M.TAXONOMY[t][0] for t in _types]
 _of = lambda names, c: F.when(F.col(c).isNotNull(), F.get(F.array(*map(F.lit, names)), F.col(c).cast("int") % len(names)))
@@ -115,44 +164,139 @@ add("service_taxonomy", lambda c: M.service_taxonomy(_taxed(c)), f""", x AS (SEL
  CASE WHEN CAST(published_year AS INTEGER) % 2 = 0 THEN {_pick(_firsts, 'ico_buyer')} END AS s, CASE WHEN CAST(published_year AS INTEGER) % 2 = 0 THEN {_pick(_types, 'ico_buyer')} END AS o FROM c)
  SELECT seq, coalesce(t, o) AS service_type, CASE WHEN t IS NULL OR t = o THEN s END AS service_subtype FROM x""")
 _resp = lambda c: c.filter("seq % 2 = 0").select("seq", F.to_json(F.struct(F.lit(_types[0]).alias("service_type"), F.lit("zzz").alias("service_subtype"), F.col("buyer").alias("summary"), F.col("price_numeric_eur").alias("contract_value"))).alias("response"))
-add("apply_scanned_fields", lambda c: M.apply_scanned_fields(c, _resp(c)).select("seq", "scanned_service_type", "scanned_service_subtype", "scanned_summary", "scanned_contract_value"), f"SELECT seq, CASE WHEN seq % 2 = 0 THEN '{_types[0]}' ELSE scanned_service_type END AS scanned_service_type, CASE WHEN seq % 2 <> 0 THEN scanned_service_subtype END AS scanned_service_subtype, CASE WHEN seq % 2 = 0 THEN buyer END AS scanned_summary, CASE WHEN seq % 2 = 0 THEN price_numeric_eur END AS scanned_contract_value FROM c")
-add("unreadable_text_candidates", lambda c: M.unreadable_candidates(_work(c)), "SELECT count(*) AS total, count(*) FILTER (seq % 7 < 3) AS candidates, count(*) FILTER (seq % 7 >= 3) AS skipped FROM c")
-add("contract_tender_join", lambda s, d: M.contract_tender_join(star.contracts(s, d), star.tenders(s, d)).select("seq", F.col("tender.subject_name").alias("subject_name"), F.col("tender.estimated_value").alias("estimated_value")), W + "SELECT c.seq, p_name AS subject_name, p_retailprice AS estimated_value FROM c LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = public_procurement_id", "")
+add(
+    "apply_scanned_fields",
+    lambda c: M.apply_scanned_fields(c, _resp(c)).select("seq", "scanned_service_type", "scanned_service_subtype", "scanned_summary", "scanned_contract_value"),
+    f"""SELECT seq, CASE WHEN seq % 2 = 0 THEN '{_types[0]}' ELSE scanned_service_type END AS scanned_service_type, CASE WHEN seq % 2 <> 0 THEN scanned_service_subtype END AS scanned_service_subtype, CASE WHEN seq % 2 = 0 THEN buyer END AS scanned_summary, CASE WHEN seq % 2 = 0 THEN price_numeric_eur END AS scanned_contract_value
+    FROM c""",
+)
+add(
+    "unreadable_text_candidates",
+    lambda c: M.unreadable_candidates(_work(c)),
+    "SELECT count(*) AS total, count(*) FILTER (seq % 7 < 3) AS candidates, count(*) FILTER (seq % 7 >= 3) AS skipped FROM c",
+)
+add(
+    "contract_tender_join",
+    lambda s, d: M.contract_tender_join(star.contracts(s, d), star.tenders(s, d)).select("seq", F.col("tender.subject_name").alias("subject_name"), F.col("tender.estimated_value").alias("estimated_value")),
+    W + "SELECT c.seq, p_name AS subject_name, p_retailprice AS estimated_value FROM c LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = public_procurement_id",
+    "",
+)
 
 # ---------------------------------------------------------------- scalar functions
 
 _price = lambda: F.translate(F.concat(F.format_number("price_numeric_eur", 2), F.lit(" €")), ",.", " ,")
-add("parse_price", lambda c: c.select("seq", X.parse_price(F.when(F.col("seq") % 11 == 0, F.lit("dohodou")).otherwise(_price())).alias("price")), "SELECT seq, CASE WHEN seq % 11 <> 0 THEN CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM c")
+add(
+    "parse_price",
+    lambda c: c.select("seq", X.parse_price(F.when(F.col("seq") % 11 == 0, F.lit("dohodou")).otherwise(_price())).alias("price")),
+    "SELECT seq, CASE WHEN seq % 11 <> 0 THEN CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM c",
+)
 _months = "január február marec apríl Máj jún júl august september Október november december".split()
-add("parse_slovak_date", lambda c: c.select("seq", X.parse_slovak_date(F.concat(F.substring("published_date", 9, 2), F.lit(".")), F.element_at(F.array(*map(F.lit, _months)), F.substring("published_date", 6, 2).cast("int")), F.when(F.col("seq") % 13 == 0, F.lit("x")).otherwise(F.substring("published_date", 1, 4))).alias("day")), "SELECT seq, CASE WHEN seq % 13 <> 0 THEN published_date END AS day FROM c")
-add("parse_dotted_date", lambda c: c.select("seq", X.parse_dotted_date(F.when(F.col("seq") % 5 == 0, F.lit("neuvedený")).otherwise(F.date_format(F.col("published_date").cast("date"), "d.M.yyyy"))).alias("day")), "SELECT seq, CASE WHEN seq % 5 <> 0 THEN published_date END AS day FROM c")
+add(
+    "parse_slovak_date",
+    lambda c: c.select("seq", X.parse_slovak_date(F.concat(F.substring("published_date", 9, 2), F.lit(".")), F.element_at(F.array(*map(F.lit, _months)), F.substring("published_date", 6, 2).cast("int")), F.when(F.col("seq") % 13 == 0, F.lit("x")).otherwise(F.substring("published_date", 1, 4))).alias("day")),
+    "SELECT seq, CASE WHEN seq % 13 <> 0 THEN published_date END AS day FROM c",
+)
+add(
+    "parse_dotted_date",
+    lambda c: c.select("seq", X.parse_dotted_date(F.when(F.col("seq") % 5 == 0, F.lit("neuvedený")).otherwise(F.date_format(F.col("published_date").cast("date"), "d.M.yyyy"))).alias("day")),
+    "SELECT seq, CASE WHEN seq % 5 <> 0 THEN published_date END AS day FROM c",
+)
 _doc = lambda f, name: lambda d: d.select("doc_id", f(F.col("text")).alias(name))
-add("normalize_text", _doc(lambda t: F.sha2(X.normalize_text(t), 256), "h"), "SELECT doc_id, sha256(lower(regexp_replace(strip_accents(text), '^\\s+|\\s+$', '', 'g'))) AS h FROM documents", "documents")
+add(
+    "normalize_text",
+    _doc(lambda t: F.sha2(X.normalize_text(t), 256), "h"),
+    "SELECT doc_id, sha256(lower(regexp_replace(strip_accents(text), '^\\s+|\\s+$', '', 'g'))) AS h FROM documents",
+    "documents",
+)
 add("clean_whitespace", _doc(lambda t: F.sha2(X.clean_whitespace(t), 256), "h"), "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents", "documents")
-add("snake_case", lambda c: c.select("seq", X.snake_case(F.concat_ws(" / ", "contract_title", "buyer")).alias("s")), "SELECT seq, coalesce(nullif(trim(regexp_replace(lower(concat_ws(' / ', contract_title, buyer)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS s FROM c")
+add(
+    "snake_case",
+    lambda c: c.select("seq", X.snake_case(F.concat_ws(" / ", "contract_title", "buyer")).alias("s")),
+    "SELECT seq, coalesce(nullif(trim(regexp_replace(lower(concat_ws(' / ', contract_title, buyer)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS s FROM c",
+)
 _WORD = "[\\p{L}\\p{M}\\p{N}_]"
 add("clean_text", _doc(lambda t: F.sha2(X.clean_text(t), 256), "h"), f"""
 WITH e AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '\\n{{2,}}', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g') AS t FROM documents),
  k AS (SELECT doc_id, t, regexp_extract_all(t, '\\S+|\\s+') AS ks FROM e)
 SELECT doc_id, sha256(regexp_replace(coalesce(array_to_string(list_transform(ks, lambda x, i: CASE WHEN regexp_matches(x, '^\\s') AND i > 1 AND i < len(ks)
  AND regexp_matches(ks[i - 1], '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){_WORD}$') AND regexp_matches(ks[i + 1], '^{_WORD}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN '' ELSE x END), ''), t), '^\\s+|\\s+$', '', 'g')) AS h FROM k""", "documents")
-add("safe_filename", lambda p: p.select("page_id", X.safe_filename(F.col("url")).alias("name")), "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '._') AS name FROM pages", "pages")
+add(
+    "safe_filename",
+    lambda p: p.select("page_id", X.safe_filename(F.col("url")).alias("name")),
+    "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '._') AS name FROM pages",
+    "pages",
+)
 add("is_readable_text", _doc(lambda t: X.is_readable(t), "ok"), "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) >= 30 AS ok FROM documents", "documents")
 add("truncate_text", _doc(lambda t: F.sha2(X.truncate(t, 500), 256), "h"), "SELECT doc_id, sha256(substring(text, 1, 500)) AS h FROM documents", "documents")
-add("sanitise_message", lambda m: m.select("conv_id", "turn", "role", F.sha2(F.coalesce(X.sanitise_message(F.concat(F.lit("\x01 "), "text")), F.lit("")), 256).alias("h")), "SELECT conv_id, turn, role, sha256(regexp_replace(substring(' ' || text, 1, 4000), '^\\s+|\\s+$', '', 'g')) AS h FROM conversations", "conversations")
-add("token_cost", lambda m: m.select("conv_id", "turn", "role", X.token_estimate(F.col("text")).alias("tokens"), X.token_cost(X.token_estimate(F.col("text")), F.lit(100)).alias("cost")), "SELECT conv_id, turn, role, length(text) // 4 AS tokens, CAST((length(text) // 4 * 15 + 100 * 60 + 50) // 100 AS DOUBLE) / 1000000 AS cost FROM conversations", "conversations")
-add("mentioned_years", lambda c: c.select("seq", F.posexplode(X.mentioned_years(F.concat(F.lit("rok 2015, 12016 a "), "published_date", F.lit(" 20155")))).alias("pos", "year")), "SELECT seq, 0 AS pos, '2015' AS year FROM c")
+add(
+    "sanitise_message",
+    lambda m: m.select("conv_id", "turn", "role", F.sha2(F.coalesce(X.sanitise_message(F.concat(F.lit("\x01 "), "text")), F.lit("")), 256).alias("h")),
+    "SELECT conv_id, turn, role, sha256(regexp_replace(substring(' ' || text, 1, 4000), '^\\s+|\\s+$', '', 'g')) AS h FROM conversations",
+    "conversations",
+)
+add(
+    "token_cost",
+    lambda m: m.select("conv_id", "turn", "role", X.token_estimate(F.col("text")).alias("tokens"), X.token_cost(X.token_estimate(F.col("text")), F.lit(100)).alias("cost")),
+    "SELECT conv_id, turn, role, length(text) // 4 AS tokens, CAST((length(text) // 4 * 15 + 100 * 60 + 50) // 100 AS DOUBLE) / 1000000 AS cost FROM conversations",
+    "conversations",
+)
+add(
+    "mentioned_years",
+    lambda c: c.select("seq", F.posexplode(X.mentioned_years(F.concat(F.lit("rok 2015, 12016 a "), "published_date", F.lit(" 20155")))).alias("pos", "year")),
+    "SELECT seq, 0 AS pos, '2015' AS year FROM c",
+)
 _tender = lambda: F.concat(F.lit("https://x.sk/sk/"), F.when(F.col("page_id") % 3 == 0, "tender/").when(F.col("page_id") % 3 == 1, "zakazka/detail/").otherwise("a/77/b/"), F.col("page_id").cast("string"), F.lit("/summary?id=99"))
-add("procurement_id", lambda p: p.select("page_id", X.procurement_id(_tender()).alias("id"), X.procurement_id(F.col("url")).alias("own")), "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '(\\d+)\\D*$', 1), '') AS own FROM pages", "pages")
+add(
+    "procurement_id",
+    lambda p: p.select("page_id", X.procurement_id(_tender()).alias("id"), X.procurement_id(F.col("url")).alias("own")),
+    """SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '(\\d+)\\D*$', 1), '') AS own
+    FROM pages""",
+    "pages",
+)
 _summary_url = lambda: F.concat(F.lit("HTTPS://josephine.proebiz.com/sk/tender/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "/summary/").otherwise("/documents"))
-add("is_tender_summary_url", lambda p: p.select("page_id", X.is_tender_summary(_summary_url()).alias("ok"), X.is_tender_summary(F.col("url")).alias("own")), "SELECT page_id, page_id % 2 = 0 AS ok, false AS own FROM pages", "pages")
+add(
+    "is_tender_summary_url",
+    lambda p: p.select("page_id", X.is_tender_summary(_summary_url()).alias("ok"), X.is_tender_summary(F.col("url")).alias("own")),
+    "SELECT page_id, page_id % 2 = 0 AS ok, false AS own FROM pages",
+    "pages",
+)
 _portal = lambda: F.concat(F.when(F.col("page_id") % 2 == 0, "https://uvo.gov.sk").otherwise("https://other.sk"), F.lit("/vyhladavanie/vyhladavanie-zakaziek/detail/dokumenty/"), F.col("page_id").cast("string"), F.lit("?a=1#x"))
-add("canonical_tender_url", lambda p: p.select("page_id", X.canonical_tender_url(_portal()).alias("u")), "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/' || page_id || '?a=1' END AS u FROM pages", "pages")
-add("documents_url", lambda p: p.select("page_id", X.documents_url(F.concat(F.lit("https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/"), F.col("page_id").cast("string"), F.lit("?d=1"))).alias("u")), "SELECT page_id, 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/dokumenty/' || page_id || '?d=1' AS u FROM pages", "pages")
-add("listing_url", lambda p: p.select("page_id", X.listing_url(F.lit("https://r.sk/list/?page=1&art=2"), F.col("page_id"), {"q": "a b", "art": None}).alias("u")), "SELECT page_id, 'https://r.sk/list/?page=' || page_id || '&art=2&q=a+b' AS u FROM pages", "pages")
-add("url_id", lambda p: p.select("page_id", X.url_id(F.concat(F.lit("https://r.sk/zmluva/"), F.col("page_id").cast("string"), F.lit("/"))).alias("id"), X.url_id(F.col("url")).alias("own")), "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(url, '/zmluva/(\\d+)/', 1), '') AS own FROM pages", "pages")
-add("cpv_entries", lambda p: p.select("p_partkey", F.explode(X.cpv_entries(F.concat(F.lit("45000000-7 - "), "p_brand", F.lit("  72000000-5 - "), "p_type"))).alias("e")).select("p_partkey", "e.code", "e.name"), "SELECT p_partkey, '45000000-7' AS code, p_brand AS name FROM part UNION ALL SELECT p_partkey, '72000000-5', p_type FROM part", "part")
-add("json_recover", lambda e: e.select("event_id", F.get_json_object(X.json_recover(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.col("event_type").alias("k"))), F.lit("\n```"))).otherwise(F.lit("nothing"))), "$.k").alias("k")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS k FROM events", "events")
+add(
+    "canonical_tender_url",
+    lambda p: p.select("page_id", X.canonical_tender_url(_portal()).alias("u")),
+    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/' || page_id || '?a=1' END AS u FROM pages",
+    "pages",
+)
+add(
+    "documents_url",
+    lambda p: p.select("page_id", X.documents_url(F.concat(F.lit("https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/detail/"), F.col("page_id").cast("string"), F.lit("?d=1"))).alias("u")),
+    "SELECT page_id, 'https://www.uvo.gov.sk/vyhladavanie/vyhladavanie-zakaziek/dokumenty/' || page_id || '?d=1' AS u FROM pages",
+    "pages",
+)
+add(
+    "listing_url",
+    lambda p: p.select("page_id", X.listing_url(F.lit("https://r.sk/list/?page=1&art=2"), F.col("page_id"), {"q": "a b", "art": None}).alias("u")),
+    "SELECT page_id, 'https://r.sk/list/?page=' || page_id || '&art=2&q=a+b' AS u FROM pages",
+    "pages",
+)
+add(
+    "url_id",
+    lambda p: p.select("page_id", X.url_id(F.concat(F.lit("https://r.sk/zmluva/"), F.col("page_id").cast("string"), F.lit("/"))).alias("id"), X.url_id(F.col("url")).alias("own")),
+    "SELECT page_id, CAST(page_id AS VARCHAR) AS id, nullif(regexp_extract(url, '/zmluva/(\\d+)/', 1), '') AS own FROM pages",
+    "pages",
+)
+add(
+    "cpv_entries",
+    lambda p: p.select("p_partkey", F.explode(X.cpv_entries(F.concat(F.lit("45000000-7 - "), "p_brand", F.lit("  72000000-5 - "), "p_type"))).alias("e")).select("p_partkey", "e.code", "e.name"),
+    "SELECT p_partkey, '45000000-7' AS code, p_brand AS name FROM part UNION ALL SELECT p_partkey, '72000000-5', p_type FROM part",
+    "part",
+)
+add(
+    "json_recover",
+    lambda e: e.select("event_id", F.get_json_object(X.json_recover(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.col("event_type").alias("k"))), F.lit("\n```"))).otherwise(F.lit("nothing"))), "$.k").alias("k")),
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS k FROM events",
+    "events",
+)
 
 # ---------------------------------------------------------------- chat context
 
@@ -163,16 +307,42 @@ _ENT = ", ent AS (SELECT DISTINCT message_id, 'institution' AS kind, buyer AS na
 _YEAR = ", y AS (SELECT message_id, unnest(regexp_extract_all(text, '\\b(20[12]\\d)\\b', 1)) AS ys, unnest(range(len(regexp_extract_all(text, '\\b(20[12]\\d)\\b', 1)))) AS pos FROM m), yr AS (SELECT message_id, pos, CAST(ys AS BIGINT) AS year, CASE WHEN CAST(ys AS INTEGER) < 2011 THEN 'before' ELSE 'after' END AS side, CASE WHEN CAST(ys AS INTEGER) < 2011 THEN ys || '-01-01' ELSE ys || '-12-31' END AS suggestion FROM y WHERE CAST(ys AS INTEGER) < 2011 OR CAST(ys AS INTEGER) > 2012)"
 add("scope_entity_refusals", lambda s, d: Q.entity_refusals(_messages(s, d), star.contracts(s, d), _scope), W + _MSG + _ENT + " SELECT * FROM ent", "")
 add("scope_year_refusals", lambda s, d: Q.year_refusals(_messages(s, d), _scope), W + _MSG + _YEAR + " SELECT * FROM yr", "")
-add("scope_refusals", lambda s, d: Q.refusals(_messages(s, d), star.contracts(s, d), _scope).select("message_id", "reason", F.size("suggestions").alias("n"), "hint"), W + _MSG + _ENT + _YEAR + """, allr AS (SELECT message_id, 0 AS o, 0 AS pos, name AS by_, 'Institution "' || name || '" is not in the current filter scope.' AS reason, 'institutions=' || name AS hint FROM ent
+add(
+    "scope_refusals",
+    lambda s, d: Q.refusals(_messages(s, d), star.contracts(s, d), _scope).select("message_id", "reason", F.size("suggestions").alias("n"), "hint"),
+    W + _MSG + _ENT + _YEAR + """, allr AS (SELECT message_id, 0 AS o, 0 AS pos, name AS by_, 'Institution "' || name || '" is not in the current filter scope.' AS reason, 'institutions=' || name AS hint FROM ent
  UNION ALL SELECT message_id, 2, pos, side, 'Year ' || year || CASE side WHEN 'before' THEN ' is before the filter start date (2011-05-01).' ELSE ' is after the filter end date (2012-01-01).' END, NULL FROM yr)
- SELECT message_id, string_agg(reason, ' ' ORDER BY o, pos, by_) AS reason, count(*) AS n, coalesce(string_agg(hint, '&' ORDER BY o, pos, by_), '') AS hint FROM allr GROUP BY 1""", "")
-add("chat_last_n", lambda m: P.last_of_session(m, 10).select("conv_id", "turn", "role"), "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations) SELECT conv_id, turn, role FROM t WHERE rn <= 10", "conversations")
+ SELECT message_id, string_agg(reason, ' ' ORDER BY o, pos, by_) AS reason, count(*) AS n, coalesce(string_agg(hint, '&' ORDER BY o, pos, by_), '') AS hint FROM allr GROUP BY 1""",
+    "",
+)
+add(
+    "chat_last_n",
+    lambda m: P.last_of_session(m, 10).select("conv_id", "turn", "role"),
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations)
+    SELECT conv_id, turn, role FROM t WHERE rn <= 10""",
+    "conversations",
+)
 _slim = lambda c: c.select("seq", "contract_id", "contract_title", "buyer", "supplier", "price_numeric_eur", "published_date", "scanned_service_type", "award_type", "ico_supplier")
 _KINDS = "SELECT section, count(*) AS n, count(DISTINCT ord) AS ords FROM ({}) GROUP BY 1"
-add("scoped_context_sections", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("ords")), "SELECT * FROM (VALUES ('summary', 5, 5), ('contract', 20, 20), ('remainder', 1, 1), ('reference', 50, 50)) v(section, n, ords) UNION ALL SELECT 'category', count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')), count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')) FROM c WHERE published_date >= '1996-01-01'")
-add("scoped_context_summary", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).filter("section = 'summary'").select("ord", "text"), f""", a AS (SELECT {SUMMARY}, min(published_date) AS d0, max(published_date) AS d1 FROM c WHERE published_date >= '1996-01-01')
- SELECT 0 AS ord, 'Contracts in scope: ' || contract_count AS text FROM a UNION ALL SELECT 1, 'Total value: ' || format('{{:,.2f}}', total_spend) || ' EUR' FROM a UNION ALL SELECT 2, 'Average value: ' || format('{{:,.2f}}', avg_value) || ' EUR' FROM a UNION ALL SELECT 3, 'Maximum value: ' || format('{{:,.2f}}', max_value) || ' EUR' FROM a UNION ALL SELECT 4, 'Date range: ' || d0 || ' to ' || d1 FROM a""")
-add("scoped_context_small", lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(institutions=["NATION_6 BUILDING"], date_from="2001-01-01")))).filter("section = 'contract'").select("ord", F.substring_index("text", "\n", 1).alias("first_line")), ", t AS (SELECT contract_id, row_number() OVER (ORDER BY seq) AS ord FROM c WHERE buyer = 'NATION_6 BUILDING' AND published_date >= '2001-01-01') SELECT ord, 'Contract ID [contract_id]: ' || contract_id AS first_line FROM t WHERE (SELECT count(*) FROM t) <= 100")
+add(
+    "scoped_context_sections",
+    lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("ords")),
+    """SELECT * FROM (VALUES ('summary', 5, 5), ('contract', 20, 20), ('remainder', 1, 1), ('reference', 50, 50)) v(section, n, ords) UNION ALL
+    SELECT 'category', count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')), count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')) FROM c
+    WHERE published_date >= '1996-01-01'""",
+)
+add(
+    "scoped_context_summary",
+    lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).filter("section = 'summary'").select("ord", "text"),
+    f""", a AS (SELECT {SUMMARY}, min(published_date) AS d0, max(published_date) AS d1 FROM c WHERE published_date >= '1996-01-01')
+ SELECT 0 AS ord, 'Contracts in scope: ' || contract_count AS text FROM a UNION ALL SELECT 1, 'Total value: ' || format('{{:,.2f}}', total_spend) || ' EUR' FROM a UNION ALL SELECT 2, 'Average value: ' || format('{{:,.2f}}', avg_value) || ' EUR' FROM a UNION ALL SELECT 3, 'Maximum value: ' || format('{{:,.2f}}', max_value) || ' EUR' FROM a UNION ALL SELECT 4, 'Date range: ' || d0 || ' to ' || d1 FROM a""",
+)
+add(
+    "scoped_context_small",
+    lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(institutions=["NATION_6 BUILDING"], date_from="2001-01-01")))).filter("section = 'contract'").select("ord", F.substring_index("text", "\n", 1).alias("first_line")),
+    """, t AS (SELECT contract_id, row_number() OVER (ORDER BY seq) AS ord FROM c WHERE buyer = 'NATION_6 BUILDING' AND published_date >= '2001-01-01')
+    SELECT ord, 'Contract ID [contract_id]: ' || contract_id AS first_line FROM t WHERE (SELECT count(*) FROM t) <= 100""",
+)
 add("contract_context_sections", lambda s, d: _contexts(s, d).select("contract_id", "section", "ord"), W + """, h AS (SELECT c.contract_id, p_partkey FROM c LEFT JOIN part ON p_partkey = seq)
 SELECT contract_id, 'fields' AS section, 0 AS ord FROM h UNION ALL SELECT contract_id, 'note', 0 FROM h WHERE p_partkey IS NULL UNION ALL SELECT contract_id, 'tender', 0 FROM h WHERE p_partkey IS NOT NULL
 UNION ALL SELECT contract_id, 'documents', i FROM h, range(3) t(i) WHERE p_partkey IS NOT NULL UNION ALL SELECT contract_id, 'parts', i FROM h, range(2) t(i) WHERE p_partkey IS NOT NULL AND (i = 0 OR p_partkey % 5 <> 0)""", "")
@@ -204,8 +374,13 @@ SELECT contract_id, section, ord, sha256(text) AS h FROM x""", "")
 # ---------------------------------------------------------------- pages
 
 add("page_title", H.page_title, "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS page_title FROM pages", "pages")
-add("page_links", H.page_links, """SELECT page_id, pos AS ord, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE regexp_extract(regexp_replace(url, '[?#].*', ''), '^(.*/)', 1) || href END AS link
- FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)))) AS pos FROM pages)""", "pages")
+add(
+    "page_links",
+    H.page_links,
+    """SELECT page_id, pos AS ord, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE regexp_extract(regexp_replace(url, '[?#].*', ''), '^(.*/)', 1) || href END AS link
+ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)))) AS pos FROM pages)""",
+    "pages",
+)
 #: Register and tender pages are not among the given ones. They are written here out of each given page: its title, its links and
 #: the page itself behind them, so that every answer depends on the whole ``html``.
 _BASE = "https://www.crz.gov.sk"
@@ -255,25 +430,55 @@ _P2 = _page(
 _PG = """WITH pg AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t0, length(t0) AS size, trim(regexp_replace(replace(replace(t0, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t,
   regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1) AS ls, coalesce(ls[1], '') AS l1, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site FROM pages),
  lk AS (SELECT *, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM pg) """
-add("listing_rows", lambda p: H.listing_rows(_LIST(p), _BASE).select("page_id", "published_date", "contract_title", "contract_number", "price_numeric_eur", "supplier", "buyer", "contract_url", "contract_id"), _PG + """
+add(
+    "listing_rows",
+    lambda p: H.listing_rows(_LIST(p), _BASE).select("page_id", "published_date", "contract_title", "contract_number", "price_numeric_eur", "supplier", "buyer", "contract_url", "contract_id"),
+    _PG + """
 SELECT page_id, (2000 + size % 25) || '-03-03' AS published_date, t AS contract_title, l AS contract_number, CAST(size || '0' || i || '.5' AS DOUBLE) AS price_numeric_eur, l AS supplier, t AS buyer,
- 'https://www.crz.gov.sk/zmluva/' || page_id || '0' || i || '/' AS contract_url, page_id || '0' || i AS contract_id FROM lk""", "pages")
-add("detail_identification", lambda p: H.detail_identification(H.label_values(_DETAIL(p)), _BASE).select("page_id", "contract_number_detail", "buyer_detail", "supplier_detail", "ico_buyer", "ico_supplier"), _PG + """
-SELECT page_id, CAST(page_id AS VARCHAR) AS contract_number_detail, t AS buyer_detail, nullif(l1, '') AS supplier_detail, CAST(size AS VARCHAR) AS ico_buyer, CAST(len(ls) AS VARCHAR) AS ico_supplier FROM pg""", "pages")
+ 'https://www.crz.gov.sk/zmluva/' || page_id || '0' || i || '/' AS contract_url, page_id || '0' || i AS contract_id FROM lk""",
+    "pages",
+)
+add(
+    "detail_identification",
+    lambda p: H.detail_identification(H.label_values(_DETAIL(p)), _BASE).select("page_id", "contract_number_detail", "buyer_detail", "supplier_detail", "ico_buyer", "ico_supplier"),
+    _PG + """
+SELECT page_id, CAST(page_id AS VARCHAR) AS contract_number_detail, t AS buyer_detail, nullif(l1, '') AS supplier_detail, CAST(size AS VARCHAR) AS ico_buyer, CAST(len(ls) AS VARCHAR) AS ico_supplier FROM pg""",
+    "pages",
+)
 add("detail_dates", lambda p: H.detail_dates(H.label_values(_DETAIL(p))).select("page_id", "date_published", "date_effective"), _PG + """
 SELECT page_id, (2000 + size % 25) || '-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(len(ls) AS VARCHAR), 2, '0') AS date_published, CAST(NULL AS VARCHAR) AS date_effective FROM pg""", "pages")
 add("detail_attachments", lambda p: H.detail_attachments(_DETAIL(p), _BASE).select("page_id", "pdf_url", F.array_join("pdf_urls", " ").alias("pdf_urls")), _PG + """
 SELECT page_id, 'https://www.crz.gov.sk' || l1 || '.PDF' AS pdf_url, array_to_string(list_transform(ls, lambda x: 'https://www.crz.gov.sk' || x || '.PDF'), ' ') AS pdf_urls FROM pg WHERE len(ls) > 0""", "pages")
 add("detail_procurement_link", lambda p: H.detail_procurement_link(H.label_values(_DETAIL(p)), _BASE), _PG + """
 SELECT page_id, 'https://x.sk/sk/tender/' || page_id || l1 || '/summary' AS public_procurement_url, CAST(page_id AS VARCHAR) AS public_procurement_id, t AS public_procurement_portal FROM pg""", "pages")
-add("canonical_listing_url", lambda p: H.canonical_listing_url(_page('<form class="f" id="frm_filter_3" action="/list{first}">')(p), _BASE), _PG + "SELECT page_id, 'https://www.crz.gov.sk/list' || l1 AS listing_url FROM pg", "pages")
+add(
+    "canonical_listing_url",
+    lambda p: H.canonical_listing_url(_page('<form class="f" id="frm_filter_3" action="/list{first}">')(p), _BASE),
+    _PG + "SELECT page_id, 'https://www.crz.gov.sk/list' || l1 AS listing_url FROM pg",
+    "pages",
+)
 add("tender_sections", lambda p: H.tender_sections(_TENDER(p)), _PG + """
 SELECT page_id, s AS section, f AS field, CASE v WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN t ELSE l1 END AS value FROM pg, (VALUES ('info', 'notice_id', 0), ('info', 'info_nieco_ine', 1), ('term', 'offer_submission_deadline', 2)) x(s, f, v)""", "pages")
 add("tender_documents", lambda p: H.tender_documents(_TENDER(p)), _PG + """
 SELECT page_id, l AS document_name, l || ' ' || i AS document_title, t AS document_type, size || ' kB' AS file_size, CAST(page_id AS VARCHAR) AS uploaded_at, true AS is_external_link, site || l AS link FROM lk""", "pages")
-add("portal2_detail", lambda p: H.portal2_detail(_P2(p)), _PG + "SELECT page_id, f AS field, CASE v WHEN 0 THEN t ELSE l1 END AS value FROM pg, (VALUES ('subject_name', 0), ('info_iny_udaj', 1)) x(f, v)", "pages")
-add("portal2_documents", lambda p: H.portal2_documents(_P2(p)).select("page_id", "document_name", "document_type", "uploaded_at", "link"), _PG + "SELECT page_id, l AS document_name, CAST(page_id AS VARCHAR) AS document_type, t AS uploaded_at, site || l AS link FROM lk", "pages")
-add("portal2_file_meta", lambda p: H.portal2_file_meta(_page("<td>Názov súboru: {title}<br>Veľkosť: {size} kB<a href='{first}'>x</a></td>")(p)), _PG + "SELECT page_id, t AS document_title, size || ' kB' AS file_size, l1 AS download_link FROM pg", "pages")
+add(
+    "portal2_detail",
+    lambda p: H.portal2_detail(_P2(p)),
+    _PG + "SELECT page_id, f AS field, CASE v WHEN 0 THEN t ELSE l1 END AS value FROM pg, (VALUES ('subject_name', 0), ('info_iny_udaj', 1)) x(f, v)",
+    "pages",
+)
+add(
+    "portal2_documents",
+    lambda p: H.portal2_documents(_P2(p)).select("page_id", "document_name", "document_type", "uploaded_at", "link"),
+    _PG + "SELECT page_id, l AS document_name, CAST(page_id AS VARCHAR) AS document_type, t AS uploaded_at, site || l AS link FROM lk",
+    "pages",
+)
+add(
+    "portal2_file_meta",
+    lambda p: H.portal2_file_meta(_page("<td>Názov súboru: {title}<br>Veľkosť: {size} kB<a href='{first}'>x</a></td>")(p)),
+    _PG + "SELECT page_id, t AS document_title, size || ' kB' AS file_size, l1 AS download_link FROM pg",
+    "pages",
+)
 
 # ---------------------------------------------------------------- files
 
@@ -330,15 +535,44 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(folder).na.fill("")
 
 
-add("load_contracts_json", lambda s, d: load_arrays(s, d).select(*_LOADED, F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note")), W + _LOADED_SQL + ", CAST(seq % 7 AS VARCHAR) AS lot, buyer AS scanned_note FROM c", "")
+add(
+    "load_contracts_json",
+    lambda s, d: load_arrays(s, d).select(*_LOADED, F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note")),
+    W + _LOADED_SQL + ", CAST(seq % 7 AS VARCHAR) AS lot, buyer AS scanned_note FROM c",
+    "",
+)
 add("group_by_unknown_field", lambda c: A.group_by(_rich(c), "lot"), "SELECT CAST(seq % 7 AS VARCHAR) AS group_value, count(*) AS contract_count, min(seq) AS first_seq FROM c GROUP BY 1")
-add("cond_unknown_field", lambda c: P.custom_conditions(_rich(c), P.ConditionGroup([P.Condition("lot", "ge", 3), P.Condition("scanned_note", "contains", "nation_1")])).select("seq"), "SELECT seq FROM c WHERE seq % 7 >= 3 AND contains(lower(buyer), 'nation_1')")
-add("load_records_lines", load_lines, W + "SELECT contract_id, buyer, CAST(seq % 7 AS VARCHAR) AS lot, true AS accepted FROM c UNION ALL SELECT NULL, NULL, v, false FROM c, (VALUES ('not json'), ('[1]')) t(v) WHERE seq % 7 = 0", "")
+add(
+    "cond_unknown_field",
+    lambda c: P.custom_conditions(_rich(c), P.ConditionGroup([P.Condition("lot", "ge", 3), P.Condition("scanned_note", "contains", "nation_1")])).select("seq"),
+    "SELECT seq FROM c WHERE seq % 7 >= 3 AND contains(lower(buyer), 'nation_1')",
+)
+add(
+    "load_records_lines",
+    load_lines,
+    W + "SELECT contract_id, buyer, CAST(seq % 7 AS VARCHAR) AS lot, true AS accepted FROM c UNION ALL SELECT NULL, NULL, v, false FROM c, (VALUES ('not json'), ('[1]')) t(v) WHERE seq % 7 = 0",
+    "",
+)
 add("migrate_records", migrate_lines, W + _LOADED_SQL + ", (SELECT count(*) FROM c) AS written FROM c", "")
-add("load_from_memory", load_dicts, "SELECT CAST(n_nationkey AS VARCHAR) AS contract_id, n_name AS buyer, 'not_decided' AS category, 'unknown' AS award_type, CAST(n_regionkey AS VARCHAR) AS region FROM nation", "")
-add("write_csv", csv_round_trip, W + "SELECT contract_id, coalesce(contract_title, '') AS contract_title, buyer, coalesce(supplier, '') AS supplier, coalesce(CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS VARCHAR), '') AS price_numeric_eur, published_date, category, award_type, 'u/' || contract_id AS contract_url FROM c", "")
-add("merge_unknown_fields", lambda c: (lambda r: M.merge_contracts(r.filter("seq % 2 = 0").select("seq", "contract_id", "extra"), r.filter("seq % 3 = 0").select("seq", "contract_id", F.create_map(F.lit("lot"), F.lit("new"), F.lit("scanned_note"), F.lit("late"), F.lit("blank"), F.lit(" ")).alias("extra"))))(_rich(c)).select("contract_id", F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note"), F.size("extra").alias("n")),
-    "SELECT contract_id, CASE WHEN seq % 3 = 0 THEN 'new' ELSE CAST(seq % 7 AS VARCHAR) END AS lot, CASE WHEN seq % 2 = 0 THEN buyer ELSE 'late' END AS scanned_note, 2 AS n FROM c WHERE seq % 2 = 0 OR seq % 3 = 0")
+add(
+    "load_from_memory",
+    load_dicts,
+    """SELECT CAST(n_nationkey AS VARCHAR) AS contract_id, n_name AS buyer, 'not_decided' AS category, 'unknown' AS award_type, CAST(n_regionkey AS VARCHAR) AS region
+    FROM nation""",
+    "",
+)
+add(
+    "write_csv",
+    csv_round_trip,
+    W + "SELECT contract_id, coalesce(contract_title, '') AS contract_title, buyer, coalesce(supplier, '') AS supplier, coalesce(CAST(CAST(price_numeric_eur AS DECIMAL(18,2)) AS VARCHAR), '') AS price_numeric_eur, published_date, category, award_type, 'u/' || contract_id AS contract_url FROM c",
+    "",
+)
+add(
+    "merge_unknown_fields",
+    lambda c: (lambda r: M.merge_contracts(r.filter("seq % 2 = 0").select("seq", "contract_id", "extra"), r.filter("seq % 3 = 0").select("seq", "contract_id", F.create_map(F.lit("lot"), F.lit("new"), F.lit("scanned_note"), F.lit("late"), F.lit("blank"), F.lit(" ")).alias("extra"))))(_rich(c)).select("contract_id", F.col("extra.lot").alias("lot"), F.col("extra.scanned_note").alias("scanned_note"), F.size("extra").alias("n")),
+    """SELECT contract_id, CASE WHEN seq % 3 = 0 THEN 'new' ELSE CAST(seq % 7 AS VARCHAR) END AS lot, CASE WHEN seq % 2 = 0 THEN buyer ELSE 'late' END AS scanned_note, 2 AS n
+    FROM c WHERE seq % 2 = 0 OR seq % 3 = 0""",
+)
 
 # ---------------------------------------------------------------- streaming
 
@@ -391,8 +625,24 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAGED = """, first AS (SELECT * FROM c WHERE seq % 3 = 0), m AS (SELECT contract_id, buyer, CASE WHEN seq % 3 = 0 AND seq % 2 = 0 AND seq % 5 <> 0 THEN supplier || '*' ELSE supplier END AS supplier,
  CASE WHEN seq % 15 = 0 THEN 1.0 ELSE price_numeric_eur END AS price_numeric_eur, CASE WHEN seq % 15 = 0 THEN coalesce(scanned_service_type, 'late') ELSE scanned_service_type END AS scanned_service_type, seq, supplier AS own FROM c)"""
-add("stream_merge_ingest", stream_merge, W + _PAGED + " SELECT contract_id, buyer, CASE WHEN own IS NULL THEN NULL ELSE supplier END AS supplier, price_numeric_eur, scanned_service_type, 'not_decided' AS category FROM m", "")
+add(
+    "stream_merge_ingest",
+    stream_merge,
+    W + _PAGED + " SELECT contract_id, buyer, CASE WHEN own IS NULL THEN NULL ELSE supplier END AS supplier, price_numeric_eur, scanned_service_type, 'not_decided' AS category FROM m",
+    "",
+)
 add("stream_expand_ingest", stream_expand, W + """, p AS (SELECT *, CASE WHEN seq % 6 = 0 THEN supplier || '*' ELSE supplier END AS first_supplier FROM c WHERE supplier IS NOT NULL)
  SELECT contract_id, supplier AS subcontractor, first_supplier AS supplier FROM p UNION ALL SELECT contract_id, buyer, first_supplier FROM p""", "")
-add("stream_dedup_ids", stream_dedup, W + "SELECT CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END AS contract_id FROM c UNION ALL SELECT CASE WHEN seq % 10 = 3 THEN NULL ELSE '' END FROM c WHERE seq % 10 IN (3, 7)", "")
-add("stream_usage", stream_usage, "SELECT user_id AS session_id, CAST(sum(event_id % 1000) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 77) AS BIGINT) AS completion_tokens, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd, count(*) AS requests, max(event_id) % 1000 AS last_prompt_tokens, max(event_id) % 77 AS last_completion_tokens, arg_max(value, event_id) AS last_cost_usd FROM events GROUP BY 1", "")
+add(
+    "stream_dedup_ids",
+    stream_dedup,
+    W + "SELECT CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END AS contract_id FROM c UNION ALL SELECT CASE WHEN seq % 10 = 3 THEN NULL ELSE '' END FROM c WHERE seq % 10 IN (3, 7)",
+    "",
+)
+add(
+    "stream_usage",
+    stream_usage,
+    """SELECT user_id AS session_id, CAST(sum(event_id % 1000) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 77) AS BIGINT) AS completion_tokens, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd, count(*) AS requests, max(event_id) % 1000 AS last_prompt_tokens, max(event_id) % 77 AS last_completion_tokens, arg_max(value, event_id) AS last_cost_usd
+    FROM events GROUP BY 1""",
+    "",
+)
