@@ -6,11 +6,12 @@
 with all counts less those of the scored document, and beginnings of documents as words of their own in h.
 
 Documents are dealt into parts of a few megabytes. Each part's distinct n-grams of all orders are exploded with their counts there and meet
-in the count table, which is partitioned by the n-grams' hash and adds the counts of all parts up. An n-gram that other parts have too goes back
-with its count to the parts that asked; one that does not come back is the part's own. There each word is scored, and scores are summed per document.
+in the count table, which is partitioned by the n-grams' hash and adds the counts of all parts up. What other parts have too goes back
+as a count to the parts that asked; an n-gram for which nothing comes back is the part's own. There each word is scored, and scores are summed per document.
 
-On the way n-grams travel as arrays, a row for each part and hash bucket; in the count table they are rows. A frequent n-gram has
-one row for each part at most, whatever the number of documents that hold it.
+On the way n-grams travel as arrays, a row for each part and hash bucket, and counts come back by the places in those arrays, which a part
+can lay out again; in the count table they are rows. A frequent n-gram has one row for each part at most, whatever the number
+of documents that hold it.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import splits
 from .common import partitions, settle, table
 
 ORDER = 2
 BACKOFF = 0.4
 PART = 8 << 20  #: bytes of texts in a part
-BUCKET = 16 << 20  #: bytes of texts for each bucket of the count table
+BUCKET = 4 << 20  #: bytes of texts for each bucket of the count table
 START = np.uint64(0x9E3779B97F4A7C15)  #: stands for the beginning of a document
 
 
@@ -78,37 +78,42 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     parts, buckets = max(partitions(spark), math.ceil(every / PART)), max(partitions(spark), math.ceil(every / BUCKET))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
+    def laid_out(hashes: list[np.ndarray]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Distinct n-grams of each order (hashes, places of all n-grams among them, counts), buckets of all of them, and their order by bucket."""
+        kinds = [np.unique(h, return_inverse=True, return_counts=True) for h in hashes]
+        bucket = ((np.concatenate([k[0] for k in kinds]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        return kinds, bucket, np.argsort(bucket, kind="stable")
+
     def explode(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         """A part's distinct n-grams with their counts in it, for each bucket of the count table."""
-        kinds = [np.unique(h, return_counts=True) for h in grams(group.text.tolist(), order)[1]]
-        h, c = (np.concatenate([x[i] for x in kinds]) for i in (0, 1))
-        bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        out = [(int(bucket[at[0]]), int(key[0]), h[at].view(np.int64), c[at].astype(np.int32)) for at in splits(bucket)]
+        kinds, bucket, by = laid_out(grams(group.text.tolist(), order)[1])
+        h, c = (np.concatenate([k[i] for k in kinds]) for i in (0, 2))
+        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+        out = [(int(bucket[at[0]]), int(key[0]), h[at].view(np.int64), c[at].astype(np.int32)) for at in np.split(by, cuts) if len(at)]
         return pd.DataFrame(out, columns=["bucket", "part", "h", "c"])
 
     asked = dealt.groupBy("part").applyInPandas(explode, "bucket int, part int, h array<long>, c array<int>").repartition(buckets, "bucket")
-    asked = asked.select("bucket", "part", F.explode(F.arrays_zip("h", "c")).alias("g")).select("bucket", "part", "g.h", "g.c")
+    asked = asked.select("bucket", "part", F.posexplode(F.arrays_zip("h", "c")).alias("pos", "g")).select("bucket", "part", "pos", "g.h", "g.c")
     counted = asked.withColumn("n", F.sum("c").over(Window.partitionBy("bucket", "h"))).filter("n > c")
-    known = counted.groupBy("bucket", "part").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n")).select("part", "h", "n")
-
-    def look_up(h: np.ndarray, doc: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """For each n-gram how often the other documents have it."""
-        kinds, at, total = np.unique(h, return_inverse=True, return_counts=True)
-        keys, counts = table
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
-            total = np.where(keys[place] == kinds, counts[place], total)
-        _, pair, own = np.unique(doc * len(kinds) + at, return_inverse=True, return_counts=True)
+    known = counted.groupBy("bucket", "part").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
+
+    def look_up(at: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """For each n-gram (by place among the distinct ones) how often the other documents have it."""
+        _, pair, own = np.unique(doc * len(total) + at, return_inverse=True, return_counts=True)
         return total[at] - own[pair]
 
     def sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Each document's sum of logarithms without the numbers of all words and documents, and how often those are still to be divided by."""
-        h, n = (np.concatenate([*right[c], np.zeros(0, np.int64)]).astype(np.int64) for c in ("h", "n"))
-        by = np.argsort(h.view(np.uint64))
-        table = h.view(np.uint64)[by], n[by]
         sizes, hashes = grams(left.text.tolist(), order)
+        kinds, bucket, by = laid_out(hashes)
+        total = np.concatenate([k[2] for k in kinds])
+        if len(right):
+            begin = np.searchsorted(bucket[by], right.bucket.to_numpy())
+            place = np.concatenate([b + np.asarray(p, np.int64) for b, p in zip(begin, right.pos)])
+            total[by[place]] = np.concatenate(right.n.to_list())
+        totals = np.split(total, np.cumsum([len(k[0]) for k in kinds])[:-1])
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        count = [look_up(x, doc, table) for x in hashes]
+        count = [look_up(k[1], doc, t) for k, t in zip(kinds, totals)]
         value, todo, opening = np.zeros(len(doc)), np.ones(len(doc), bool), np.zeros(len(doc), bool)
         opening[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         by_documents = np.zeros(len(doc), bool)
