@@ -95,7 +95,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     asked = dealt.groupBy("part").applyInPandas(explode, "bucket int, part int, h array<long>, c array<int>").repartition(buckets, "bucket")
     asked = asked.select("bucket", "part", F.posexplode(F.arrays_zip("h", "c")).alias("pos", "g")).select("bucket", "part", "pos", "g.h", "g.c")
     counted = asked.withColumn("n", F.sum("c").over(Window.partitionBy("bucket", "h"))).filter("n > c")
-    known = counted.groupBy("bucket", "part").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
+    few = F.col("n") < 1 << 15  # nearly all counts fit two bytes; the others go beside them
+    kinds_of = {"few": (few, "smallint"), "many": (~few, "bigint")}
+    lists = [F.collect_list(F.when(test, F.col(c).cast(kind if c == "n" else "int"))).alias(f"{c}_{name}") for name, (test, kind) in kinds_of.items() for c in ("pos", "n")]
+    known = counted.groupBy("bucket", "part").agg(*lists)
 
     def look_up(at: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
         """For each n-gram (by place among the distinct ones) how often the other documents have it."""
@@ -109,8 +112,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         total = np.concatenate([k[2] for k in kinds])
         if len(right):
             begin = np.searchsorted(bucket[by], right.bucket.to_numpy())
-            place = np.concatenate([b + np.asarray(p, np.int64) for b, p in zip(begin, right.pos)])
-            total[by[place]] = np.concatenate(right.n.to_list())
+            for name in ("few", "many"):
+                place = np.concatenate([b + np.asarray(p, np.int64) for b, p in zip(begin, right[f"pos_{name}"])])
+                total[by[place]] = np.concatenate([np.asarray(n, np.int64) for n in right[f"n_{name}"]])
         totals = np.split(total, np.cumsum([len(k[0]) for k in kinds])[:-1])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         count = [look_up(k[1], doc, t) for k, t in zip(kinds, totals)]
