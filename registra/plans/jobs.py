@@ -614,6 +614,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("contract_id")
 
 
+def stream_dedup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts in two pages, half of them twice, that meet a dataset which holds a third of them; the checkpoint is new."""
+    folder, session = scratch(spark), T.stateful_session(spark)
+    rows = star.contracts(session, sf_dir).select("seq", F.expr("CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END").alias("contract_id"))
+    rows.filter("seq % 3 = 0").write.parquet(f"{folder}/existing")
+    _arriving([rows, rows.filter("seq % 2 = 1")], f"{folder}/in")
+    source = T.stream_contracts(session, f"{folder}/in", rows.schema, _FILES)
+    fresh = T.dedup_ids(source, session.read.parquet(f"{folder}/existing"))
+    fresh.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("contract_id")
+
+
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, events = scratch(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/*vents.parquet")
@@ -639,6 +651,13 @@ add(
     W + "SELECT CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END AS contract_id FROM c UNION ALL SELECT CASE WHEN seq % 10 = 3 THEN NULL ELSE '' END FROM c WHERE seq % 10 IN (3, 7)",
     "",
 )
+add(
+    "stream_dedup_known_ids",
+    stream_dedup_known,
+    W + """SELECT CASE WHEN seq % 10 = 3 THEN NULL WHEN seq % 10 = 7 THEN '' ELSE contract_id END AS contract_id FROM c WHERE seq % 3 <> 0 OR seq % 10 IN (3, 7)
+    UNION ALL SELECT CASE WHEN seq % 10 = 3 THEN NULL ELSE '' END FROM c WHERE seq % 10 IN (3, 7)""",
+    "",
+)
 add(
     "stream_usage",
     stream_usage,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from registra.functions.labels import nz
-from registra.operators.maintenance import append_subcontractors, expand_subcontractors, merge_contracts
+from registra.operators.maintenance import append_subcontractors, expand_subcontractors, merge_contracts, record_key
 from registra.sources.model import backfill_defaults
 
+from .store import BUCKETS, BucketTable
+
 PAGE = 40  #: bits of seq that a page's own row numbers take; the page's number stands above them
 
 
@@ -18,50 +22,91 @@ def stream_contracts(spark: SparkSession, path: str, schema, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+def merge_page(table: BucketTable, page: DataFrame, number: int, subcontracts: BucketTable | None = None) -> None:
+    """One page, filled with defaults and merged into the contracts of the buckets that its keys fall into; other buckets are not read.
 
-def merge_ingest(pages: DataFrame, target: str, checkpoint: str, subcontracts: str | None = None) -> StreamingQuery:
-    """Each page is filled with defaults and merged into the contracts before it, the first one into none.
-
-    With ``subcontracts`` the merged contracts are then expanded, and rows that are new there are appended to a second dataset. Batch n
-    writes the folder snapshot=n, so a batch that is run again after a failure overwrites its own result; readers take the highest
-    number, and older folders than the one before are deleted. ``seq`` is unique over all pages and rises with them.
+    ``number`` is the page's version, above those before. What was committed under it already is left alone, so a page that is run
+    again after a failure goes on where it broke off. With ``subcontracts`` the merged contracts are then expanded, and rows whose (contract,
+    name, ICO) is new there are added; contracts of other buckets were expanded by the page that changed them last.
+    """
+    key = lambda df: F.to_json(record_key(df))
+    base = table.manifest(before=number)
+    if number not in table.versions():
+        rows = backfill_defaults(page)
+        touched = [r[0] for r in rows.select(table.bucket(key(rows), base)).distinct().collect()]  # at most one row a bucket
+        before = table.read(only=touched, m=base) if base else rows.limit(0)
+        order = F.col("merged_ord")
+        merged = merge_contracts(before, rows)
+        merged = merged.withColumn("seq", order["seq"] + F.when(order["_src"] == 1, F.lit(number << PAGE)).otherwise(F.lit(0))).drop("merged_ord")
+        table.commit(number, merged, key(merged), base)
+    if subcontracts is not None and number not in subcontracts.versions():
+        now = table.manifest(version=number)
+        changed = [b for b, layers in now.layers.items() if number in layers]
+        expanded = expand_subcontractors(table.read(only=changed, m=now))
+        home = F.coalesce(F.col("contract_id").cast("string"), F.lit(""))
+        known = subcontracts.manifest(before=number)
+        at = [r[0] for r in expanded.select(subcontracts.bucket(home, known)).distinct().collect()]
+        old = subcontracts.read(only=at, m=known) if known else expanded.limit(0)
+        fresh = append_subcontractors(old, expanded).filter("is_new").drop("is_new")
+        subcontracts.commit(number, fresh, home, known, append=True)
+
+
+def merge_ingest(pages: DataFrame, target: str, checkpoint: str, subcontracts: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each page is merged into the contracts before it, as ``merge_page`` does; the first one into none.
+
+    The work of a page follows the buckets that it touches, not the whole of the contracts. A batch is a version of the table: one
+    that is run again after a failure gives the same state. ``seq`` is unique over all pages and rises with them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = backfill_defaults(batch)
-        before = spark.read.parquet(f"{target}/snapshot={number - 1}") if number else rows.limit(0)
-        merged = merge_contracts(before, rows)
-        order = F.col("merged_ord")
-        merged = merged.withColumn("seq", order["seq"] + F.when(order["_src"] == 1, F.lit(number << PAGE)).otherwise(F.lit(0))).drop("merged_ord")
-        merged.write.mode("overwrite").parquet(f"{target}/snapshot={number}")
-        if subcontracts:
-            expanded = expand_subcontractors(spark.read.parquet(f"{target}/snapshot={number}"))
-            known = spark.read.parquet(f"{subcontracts}/snapshot={number - 1}") if number else expanded.limit(0)
-            append_subcontractors(known, expanded).drop("is_new").write.mode("overwrite").parquet(f"{subcontracts}/snapshot={number}")
-        for folder in filter(None, (target, subcontracts)):
-            _remove(spark, f"{folder}/snapshot={number - 2}")
+        merge_page(BucketTable(spark, target, buckets), batch, number, BucketTable(spark, subcontracts, buckets) if subcontracts else None)
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
-    newest = rows.agg(F.max("snapshot")).first()[0]
-    return rows.filter(F.col("snapshot") == newest).drop("snapshot")
+    """The rows as the newest committed page left them."""
+    return BucketTable(spark, target).read()
+
+
+class _FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through; the state is that there was one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:  # noqa: N802, N803
+        self.seen.update((True,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield next(iter(rows))
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session on the same cluster whose streams keep state in RocksDB, which ``dedup_ids`` asks for once there are existing rows."""
+    session = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(k, spark.conf.get(k))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
 
 
-def dedup_ids(stream: DataFrame) -> DataFrame:
+def dedup_ids(stream: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Rows whose contract id was not seen before, in this run or an earlier one, and every row without an id.
 
-    The state holds ids only and is kept with the checkpoint; an empty id is none.
+    The state holds ids only and is kept with the checkpoint; an empty id is none. The ids of ``existing`` rows become the first
+    state of a new checkpoint (on a restart the checkpoint's own state counts): they are read once, not by every page. That takes a stream of a ``stateful_session``.
     """
-    known = stream.filter(nz("contract_id").isNotNull()).dropDuplicates(["contract_id"])
-    return known.union(stream.filter(nz("contract_id").isNull()))
+    known = stream.filter(nz("contract_id").isNotNull())
+    if existing is None:
+        fresh = known.dropDuplicates(["contract_id"])
+    else:
+        ids = existing.select(F.col("contract_id").cast("string").alias("contract_id")).filter(nz("contract_id").isNotNull()).distinct()
+        fresh = known.groupBy("contract_id").transformWithState(_FirstSeen(), stream.schema, "Append", "None", ids.groupBy("contract_id"))
+    return fresh.union(stream.filter(nz("contract_id").isNull()))
 
 
 def running_usage(stream: DataFrame) -> DataFrame:

@@ -323,3 +323,74 @@ def test_context_of_all_contracts(spark):
         pytest.skip("the tables are not here")
     got = plans.queries()["contract_context_all"](spark, folder).filter("section = 'fields'")
     assert got.count() == star.contracts(spark, folder).count() == got.select("contract_id").distinct().count()
+
+
+# ---------------------------------------------------------------- pages in buckets
+
+
+def _written(folder):
+    return {(p.parent.parent.name, p.parent.name) for p in folder.glob("data/v=*/bucket=*/*.parquet")}
+
+
+def test_a_page_rewrites_the_buckets_it_touches(spark, tmp_path):
+    from registra.streaming import ingest as T
+    from registra.streaming.store import BucketTable
+
+    schema = "seq long, contract_id string, buyer string, supplier string, price_numeric_eur double, scanned_subcontractors string"
+    table, subs = BucketTable(spark, str(tmp_path / "t"), 16), BucketTable(spark, str(tmp_path / "s"), 16)
+    page = lambda rows: spark.createDataFrame(rows, schema)
+    T.merge_page(table, page([(i, f"c{i}", "B", "S", float(i), f"x{i}; y") for i in range(200)]), 0, subs)
+    first = _written(tmp_path / "t")
+    assert len({b for _, b in first}) == 16
+    T.merge_page(table, page([(0, "c7", " ", "T", None, "late"), (1, "new", "B", "S", 1.0, "z")]), 1, subs)
+    assert 1 <= len(_written(tmp_path / "t") - first) <= 2 and first <= _written(tmp_path / "t")
+    rows = {r.contract_id: (r.buyer, r.supplier, r.price_numeric_eur) for r in table.read().collect()}
+    assert len(rows) == 201 and rows["c7"] == ("B", "T", 7.0) and rows["c8"] == ("B", "S", 8.0)
+    assert subs.read().count() == 401 and table.read(version=0).filter("supplier = 'T'").count() == 0
+
+    # a page that broke off before its commit is written anew; one that broke off after it is left alone
+    half = page([(0, "c9", "changed", "S", None, None)])
+    half.withColumn("bucket", half.seq.cast("int")).write.partitionBy("bucket").parquet(str(tmp_path / "t/data/v=2"))
+    assert table.read().filter("buyer = 'changed'").count() == 0
+    for _ in range(2):
+        T.merge_page(table, half, 2, subs)
+        state = sorted(map(str, table.read().collect()))
+        assert table.versions() == [0, 1, 2] and subs.read().count() == 401
+    T.merge_page(table, page([]), 3, subs)  # a page without rows
+    assert sorted(map(str, table.read().collect())) == state and table.versions() == [1, 2, 3]
+    kept = {(f"v={v}", f"bucket={b}") for n in table.versions() for b, vs in table.manifest(n).layers.items() for v in vs}
+    assert _written(tmp_path / "t") <= kept
+
+
+def test_many_appends_to_a_bucket_are_written_together(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from registra.streaming.store import LAYERS, BucketTable
+
+    table = BucketTable(spark, str(tmp_path / "t"), 1)
+    for n in range(LAYERS + 3):
+        table.commit(n, spark.createDataFrame([(n, "x")], "n long, k string"), F.col("k"), table.manifest(before=n), append=True)
+    assert sorted(r.n for r in table.read().collect()) == list(range(LAYERS + 3))
+    assert len(table.manifest().layers[0]) <= LAYERS
+    with pytest.raises(ValueError):
+        BucketTable(spark, str(tmp_path / "none")).read()
+
+
+def test_known_ids_of_an_existing_dataset(spark, tmp_path):
+    from registra.streaming import ingest as T
+
+    session = T.stateful_session(spark)
+    schema = "contract_id string, page int"
+    for rows in ([("a", 1), ("b", 1), (None, 1), ("", 1)], [("b", 2), ("c", 2), ("c", 2), ("", 2)]):
+        session.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    existing = session.createDataFrame([("a",), ("a",), (None,), ("z",)], "contract_id string")
+
+    def run():
+        fresh = T.dedup_ids(T.stream_contracts(session, str(tmp_path / "in"), schema), existing)
+        fresh.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.contract_id or "", r.page) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("", 1), ("", 1), ("", 2), ("b", 1), ("c", 2)]
+    session.createDataFrame([("a", 3), ("b", 3), ("d", 3)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [("", 1), ("", 1), ("", 2), ("b", 1), ("c", 2), ("d", 3)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != session.conf.get("spark.sql.streaming.stateStore.providerClass")
