@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from registra.functions.numbering import numbered
 
+from .arrays import array_items
+
 #: Values of the model that stand for "not known yet".
 DEFAULTS = {"category": "not_decided", "pdf_text_summary": "not_summarized", "award_type": "unknown"}
 
@@ -48,20 +50,29 @@ def _unknown(value: Column) -> Column:
     return F.when(F.size(rest) > 0, rest)
 
 
+OFFSET = 40  #: bits of seq for a record's place in its file
+
+
 def _records(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    """(value, seq): one JSON text per record, numbered in the order of files, of blocks in them and of rows in those."""
-    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    """(value, seq): one JSON text per record, numbered in the order of files and of records in them; the numbers have gaps.
+
+    A record's place is where its split starts plus how many records come before it there, which no later split's start falls short of. Only
+    names are read to number the files.
+    """
     if lines:
+        place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
         raw = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).filter(F.trim("value") != "")
-    else:  # an array is one value per file; its items become rows of their own
-        items = F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')")
-        raw = spark.read.text(path, wholetext=True).select(*place, F.posexplode(items).alias("pos", "item")).select(F.to_json("item").alias("value"), "path", "start", "pos")
-    blocks = numbered(raw.select("path", "start").distinct(), [F.asc("path"), F.asc("start")], "block")  # a row for each block of a file
-    return raw.join(blocks, ["path", "start"]).select("value", (F.shiftleft(F.col("block").cast("long"), 33) + F.col("pos")).alias("seq"))
+    else:
+        raw = array_items(spark, path)
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    files = numbered(names, [F.asc("path")], "file")
+    return raw.join(files, "path").select("value", (F.shiftleft(F.col("file") - 1, OFFSET) + F.col("start") + F.col("pos")).alias("seq"))
 
 
 def load_contracts(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array files as contracts; one record that does not fit the schema fails the load. Unknown fields go to ``extra``."""
+    """JSON array files as contracts, each read in splits by many tasks; one record that does not fit the schema fails the load, and so does
+    a file that is no array. Unknown fields go to ``extra``.
+    """
     rows = _records(spark, path, lines=False)
     parsed = rows.select(F.from_json("value", _KNOWN, {"mode": "FAILFAST"}).alias("r"), _unknown(F.col("value")).alias(EXTRA), "seq")
     return backfill_defaults(parsed.select("r.*", EXTRA, "seq"))

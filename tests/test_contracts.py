@@ -394,3 +394,58 @@ def test_known_ids_of_an_existing_dataset(spark, tmp_path):
     session.createDataFrame([("a", 3), ("b", 3), ("d", 3)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [("", 1), ("", 1), ("", 2), ("b", 1), ("c", 2), ("d", 3)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != session.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+# ---------------------------------------------------------------- large arrays
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _any_item(rng):
+    if rng.random() < 0.1:
+        return rng.choice([1, None, True, 'a,]}[{"\\', [], [[1, {"x": "]"}]], {}, ""])
+    return {"id": rng.randrange(10**6), "t": "".join(rng.choice('ab{}[],"\\ \né:') for _ in range(rng.randrange(60))), "d": {"z": [1, {"q": "}"}]}}
+
+
+def test_arrays_are_read_in_splits(spark, tmp_path, small_splits):
+    import json
+    import random
+
+    from registra.sources.arrays import array_items
+
+    rng = random.Random(1)
+    for name, n, how in (("many", 400, {}), ("indented", 300, {"indent": 2}), ("none", 0, {}), ("one", 1, {}), ("long", 30, {"ensure_ascii": False})):
+        items = [_any_item(rng) for _ in range(n)]
+        if name == "long":
+            items[7] = {"big": "x{" * 8000}  # longer than several splits
+        (tmp_path / name).write_text(" \n" * (name == "indented") + json.dumps(items, **how) + "\n")
+        rows = array_items(spark, str(tmp_path / name)).orderBy("path", "start", "pos").collect()
+        assert [json.loads(r.value) for r in rows] == items
+        assert len({r.start for r in rows}) > 10 or name not in ("many", "indented")
+    for i, bad in enumerate(('[1,2', '{"a":1}', '[{"a":"]')):
+        (tmp_path / f"bad{i}").write_text(bad)
+        with pytest.raises(Exception, match="not one whole JSON array"):
+            array_items(spark, str(tmp_path / f"bad{i}")).collect()
+
+
+def test_a_large_register_keeps_its_order(spark, tmp_path, small_splits):
+    import json
+
+    (tmp_path / "in").mkdir()
+    ids = [f"{f}{i}" for f in "ab" for i in range(300)]
+    for f in "ba":
+        (tmp_path / "in" / f"{f}.json").write_text(json.dumps([{"contract_id": x, "contract_title": "], [{\"" * 3, "lot": {"n": [1]}} for x in ids if x[0] == f]))
+    rows = model.load_contracts(spark, str(tmp_path / "in"))
+    assert rows.rdd.getNumPartitions() > 5
+    rows = rows.orderBy("seq").collect()
+    assert [r.contract_id for r in rows] == ids and rows[-1].extra == {"lot": '{"n":[1]}'} and len({r.seq for r in rows}) == 600
+    good, bad = model.load_records(spark, str(tmp_path / "in"))
+    assert good.count() == 600 and bad.count() == 0
