@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,81 +47,97 @@ def record_key(df: DataFrame) -> Column:
     return kinds.otherwise(F.struct(F.lit("parts").alias("kind"), parts.alias("value")))
 
 
-def _tagged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Both sets with their place; of existing rows only the first per key."""
+def _both(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Both sets with their key and place: existing rows before incoming ones, each by seq."""
     rows = existing.withColumn("_src", F.lit(0)).unionByName(incoming.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    rows = rows.withColumn("_key", record_key(rows)).withColumn("_ord", F.struct("_src", "seq"))
-    first = F.min("_ord").over(Window.partitionBy("_key"))
-    return rows.withColumn("_base", F.col("_ord") == first).filter("_src = 1 OR _base")
+    return rows.withColumn("_key", record_key(rows)).withColumn("_ord", F.struct("_src", "seq"))
 
 
 def _filled_entries(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: F.coalesce(F.length(F.trim(v)) > 0, F.lit(False)))
 
 
-def _merged_map(ordered: Column) -> Column:
-    """Maps in order as one: of each key the last filled value, of keys that begin with scanned_ the first."""
+def _fields(rows: DataFrame, maps: bool) -> list[T.StructField]:
+    inner = ("seq", "_src", "_key", "_ord", "_first")
+    return [f for f in rows.schema.fields if f.name not in inner and isinstance(f.dataType, T.MapType) == maps]
 
-    def put(acc: Column, m: Column) -> Column:
-        fresh = F.map_filter(_filled_entries(m), lambda k, v: ~(k.startswith("scanned_") & F.map_contains_key(acc, k)))
-        return F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
 
-    return F.aggregate(ordered, F.create_map().cast("map<string,string>"), put)
+def _entries(rows: DataFrame, field: str) -> DataFrame:
+    """(_key, _ord, name, value): the filled entries of a map."""
+    return rows.select("_key", "_ord", F.explode(_filled_entries(F.col(field))).alias("name", "value"))
 
 
-def _differs_from(old: Column) -> Callable[[Column], Column]:
-    """Would an entry (key, value) change the map that was merged so far?"""
-    known = lambda e: F.map_contains_key(old, e["key"])
-    return lambda e: F.when(e["key"].startswith("scanned_"), ~known(e)).otherwise(~F.try_element_at(old, e["key"]).eqNullSafe(e["value"]))
+def _is_scanned(name: Column) -> Column:
+    return name.startswith("scanned_")
 
 
-def _fields(rows: DataFrame) -> list[T.StructField]:
-    return [f for f in rows.schema.fields if f.name not in ("seq", "_src", "_key", "_ord", "_base")]
+def _over(old: Column, new: Column) -> Column:
+    """Two maps as one: new entries win, but for scanned names that the old one has."""
+    none = F.create_map().cast("map<string,string>")
+    old = F.coalesce(old, none)
+    fresh = F.coalesce(F.map_filter(new, lambda k, v: ~(_is_scanned(k) & F.map_contains_key(old, k))), none)
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
 
 
 def merge_contracts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert: the last filled value of each field wins, of scanned fields the first; existing rows come first, then new ones.
 
-    Unknown fields (maps) are merged key by key in the same way. ``seq`` numbers each side's rows; the result has ``merged_ord`` =
-    (source, seq) of the row that a record began with.
+    Of existing rows with one key the first counts. Unknown fields (maps) are merged name by name in the same way. ``seq`` numbers each side's rows; the
+    result has ``merged_ord`` = (source, seq) of the row that a record began with.
+
+    A field's values combine as pairs of place and value, in any order and grouping, so each task hands on one row per key, however many rows
+    share it; the names of a map are aggregated as rows of their own.
     """
-    rows = _tagged(existing, incoming)
-    values = []
-    for f in _fields(rows):
-        if isinstance(f.dataType, T.MapType):
-            held = F.array_sort(F.collect_list(F.when(F.col(f.name).isNotNull(), F.struct("_ord", F.map_entries(f.name).alias("m")))))
-            merged = _merged_map(F.transform(held, lambda x: F.map_from_entries(x["m"])))
-            values.append(F.when(F.size(merged) > 0, merged).alias(f.name))
-            continue
+    rows = _both(existing, incoming)
+    plain, maps = _fields(rows, False), _fields(rows, True)
+    whole = F.min_by(F.struct(*[f.name for f in (*plain, *maps)]), "_ord").alias("_begin")
+    picked = []
+    for f in plain:
+        counts = (F.col("_src") == 1) & is_filled(f.name, f.dataType)
         pick = F.min_by if f.name.startswith("scanned_") else F.max_by
-        filled = is_filled(f.name, f.dataType)
-        values.append(F.coalesce(pick(F.when(filled, F.col(f.name)), F.when(filled, F.col("_ord"))), F.min_by(f.name, "_ord")).alias(f.name))
-    return rows.groupBy("_key").agg(F.min("_ord").alias("merged_ord"), *values).drop("_key")
+        picked.append(pick(F.when(counts, F.col(f.name)), F.when(counts, F.col("_ord"))).alias(f.name))
+    out = rows.groupBy("_key").agg(F.min("_ord").alias("merged_ord"), whole, *picked)
+    values = []
+    for f in plain:
+        begun, fresh = F.col("_begin").getField(f.name), F.col(f.name)
+        kept = F.when(is_filled(begun, f.dataType), begun) if f.name.startswith("scanned_") else F.lit(None)
+        values.append(F.coalesce(kept, fresh, begun).alias(f.name))
+    for i, f in enumerate(maps):
+        by_name = _entries(rows.filter("_src = 1"), f.name).groupBy("_key", "name").agg(F.max_by("value", "_ord").alias("last"), F.min_by("value", "_ord").alias("first"))
+        entry = F.struct("name", F.when(_is_scanned(F.col("name")), F.col("first")).otherwise(F.col("last")))
+        out = out.join(by_name.groupBy("_key").agg(F.map_from_entries(F.collect_list(entry)).alias(f"_map{i}")), "_key", "left")
+        merged = _over(_filled_entries(F.col("_begin").getField(f.name)), F.col(f"_map{i}"))
+        values.append(F.when(F.size(merged) > 0, merged).alias(f.name))
+    return out.select("merged_ord", *values)
 
 
 def merge_stats(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row: rows before, incoming, added, updated (incoming rows that changed a field) and after."""
-    rows = _tagged(existing, incoming)
-    upto = Window.partitionBy("_key").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
+    """One row: rows before, incoming, added, updated (incoming rows that changed a field) and after.
+
+    A row changes a field if its filled value differs from the last filled one before it (a scanned field: if there is none). One ordered pass over each
+    key's rows tells that for the schema's fields, one over each name's entries for maps.
+    """
+    rows = _both(existing, incoming)
+    whole = F.broadcast(existing.agg(F.count(F.lit(1)).alias("existing_before"))).crossJoin(F.broadcast(incoming.agg(F.count(F.lit(1)).alias("incoming"))))
+    along = Window.partitionBy("_key").orderBy("_ord")
+    upto = along.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.row_number().over(along) == 1).filter("_src = 1 OR _first")
     changed = F.lit(False)
-    for f in _fields(rows):
-        if isinstance(f.dataType, T.MapType):
-            before = _merged_map(F.collect_list(f.name).over(upto))
-            own = F.map_entries(_filled_entries(F.col(f.name)))
-            changed = changed | F.coalesce(F.exists(own, _differs_from(before)), F.lit(False))
-            continue
+    for f in _fields(rows, False):
         filled = is_filled(f.name, f.dataType)
-        before = (F.first if f.name.startswith("scanned_") else F.last)(F.when(filled, F.col(f.name)), ignorenulls=True).over(upto)
-        differs = before.isNull() if f.name.startswith("scanned_") else ~before.eqNullSafe(F.col(f.name))
-        changed = changed | (filled & differs)
-    rows = rows.select("_src", "_base", (~F.col("_base") & changed).alias("changed"))
-    whole = existing.agg(F.count(F.lit(1)).alias("existing_before")).crossJoin(incoming.agg(F.count(F.lit(1)).alias("incoming")))
-    sums = rows.agg(
-        F.count_if((F.col("_src") == 1) & F.col("_base")).alias("added"),
-        F.count_if("changed").alias("updated"),
-        F.count_if("_base").alias("total_after"),
-    )
-    return whole.crossJoin(sums)
+        scanned = f.name.startswith("scanned_")
+        before = (F.first if scanned else F.last)(F.when(filled, F.col(f.name)), ignorenulls=True).over(upto)
+        changed = changed | (filled & (before.isNull() if scanned else ~before.eqNullSafe(F.col(f.name))))
+    found = rows.select("_ord", (~F.col("_first") & changed).alias("changed"), "_first")
+    updated = found.filter("changed").select("_ord")
+    for f in _fields(rows, True):
+        entries = _entries(rows, f.name).join(rows.filter("_first").select("_key", F.col("_ord").alias("_begun")), "_key")
+        before = F.lag("value").over(Window.partitionBy("_key", "name").orderBy("_ord"))
+        differs = F.when(_is_scanned(F.col("name")), before.isNull()).otherwise(~before.eqNullSafe(F.col("value")))
+        updated = updated.union(entries.withColumn("changed", differs).filter("changed AND _ord <> _begun").select("_ord"))
+    keys = found.filter("_first").agg(F.count_if(F.col("_ord._src") == 1).alias("added"), F.count(F.lit(1)).alias("total_after"))
+    updated = updated.distinct().agg(F.count(F.lit(1)).alias("updated"))
+    return whole.crossJoin(F.broadcast(keys)).crossJoin(F.broadcast(updated)).select("existing_before", "incoming", "added", "updated", "total_after")
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, limit: int | None = None) -> DataFrame:
