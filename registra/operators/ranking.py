@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.labels import SORT_FIELDS, sort_value
-from registra.functions.numbering import first_numbered, numbered
+from registra.functions.numbering import MOST, Key, by_keys, first_numbered, numbered, slice_in_order
+from registra.functions.storage import settled
 
 from .aggregates import METRICS, PLANNED, entity_metrics
 
@@ -16,11 +17,14 @@ INSTITUTION_METRICS = [*METRICS, *PLANNED]
 VENDOR_METRICS = ["total_spend", "contract_count", "avg_value", "max_value"]
 
 
-def _rank(df: DataFrame, entity: str, metric: str, allowed: Sequence[str], by_spend_first: bool) -> DataFrame:
+def _values(df: DataFrame, entity: str, metric: str, allowed: Sequence[str]) -> DataFrame:
     metric = metric if metric in allowed else "total_spend"
+    return entity_metrics(df, entity, [metric]).withColumn("value", F.col(metric).cast("double"))
+
+
+def _rank(df: DataFrame, entity: str, metric: str, allowed: Sequence[str], by_spend_first: bool) -> DataFrame:
     ties = [F.desc("spend"), F.asc("first_seq")] if by_spend_first else [F.asc("first_seq")]
-    values = entity_metrics(df, entity, [metric]).withColumn("value", F.col(metric).cast("double"))
-    return numbered(values, [F.desc("value"), *ties], "rank").select("rank", "name", "value", F.col("n").alias("contract_count"))
+    return numbered(_values(df, entity, metric, allowed), [F.desc("value"), *ties], "rank").select("rank", "name", "value", F.col("n").alias("contract_count"))
 
 
 def rank_institutions(df: DataFrame, metric: str = "total_spend") -> DataFrame:
@@ -41,39 +45,64 @@ def rank_vendors_in(df: DataFrame, metric: str = "total_spend") -> DataFrame:
     return _rank(df, "supplier", metric, VENDOR_METRICS, False)
 
 
-def rankings_page(ranked: DataFrame, page: int, size: int) -> DataFrame:
-    """Ranks of one page, with the totals; an empty ranking has no pages."""
-    totals = ranked.agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / size).cast("long").alias("total_pages"))
-    return ranked.filter(F.col("rank").between((page - 1) * size + 1, page * size)).crossJoin(F.broadcast(totals))
+def _with_totals(rows: DataFrame, total: int, size: int) -> DataFrame:
+    return rows.withColumns({"total": F.lit(total).cast("long"), "total_pages": F.lit(-(-total // size)).cast("long")})
+
+
+def rankings_page(df: DataFrame, page: int, size: int, entity: str = "buyer", metric: str = "total_spend", most: int = MOST) -> DataFrame:
+    """Ranks of one page over a filtered set, with the totals; an empty ranking has no pages.
+
+    Entities are aggregated once; only the range of values that holds the page is sorted.
+    """
+    allowed = INSTITUTION_METRICS if entity == "buyer" else VENDOR_METRICS
+    values = settled(_values(df, entity, metric, allowed).select("name", "value", "n", "first_seq"))
+    total = values.count()
+    rows = slice_in_order(values, [("value", True), ("first_seq", False)], (page - 1) * size, size, "rank", total, most)
+    return _with_totals(rows.select("rank", "name", "value", F.col("n").alias("contract_count")), total, size)
+
+
+def with_sort_keys(df: DataFrame, spec: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[Key]]:
+    """``df`` with a column for each key, worked out once a row, and the keys: nulls last both ways, anything but desc is ascending.
+
+    Unknown fields are left out, ties stand in input order.
+    """
+    known = [(f, d) for f, d in spec if f in SORT_FIELDS and f in df.columns]
+    keys = [(f"_key{i}", d == "desc") for i, (_, d) in enumerate(known)]
+    return df.withColumns({k: sort_value(df, f) for (k, _), (f, _) in zip(keys, known)}), [*keys, ("seq", False)]
 
 
 def sort_order(df: DataFrame, spec: Sequence[tuple[str, str]]) -> list[Column]:
-    """Columns to order by: nulls last both ways, anything but desc is ascending, unknown fields are left out, ties by input order."""
-    keys = [(sort_value(df, f), d) for f, d in spec if f in SORT_FIELDS and f in df.columns]
-    return [*(k.desc_nulls_last() if d == "desc" else k.asc_nulls_last() for k, d in keys), F.col("seq").asc()]
+    """The same order as columns over ``df`` itself."""
+    rows = [(sort_value(df, f), d) for f, d in spec if f in SORT_FIELDS and f in df.columns]
+    return [*(v.desc_nulls_last() if d == "desc" else v.asc_nulls_last() for v, d in rows), F.col("seq").asc()]
+
+
+def _without_keys(rows: DataFrame, keys: Sequence[Key]) -> DataFrame:
+    return rows.drop(*[k for k, _ in keys if k != "seq"])
 
 
 def sort_contracts(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
-    return df.orderBy(*sort_order(df, spec))
+    rows, keys = with_sort_keys(df, spec)
+    return _without_keys(rows.orderBy(*by_keys(keys)), keys)
 
 
 def sorted_with_places(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
     """All contracts with their places in the order; the sort runs by range partitions."""
-    return numbered(df, sort_order(df, spec))
+    rows, keys = with_sort_keys(df, spec)
+    return _without_keys(numbered(rows, by_keys(keys)), keys)
 
 
 def sorted_head(df: DataFrame, spec: Sequence[tuple[str, str]], n: int) -> DataFrame:
     """The first n contracts in order, with their places; a bounded top-n, no global sort."""
-    return first_numbered(df, sort_order(df, spec), n)
+    rows, keys = with_sort_keys(df, spec)
+    return _without_keys(first_numbered(rows, by_keys(keys), n), keys)
 
 
-def contracts_page(df: DataFrame, spec: Sequence[tuple[str, str]], page: int, size: int) -> DataFrame:
-    """One page of sorted contracts with the totals; pages are cut off the sorted rows, which are not numbered."""
-    order = sort_order(df, spec)
-    totals = df.agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / size).cast("long").alias("total_pages"))
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
-    rows = rows.withColumn("ord", F.row_number().over(Window.orderBy(*order)) + (page - 1) * size)
-    return rows.crossJoin(F.broadcast(totals))
+def contracts_page(df: DataFrame, spec: Sequence[tuple[str, str]], page: int, size: int, most: int = MOST) -> DataFrame:
+    """One page of sorted contracts with the totals; however deep it lies, only the range of keys that holds it is sorted."""
+    rows, keys = with_sort_keys(df, spec)
+    total = df.count()
+    return _with_totals(_without_keys(slice_in_order(rows, keys, (page - 1) * size, size, "ord", total, most), keys), total, size)
 
 
 def first_contract_per_vendor(df: DataFrame) -> DataFrame:

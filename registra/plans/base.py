@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registra.functions.storage import scratch
 from registra.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,16 +25,6 @@ LABEL = "coalesce(rezort, nullif(category, 'not_decided'), '')"
 KEYS = {"category": CAT, "supplier": "supplier", "buyer": "buyer", "month": "substring(published_date, 1, 7)", "award_type": "award_type", "published_year": "published_year", "scanned_service_subtype": "scanned_service_subtype"}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; a temporary one only on a local master without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/registra-{uuid.uuid4().hex}"
-
-
 def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes])
 

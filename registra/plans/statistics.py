@@ -258,7 +258,7 @@ add("rank_institutions_all", lambda c: K.rank_institutions(c, "max_value"), _ran
 add("rank_vendors_all", lambda c: K.rank_vendors(c, "direct_award_rate"), _ranked("supplier", SPEND, "spend DESC, first_seq"))
 add(
     "rankings_page",
-    lambda c: K.rankings_page(K.rank_institutions_in(c, "total_spend"), 2, 20),
+    lambda c: K.rankings_page(c, 2, 20),
     f""", r AS ({_ranked('buyer', SPEND, 'first_seq').replace(', g AS', 'WITH g AS', 1)}) SELECT *, (SELECT count(*)
     FROM r) AS total, (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM r) AS total_pages FROM r WHERE rank BETWEEN 21 AND 40""",
 )

@@ -120,17 +120,28 @@ def running_usage(stream: DataFrame) -> DataFrame:
     )
 
 
-def usage_ingest(usage: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Writes the sessions that a batch changed as the folder batch=n: work grows with the changes, not with all sessions."""
+def usage_ingest(usage: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps each session's newest row in buckets of sessions: a batch rewrites those that its sessions fall into, and readers see one row a session.
+
+    Files do not grow with batches; a batch that is run again after its commit changes nothing.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        table, key = BucketTable(batch.sparkSession, target, buckets), F.col("session_id").cast("string")
+        if number in table.versions():
+            return
+        base = table.manifest(before=number)
+        rows = batch.withColumn("_new", F.lit(True))
+        if base is not None:
+            touched = [r[0] for r in batch.select(table.bucket(key, base)).distinct().collect()]  # at most one row a bucket
+            rows = rows.unionByName(table.read(only=touched, m=base).withColumn("_new", F.lit(False)))
+        values = [c for c in batch.columns if c != "session_id"]
+        newest = rows.groupBy("session_id").agg(F.max_by(F.struct(*values), "_new").alias("r")).select("session_id", "r.*")
+        table.commit(number, newest.select(batch.columns), key, base)
 
     return usage.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_usage(spark: SparkSession, target: str) -> DataFrame:
     """The newest row of each session."""
-    rows = spark.read.parquet(target)
-    values = [c for c in rows.columns if c not in ("session_id", "batch")]
-    return rows.groupBy("session_id").agg(F.max_by(F.struct(*values), "batch").alias("r")).select("session_id", "r.*")
+    return BucketTable(spark, target).read()

@@ -495,3 +495,67 @@ def test_merges_match_the_rule_row_by_row(spark):
         assert got == rows
         assert one(M.merge_stats(old, new)) == stats
     assert "Window" not in M.merge_contracts(old, new)._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ---------------------------------------------------------------- deep pages
+
+
+def test_slices_are_those_of_the_sorted_whole(spark):
+    import random
+
+    from registra.functions.numbering import slice_in_order
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1.0, 1.0, 1.0, 2.5, float("nan"), rng.random() * 9]), rng.choice(["a", "b", None, "é", str(rng.randrange(50))]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, t string, seq long").repartition(4)
+
+    def place(v, down):
+        number = (2, 0) if v is None else (1, 0) if v != v else (0, v)  # NaN is the largest number
+        return number if not down or v is None else (-number[0], -number[1])
+
+    def text(v, down):
+        return (1, ()) if v is None else (0, tuple(-ord(c) for c in v) + (1,) if down else tuple(map(ord, v)))
+
+    for keys in ([("x", False), ("t", True), ("seq", False)], [("t", False), ("x", True), ("seq", False)], [("x", True), ("seq", False)]):
+        part = {"x": lambda r, d: place(r[0], d), "t": lambda r, d: text(r[1], d), "seq": lambda r, d: r[2]}
+        whole = [r[2] for r in sorted(rows, key=lambda r: [part[c](r, d) for c, d in keys])]
+        for skip, n in ((0, 10), (1395, 20), (2990, 50), (700, 900), (5000, 10)):
+            got = slice_in_order(df, keys, skip, n, most=60).collect()
+            assert [r.seq for r in sorted(got, key=lambda r: r.ord)] == whole[skip : skip + n]
+            assert sorted(r.ord for r in got) == list(range(skip + 1, min(skip + n, 3000) + 1))
+
+
+def test_a_deep_page_sorts_one_range(spark):
+    from registra.functions.numbering import _parts
+
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("x"), F.col("id").alias("seq"))
+    (part,) = _parts(df, [("x", False), ("seq", False)], 150_000, 50, 200_000, 5_000)
+    assert [r.x for r in part.collect()] == sorted(i * 7919 % 200_003 for i in range(200_000))[150_000:150_050]
+    sorted_rows = part._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in sorted_rows and df.filter("x >= 0").count() == 200_000
+
+
+def test_pages_of_rankings(five):
+    whole = [(r["rank"], r["name"]) for r in K.rank_institutions_in(five).orderBy("rank").collect()]
+    paged = [r for p in range(1, 5) for r in K.rankings_page(five, p, 2, most=1).orderBy("rank").collect()]
+    assert [(r["rank"], r["name"]) for r in paged] == whole
+    assert {(r.total, r.total_pages) for r in paged} == {(len(whole), -(-len(whole) // 2))}
+    assert K.rankings_page(five.limit(0), 1, 5).count() == 0
+
+
+def test_usage_files_do_not_grow_with_batches(spark, tmp_path):
+    from registra.streaming import ingest as T
+
+    schema = "session_id long, prompt_tokens long, completion_tokens long, cost_usd double, seq long"
+    expected = {}
+    for n in range(5):
+        rows = [(i if i else None, 10 * n, i, 0.5, 100 * n + i) for i in range(n, n + 6)]
+        for r in rows:
+            old = expected.get(r[0], (0, 0))
+            expected[r[0]] = (old[0] + r[1], old[1] + 1)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = T.stream_contracts(spark, str(tmp_path / "in"), schema)
+        T.usage_ingest(T.running_usage(source), str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination()
+        got = {r.session_id: (r.prompt_tokens, r.requests) for r in T.latest_usage(spark, str(tmp_path / "out")).collect()}
+        assert got == expected
+        assert len(T.latest_usage(spark, str(tmp_path / "out")).inputFiles()) <= 4
