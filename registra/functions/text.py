@@ -24,18 +24,50 @@ MONTHS = {
 }
 
 
-def _accents() -> tuple[str, str]:
-    """Letters up to U+024F and U+1E00-1EFF that are a basic letter with marks, and that letter."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code):
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_WITH, _WITHOUT = _accents()
-_MARKS = r"[̀-ͯ]"
+def _decompositions() -> tuple[str, str, str, list[str]]:
+    """Unicode's compatibility decompositions without combining marks, of all code points: those to one character or none as two
+    strings for ``translate``, those to several characters as a string and a list.
+    """
+    ones, marks, many = [], [], []
+    for code in [*range(0xD800), *range(0xE000, 0x110000)]:
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain != char:
+            (ones if len(plain) == 1 else many if plain else marks).append((char, plain))
+    return "".join(c for c, _ in ones + marks), "".join(p for _, p in ones), "".join(c for c, _ in many), [p for _, p in many]
+
+
+_WITH, _WITHOUT, _MANY, _PARTS = _decompositions()
+#: A character for each of those that become several: its code less ``_BASE`` is the place in the list of what they become.
+_BASE = 0x20000
+_PLACES = "".join(chr(_BASE + i) for i in range(len(_MANY)))
+_BETWEEN = "\x1f"  # stands in no decomposition
+
+
+def _ranges(chars: str) -> str:
+    """A regular expression's class of characters that come in rising order."""
+    out, codes = [], [ord(c) for c in chars]
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_HAS_MANY = _ranges(_MANY)
+
+
+def strip_accents(c: Column) -> Column:
+    """Characters taken apart as Unicode's compatibility decomposition does, and combining marks dropped. Texts without ligatures and the like are
+    translated in one step; others character by character.
+    """
+    parts = F.split(F.lit(_BETWEEN.join(_PARTS)), _BETWEEN)
+    several = lambda x: F.get(parts, F.ascii(F.translate(x, _MANY, _PLACES)) - _BASE)
+    apart = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.when(x.rlike(_HAS_MANY), several(x)).otherwise(x))
+    return F.translate(F.when(c.rlike(_HAS_MANY), F.array_join(apart, "")).otherwise(c), _WITH, _WITHOUT)
+
+
 _SPACE = r"^\s+|\s+$"
 
 
@@ -44,8 +76,8 @@ def strip(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case, trimmed, Latin letters without their marks; null is empty."""
-    return F.coalesce(F.lower(strip(F.regexp_replace(F.translate(c, _WITH, _WITHOUT), _MARKS, ""))), F.lit(""))
+    """Lower case, trimmed, without accents and other marks; null is empty."""
+    return F.coalesce(F.lower(strip(strip_accents(c))), F.lit(""))
 
 
 def clean_whitespace(c: Column) -> Column:

@@ -122,15 +122,31 @@ def _entities(df: DataFrame) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-GRAM = 8  #: characters by which names and messages meet; a shorter name meets by all it has
+#: (grams in a stretch, characters of a gram): a name belongs to the first pair whose stretch of grams + characters - 1 it holds.
+STRETCHES = ((8, 6), (3, 4))
+
+
+def least_grams(text: str, grams: int, size: int) -> Column:
+    """Hashes of the grams that a text keeps: of each stretch of ``grams`` neighbours the least one. Equal stretches keep the same one."""
+    n = F.length(text) - size + 1
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(size))))
+    # the hashes are an element of an array, so that they are worked out once
+    least = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), n - grams + 1), lambda i: F.array_min(F.slice(h, i, grams))))
+    return F.when(n >= grams, F.array_distinct(F.get(least, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _all_grams(text: str, size: int) -> Column:
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(size)))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def entity_refusals(messages: DataFrame, contracts: DataFrame, state: FilterState) -> DataFrame:
     """(message_id, kind, name): entities that a message names and the active selection of that kind lacks.
 
-    A message that holds a name holds each run of eight characters of it. Names wait under the run that fewest names share, messages
-    look up all of theirs, by equality; only then is the whole name looked for in the text. Beginnings that many names share
-    bring nothing together. Without a selection of a kind nothing of that kind is refused.
+    A message that holds a name holds all its stretches of characters, and both keep the same least gram of each. So names wait under the one of
+    their grams that fewest names share, messages look up theirs, by equality; only then is the whole name looked for in the text. Names
+    shorter than every stretch wait as a whole, and messages look up all runs of such lengths. Without a selection of a kind
+    nothing of that kind is refused.
     """
     scoped = {"institution": [x.lower() for x in state.institutions or []], "vendor": [x.lower() for x in state.vendors or []]}
     names = _entities(contracts).filter(F.trim("name") != "").withColumn("low", F.lower("name"))
@@ -138,22 +154,37 @@ def entity_refusals(messages: DataFrame, contracts: DataFrame, state: FilterStat
     for kind, chosen in scoped.items():
         if chosen:
             wanted = wanted | ((F.col("kind") == kind) & ~F.col("low").isin(chosen))
-    names = names.filter(wanted).withColumn("size", F.least(F.length("low"), F.lit(GRAM)))
-
-    def runs(text: str, size: Column | int) -> Column:
-        last = F.length(text) - size + 1
-        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(size) if isinstance(size, int) else size)))).otherwise(F.array().cast("array<string>"))
-
-    grams = names.select("kind", "name", "low", F.explode(runs("low", F.col("size"))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    waiting = grams.join(shared, "gram").groupBy("kind", "name", "low").agg(F.min(F.struct("names", "gram")).alias("g")).select("kind", "name", "low", "g.gram")
-    sizes = [r.size for r in names.select("size").distinct().collect()]  # at most eight numbers
+    names = names.filter(wanted).withColumn("size", F.length("low"))
     text = messages.select("message_id", F.lower("text").alias("msg"))
-    asked = text.select("message_id", F.explode(F.flatten(F.array(*[runs("msg", n) for n in sizes]) if sizes else F.array().cast("array<array<string>>"))).alias("gram"))
-    met = asked.join(waiting, "gram").select("message_id", "kind", "name", "low")
+
+    ways, above = [], None  # (way, which names, grams of a name, grams of a message)
+    for grams, size in STRETCHES:
+        here = F.col("size") >= grams + size - 1
+        ways.append((here if above is None else here & (F.col("size") < above), least_grams("low", grams, size), least_grams("msg", grams, size)))
+        above = grams + size - 1
+    lengths = [r.size for r in names.filter(F.col("size") < above).select("size").distinct().collect()]  # fewer numbers than the least stretch has characters
+    ways += [(F.col("size") == n, _all_grams("low", n), _all_grams("msg", n)) for n in sorted(lengths)]
+
+    way_of = reduce(lambda c, x: c.when(x[1][0], x[0]), list(enumerate(ways))[1:], F.when(ways[0][0], 0))
+    kept = reduce(lambda c, x: c.when(x[0], x[1]), ways[1:], F.when(ways[0][0], ways[0][1]))
+    grams = names.select("kind", "name", "low", way_of.alias("way"), F.explode(kept).alias("gram"))
+    shared = grams.groupBy("way", "gram").agg(F.count(F.lit(1)).alias("names"))
+    waiting = grams.join(shared, ["way", "gram"]).groupBy("kind", "name", "low").agg(F.min(F.struct("names", "way", "gram")).alias("g")).select("kind", "name", "low", "g.way", "g.gram")
+    asked = _asked(text, {k: way[2] for k, way in enumerate(ways)})
+    met = asked.join(waiting, ["way", "gram"]).select("message_id", "kind", "name", "low")
     return met.join(text, "message_id").filter(F.contains("msg", "low")).select("message_id", "kind", "name").distinct()
 
 
+def _asked(text: DataFrame, ways: dict[int, Column]) -> DataFrame:
+    """(message_id, way, gram): what each message looks up."""
+    entries = F.flatten(F.array(*[_tagged(c, k) for k, c in ways.items()]))
+    return text.select("message_id", F.explode(entries).alias("e")).select("message_id", "e.way", "e.gram")
+
+
+def _tagged(grams: Column, way: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(way).alias("way"), g.alias("gram")))
+
+
 def year_refusals(messages: DataFrame, state: FilterState) -> DataFrame:
     """(message_id, pos, year, side, suggestion): mentioned years before the first or after the last year of the filter."""
     years = messages.select("message_id", F.posexplode(mentioned_years(F.col("text"))).alias("pos", "y")).withColumn("year", F.col("y").cast("int"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64  #: of a new table; it keeps the number that it was made with
+BUCKETS = 64  #: of a new table, which keeps the number that it was made with; one task writes a bucket, so large tables ask for more
 LAYERS = 8  #: versions that make up a bucket at most; then its rows are written together
 KEEP = 3  #: manifests whose rows are kept for readers
 
@@ -100,7 +100,7 @@ class BucketTable:
                 for b in deep:
                     layers[b] = []
         data = f"{self.path}/data/v={version}"
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
         for s in self._fs.listStatus(self._at(data)):
             name = s.getPath().getName()
             if name.startswith("bucket="):

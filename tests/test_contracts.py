@@ -558,4 +558,37 @@ def test_usage_files_do_not_grow_with_batches(spark, tmp_path):
         T.usage_ingest(T.running_usage(source), str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination()
         got = {r.session_id: (r.prompt_tokens, r.requests) for r in T.latest_usage(spark, str(tmp_path / "out")).collect()}
         assert got == expected
-        assert len(T.latest_usage(spark, str(tmp_path / "out")).inputFiles()) <= 4
+        files = T.latest_usage(spark, str(tmp_path / "out")).inputFiles()
+        assert len(files) <= 4, "\n".join(files)
+
+
+# ---------------------------------------------------------------- accents, names in messages, rule lists
+
+
+def test_accents_over_all_code_points(spark):
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    chars = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    texts = ["".join(chars[i : i + 64]) for i in range(0, len(chars), 64)] + ["ŠΆ ﬁ Ⓐ", "한글 ½ ㌀", "\U0001d400ﬁ\U000f0000\U00020001", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4).select("i", X.strip_accents(F.col("t")).alias("p"), X.normalize_text(F.col("t")).alias("n")).collect()
+    for r in got:
+        assert r.p == (None if texts[r.i] is None else plain(texts[r.i])), r.i
+    assert {r.i: r.n for r in got}[len(texts) - 5] == "sα fi a"
+
+
+def test_messages_keep_a_third_of_their_runs_and_find_all_names(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdeč ") for _ in range(n))
+    names = list({word(n).strip() for n in list(range(1, 30)) * 6} - {""})
+    texts = [word(60) + rng.choice(names).upper() + word(60) for _ in range(80)] + ["", "a", None, word(5)]
+    messages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "message_id int, text string")
+    contracts = spark.createDataFrame([(n, None) if k % 2 else (None, n) for k, n in enumerate(names)], "buyer string, supplier string")
+    state = FilterState(institutions=["none such"], vendors=[names[0]])
+    want = {(i, "institution" if k % 2 else "vendor", n) for i, t in enumerate(texts) for k, n in enumerate(names) if t and n.lower() in t.lower() and n.lower() != (names[0].lower() if k % 2 == 0 else "none such")}
+    assert {tuple(r) for r in Q.entity_refusals(messages, contracts, state).collect()} == want
+    low = messages.select(F.lower("text").alias("msg"))
+    kept, runs = low.agg(F.sum(F.size(Q.least_grams("msg", *Q.STRETCHES[0]))), F.sum(F.greatest(F.lit(0), F.length("msg") - 7))).first()
+    assert kept * 3 < runs
