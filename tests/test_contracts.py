@@ -592,3 +592,31 @@ def test_messages_keep_a_third_of_their_runs_and_find_all_names(spark):
     low = messages.select(F.lower("text").alias("msg"))
     kept, runs = low.agg(F.sum(F.size(Q.least_grams("msg", *Q.STRETCHES[0]))), F.sum(F.greatest(F.lit(0), F.length("msg") - 7))).first()
     assert kept * 3 < runs
+
+
+def test_a_rule_list_gives_what_its_rules_give_one_by_one(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        price = rng.choice([None, 0.0, 1000.0, 2000.0, 95_000.0, 150_000.0, float(rng.randrange(60_000))])
+        day = f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)}"
+        rows.append((i, f"c{i}", rng.choice(["A", "B", "C", "", None]), rng.choice(["S", "T", "U", "V", None, " "]), price, rng.choice([day, None, ""]), rng.choice([day, None, "odd"])))
+    df = spark.createDataFrame(rows, "seq long, contract_id string, buyer string, supplier string, price_numeric_eur double, published_date string, date_concluded string").repartition(3)
+    lists = [None, [{"id": "fragmentation", "params": {"min_contracts": 9}}, {"id": "fragmentation", "params": {"max_value_eur": 5000.0}}, {"id": "unknown"}, {"id": "threshold_proximity"}]]
+    lists += [[{"id": "round_number_clustering", "params": {"min_round_pct": 10, "round_modulus": 500}}, {"id": "round_number_clustering", "params": {"min_round_pct": 20}}], [{"id": "overnight_turnaround"}]]
+    lists += [[{"id": "vendor_concentration", "params": {"max_share_pct": 20, "top_n": 2}}, {"id": "new_vendor_large_contract", "params": {"min_value_eur": 1.0}}]]
+    for rules in lists:
+        want = []
+        for n, rule in enumerate([{"id": k} for k in R.RULES] if rules is None else rules):
+            if rule["id"] in R.RULES:
+                want += [str((n, *r)) for r in R.RULES[rule["id"]](df, **rule.get("params", {})).collect()]
+        flags = R.evaluate(df, rules)
+        assert sorted(str((r.rule_ord, *r[:-1])) for r in flags.select(*R.COLUMNS, "rule_ord").collect()) == sorted(want) and want
+        assert flags._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1  # the other pass has made the sums
+    R.RULES["mine"] = lambda df, most=1.0: R._flag(df.filter(F.col("seq") < most), "mine", 1.0, seq=F.col("seq"))
+    try:
+        assert R.evaluate(df, [{"id": "mine"}, {"id": "threshold_proximity"}]).filter("rule_id = 'mine'").count() == 1
+    finally:
+        del R.RULES["mine"]
