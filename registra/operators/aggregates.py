@@ -310,18 +310,24 @@ def profile(contracts: DataFrame, name: str, ico: str) -> DataFrame:
 
 
 def compare_sets(primary: DataFrame, secondary: DataFrame | None, field: str) -> DataFrame:
-    """Groups of contracts beside the same groups of subcontracts; what one side lacks counts 0.
+    """``compare_sides`` of two datasets."""
+    sides = [(primary, "primary")] + ([(secondary, "secondary")] if secondary is not None else [])
+    keyed = [with_key(df, field).select("group_value", "seq", PRICE, F.lit(side).alias("side")) for df, side in sides]
+    return _side_by_side(reduce(DataFrame.unionByName, keyed))
 
-    Most primary spend first; ties as first seen among the contracts, groups that only subcontracts have by their spend there. One
-    grouped pass over each side, one aggregate that puts them together.
+
+def compare_sides(rows: DataFrame, field: str) -> DataFrame:
+    """Groups of contracts (``side`` primary) beside the same groups of subcontracts (secondary); what one side lacks counts 0.
+
+    Most primary spend first; ties as first seen among the contracts, groups that only subcontracts have by their spend there. One pass over
+    the rows of both sides.
     """
-    sides = []
-    for side, df in (("primary", primary), ("secondary", secondary)):
-        if df is not None:
-            keyed = with_key(df, field).filter("group_value IS NOT NULL")
-            sums = keyed.groupBy("group_value").agg(money_sum().alias("total_spend"), F.count(F.lit(1)).alias("contract_count"), _mean(money_sum(), F.count(PRICE)).alias("avg_value"), F.min("seq").alias("first_seq"))
-            sides.append(sums.withColumn("side", F.lit(side)))
-    rows = reduce(DataFrame.unionByName, sides).groupBy("group_value").agg(*[
+    return _side_by_side(with_key(rows, field).select("group_value", "seq", PRICE, "side"))
+
+
+def _side_by_side(keyed: DataFrame) -> DataFrame:
+    sums = keyed.filter("group_value IS NOT NULL").groupBy("group_value", "side").agg(money_sum().alias("total_spend"), F.count(F.lit(1)).alias("contract_count"), _mean(money_sum(), F.count(PRICE)).alias("avg_value"), F.min("seq").alias("first_seq"))
+    rows = sums.groupBy("group_value").agg(*[
         F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}") for side in ("primary", "secondary") for c in ("total_spend", "contract_count", "avg_value", "first_seq")
     ])
     values = [F.coalesce(F.col(f"{side}_{c}"), F.lit(0).cast(kind)).alias(f"{side}_{c}") for side in ("primary", "secondary") for c, kind in (("total_spend", "double"), ("contract_count", "bigint"), ("avg_value", "double"))]

@@ -198,13 +198,14 @@ def _sets(field: str) -> str:
     return f", {side('c', 'p1')}, {side('s', 's1')} SELECT coalesce(p1.k, s1.k) AS group_value, {cols}, row_number() OVER (ORDER BY coalesce(p1.total_spend, 0) DESC, p1.ord NULLS LAST, s1.ord) AS ord FROM p1 FULL JOIN s1 ON p1.k = s1.k"
 
 
-add("compare_subcontractors", lambda s, d: A.compare_sets(star.contracts(s, d), star.subcontractors(s, d), "supplier"), W + _sets("supplier"), "")
+add("compare_subcontractors", lambda s, d: A.compare_sides(star.sides(s, d), "supplier"), W + _sets("supplier"), "")
 add(
     "compare_subcontractors_top",
-    lambda s, d: A.compare_sets(star.contracts(s, d), star.subcontractors(s, d), "month").filter("ord <= 15"),
+    lambda s, d: A.compare_sides(star.sides(s, d), "month").filter("ord <= 15"),
     W + _sets("month").replace("SELECT coalesce(p1.k", ", fin AS (SELECT coalesce(p1.k") + ") SELECT * FROM fin WHERE ord <= 15",
     "",
 )
+add("compare_two_datasets", lambda s, d: A.compare_sets(star.contracts(s, d), star.subcontractors(s, d), "supplier"), W + _sets("supplier"), "")
 add(
     "compare_without_second",
     lambda c: A.compare_sets(c, None, "award_type"),

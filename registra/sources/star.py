@@ -6,7 +6,7 @@ the subcontractors. Orders without lines have no supplier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,7 @@ def orders_with_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _of_line(rows: DataFrame, spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+def _of_line(rows: DataFrame, spark: SparkSession, sf_dir: str, how: str, *more: str) -> DataFrame:
     s, p = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
     rows = rows.join(s, rows.l_suppkey == s.s_suppkey, how).join(p, rows.l_partkey == p.p_partkey, how)
     return rows.select(
@@ -63,6 +63,7 @@ def _of_line(rows: DataFrame, spark: SparkSession, sf_dir: str, how: str) -> Dat
         "award_type",
         F.concat("p_type", F.lit(" "), "p_brand").alias("pdf_text_summary"),
         F.col("l_partkey").cast("string").alias("public_procurement_id"),
+        *more,
     )
 
 
@@ -86,6 +87,16 @@ def subcontractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_line(o.join(others, o.seq == others.l_orderkey), spark, sf_dir, "inner").withColumns({"subcontractor": F.col("supplier"), "ico_subcontractor": F.col("ico_supplier")})
 
 
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts and subcontracts in one pass over the lines: ``side`` is primary for the first line of an order, and for an order without lines, else secondary."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    tagged = lines.withColumn("side", F.when(place == 1, "primary").otherwise("secondary"))
+    o = orders_with_buyers(spark, sf_dir)
+    rows = _of_line(o.join(tagged, o.seq == tagged.l_orderkey, "left"), spark, sf_dir, "left", "side")
+    return rows.withColumn("side", F.coalesce("side", F.lit("primary")))
+
+
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tenders."""
     p = _read(spark, sf_dir, "part")
