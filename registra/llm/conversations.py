@@ -415,3 +415,41 @@ def repair_conversations(rows: DataFrame, chunk: int = CHUNK, held: int = HELD,
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: its faults after damage, and the cheapest repair."""
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+#: The same by a forward search: each element of the folded list is a row (x) or the cheapest way into each state so far (w: cost, audit, state, lines).
+OP11_SQL = r"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+     b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS x FROM conversations),
+     h AS (SELECT b.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda p: CAST('0x' || substr(x, p, 2) AS BIGINT))),
+                                                   lambda a, y: xor(a >> 8, t[1 + xor(a & 255, y)]))) % 20 AS how FROM b, crc),
+     d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+                  CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+           FROM h, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) q(copy) WHERE how <> 0),
+     n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 40), copy) AS i FROM d),
+     f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                          WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                  left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+     g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before || k NOT IN ('su', 'ua', 'au')) AS illegal,
+                  list({'w': CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, s INT, r VARCHAR)[]), 'role': role, 'text': text, 'fault': fault, 'k': k} ORDER BY i) AS rows
+           FROM f GROUP BY conv_id),
+     e AS (SELECT *, list_reduce(list_concat([{'w': [{'c': 0::BIGINT, 'a': '', 's': 0, 'r': ''}, {'c': 5::BIGINT, 'a': 'I', 's': 2, 'r': chr(10) || 'user:'}, {'c': 10::BIGINT, 'a': 'II', 's': 3, 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}],
+                                               'role': '', 'text': '', 'fault': '', 'k': ''}], rows), lambda z, x: {'w':
+             list_transform(list_transform([list_concat(list_filter(list_transform(range(4), lambda q: list_min(list_filter(flatten(list_transform(z.w, lambda o: [
+                   {'c': o.c + 2, 'a': o.a || 'D', 's': o.s, 'r': o.r},
+                   CASE WHEN x.fault IN ('b', 'd') THEN NULL WHEN x.k = 's' AND o.s = 0 OR x.k = 'u' AND o.s <> 2 OR x.k = 'a' AND o.s = 2
+                        THEN {'c': o.c + CASE x.fault WHEN 't' THEN 5 ELSE 0 END, 'a': o.a || 'K', 's': CASE x.k WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'r': o.r || chr(10) || x.role || ':' || x.text} END,
+                   CASE WHEN x.fault IN ('b', 'd') THEN NULL
+                        ELSE {'c': o.c + CASE x.fault WHEN 't' THEN 6 ELSE 1 END, 'a': o.a || 'R', 's': CASE o.s WHEN 2 THEN 3 ELSE 2 END, 'r': o.r || chr(10) || CASE o.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || x.text} END])),
+                 lambda m: m IS NOT NULL AND m.s = q))), lambda m: m IS NOT NULL), [])],
+               lambda l: list_concat(l, list_transform(l, lambda o: {'c': o.c + 5, 'a': o.a || 'I', 's': CASE o.s WHEN 2 THEN 3 ELSE 2 END, 'r': o.r || chr(10) || CASE o.s WHEN 2 THEN 'assistant:' ELSE 'user:' END}),
+                                        list_transform(l, lambda o: {'c': o.c + 10, 'a': o.a || 'II', 's': CASE o.s WHEN 2 THEN 2 ELSE 3 END,
+                                                                     'r': o.r || chr(10) || CASE o.s WHEN 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END}))),
+               lambda l: list_filter(list_transform(range(4), lambda q: list_min(list_filter(l, lambda m: m.s = q))), lambda m: m IS NOT NULL))[1],
+             'role': '', 'text': '', 'fault': '', 'k': ''}) AS last FROM g),
+     o AS (SELECT *, list_min(list_filter(last.w, lambda m: m.s IN (0, 3))) AS best FROM e)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN o ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bytepairs import op12_byte_level_bpe
-from .conversations import op11_conversation_repair
+from .conversations import OP11_SQL, op11_conversation_repair
 from .decontam import op3_benchmark_decontamination
 from .langid import op1_language_id
 from .lines import OP7_LONG_SQL, OP7_SQL, op7_line_dedup, op7_long_line_dedup
@@ -37,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op7_long_line_dedup": OP7_LONG_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op13_spelling_variants": OP13_SQL,
 }

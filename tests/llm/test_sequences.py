@@ -142,11 +142,16 @@ def test_a_rerun_stops_where_vectors_differ_by_a_constant():
 
 @needs_tables
 def test_conversation_query(spark):
-    from registra.llm.conversations import op11_conversation_repair
+    import duckdb
+
+    from registra.llm.conversations import OP11_SQL, op11_conversation_repair
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {r.conv_id: tuple(r[c] for c in FIELDS) for r in op11_conversation_repair(spark, SF).collect()}
     assert got == _expected(rows)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert {r[0]: r[1:] for r in duck.execute(OP11_SQL).fetchall()} == got
 
 
 # ---------------------------------------------------------------- byte-level BPE
