@@ -59,9 +59,13 @@ def _instant(c: str) -> Column:
     )])
 
 
+def _with_hours(df: DataFrame) -> DataFrame:
+    """``hours`` from being concluded to being published."""
+    return df.withColumn("hours", (F.unix_timestamp(_instant("published_date")) - F.unix_timestamp(_instant("date_concluded"))) / 3600)
+
+
 def _overnight(max_hours: float = 24) -> Flag:
-    hours = (F.unix_timestamp(_instant("published_date")) - F.unix_timestamp(_instant("date_concluded"))) / 3600
-    return (hours >= 0) & (hours < max_hours), 0.3, {"hours": F.round(hours, 1)}
+    return (F.col("hours") >= 0) & (F.col("hours") < max_hours), 0.3, {"hours": F.round("hours", 1)}
 
 
 def _named_pair() -> Column:
@@ -122,7 +126,7 @@ def fragmentation(df: DataFrame, min_contracts: int = 3, max_value_eur: float =
 
 def overnight_turnaround(df: DataFrame, max_hours: float = 24) -> DataFrame:
     """Published within hours of being concluded."""
-    return _row_flags(df, "overnight_turnaround", _overnight(max_hours))
+    return _row_flags(_with_hours(df), "overnight_turnaround", _overnight(max_hours))
 
 
 def new_vendor_large_contract(df: DataFrame, min_value_eur: float = 100_000) -> DataFrame:
@@ -212,6 +216,8 @@ def _together(df: DataFrame, rules: list[tuple[int, str, dict]]) -> DataFrame:
     if rounds:
         names = ["priced_n", *[f"rounds{n}" for n in rounds]]
         rows = rows.crossJoin(F.broadcast(pairs.agg(*[F.sum(c).alias(c) for c in names])))
+    if "overnight_turnaround" in ids:
+        rows = _with_hours(rows)
     if flags:
         text = lambda details: F.map_from_arrays(F.array(*map(F.lit, details)), F.array(*[v.cast("string") for v in details.values()]))
         each = [F.when(when, F.struct(F.lit(n).alias("rule_ord"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), text(details).alias("details"))) for n, rule, (when, severity, details) in flags]
