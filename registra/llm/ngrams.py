@@ -30,6 +30,7 @@ ORDER = 2
 BACKOFF = 0.4
 PART = 8 << 20  #: bytes of texts in a part
 BUCKET = 4 << 20  #: bytes of texts for each bucket of the count table
+LEAST_BUCKETS = 260  #: so many that an n-gram's hash within its bucket fits seven bytes
 START = np.uint64(0x9E3779B97F4A7C15)  #: stands for the beginning of a document
 
 
@@ -75,13 +76,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
     every = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, buckets = max(partitions(spark), math.ceil(every / PART)), max(partitions(spark), math.ceil(every / BUCKET))
+    parts, buckets = max(partitions(spark), math.ceil(every / PART)), max(partitions(spark), LEAST_BUCKETS, math.ceil(every / BUCKET))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
     def laid_out(hashes: list[np.ndarray]) -> tuple[list, np.ndarray, np.ndarray]:
         """Distinct n-grams of each order (hashes, places of all n-grams among them, counts), buckets of all of them, and their order by bucket."""
         kinds = [np.unique(h, return_inverse=True, return_counts=True) for h in hashes]
-        bucket = ((np.concatenate([k[0] for k in kinds]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((np.concatenate([k[0] for k in kinds]) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         return kinds, bucket, np.argsort(bucket, kind="stable")
 
     def explode(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -89,11 +90,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         kinds, bucket, by = laid_out(grams(group.text.tolist(), order)[1])
         h, c = (np.concatenate([k[i] for k in kinds]) for i in (0, 2))
         cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-        out = [(int(bucket[at[0]]), int(key[0]), h[at].view(np.int64), c[at].astype(np.int32)) for at in np.split(by, cuts) if len(at)]
-        return pd.DataFrame(out, columns=["bucket", "part", "h", "c"])
-
-    asked = dealt.groupBy("part").applyInPandas(explode, "bucket int, part int, h array<long>, c array<int>").repartition(buckets, "bucket")
-    asked = asked.select("bucket", "part", F.posexplode(F.arrays_zip("h", "c")).alias("pos", "g")).select("bucket", "part", "pos", "g.h", "g.c")
+        # buckets are ranges of hashes: less its bucket's beginning a hash takes 56 bits, which travel as 32, 16 and 8
+        h = h - (((bucket << 24) + buckets - 1) // buckets << 40).view(np.uint64)
+        low, middle, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), (h >> np.uint64(32)).astype(np.uint16).view(np.int16), (h >> np.uint64(48)).astype(np.uint8).view(np.int8)
+        out = [(int(bucket[at[0]]), int(key[0]), low[at], middle[at], high[at], c[at].astype(np.int32)) for at in np.split(by, cuts) if len(at)]
+        return pd.DataFrame(out, columns=["bucket", "part", "low", "middle", "high", "c"])
+
+    asked = dealt.groupBy("part").applyInPandas(explode, "bucket int, part int, low array<int>, middle array<smallint>, high array<tinyint>, c array<int>").repartition(buckets, "bucket")
+    asked = asked.select("bucket", "part", F.posexplode(F.arrays_zip("low", "middle", "high", "c")).alias("pos", "g"))
+    bits = lambda c, mask, by: F.shiftleft(F.col(c).cast("long").bitwiseAND(F.lit(mask)), by)
+    asked = asked.select("bucket", "part", "pos", bits("g.low", 0xFFFFFFFF, 0).bitwiseOR(bits("g.middle", 0xFFFF, 32)).bitwiseOR(bits("g.high", 0xFF, 48)).alias("h"), "g.c")
     counted = asked.withColumn("n", F.sum("c").over(Window.partitionBy("bucket", "h"))).filter("n > c")
     few = F.col("n") < 1 << 15  # nearly all counts fit two bytes; the others go beside them
     kinds_of = {"few": (few, "smallint"), "many": (~few, "bigint")}
