@@ -18,7 +18,7 @@ from registra.operators.filters import FilterState
 from registra.sources import model, star
 from registra.streaming import ingest as T
 
-from .base import SUMMARY, W, add, scratch
+from .base import CAT, SPEND, SUMMARY, W, add, scratch
 
 # ---------------------------------------------------------------- maintenance
 
@@ -331,6 +331,29 @@ add(
     SELECT 'category', count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')), count(DISTINCT coalesce(scanned_service_type, 'Nezaradené')) FROM c
     WHERE published_date >= '1996-01-01'""",
 )
+#: How a contract is printed in full: what each field is called, and what it holds.
+_PRINTED = {
+    "Contract ID [contract_id]": "contract_id",
+    "Title [contract_title]": "contract_title",
+    "Buyer [buyer]": "buyer",
+    "Supplier [supplier]": "supplier",
+    "Price in EUR (numeric) [price_numeric_eur]": "format('{:,.2f}', price_numeric_eur) || ' EUR'",
+    "Published date (normalized) [published_date]": "published_date",
+    "Scanned service type [scanned_service_type]": "scanned_service_type",
+    "Award type [award_type]": "award_type",
+    "Supplier ICO [ico_supplier]": "ico_supplier",
+}
+_BLOCK = " || chr(10) || ".join(f"'{label}: ' || coalesce({value}, 'not extracted')" for label, value in _PRINTED.items())
+add(
+    "scoped_context_texts",
+    lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).filter("section <> 'summary'"),
+    f""", t AS (SELECT *, row_number() OVER (ORDER BY coalesce(price_numeric_eur, 0.0) DESC, seq) AS rn FROM c WHERE published_date >= '1996-01-01'),
+ g AS (SELECT {CAT} AS k, count(*) AS n, {SPEND} AS t, row_number() OVER (ORDER BY count(*) DESC, min(seq)) AS ord FROM t GROUP BY 1)
+ SELECT 'category' AS section, ord, k || ': ' || n || ' contracts, ' || format('{{:,.2f}}', t) || ' EUR' AS text FROM g
+ UNION ALL SELECT 'contract', rn, {_BLOCK} FROM t WHERE rn <= 20
+ UNION ALL SELECT 'remainder', 0, 'Remaining contracts total: ' || format('{{:,.2f}}', {SPEND}) || ' EUR' FROM t WHERE rn > 20
+ UNION ALL SELECT 'reference', rn, '- ' || contract_id || ' | ' || coalesce(supplier, '?') || ' | ' || coalesce(buyer, '?') || ' | ' || format('{{:,.2f}}', coalesce(price_numeric_eur, 0.0)) || ' EUR' FROM t WHERE rn BETWEEN 21 AND 70""",
+)
 add(
     "scoped_context_summary",
     lambda c: Q.scoped_context(_slim(P.apply(c, FilterState(date_from="1996-01-01")))).filter("section = 'summary'").select("ord", "text"),
