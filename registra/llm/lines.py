@@ -1,11 +1,15 @@
 """Line de-duplication by winnowing over line hashes, in DataFrame functions only.
 
 Every window of ``window`` lines selects its least line hash (the last one among equals): the selected lines are the text's
-fingerprints. Two texts that share ``window`` lines in a row select the same line of them, so positions that are joined by fingerprint
-find every such run. A frequent line is a fingerprint of many places; so each selected line meets only the first
-place of the same line that has, in a window which selected it, the same lines to its left and right. From there the match
-is extended both ways, line hash by line hash, and the later run is deleted. An extension stops after
-``window - 1`` lines: a longer run selects further lines, which carry it on.
+fingerprints, about 2 in ``window + 1`` of its lines. Two texts that share ``window`` lines in a row select the same line of them, so
+a fingerprint that stands at one place only belongs to no repeated run: it is dropped, with every window that selected it.
+
+Positions are joined by what is left, in two steps. A selected line first meets the first place of the same line with the same
+lines about it, as far as the windows reach that selected it: one row a line, however many windows those are. Only the first
+places themselves, one for each neighbourhood, are looked up window by window. A frequent line therefore makes no pairs, and
+copies of a text are settled before any window is listed. From where two places meet the match is extended both ways, line
+hash by line hash, to the first difference, and the later run is deleted. An extension ends ``window - 1`` lines from its
+fingerprint: a longer run selects further lines, which carry it on.
 
 ``window`` is the least number of lines in a run. The guarantee holds for any window from 1: a run of that length is itself a
 window, and what it selects depends on its own lines alone. With two lines, two thirds of all lines are selected.
@@ -69,29 +73,61 @@ def winnow(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> Da
     return rows.select("doc_id", "th", "p", F.get("h", F.col("p")).alias("fp"), lo.alias("lo"), around.alias("around"), F.concat(won, own).alias("wins"))
 
 
+def recurring(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
+    """The rows of ``winnow`` whose fingerprint stands at more than one place."""
+    chosen = winnow(docs, window, long_lines).withColumns({"a": F.col("fp.a"), "b": F.col("fp.b")}).drop("fp")
+    often = chosen.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return chosen.join(settle(often), ["a", "b"], "left_semi")
+
+
+def _sides(first: Column, last: Column) -> dict[str, Column]:
+    """Hashes of the lines from ``first`` up to the fingerprint and from there to ``last``, and how many stand on either side."""
+    at = F.col("p") - F.col("lo")
+    left, right = F.slice("around", first - F.col("lo") + 1, F.col("p") - first), F.slice("around", at + 2, last - F.col("p"))
+    return {"l": F.xxhash64(left), "r": F.xxhash64(right), "nl": F.col("p") - first, "nr": last - F.col("p")}
+
+
+def _extended(window: int, own: Column) -> list[Column]:
+    """(s, m) of the run about the fingerprint that is the same as about its place ``first``.
+
+    What a long line extends to must itself be a run of ``window`` lines that overlaps nothing, else the long line goes alone.
+    """
+    reach = lambda row: F.transform(F.col(row + "around"), lambda x: x["a"])
+    at = lambda row: F.col(row + "p") - F.col(row + "lo")
+    before = lambda row: F.reverse(F.slice(reach(row), 1, at(row)))
+    after = lambda row: F.slice(reach(row), at(row) + 2, F.greatest(F.size(row + "around") - at(row) - 1, F.lit(0)))
+    # where one text ends, zip_with gives null
+    back, on = (_leading(F.zip_with(side(""), side("first."), lambda x, y: F.coalesce(x == y, F.lit(False)))) for side in (before, after))
+    run = (back + on + 1 >= window) & (~own | (F.col("p") >= F.col("first.p") + window))
+    back, on = F.when(run, back).otherwise(F.col("nl")), F.when(run, on).otherwise(F.col("nr"))
+    return [(F.col("p") - back).alias("s"), (back + on + 1).alias("m")]
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long_lines: bool = True) -> DataFrame:
     """(doc_id, th, s, m): first line and number of lines of runs that occur earlier.
 
-    Earlier means a smaller (doc_id, th, line number); within a document the windows that meet must not overlap. The places of a
-    fingerprint are aggregated to the first one before anything is joined, so frequent lines make no pairs.
+    Earlier means a smaller (doc_id, th, line number); within a document the runs that meet must not overlap. The places of a
+    neighbourhood, then those of a window, are aggregated to the first one before anything is joined.
     """
-    chosen = winnow(docs, window, long_lines).withColumn("w", F.explode("wins"))
-    at = F.col("p") - F.col("lo")
-    from_, to = F.col("w.s") - F.col("lo"), F.col("w.s") + F.col("w.m") - 1 - F.col("lo")
-    left, right = F.xxhash64(F.slice("around", from_ + 1, at - from_)), F.xxhash64(F.slice("around", at + 2, to - at))
-    # what the extension compares: one 64-bit hash a line, left of the fingerprint outwards and right of it
-    near = F.transform("around", lambda x: x["a"])
-    before, after = F.reverse(F.slice(near, 1, at)), F.slice(near, at + 2, F.greatest(F.size("around") - at - 1, F.lit(0)))
-    places = chosen.select("doc_id", "th", F.col("w.s").alias("s"), F.col("w.m").alias("m"), "p", F.col("fp.a").alias("a"), F.col("fp.b").alias("b"), left.alias("l"), right.alias("r"), before.alias("before"), after.alias("after"))
-    key = ["m", "a", "b", "l", "r"]
-    firsts = places.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "s", "before", "after")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = places.join(settle(firsts), key)
+    row = ["doc_id", "th", "p", "lo", "around", "wins"]
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    rows = settle(recurring(docs, window, long_lines))
+    span = _sides(F.array_min(F.transform("wins", lambda w: w["s"])), F.array_max(F.transform("wins", lambda w: w["s"] + w["m"] - 1)))
+    spans, key = rows.withColumns(span), ["a", "b", *span]
+    heads = settle(spans.groupBy(*key).agg(F.min(F.struct(*row)).alias("first"), F.count("*").alias("n")))
+    # a later row of a neighbourhood goes as far as its windows reach; where it overlaps the first one, its windows are asked one by one
+    clear = ~own | (F.col("p") > F.col("first.p") + F.col("nl") + F.col("nr"))
+    later = spans.join(heads.filter("n > 1").drop("n"), key).filter(~own | (F.col("p") != F.col("first.p")))
+    later = settle(later.select("doc_id", "th", *_extended(window, own), F.when(~clear, F.struct("a", "b", *row)).alias("asked")))
+    asked = heads.select("a", "b", "first.*").unionByName(later.filter("asked IS NOT NULL").select("asked.*"))
+
+    places = asked.withColumn("w", F.explode("wins"))
+    last = F.col("w.s") + F.col("w.m") - 1
+    places = places.withColumns({"s": F.col("w.s"), "m": F.col("w.m")} | _sides(F.col("w.s"), last)).drop("w", "wins")
+    firsts = places.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "s", "p", "lo", "around")).alias("first"), F.count("*").alias("n"))
+    met = places.join(settle(firsts.filter("n > 1").drop("n")), key)
     met = met.filter(~own | (F.col("s") >= F.col("first.s") + F.col("m")))
-    # equal lines on from the fingerprint; where one text ends, zip_with gives null
-    same = lambda side: F.zip_with(side, f"first.{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    run = met.select("doc_id", "th", "p", _leading(same("before")).alias("back"), _leading(same("after")).alias("on"))
-    return run.select("doc_id", "th", (F.col("p") - F.col("back")).alias("s"), (F.col("back") + F.col("on") + 1).alias("m"))
+    return later.filter("asked IS NULL").drop("asked").unionByName(met.select("doc_id", "th", *_extended(window, own)))
 
 
 def _cut(docs: DataFrame, window: int, doc_id: str, text: str, long_lines: bool) -> DataFrame:

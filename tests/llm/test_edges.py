@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,34 @@ def test_selected_lines_are_window_minima(spark):
             assert min(part) == r.fp and w.s <= r.p < w.s + 4 and not any(x == r.fp for x in part[r.p - w.s + 1 :])
 
 
+@pytest.mark.parametrize("window", [2, 4, 9])
+def test_fingerprints_prune_before_windows_are_listed(spark, window):
+    from registra.llm.lines import recurring, winnow
+
+    rng = random.Random(3)
+    fresh = [(i, "\n".join(f"{i} {k} {rng.random()}" for k in range(300))) for i in range(20)]
+    docs = docs_of(spark, fresh).select("doc_id", "text")
+    lines = 20 * 300
+    assert winnow(docs, window, False).count() < 1.15 * lines * 2 / (window + 1)  # window minima are few
+    assert recurring(docs, window, False).count() == 0  # and nothing of a text without repeats is looked up
+    passage = "\n".join(f"shared {k}" for k in range(40))
+    some = docs_of(spark, fresh + [(50 + i, f"{i} own\n{passage}\n{i} end") for i in range(30)]).select("doc_id", "text")
+    kept = recurring(some, window, False).collect()
+    assert kept and all(r.doc_id >= 50 for r in kept) and len(kept) < winnow(some, window, False).count() / 2
+    count = Counter((r.a, r.b) for r in kept)
+    assert min(count.values()) > 1
+
+
+@pytest.mark.parametrize("window", [2, 3])
+def test_what_follows_a_long_line_goes_only_as_a_run(spark, window):
+    from registra.llm.lines import drop_repeated_lines
+
+    long = "w " * 60
+    rows = [(1, f"{long}\nshort\n{long}\nshort\n{long}"), (2, f"p\n{long}\nshort\nq"), (3, f"short\n{long}\n\n{long}")]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs_of(spark, rows), window=window).collect()}
+    assert got == {rows[i][0]: t for i, t in _kept_lines(rows, window).items()}
+
+
 # ---------------------------------------------------------------- near duplicates: one of each group
 
 
