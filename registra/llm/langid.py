@@ -85,7 +85,7 @@ class KneserNey:
             kinds = np.bincount(inverse, weights=follow, minlength=len(ctx))
             weight = DISCOUNT * kinds / np.maximum(total, 1)
             if n == 1:
-                self.floor = float(weight[0] / (kinds[0] + 1)) if len(ctx) else 1e-4  # shared with the unseen characters
+                self.floor = float(1 / (kinds[0] + 1)) if len(ctx) else 1e-4  # uniform over the characters and one for all unseen ones
                 base = np.full(len(place), self.floor)
             else:
                 base = np.exp(self._find(self.hash[n - 1], lower, grams[n - 1][place]))

@@ -339,22 +339,51 @@ def test_line_dedup_gives_the_rows_of_its_sql(spark, name):
 # ---------------------------------------------------------------- 1, 8
 
 
-def test_kneser_ney_is_a_distribution():
+def _kneser_ney(texts, order=4, discount=0.75):
+    """Interpolated Kneser-Ney from dictionaries of strings: a function of (context, character)."""
+    grams = [(t[i - order + 1 : i + 1]) for t in (" " * (order - 1) + t + " " for t in texts) for i in range(order - 1, len(t))]
+    counts = {order: Counter(grams)}
+    for n in range(order - 1, 0, -1):  # in how many different characters does what is one longer begin?
+        counts[n] = Counter(g[1:] for g in {g[order - n - 1 :] for g in grams})
+
+    def p(context, c):
+        if len(context) == 0:
+            kinds, total = len(counts[1]), sum(counts[1].values())
+            return max(counts[1][c] - discount, 0) / total + discount * kinds / total / (kinds + 1)
+        seen = {g: k for g, k in counts[len(context) + 1].items() if g[:-1] == context}
+        lower = p(context[1:], c)
+        if not seen:
+            return lower
+        return max(seen.get(context + c, 0) - discount, 0) / sum(seen.values()) + discount * len(seen) / sum(seen.values()) * lower
+
+    return p
+
+
+def test_kneser_ney_equals_a_plain_version():
     from registra.llm.langid import KneserNey, Models, _codes, _hashes
 
-    texts = {"a": ["the hand of the king", "then there"], "b": ["la main du roi", "elle est la"]}
-    models = Models(["a", "b"], [KneserNey(t) for t in texts.values()])
+    rng = random.Random(5)
+    texts = {"a": ["the hand of the king", "then there", ""], "b": ["la main du roi", "elle est la"]}
+    texts["c"] = ["".join(rng.choice("abcd  ") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    models = Models(list(texts), [KneserNey(t) for t in texts.values()])
     models.lay([x for t in texts.values() for x in t])
-    for context in ("the", " la", "   "):
-        total = np.zeros(2)
-        for c in sorted({c for t in texts.values() for x in t for c in x + " "}):
+    plain = [_kneser_ney(t) for t in texts.values()]
+    signs = sorted({c for t in texts.values() for x in t for c in x + " "})
+    contexts = ["the", " la", "   ", "  e", "zzq", "qab"] + ["".join(rng.choice("abcdelh ") for _ in range(3)) for _ in range(40)]
+    for context in contexts:
+        for c in [*signs, "\u00df"]:
             codes = np.frombuffer((context + c).encode("utf-32-le"), np.uint32).astype(np.uint64)
             grams = {n: _hashes(codes, n) for n in range(5)}
             before = {n: np.concatenate([np.zeros(1, np.uint64), grams[n][:-1]]) for n in range(4)}
-            total += np.exp(models._logp(grams, before, np.array([3]))[0])
-        assert (total <= 1 + 1e-9).all() and (total > 0.5).all()  # the rest is kept for unseen characters
+            got = np.exp(models._logp(grams, before, np.array([3]))[0])
+            assert np.allclose(got, [p(context, c) for p in plain], rtol=1e-9, atol=0), (context, c)
+    for p, t in zip(plain, texts.values()):  # with one place for all unseen characters it is a distribution
+        assert abs(sum(p("the", c) for c in {*" ".join(t), "\u00df"}) - 1) < 1e-9
     one, many = models.cross_entropy(["the king"]), models.cross_entropy(["du roi", "the king", "x" * 2000])
     assert np.allclose(one[0], many[1])
+    text = "then la king"
+    want = [-np.mean([np.log(p(("   " + text)[i : i + 3], c)) for i, c in enumerate(text + " ")]) for p in plain]
+    assert np.allclose(models.cross_entropy([text])[0], want, rtol=1e-9)
 
 
 @needs_tables
