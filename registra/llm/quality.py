@@ -1,11 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with a temperature.
 
-Each word has a sparse random index vector, drawn from its hash and from that of its shape (upper, lower, digit and other
-characters in their order, without run lengths). A word's context vector is the sum of the index vectors of the words that stood
-within two words of it in the training texts, scaled to the length of an index vector; shapes have context vectors in
-the same way, over all words of the shape. A word's vector is the sum of its index vector and the two context vectors; words
-that the training texts do not have, or have too seldom, go without one of their own. A document is the mean and the spread of
-its words' vectors and how far neighbouring words' vectors agree.
+Each word has a sparse random index vector: one drawn from the hash of its shape (upper, lower, digit and other characters in
+their order, without run lengths) and one drawn from its own hash, which weighs n / (n + PRIOR) for a word that occurs n times in the
+training texts. A word's vector is its context vector: the mean of the summed index vectors of the words within two words of it, drawn
+towards the mean of all words of its shape as if that had been seen PRIOR times more. So a frequent word has a place of its own, a rare or new
+one that of its shape, and no word is left out. Sums are kept by the hashes of words and shapes in tables of a fixed number of rows;
+words that share a row share its sums. A document is the mean and the spread of its words' vectors and the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ HIDDEN, EPOCHS, SEED = 32, 60, 7
 SAMPLE = 2500  #: labelled documents of each class at most, those with the smallest hashes of their ids
 CALIBRATE = 5  #: one in so many of them is kept from the fit, for the temperature
 THRESHOLD = 0.7
-VOCABULARY = 50_000  #: most frequent words of the training texts that keep a context vector of their own; others share their shape's
-SELDOM = 8  #: a word with fewer occurrences in the training texts has no context vector of its own
+PRIOR = 300  #: occurrences that the mean of a word's shape counts for
+ROWS, FORMS = 1 << 16, 1 << 12  #: rows of the tables of words' and of shapes' sums
+TEXT_BYTES = 1 << 20  #: labelled documents of more bytes are not learned from
+SAMPLE_BYTES = 64 << 20  #: bytes of text that are learned from for each class at most
 REMEMBER = 100_000  #: distinct words remembered in a task
 SLICE = 100_000  #: words pooled at once, and words of one text that are split off at once
 
@@ -57,44 +59,49 @@ def _draws(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (bits >> np.uint64(40)).astype(np.int64) % DIMS, 1.0 - 2.0 * (bits >> np.uint64(63)).astype(float)
 
 
-def index_vectors(*hashes: np.ndarray) -> np.ndarray:
-    """The sum of the sparse vectors that are drawn from each row's hashes."""
-    size, cells, signs = len(hashes[0]), [], []
-    for h in hashes:
-        at, sign = _draws(h)
-        cells.append((np.arange(size)[:, None] * DIMS + at).ravel())
-        signs.append(sign.ravel())
-    return np.bincount(np.concatenate(cells), np.concatenate(signs), size * DIMS).reshape(size, DIMS).astype(np.float32)
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """The sparse vector that is drawn from each hash."""
+    at, sign = _draws(h)
+    cells = np.arange(len(h))[:, None] * DIMS + at
+    return np.bincount(cells.ravel(), sign.ravel(), len(h) * DIMS).reshape(len(h), DIMS)
 
 
-def _scaled(sums: np.ndarray) -> np.ndarray:
-    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of their shapes, and the rows of both in the tables of sums."""
+    h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
+    return h, forms, (h % np.uint64(ROWS)).astype(np.int64), (forms % np.uint64(FORMS)).astype(np.int64)
+
+
+def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each value to its row of the table, rows repeated."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    table[rows[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
 class Words:
-    """Context vectors of the training texts' words and shapes by sorted hash; words met in a task have their vectors in one matrix."""
+    """Counts and context sums of the training texts' words and shapes; words met in a task have their vectors in one matrix."""
 
     def __init__(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros((0, DIMS), np.float32)
-        self.of_word, self.of_shape = none, none
+        self.n_word, self.n_form = np.zeros(ROWS), np.zeros(FORMS)
+        self.of_word, self.of_form = np.zeros((ROWS, DIMS), np.float32), np.zeros((FORMS, DIMS), np.float32)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.vectors = np.zeros((0, DIMS), np.float32)
 
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
-        """Each hash's vector in a table, zeros where it has none."""
-        keys, vectors = table
-        if not len(keys):
-            return np.zeros((len(h), DIMS), np.float32)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where((keys[at] == h)[:, None], vectors[at], np.float32(0))
+    def index_of(self, words: list[str]) -> np.ndarray:
+        h, forms, row, _ = _places(words)
+        n = self.n_word[row]
+        return index_vectors(forms) + (n / (n + PRIOR))[:, None] * index_vectors(h)
 
     def vectors_of(self, words: list[str]) -> np.ndarray:
-        h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
-        return index_vectors(h, forms) + self._find(self.of_word, h) + self._find(self.of_shape, forms)
+        """Context vectors of length one; zeros for a new word of a new shape."""
+        _, _, row, form = _places(words)
+        sums = self.of_word[row] + PRIOR * self.of_form[form]
+        return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Numbers of the words' rows in ``vectors``."""
@@ -106,42 +113,37 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def learn(self, texts: list[str]) -> None:
-        """Random indexing: to each word's context the index vector of each neighbour is added once for each time they meet.
-
-        Only words that are frequent enough have sums of their own; all words add to those of their shape.
-        """
-        number: dict[str, int] = {}
-        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
-        words, size = list(number), len(number)
-        h, forms = _hash(words, 0), _hash([shape(w) for w in words], 1)
-        draws = [_draws(h), _draws(forms)]
-        at, sign = np.concatenate([x[0] for x in draws], axis=1).astype(np.int16), np.concatenate([x[1] for x in draws], axis=1).astype(np.int8)
-        kinds, form = np.unique(forms, return_inverse=True)
-        often = np.bincount(np.concatenate(ids), minlength=size) if ids else np.zeros(0, np.int64)
-        kept = np.lexsort((h, -often))[:VOCABULARY]
-        kept = kept[often[kept] >= SELDOM]
-        kept = kept[np.argsort(h[kept])]
-        own = np.full(size, -1)
-        own[kept] = np.arange(len(kept))
-        of_word, of_kind = np.zeros(len(kept) * DIMS), np.zeros(len(kinds) * DIMS)
-        for d in range(1, REACH + 1):
-            a, b = (np.concatenate([x[part] for x in ids] or [np.zeros(0, np.int32)]) for part in (slice(d, None), slice(None, -d)))
-            for word, other in ((a, b), (b, a)):
-                has = np.flatnonzero(own[word] >= 0)
-                row, kind = own[word[has]] * DIMS, form[word] * DIMS
-                for k in range(2 * NONZERO):
-                    cell, value = at[other, k], sign[other, k]
-                    of_word += np.bincount(row + cell[has], value[has], len(of_word))
-                    of_kind += np.bincount(kind + cell, value, len(of_kind))
-        self.of_word, self.of_shape = (h[kept], _scaled(of_word.reshape(-1, DIMS))), (kinds, _scaled(of_kind.reshape(-1, DIMS)))
+        """Random indexing: to each word's context the index vector of each neighbour is added once for each time they meet."""
+        for part in (p for t in texts for p in _parts(t)):
+            _, _, row, form = _places(part)
+            self.n_word += np.bincount(row, minlength=ROWS)
+            self.n_form += np.bincount(form, minlength=FORMS)
+        of_word, of_form = np.zeros((ROWS, DIMS)), np.zeros((FORMS, DIMS))
+        for t in texts:
+            ws = t.split()
+            for start in range(0, len(ws), SLICE):
+                low = max(0, start - REACH)
+                part = ws[low : start + SLICE + REACH]
+                number = {w: i for i, w in enumerate(dict.fromkeys(part))}
+                v = self.index_of(list(number))[[number[w] for w in part]]
+                near = np.zeros_like(v)
+                for d in range(1, REACH + 1):
+                    near[d:] += v[:-d]
+                    near[:-d] += v[d:]
+                own = slice(start - low, start - low + SLICE)
+                _, _, row, form = _places(part[own])
+                _add(of_word, row, near[own])
+                _add(of_form, form, near[own])
+        self.of_word = of_word.astype(np.float32)
+        self.of_form = (of_form / np.maximum(self.n_form, 1)[:, None]).astype(np.float32)
         self.forget()
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
-        """Mean and spread of the words' vectors, how far neighbouring words agree (mean cosine), and the logarithm of the number of words.
+        """Mean and spread of the words' vectors and the logarithm of the number of words.
 
         Zeros for a text without words. A text's words are added up in the same steps whatever texts stand beside it.
         """
-        n, mean, second, agree = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS)), np.zeros(len(texts))
+        n, mean, second = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS))
         held: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
@@ -150,10 +152,8 @@ class Words:
             ids, at = self.ids([w for _, part in held for w in part]), 0
             for i, part in held:
                 v = self.vectors[ids[at : at + len(part)]]
-                size = np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9
                 mean[i] += v.sum(axis=0)
                 second[i] += np.einsum("ij,ij->j", v, v)
-                agree[i] += (np.einsum("ij,ij->i", v[1:], v[:-1]) / (size[1:] * size[:-1])).sum()
                 at += len(part)
             held.clear()
 
@@ -169,7 +169,7 @@ class Words:
         flush()
         some = np.maximum(n, 1)
         mean, second = mean / some[:, None], second / some[:, None]
-        return np.concatenate([mean, np.sqrt(np.maximum(second - mean**2, 0)), (agree / some)[:, None], np.log1p(n)[:, None] / 5], axis=1)
+        return np.concatenate([mean, np.sqrt(np.maximum(second - mean**2, 0)), np.log1p(n)[:, None] / 5], axis=1)
 
 
 def _parts(text: str) -> Iterator[list[str]]:
@@ -227,6 +227,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Words, Network] | float:
     """Fits on at most ``sample`` documents of each class of ``labels.quality``; rows weigh as much as the class has in all.
 
+    Texts of more than ``TEXT_BYTES`` are not learned from, nor those beyond the first ``SAMPLE_BYTES`` of a class's sample.
     Labels of one doc_id that disagree count as the larger; null ids, labels and texts teach nothing. With less than ten
     rows or only one class the share of label 1 (1 without labels) is returned, and every text scores that.
     """
@@ -239,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
     for y, n in counts.items():
         limit = F.when(F.col("y") == y, F.lit(int(min(1.0, (1.2 * sample + 50) / n) * (1 << 40)))).otherwise(limit)
     marks = marks.filter(F.col("h") < limit).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))).filter(F.col("r") <= sample)
-    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(marks), "doc_id")  # at most two classes' samples
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(marks), "doc_id")  # at most two classes' samples
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES)
     taken = sorted((r.h, r.doc_id, r.text, r.y) for r in rows.select("h", "doc_id", "text", "y").toLocalIterator())
     have = np.bincount([r[3] for r in taken], minlength=2)
     if len(taken) < 10 or not have.all():

@@ -132,24 +132,85 @@ def test_random_indexing_matches_a_plain_dictionary():
     texts = [" ".join(rng.choice(["the", "Hand", "of", "x1", "in--g", "zug", "ÉÉ"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
     words = Q.Words()
     words.learn(texts)
-    index = {w: Q.index_vectors(Q._hash([w], 0), Q._hash([Q.shape(w)], 1))[0].astype(float) for t in texts for w in t.split()}
-    own, form, seen = {}, {}, {}
+    seen = Counter(w for t in texts for w in t.split())
+    drawn = lambda w, seed: Q.index_vectors(Q._hash([w], seed))[0]
+    index = {w: drawn(Q.shape(w), 1) + n / (n + Q.PRIOR) * drawn(w, 0) for w, n in seen.items()}
+    own, form, kinds = {}, {}, Counter()
     for t in texts:
         ws = t.split()
         for i, w in enumerate(ws):
-            seen[w] = seen.get(w, 0) + 1
+            kinds[Q.shape(w)] += 1
             for j in range(max(0, i - Q.REACH), min(len(ws), i + Q.REACH + 1)):
                 if j != i:
                     own[w] = own.get(w, 0) + index[ws[j]]
                     form[Q.shape(w)] = form.get(Q.shape(w), 0) + index[ws[j]]
+    for w in [*seen, "unseen", "Zzz"]:
+        want = own.get(w, 0) + Q.PRIOR * form[Q.shape(w)] / kinds[Q.shape(w)]
+        assert np.allclose(words.vectors_of([w])[0], want / np.linalg.norm(want), atol=1e-4)
+    assert not words.vectors_of(["9-9"])[0].any()  # a new word of a new shape
 
-    def scaled(v):
-        return v / np.linalg.norm(v) * np.sqrt(Q.NONZERO)
 
-    for w in [*index, "unseen", "Zzz"]:
-        base = index.get(w, Q.index_vectors(Q._hash([w], 0), Q._hash([Q.shape(w)], 1))[0])
-        want = base + (scaled(own[w]) if seen.get(w, 0) >= Q.SELDOM else 0) + (scaled(form[Q.shape(w)]) if Q.shape(w) in form else 0)
-        assert np.allclose(words.vectors_of([w])[0], want, atol=1e-4)
+def test_contexts_do_not_end_at_a_slice(monkeypatch):
+    from registra.llm import quality as Q
+
+    text = " ".join(random.Random(5).choice(["the", "Hand", "of", "x1"]) for _ in range(50))
+    whole, cut = Q.Words(), Q.Words()
+    whole.learn([text])
+    monkeypatch.setattr(Q, "SLICE", 7)
+    cut.learn([text])
+    assert np.allclose(whole.of_word, cut.of_word, atol=1e-5) and np.allclose(whole.of_form, cut.of_form, atol=1e-5)
+
+
+def test_network_and_temperature_match_plain_loops(monkeypatch):
+    """The same fit in plain Python: forward and backward sums by loops, Adam by its formulas, the temperature by trying all."""
+    from registra.llm import quality as Q
+
+    monkeypatch.setattr(Q, "HIDDEN", 3)
+    monkeypatch.setattr(Q, "EPOCHS", 4)
+    rng = np.random.default_rng(1)
+    x, y, w = rng.normal(size=(70, 4)), (rng.random(70) < 0.6).astype(float), rng.random(70) + 0.5
+    net = Q.Network(x, y, w)
+    rng = np.random.default_rng(Q.SEED)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    rows = ((x - mean) / scale).tolist()
+    w1, w2 = rng.normal(0, 1 / 2, (4, 3)).tolist(), rng.normal(0, 1 / math.sqrt(3), (3, 1))[:, 0].tolist()
+    p = [v for r in w1 for v in r] + [0.0] * 3 + w2 + [0.0]  # 12 weights, 3 biases, 3 weights, 1 bias
+    m, v, step = [0.0] * 19, [0.0] * 19, 0
+
+    def forward(r):
+        h = [max(0.0, sum(r[i] * p[3 * i + j] for i in range(4)) + p[12 + j]) for j in range(3)]
+        return h, sum(h[j] * p[15 + j] for j in range(3)) + p[18]
+
+    for _ in range(4):
+        order = rng.permutation(70)
+        for at in range(0, 70, 64):
+            batch, g = order[at : at + 64], [0.0] * 19
+            for b in batch:
+                h, z = forward(rows[b])
+                d = (1 / (1 + math.exp(-z)) - y[b]) * w[b] / len(batch)
+                g[18] += d
+                for j in range(3):
+                    g[15 + j] += h[j] * d
+                    if h[j] > 0:
+                        g[12 + j] += d * p[15 + j]
+                        for i in range(4):
+                            g[3 * i + j] += rows[b][i] * d * p[15 + j]
+            step += 1
+            for k in range(19):
+                full = g[k] + (1e-4 * p[k] if k < 12 or 15 <= k < 18 else 0)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * full, 0.999 * v[k] + 0.001 * full * full
+                p[k] -= 0.003 * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    logits = [forward(r)[1] for r in rows]
+    assert np.allclose(net.logit(x), logits, atol=1e-9)
+
+    def loss(t):
+        s = [min(max(1 / (1 + math.exp(-z / t)), 1e-9), 1 - 1e-9) for z in logits]
+        return -sum(c * (math.log(q) if k else math.log(1 - q)) for c, q, k in zip(w, s, y))
+
+    net.calibrate(x, y, w)
+    tried = [0.3 * (10 / 0.3) ** (k / 59) for k in range(60)]
+    assert abs(net.temperature - min(tried, key=loss)) < 1e-9
+    assert np.allclose(net.score(x), [1 / (1 + math.exp(-z / net.temperature)) for z in logits])
 
 
 def test_pooling_does_not_depend_on_neighbours():
