@@ -5,7 +5,8 @@ their order, without run lengths) and one drawn from its own hash, which weighs
 training texts. A word's vector is its context vector: the mean of the summed index vectors of the words within two words of it, drawn
 towards the mean of all words of its shape as if that had been seen PRIOR times more. So a frequent word has a place of its own, a rare or new
 one that of its shape, and no word is left out. Sums are kept by the hashes of words and shapes in tables of a fixed number of rows;
-words that share a row share its sums. A document is the mean and the spread of its words' vectors and the logarithm of their number.
+words that share a row share its sums. A document is the mean and the spread of its words' vectors, the share of words that repeat the word
+before them, which no mean of vectors shows, and the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -139,11 +140,11 @@ class Words:
         self.forget()
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
-        """Mean and spread of the words' vectors and the logarithm of the number of words.
+        """Mean and spread of the words' vectors, the share of words that repeat the one before, and the logarithm of the number of words.
 
         Zeros for a text without words. A text's words are added up in the same steps whatever texts stand beside it.
         """
-        n, mean, second = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS))
+        n, mean, second, again = np.zeros(len(texts)), np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS)), np.zeros(len(texts))
         held: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
@@ -151,7 +152,9 @@ class Words:
                 self.forget()
             ids, at = self.ids([w for _, part in held for w in part]), 0
             for i, part in held:
-                v = self.vectors[ids[at : at + len(part)]]
+                own = ids[at : at + len(part)]
+                v = self.vectors[own]
+                again[i] += np.count_nonzero(own[1:] == own[:-1])
                 mean[i] += v.sum(axis=0)
                 second[i] += np.einsum("ij,ij->j", v, v)
                 at += len(part)
@@ -169,7 +172,7 @@ class Words:
         flush()
         some = np.maximum(n, 1)
         mean, second = mean / some[:, None], second / some[:, None]
-        return np.concatenate([mean, np.sqrt(np.maximum(second - mean**2, 0)), np.log1p(n)[:, None] / 5], axis=1)
+        return np.concatenate([mean, np.sqrt(np.maximum(second - mean**2, 0)), (again / some)[:, None], np.log1p(n)[:, None] / 5], axis=1)
 
 
 def _parts(text: str) -> Iterator[list[str]]:

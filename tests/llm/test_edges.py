@@ -228,6 +228,7 @@ def test_pooling_does_not_depend_on_neighbours():
     whole = words.vectors_of(long.split())
     assert np.allclose(together[3][: Q.DIMS], whole.mean(axis=0), atol=1e-3) and len(v) == 1000
     assert not together[1].any() and not together[2].any()
+    assert words.pool(["a a b b b a"])[0][2 * Q.DIMS] == 3 / 6
 
 
 @needs_tables
