@@ -327,4 +327,5 @@ def contract_tender_join(contracts: DataFrame, tenders: DataFrame) -> DataFrame:
     """Contracts with their tender as one struct, null where there is none; a blank id never matches."""
     key = nz(F.trim(F.col("public_procurement_id").cast("string")))
     t = tenders.select(F.col("tender_id").cast("string").alias("_t"), F.struct(*tenders.columns).alias("tender"))
-    return contracts.withColumn("_k", key).join(t, F.col("_k") == F.col("_t"), "left").drop("_k", "_t")
+    # tenders hold whole documents and parts: sorted and merged, never broadcast for the small files that they come from
+    return contracts.withColumn("_k", key).join(t.hint("merge"), F.col("_k") == F.col("_t"), "left").drop("_k", "_t")

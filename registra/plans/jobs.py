@@ -374,7 +374,8 @@ UNION ALL SELECT contract_id, 'documents', i FROM h, range(3) t(i) WHERE p_partk
 def _contexts(s: SparkSession, d: str) -> DataFrame:
     """Every contract's context, with a tender of the contract's number where there is a part of it."""
     p = s.read.parquet(f"{d}/part.parquet")
-    tenders = M.normalise_parts(_legacy(p)).join(_with_documents(p), "tender_id").join(p.select(F.col("p_partkey").alias("tender_id"), F.col("p_name").alias("subject_name")), "tender_id")
+    named = p.select(F.col("p_partkey").alias("tender_id"), F.col("p_name").alias("subject_name"))
+    tenders = M.normalise_parts(_legacy(p)).join(_with_documents(p).hint("merge"), "tender_id").join(named.hint("merge"), "tender_id")
     return Q.contract_context(M.contract_tender_join(_slim(star.contracts(s, d)).withColumn("public_procurement_id", F.col("contract_id")), tenders))
 
 

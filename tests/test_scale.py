@@ -24,6 +24,16 @@ def one_page(spark, html):
     return spark.createDataFrame([(1, "https://x.sk/a/", html)], "page_id long, url string, html string")
 
 
+def test_context_reads_contracts_once_and_never_broadcasts_tenders(spark):
+    contracts = spark.createDataFrame([(1, "a", "s", "7"), (2, "b", "s", "8"), (3, "c", "s", None)], "seq long, contract_id string, ico_supplier string, public_procurement_id string")
+    tenders = spark.createDataFrame([("7", [("x",)], [])], "tender_id string, documents array<struct<title:string>>, parts array<struct<part_number:int>>")
+    joined = M.contract_tender_join(contracts, tenders)
+    assert "Broadcast" not in plan(joined)
+    context = Q.contract_context(joined)
+    assert logical(context).count("LogicalRDD") + logical(context).count("LocalRelation") == 2
+    assert sorted((r.contract_id, r.section, r.ord) for r in context.collect()) == [("a", "documents", 0), ("a", "fields", 0), ("a", "parts", 0), ("a", "tender", 0), ("b", "fields", 0), ("b", "note", 0), ("c", "fields", 0)]
+
+
 def test_messages_are_never_broadcast(spark, monkeypatch):
     messages = spark.createDataFrame([(f"m{i}", f"text {i} of the firm a much longer name, and abc") for i in range(5)], "message_id string, text string")
     contracts = spark.createDataFrame([("Other", "s"), ("A much longer name", "s"), ("abc", "s")], "buyer string, supplier string")
