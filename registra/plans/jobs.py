@@ -411,7 +411,11 @@ _BASE = "https://www.crz.gov.sk"
 
 
 def _page(*parts: str, each: str | None = None, end: str = "") -> Callable[[DataFrame], DataFrame]:
-    """Pages of a template: {id}, {title}, {first} (the first link), {size} (length of the title), {n} (number of links); ``each`` is repeated for each link ({link}, {i})."""
+    """Pages of a template: {id}, {title}, {first} (the first link), {size} (length of the title), {n} (number of links); ``each`` is repeated for each link ({link}, {i}).
+
+    Given titles are cut at a length, some of them inside a character reference. What is left of it is text, so its ampersand is written as one:
+    before a tag HTML reads "&amp" as a reference even without its semicolon.
+    """
 
     def fill(text: str, values: dict) -> Column:
         pieces = re.split(r"\{(\w+)\}", text)
@@ -420,7 +424,7 @@ def _page(*parts: str, each: str | None = None, end: str = "") -> Callable[[Data
     def run(pages: DataFrame) -> DataFrame:
         links = F.regexp_extract_all("html", F.lit(r'<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
         title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-        values = {"id": F.col("page_id").cast("string"), "title": title, "first": F.coalesce(F.get(links, F.lit(0)), F.lit("")), "size": F.length(title).cast("string"), "n": F.size(links).cast("string"), "month": (F.col("page_id") % 12 + 1).cast("string"), "year": (2000 + F.length(title) % 25).cast("string")}
+        values = {"id": F.col("page_id").cast("string"), "title": F.regexp_replace(title, r"&(?!#?\w+;)", "&amp;"), "first": F.coalesce(F.get(links, F.lit(0)), F.lit("")), "size": F.length(title).cast("string"), "n": F.size(links).cast("string"), "month": (F.col("page_id") % 12 + 1).cast("string"), "year": (2000 + F.length(title) % 25).cast("string")}
         rows = F.array_join(F.transform(links, lambda x, i: fill(each, values | {"link": x, "i": i.cast("string")})), "") if each else F.lit("")
         return pages.select("page_id", "url", F.concat(fill("".join(parts), values), rows, F.lit(end), "html").alias("html"))
 

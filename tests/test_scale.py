@@ -45,3 +45,19 @@ def test_messages_are_never_broadcast(spark, monkeypatch):
         assert plan(found).count("BroadcastExchange") == broadcasts
         assert {tuple(r) for r in found.collect()} == wanted
     assert Q.entity_refusals(messages, contracts.filter("buyer = 'Other'"), state).count() == 0
+
+
+@pytest.mark.parametrize("title", ["cut &amp", "cut &quot", "cut &am", "a &amp; b &quot"])
+def test_titles_cut_inside_a_reference(spark, title):
+    text = title.replace("&amp;", "&")
+    given = one_page(spark, f"<title>{title}</title><a href=\"/l\">x</a>")
+    labels = H.label_values(jobs._DETAIL(given))
+    assert H.detail_identification(labels, jobs._BASE).first().buyer_detail == text
+    assert H.detail_procurement_link(labels, jobs._BASE).first().public_procurement_portal == text
+    assert {r.value for r in H.tender_sections(jobs._TENDER(given)).filter("field = 'info_nieco_ine'").collect()} == {text}
+    assert H.tender_documents(jobs._TENDER(given)).first().document_type == text
+    assert H.portal2_detail(jobs._P2(given)).filter("field = 'subject_name'").first().value == text
+    assert H.portal2_documents(jobs._P2(given)).first().uploaded_at == text
+    assert H.listing_rows(jobs._LIST(given), jobs._BASE).first().contract_title == text
+    # pages themselves are read as HTML has it
+    assert H.cells(one_page(spark, "<td>cut &amp</td>")).first().text == "cut &"
