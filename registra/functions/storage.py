@@ -23,3 +23,10 @@ def settled(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over as many tasks as a shuffle has, by a key: for work that takes long on each row. Well packed files hold very many rows in
+    a few MB, which one task would read and then work on alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

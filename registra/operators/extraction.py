@@ -27,8 +27,9 @@ _AROUND = {"card": lambda t, c: t == "div" and "card" in c, "body": lambda t, c:
 CELLS = (
     "page_id long, url string, ord int, tag string, text string, glued string, parts array<string>, classes array<string>, title string, href string, "
     + ", ".join(f"{c} int" for c in _AROUND)
-    + ", table_classes array<string>, onclick string, heading string, heading_ord int"
+    + ", table_classes array<string>, onclick string, heading string, heading_ord int, card_name string, pos int, n_cells int"
 )
+CHUNK = 2_000  #: elements that a task holds as a table at most, and those of one page more
 
 
 class _Reader(HTMLParser):
@@ -40,6 +41,8 @@ class _Reader(HTMLParser):
         self.open: list[dict] = []  # tag, place and, for kept elements, the row
         self.n = 0
         self.heading: dict | None = None
+        self.card_names: dict[int, dict] = {}  # of each card its first header
+        self.cells: dict[int, dict[int, int]] = {}  # of each table row the places of its cells
 
     def _begin(self, tag: str, attrs: dict[str, str]) -> dict:
         self.n += 1
@@ -56,6 +59,11 @@ class _Reader(HTMLParser):
             self.found.append(row)
             if tag == "h2":
                 self.heading = row
+                if "card-header" in classes and row["card"] is not None:
+                    self.card_names.setdefault(row["card"], row)
+            elif tag == "td" and row["tr"] is not None:
+                places = self.cells.setdefault(row["tr"], {})
+                places[self.n] = len(places)
         return node
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -90,25 +98,40 @@ class _Reader(HTMLParser):
     def rows(self) -> Iterator[dict]:
         for r in self.found:
             head = r["head"]
-            yield r | {"text": " ".join(" ".join(r["parts"]).split()), "glued": "".join(r["parts"]), "heading": " ".join(head["parts"]) if head else None, "heading_ord": head.get("ord")}
+            name, places = self.card_names.get(r["card"]), self.cells.get(r["tr"], {})
+            yield r | {
+                "text": " ".join(" ".join(r["parts"]).split()), "glued": "".join(r["parts"]), "heading": " ".join(head["parts"]) if head else None, "heading_ord": head.get("ord"),
+                "card_name": "".join(name["parts"]) if name else None, "pos": places.get(r["ord"] if r["tag"] == "td" else r["cell"]), "n_cells": len(places),
+            }
 
 
-def cells(pages: DataFrame) -> DataFrame:
-    """One row for each element of interest of each page; see ``CELLS``. A null page has none."""
+def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Elements of pages in tables of about ``CHUNK`` rows, however many pages come at once."""
     names = [c.split()[0] for c in CELLS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for page_id, url, html in zip(part.page_id, part.url, part.html):
-                reader = _Reader()
-                reader.feed(html or "")
-                reader.close()
-                out += [{"page_id": page_id, "url": url} | r for r in reader.rows()]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({c: "Int32" for c in (*_AROUND, "heading_ord", "ord")})
+    def table(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in (*_AROUND, "heading_ord", "ord", "pos", "n_cells")})
+
+    for part in batches:
+        out: list[dict] = []
+        for page_id, url, html in zip(part.page_id, part.url, part.html):
+            reader = _Reader()
+            reader.feed(html or "")
+            reader.close()
+            out += [{"page_id": page_id, "url": url} | r for r in reader.rows()]
+            if len(out) >= CHUNK:
+                yield table(out)
+                out = []
+        yield table(out)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, CELLS)
+
+def cells(pages: DataFrame) -> DataFrame:
+    """One row for each element of interest of each page; see ``CELLS``. A null page has none.
+
+    ``card_name`` is the first header of the element's card; ``pos`` the place (from zero) of its cell in the table row, and ``n_cells`` how
+    many that row has. So what is asked about cards and rows takes one reading of the pages.
+    """
+    return pages.select("page_id", "url", "html").mapInPandas(_tables, CELLS)
 
 
 def _is(*tags: str) -> Column:
@@ -132,12 +155,8 @@ def _first(condition: Column, value: Column | str) -> Column:
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """Elements of table rows with ``pos``, the place (from zero) of their cell in its row, and ``n_cells``."""
-    own = Window.partitionBy("page_id", "tr")
-    starts = rows.filter(F.col("tr").isNotNull() & _is("td")).select("page_id", "tr", F.col("ord").alias("td"))
-    starts = starts.withColumns({"pos": F.row_number().over(own.orderBy("td")) - 1, "n_cells": F.count("*").over(own)})
-    inside = rows.filter("tr IS NOT NULL").withColumn("td", F.when(_is("td"), F.col("ord")).otherwise(F.col("cell")))
-    return inside.join(starts, ["page_id", "tr", "td"])
+    """Elements in cells of table rows: ``pos`` is their cell's place, ``n_cells`` counts the row's cells."""
+    return rows.filter("tr IS NOT NULL AND pos IS NOT NULL")
 
 
 def listing_rows(pages: DataFrame, base: str) -> DataFrame:
@@ -160,15 +179,9 @@ def listing_rows(pages: DataFrame, base: str) -> DataFrame:
     )
 
 
-def _card_names(rows: DataFrame) -> DataFrame:
-    headers = rows.filter(_is("h2") & _has("classes", "card-header") & F.col("card").isNotNull())
-    return headers.groupBy("page_id", "card").agg(_first(F.lit(True), "glued").alias("card_name"))
-
-
 def label_values(pages: DataFrame) -> DataFrame:
     """(page_id, url, ord, card, label, value, href, link_text): list items with a label, in cards and elsewhere (card null)."""
-    rows = cells(pages)
-    rows = rows.join(_card_names(rows).alias("h"), ["page_id", "card"], "left").withColumn("item", F.when(_is("li"), F.col("ord")).otherwise(F.col("item")))
+    rows = cells(pages).withColumn("item", F.when(_is("li"), F.col("ord")).otherwise(F.col("item")))
     items = rows.filter("item IS NOT NULL").groupBy("page_id", "url", "item").agg(
         _first(_is("li"), F.when(F.col("body").isNotNull(), F.col("card_name"))).alias("card"),
         _first(_is("strong"), "text").alias("raw"), _first(_is("span"), "text").alias("span"), _first(_is("li"), "text").alias("whole"),
@@ -210,9 +223,8 @@ def detail_dates(labels: DataFrame) -> DataFrame:
 
 def detail_attachments(pages: DataFrame, base: str) -> DataFrame:
     """Absolute links to PDF files of the attachments card, in order; the first is the primary one."""
-    rows = cells(pages)
-    links = rows.filter(_is("a") & F.col("body").isNotNull() & F.contains(F.lower("href"), F.lit(".pdf")))
-    links = links.join(_card_names(rows), ["page_id", "card"]).filter(F.contains(X.normalize_text(F.col("card_name")), F.lit("priloha")))
+    links = cells(pages).filter(_is("a") & F.col("body").isNotNull() & F.contains(F.lower("href"), F.lit(".pdf")))
+    links = links.filter(F.contains(X.normalize_text(F.col("card_name")), F.lit("priloha")))
     links = links.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", X.absolute_url(F.lit(base), F.col("href")).alias("u")))).alias("l"))
     return links.select("page_id", F.transform("l", lambda x: x["u"]).alias("pdf_urls"), F.get(F.transform("l", lambda x: x["u"]), F.lit(0)).alias("pdf_url"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra.functions import text as X
+from registra.functions.storage import spread
 from registra.operators import aggregates as A
 from registra.operators import context as Q
 from registra.operators import extraction as H
@@ -426,7 +427,7 @@ def _page(*parts: str, each: str | None = None, end: str = "") -> Callable[[Data
         title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
         values = {"id": F.col("page_id").cast("string"), "title": F.regexp_replace(title, r"&(?!#?\w+;)", "&amp;"), "first": F.coalesce(F.get(links, F.lit(0)), F.lit("")), "size": F.length(title).cast("string"), "n": F.size(links).cast("string"), "month": (F.col("page_id") % 12 + 1).cast("string"), "year": (2000 + F.length(title) % 25).cast("string")}
         rows = F.array_join(F.transform(links, lambda x, i: fill(each, values | {"link": x, "i": i.cast("string")})), "") if each else F.lit("")
-        return pages.select("page_id", "url", F.concat(fill("".join(parts), values), rows, F.lit(end), "html").alias("html"))
+        return spread(pages, "page_id").select("page_id", "url", F.concat(fill("".join(parts), values), rows, F.lit(end), "html").alias("html"))
 
     return run
 

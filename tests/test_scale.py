@@ -63,6 +63,27 @@ def test_titles_cut_inside_a_reference(spark, title):
     assert H.cells(one_page(spark, "<td>cut &amp</td>")).first().text == "cut &"
 
 
+def test_elements_come_in_small_tables():
+    html = "<table><tr>" + "<td>x</td>" * 50 + "</tr></table>"
+    pages = pd.DataFrame({"page_id": range(1000), "url": "u", "html": html})
+    sizes = [len(t) for t in H._tables(iter([pages]))]
+    assert sum(sizes) == 50_000 and max(sizes) < H.CHUNK + 50
+
+
+def test_pages_are_parsed_once(spark):
+    pages = one_page(spark, "")
+    for df in (H.label_values(pages), H.detail_attachments(pages, "b"), H.listing_rows(pages, "b"), H.tender_documents(pages), H.portal2_documents(pages)):
+        assert logical(df).count("MapInPandas") == 1
+
+
+def test_cells_know_their_card_and_place(spark):
+    html = "<div class='card'><p>before</p><span>s</span><h2 class='card-header'>One</h2><h2 class='card-header'>Two</h2></div><table><tr><th>h</th><td>a<table><tr><td>in</td></tr></table><span>late</span></td><td>b</td></tr></table>"
+    rows = {(r.tag, r.glued): (r.card_name, r.pos, r.n_cells) for r in H.cells(one_page(spark, html)).collect()}
+    assert rows[("span", "s")] == ("One", None, 0)
+    assert rows[("td", "in")] == (None, 0, 1)
+    assert rows[("span", "late")] == (None, 0, 2) and rows[("td", "b")] == (None, 1, 2)
+
+
 @pytest.mark.parametrize("n", [100, 101])
 def test_only_small_scopes_print_all_in_full(spark, n):
     df = spark.range(1, n + 1).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("contract_id"), F.lit("t").alias("contract_title"), F.lit("b").alias("buyer"), F.lit("s").alias("supplier"), F.lit("1").alias("ico_supplier"), F.lit(1.0).alias("price_numeric_eur"), F.lit("2020-01-01").alias("published_date"), F.lit("k").alias("scanned_service_type"), F.lit("a").alias("award_type"))
