@@ -218,15 +218,18 @@ def normalise_parts(tenders: DataFrame) -> DataFrame:
     given = F.from_json(F.try_element_at("legacy", F.lit("parts")), "array<string>")
     keyed = F.transform(F.map_entries("legacy"), lambda e: F.struct(F.regexp_extract(e["key"], r"^part_(\d+)$", 1).try_cast("int").alias("n"), e["value"].alias("json")))
     is_object = lambda j: F.coalesce(F.ltrim(j).startswith("{") & F.try_parse_json(j).isNotNull(), F.lit(False))
-    keyed = F.transform(F.array_sort(F.filter(keyed, lambda e: e["n"].isNotNull() & is_object(e["json"]))), lambda e: e["json"])
-    listed = F.transform(F.when(given.isNotNull(), given).otherwise(keyed), lambda j, i: F.struct((i + 1).alias("i"), j.alias("json")))
+    keyed = F.array_sort(F.filter(keyed, lambda e: e["n"].isNotNull() & is_object(e["json"])))
+    keyed = F.transform(keyed, lambda e, i: F.struct((i + 1).alias("i"), e["json"].alias("json")))
+    given = F.filter(F.transform(given, lambda j, i: F.struct((i + 1).alias("i"), j.alias("json"))), lambda x: is_object(x["json"]))
+    none = F.create_map().cast("map<string,string>")
     read = lambda j: F.from_json(j, "map<string,string>")
-
-    def fields(j: Column) -> Column:
-        own, ai = F.map_filter(read(j), lambda k, v: k != "ai_extracted"), F.coalesce(read(F.try_element_at(read(j), F.lit("ai_extracted"))), F.create_map().cast("map<string,string>"))
-        return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(ai, k)), ai)
-
-    parts = F.transform(F.filter(listed, lambda x: is_object(x["json"])), lambda x: F.struct(x["i"].alias("i"), fields(x["json"]).alias("f")))
+    # one step after the other, so that each text is parsed once: a lambda's body would be worked out again for every use
+    parts = F.transform(F.coalesce(given, keyed), lambda x: F.struct(x["i"].alias("i"), read(x["json"]).alias("own")))
+    parts = F.transform(parts, lambda x: F.struct(x["i"].alias("i"), x["own"].alias("own"), F.coalesce(read(F.try_element_at(x["own"], F.lit("ai_extracted"))), none).alias("ai")))
+    parts = F.transform(parts, lambda x: F.struct(
+        x["i"].alias("i"),
+        F.map_concat(F.map_filter(x["own"], lambda k, v: (k != "ai_extracted") & ~F.map_contains_key(x["ai"], k)), x["ai"]).alias("f"),
+    ))
     at = lambda x, name: F.try_element_at(x["f"], F.lit(name))
     flat = F.transform(parts, lambda x: F.struct(
         F.coalesce(at(x, "part_number").try_cast("int"), x["i"]).alias("part_number"),

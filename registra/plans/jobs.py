@@ -96,7 +96,7 @@ def _legacy(p: DataFrame) -> DataFrame:
     two = F.concat(F.lit('{"error": "'), "p_name", F.lit('", "participants": '), bidders, F.lit("}"))
     listed = F.create_map(F.lit("parts"), F.concat(F.lit('["no object", {"part_number": 7, "notes": "'), "p_name", F.lit('"}]')), F.lit("part_1"), two)
     keyed = F.create_map(F.lit("part_10"), ten, F.lit("part_2"), two, F.lit("part_3"), F.lit("[1]"), F.lit("title"), F.col("p_name"))
-    return p.select(F.col("p_partkey").alias("tender_id"), F.when(F.col("p_partkey") % 5 == 0, listed).otherwise(keyed).alias("legacy"))
+    return spread(p, "p_partkey").select(F.col("p_partkey").alias("tender_id"), F.when(F.col("p_partkey") % 5 == 0, listed).otherwise(keyed).alias("legacy"))
 
 
 def _normalised(p: DataFrame) -> DataFrame:

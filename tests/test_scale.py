@@ -47,6 +47,21 @@ def test_messages_are_never_broadcast(spark, monkeypatch):
     assert Q.entity_refusals(messages, contracts.filter("buyer = 'Other'"), state).count() == 0
 
 
+def test_parts_of_tenders_are_parsed_once(spark):
+    legacy = {"part_1": '{"lot": "1", "notes": "own", "ai_extracted": {"notes": "ai"}}', "part_2": "[1]"}
+    tenders = spark.createDataFrame([(1, legacy), (2, {"parts": '["x", {"part_number": 7}, {"a": 1}]'})], "tender_id long, legacy map<string,string>")
+    out = M.normalise_parts(tenders)
+    assert logical(out).count("from_json") <= 5
+    got = {r.tender_id: [(p.part_number, p.notes, dict(p.fields)) for p in r.parts] for r in out.collect()}
+    assert got == {1: [(1, "ai", {"lot": "1", "notes": "ai"})], 2: [(7, None, {"part_number": "7"}), (3, None, {"a": "1"})]}
+
+
+def test_legacy_tenders_and_pages_are_spread(spark):
+    parts = spark.createDataFrame([(i, 1, "b", "t", "n", 1.0) for i in range(20)], "p_partkey long, p_size int, p_brand string, p_type string, p_name string, p_retailprice double").coalesce(1)
+    assert jobs._legacy(parts).rdd.getNumPartitions() > 1
+    assert jobs._DETAIL(one_page(spark, "").coalesce(1)).rdd.getNumPartitions() > 1
+
+
 @pytest.mark.parametrize("title", ["cut &amp", "cut &quot", "cut &am", "a &amp; b &quot"])
 def test_titles_cut_inside_a_reference(spark, title):
     text = title.replace("&amp;", "&")
