@@ -97,9 +97,8 @@ def parse_price(c: Column) -> Column:
 
 def parse_slovak_date(day: Column, month: Column, year: Column) -> Column:
     """Day, name of the month and year as YYYY-MM-DD; the day's range is not checked."""
-    name, number = normalize_text(month), F.lit(None).cast("int")
-    for known, n in MONTHS.items():
-        number = F.when(name == known, n).otherwise(number)
+    known = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    number = F.try_element_at(known, normalize_text(month))  # the name is normalised once, not for each month
     d, y = F.regexp_replace(strip(day), r"\.+$", "").try_cast("int"), strip(year).try_cast("int")
     return F.when(d.isNotNull() & y.isNotNull() & number.isNotNull(), F.format_string("%04d-%02d-%02d", y, number, d))
 

@@ -104,3 +104,10 @@ def test_only_small_scopes_print_all_in_full(spark, n):
     df = spark.range(1, n + 1).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("contract_id"), F.lit("t").alias("contract_title"), F.lit("b").alias("buyer"), F.lit("s").alias("supplier"), F.lit("1").alias("ico_supplier"), F.lit(1.0).alias("price_numeric_eur"), F.lit("2020-01-01").alias("published_date"), F.lit("k").alias("scanned_service_type"), F.lit("a").alias("award_type"))
     assert Q.full_contracts(df).count() == (n if n <= 100 else 0)
     assert Q.scoped_context(df).filter("section = 'contract'").count() == (n if n <= 100 else 20)
+
+
+def test_month_names_are_normalised_once(spark):
+    df = spark.createDataFrame([("3.", " Máj ", "2024"), ("3.", "x", "2024"), ("3.", None, "2024")], "d string, m string, y string")
+    out = df.select(X.parse_slovak_date(F.col("d"), F.col("m"), F.col("y")).alias("day"))
+    assert [r.day for r in out.collect()] == ["2024-05-03", None, None]
+    assert logical(out).count("lower(") <= 2
