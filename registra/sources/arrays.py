@@ -25,6 +25,10 @@ _DEPTH = {"{": 1, "[": 1, "}": -1, "]": -1}
 
 def effect(text: str, inside: bool = False) -> tuple[bool, int, int]:
     """(ends where it began, depth gained beginning this way, depth gained beginning the other way)."""
+    if "\\" not in text:  # every quote opens or closes a string: outside and inside take turns
+        pieces = text.split('"')
+        gains = [sum(_DEPTH[c] * p.count(c) for c in _DEPTH) for p in ("".join(pieces[inside::2]), "".join(pieces[1 - inside :: 2]))]
+        return len(pieces) % 2 == 1, *gains
     same, one, other = True, 0, 0
     for t in _TOKENS.findall(text):
         if t == '"':
@@ -109,7 +113,12 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now, inside, depth, pos, cut = at, bool(first.in_string), int(first.depth), 0, False
         for v in values:
             v, begin = v + "}", 0
-            for t in _TOKENS.finditer(v):
+            # a record's fragment: once depth two is reached, nothing but its last "}" leads back, so only what comes before its first string is gone through
+            pieces = v.split('"') if depth > 0 and not inside and "\\" not in v else [v]
+            rest = "".join(pieces[2::2])
+            first_piece = pieces[0]
+            short = len(pieces) > 2 and depth + sum(_DEPTH[c] * first_piece.count(c) for c in _DEPTH) > 1 and "]" not in rest
+            for t in _TOKENS.finditer(first_piece if short else v):
                 c = t.group()
                 if c == '"':
                     inside = not inside
@@ -119,6 +128,9 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         close(not cut, False)
                         begin, cut = t.end(), True
                     depth += _DEPTH.get(c, 0)
+            if short:
+                depth += sum(_DEPTH[c] * rest.count(c) for c in _DEPTH)
+                inside = len(pieces) % 2 == 0
             text.append(v[begin:])
         if len(out) >= 5000:
             yield pd.DataFrame(out, columns=_ITEM)

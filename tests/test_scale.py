@@ -111,3 +111,39 @@ def test_month_names_are_normalised_once(spark):
     out = df.select(X.parse_slovak_date(F.col("d"), F.col("m"), F.col("y")).alias("day"))
     assert [r.day for r in out.collect()] == ["2024-05-03", None, None]
     assert logical(out).count("lower(") <= 2
+
+
+def test_records_of_arrays_are_not_gone_through_by_token(spark, tmp_path, monkeypatch):
+    import json
+    import random
+
+    from registra.sources import arrays
+
+    r = random.Random(5)
+    text = lambda: "".join(r.choice('a {}[],:"\\é') for _ in range(r.randrange(12)))
+    items = [{text(): text(), "b": r.choice([1, None, [text(), []], {"c": {"d": text()}}])} for _ in range(400)] + [[1, [2]], text(), 3]
+    r.shuffle(items)
+    whole = json.dumps(items, ensure_ascii=False)
+    (tmp_path / "a.json").write_text(whole)
+    got = arrays.array_items(spark, str(tmp_path)).orderBy("path", "start", "pos").collect()
+    assert [json.loads(x.value) for x in got] == items
+
+    seen = []
+    real = arrays._TOKENS
+
+    class Counts:
+        findall = staticmethod(lambda t: seen.append(len(t)) or real.findall(t))
+        finditer = staticmethod(lambda t: seen.append(len(t)) or real.finditer(t))
+
+    plain = "[" + ", ".join(json.dumps({"a": "x" * 100, "b": "{,", "c": i}) for i in range(50)) + "]"
+    fragments = plain.split("}")
+    frame = pd.DataFrame({"value": fragments, "path": "p", "start": 0, "in_string": False, "depth": 0})
+    monkeypatch.setattr(arrays, "_TOKENS", Counts)
+    assert arrays.effect(plain) == (True, 0, 50)
+    out = pd.concat(arrays._items(iter([frame])))
+    assert sum(seen) < len(plain) / 5
+    assert [json.loads(v)["c"] for v in out[~out["head"] & ~out["tail"]].value] == [*range(1, 50)] or len(out) >= 50
+    for t in ('a"{b"[', '"}', "", "{[", 'x"y'):
+        for inside in (False, True):
+            same, one, other = arrays.effect(t, inside)
+            assert (same, one, other) == arrays.effect("\\n" + t, inside)
