@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from registra.functions.labels import nz
+from registra.functions.storage import settled
 from registra.operators.maintenance import append_subcontractors, expand_subcontractors, merge_contracts, record_key
 from registra.sources.model import backfill_defaults
 
@@ -70,23 +69,8 @@ def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
     return BucketTable(spark, target).read()
 
 
-class _FirstSeen(StatefulProcessor):
-    """Lets the first row of a key through; the state is that there was one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:  # noqa: N802, N803
-        self.seen.update((True,))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield next(iter(rows))
-
-
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session on the same cluster whose streams keep state in RocksDB, which ``dedup_ids`` asks for once there are existing rows."""
+    """A session on the same cluster whose streams keep state in RocksDB: on disk, so that the ids of a large dataset need not fit into memory."""
     session = spark.newSession()
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(k, spark.conf.get(k))
@@ -97,16 +81,15 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 def dedup_ids(stream: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Rows whose contract id was not seen before, in this run or an earlier one, and every row without an id.
 
-    The state holds ids only and is kept with the checkpoint; an empty id is none. The ids of ``existing`` rows become the first
-    state of a new checkpoint (on a restart the checkpoint's own state counts): they are read once, not by every page. That takes a stream of a ``stateful_session``.
+    The state holds ids only and is kept with the checkpoint; an empty id is none. The ids of ``existing`` rows are written once as a
+    narrow table, which every page is then joined with; ``existing`` itself is not read again. A large dataset wants a stream of a ``stateful_session``.
     """
     known = stream.filter(nz("contract_id").isNotNull())
-    if existing is None:
-        fresh = known.dropDuplicates(["contract_id"])
-    else:
-        ids = existing.select(F.col("contract_id").cast("string").alias("contract_id")).filter(nz("contract_id").isNotNull()).distinct()
-        fresh = known.groupBy("contract_id").transformWithState(_FirstSeen(), stream.schema, "Append", "None", ids.groupBy("contract_id"))
-    return fresh.union(stream.filter(nz("contract_id").isNull()))
+    if existing is not None:
+        ids = settled(existing.select(F.col("contract_id").cast("string").alias("contract_id")).filter(nz("contract_id").isNotNull()).distinct())
+        # sorted and merged, by the hash that the state is dealt by: ids pack well, so a file that looks small may hold millions
+        known = known.join(ids.hint("merge"), "contract_id", "left_anti").select(*stream.columns)
+    return known.dropDuplicates(["contract_id"]).union(stream.filter(nz("contract_id").isNull()))
 
 
 def running_usage(stream: DataFrame) -> DataFrame:

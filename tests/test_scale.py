@@ -10,6 +10,7 @@ from registra.operators import extraction as H
 from registra.operators import maintenance as M
 from registra.operators.filters import FilterState
 from registra.plans import jobs
+from registra.streaming import ingest as T
 
 
 def plan(df):
@@ -147,3 +148,18 @@ def test_records_of_arrays_are_not_gone_through_by_token(spark, tmp_path, monkey
         for inside in (False, True):
             same, one, other = arrays.effect(t, inside)
             assert (same, one, other) == arrays.effect("\\n" + t, inside)
+
+
+def test_known_ids_are_joined_without_python(spark, tmp_path):
+    schema = "page int, contract_id string"
+    spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, ""), (1, None)], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a",), (None,)], "contract_id string").write.parquet(str(tmp_path / "old"))
+    existing = spark.read.parquet(str(tmp_path / "old"))
+    fresh = T.dedup_ids(T.stream_contracts(spark, str(tmp_path / "in"), schema, 9), existing)
+    assert fresh.columns == ["page", "contract_id"]
+    text = fresh._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" in text and "Deduplicate" in text and "TransformWithState" not in text
+    for f in (tmp_path / "old").iterdir():  # the existing rows themselves are read once, before the first page
+        f.write_bytes(b"")
+    fresh.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.page, r.contract_id or "") for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, ""), (1, ""), (1, "b")]
