@@ -96,7 +96,8 @@ def merge_contracts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         counts = (F.col("_src") == 1) & is_filled(f.name, f.dataType)
         pick = F.min_by if f.name.startswith("scanned_") else F.max_by
         picked.append(pick(F.when(counts, F.col(f.name)), F.when(counts, F.col("_ord"))).alias(f.name))
-    out = rows.groupBy("_key").agg(F.min("_ord").alias("merged_ord"), whole, *picked)
+    # values of texts and structs are aggregated in sorted order: by a hash first, which is compared as one number
+    out = rows.groupBy(F.xxhash64("_key").alias("_hash"), "_key").agg(F.min("_ord").alias("merged_ord"), whole, *picked)
     values = []
     for f in plain:
         begun, fresh = F.col("_begin").getField(f.name), F.col(f.name)
@@ -192,7 +193,8 @@ def subcontractor_items(column: str) -> Column:
 def expand_subcontractors(contracts: DataFrame, column: str = "scanned_subcontractors") -> DataFrame:
     """One row per contract and subcontractor; contracts without any are dropped."""
     rest = contracts.drop("subcontractor", "ico_subcontractor").withColumn("_items", subcontractor_items(column))
-    rows = rest.select("*", F.posexplode("_items").alias("sub_ord", "_i")).drop("_items")
+    # outer, then filtered: else Spark puts a filter on the parsed field before, which parses it again
+    rows = rest.select("*", F.posexplode_outer("_items").alias("sub_ord", "_i")).drop("_items").filter("sub_ord IS NOT NULL")
     return rows.withColumns({"subcontractor": F.col("_i.name"), "ico_subcontractor": F.col("_i.ico")}).drop("_i")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra.functions import text as X
-from registra.functions.storage import spread
+from registra.functions.storage import settled, spread
 from registra.operators import aggregates as A
 from registra.operators import context as Q
 from registra.operators import extraction as H
@@ -616,7 +616,7 @@ def _arriving(pages: list[DataFrame], folder: str) -> None:
 
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Three pages: the first has repeats, the second changes known contracts, the third brings the rest."""
-    folder, c = scratch(spark), star.contracts(spark, sf_dir).select(*_C).withColumn("scanned_subcontractors", F.concat("supplier", F.lit("; "), "buyer"))
+    folder, c = scratch(spark), settled(star.contracts(spark, sf_dir).select(*_C).withColumn("scanned_subcontractors", F.concat("supplier", F.lit("; "), "buyer")))
     first = c.filter("seq % 3 = 0")
     again = first.filter("seq % 2 = 0").withColumns({"seq": F.col("seq") + (1 << 35), "buyer": F.lit(" "), "supplier": F.concat("supplier", F.lit("*"))})
     changed = first.filter("seq % 5 = 0").withColumns({"price_numeric_eur": F.lit(1.0), "scanned_service_type": F.lit("late")})

@@ -41,10 +41,12 @@ def merge_page(table: BucketTable, page: DataFrame, number: int, subcontracts: B
     if subcontracts is not None and number not in subcontracts.versions():
         now = table.manifest(version=number)
         changed = [b for b, layers in now.layers.items() if number in layers]
-        expanded = expand_subcontractors(table.read(only=changed, m=now))
+        contracts = table.read(only=changed, m=now)
+        expanded = expand_subcontractors(contracts)
         home = F.coalesce(F.col("contract_id").cast("string"), F.lit(""))
         known = subcontracts.manifest(before=number)
-        at = [r[0] for r in expanded.select(subcontracts.bucket(home, known)).distinct().collect()]
+        named = nz(F.trim(F.col("scanned_subcontractors").cast("string"))).isNotNull()  # what else has no subcontractors needs no parsing here
+        at = [r[0] for r in contracts.filter(named).select(subcontracts.bucket(home, known)).distinct().collect()] if known else []
         old = subcontracts.read(only=at, m=known) if known else expanded.limit(0)
         fresh = append_subcontractors(old, expanded).filter("is_new").drop("is_new")
         subcontracts.commit(number, fresh, home, known, append=True)

@@ -1,5 +1,7 @@
 """What keeps jobs within bounds as tables grow: plans, sizes of tables in tasks, and rows at the edges of modes."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,14 @@ def test_known_ids_are_joined_without_python(spark, tmp_path):
         f.write_bytes(b"")
     fresh.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.page, r.contract_id or "") for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, ""), (1, ""), (1, "b")]
+
+
+def test_subcontractors_are_parsed_once_and_merges_sort_by_a_hash(spark):
+    rows = spark.range(3).selectExpr("id AS seq", "concat('c', id) AS contract_id", "concat('x; y', id) AS scanned_subcontractors", "concat('b', id) AS buyer")
+    expanded = M.expand_subcontractors(rows)
+    above, below = logical(expanded).split("Generate", 1)
+    assert "parse_json" not in above and "Filter" not in below
+    assert sorted((r.contract_id, r.sub_ord, r.subcontractor) for r in expanded.collect()) == [(f"c{i}", j, n) for i in range(3) for j, n in enumerate(("x", f"y{i}"))]
+    assert M.expand_subcontractors(rows.withColumn("scanned_subcontractors", F.when(F.col("seq") == 1, " ; "))).count() == 0
+    merged = M.merge_contracts(rows, rows.withColumn("buyer", F.lit("new")))
+    assert re.search(r"Sort \[\w+#\d+L ASC NULLS FIRST, _key#", plan(merged)) and sorted(r.buyer for r in merged.collect()) == ["new"] * 3
