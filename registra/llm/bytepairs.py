@@ -30,6 +30,7 @@ from .common import table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF = 16  #: bytes that are merged without a further split
 SLICE = 1_000_000  #: characters of a text that are worked on at once, cut between matches
+NONE = 1 << 62  #: above every rank: no token
 REMEMBER, SHORT = 300_000, 64  #: matches that a task remembers, of at most so many characters
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the pattern of the vocabulary
 
@@ -52,18 +53,17 @@ class Encoder:
         """Plain merging: of all neighbours that form a token those of the least rank first, the leftmost among equals."""
         ranks, n = self.ranks, len(raw)
         if n <= 2 * SHORT:
+            rank = ranks.get
             cuts = list(range(n + 1))
-            scores = [ranks.get(raw[i : i + 2]) for i in range(n - 1)]
-            while True:
-                best = min((s for s in scores if s is not None), default=None)
-                if best is None:
-                    return [ranks[raw[a:b]] for a, b in zip(cuts, cuts[1:])]
+            scores = [rank(raw[i : i + 2], NONE) for i in range(n - 1)]
+            while scores and (best := min(scores)) != NONE:
                 i = scores.index(best)
                 del cuts[i + 1], scores[i]
                 if i < len(scores):
-                    scores[i] = ranks.get(raw[cuts[i] : cuts[i + 2]])
+                    scores[i] = rank(raw[cuts[i] : cuts[i + 2]], NONE)
                 if i:
-                    scores[i - 1] = ranks.get(raw[cuts[i - 1] : cuts[i + 1]])
+                    scores[i - 1] = rank(raw[cuts[i - 1] : cuts[i + 1]], NONE)
+            return [ranks[raw[a:b]] for a, b in zip(cuts, cuts[1:])]
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by the first byte of each part
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
         heapify(heap)

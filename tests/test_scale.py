@@ -176,3 +176,20 @@ def test_subcontractors_are_parsed_once_and_merges_sort_by_a_hash(spark):
     assert M.expand_subcontractors(rows.withColumn("scanned_subcontractors", F.when(F.col("seq") == 1, " ; "))).count() == 0
     merged = M.merge_contracts(rows, rows.withColumn("buyer", F.lit("new")))
     assert re.search(r"Sort \[\w+#\d+L ASC NULLS FIRST, _key#", plan(merged)) and sorted(r.buyer for r in merged.collect()) == ["new"] * 3
+
+
+def test_short_merges_ask_no_python_for_each_score():
+    """Of scores the least is taken by ``min`` as it is: a short merge runs no expression a score."""
+    import sys
+
+    from registra.llm import bytepairs as B
+
+    ranks = {bytes([b]): b for b in b"abcd"} | {b"ab": 256, b"cd": 257, b"abcd": 258, b"bc": 259}
+    encoder, lines = B.Encoder(ranks, True), []
+    sys.setprofile(lambda frame, event, arg: lines.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        got = [encoder.merge(x) for x in (b"", b"a", b"abcd", b"abcdabc", b"ba" * 20)]
+    finally:
+        sys.setprofile(None)
+    assert got == [[], [97], [258], [258, 256, 99], [98, *[256] * 19, 97]]
+    assert "<genexpr>" not in lines
