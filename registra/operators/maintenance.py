@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registra.functions.labels import nz
+from registra.functions.storage import spread
 from registra.functions.text import is_readable, is_tender_summary, truncate, clean_text
 
 # fixed values: service types and their subtypes
@@ -142,12 +143,17 @@ def merge_stats(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, limit: int | None = None) -> DataFrame:
-    """Existing rows and those incoming ones whose id is new, the first of each; rows without an id are always new."""
-    key = nz("contract_id")
-    rank = F.row_number().over(Window.partitionBy(F.coalesce(key, F.concat(F.lit("#"), F.col("seq").cast("string")))).orderBy("seq"))
-    fresh = incoming.withColumn("_n", F.when(key.isNull(), 1).otherwise(rank)).filter("_n = 1").drop("_n")
-    known = existing.select(key.alias("contract_id")).filter("contract_id IS NOT NULL").distinct()
-    fresh = fresh.join(known, "contract_id", "left_anti")
+    """Existing rows and those incoming ones whose id is new, the first of each; rows without an id are always new.
+
+    Rows without an id have keys of their own, so they are dealt over all tasks. So are ids: they shrink so much in a shuffle that Spark, which
+    goes by bytes, would put nearly all of them into one task.
+    """
+    of_id = F.concat(F.lit("="), nz("contract_id"))
+    keyed = spread(incoming.withColumn("_key", F.coalesce(of_id, F.concat(F.lit("#"), F.col("seq").cast("string")))), "_key")
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("seq"))
+    fresh = keyed.withColumn("_n", F.when(nz("contract_id").isNull(), 1).otherwise(rank)).filter("_n = 1").drop("_n")
+    known = existing.select(of_id.alias("_key")).filter("_key IS NOT NULL").distinct()
+    fresh = fresh.join(known, "_key", "left_anti").drop("_key")
     if limit is not None:
         fresh = fresh.orderBy("seq").limit(limit)
     return existing.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)), allowMissingColumns=True)

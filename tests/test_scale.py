@@ -193,3 +193,23 @@ def test_short_merges_ask_no_python_for_each_score():
         sys.setprofile(None)
     assert got == [[], [97], [258], [258, 256, 99], [98, *[256] * 19, 97]]
     assert "<genexpr>" not in lines
+
+
+def test_rows_without_an_id_are_dealt_over_tasks_and_meet_no_id(spark):
+    schema = "seq long, contract_id string"
+    existing = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "a")], schema)
+    # "#5" and "=a" are ids like any other: neither meets a row without an id or the known "a"
+    rows = [(5, ""), (6, "a"), (7, "#5"), (8, "=a"), (9, "=a"), (10, None), (11, "b"), (12, "b"), *[(i, "" if i % 2 else None) for i in range(100, 300)]]
+    incoming = spark.createDataFrame(rows, schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.append_new(existing, incoming)
+        tasks = out.filter("is_new").groupBy(F.spark_partition_id().alias("task")).count().collect()
+        got = sorted((r.seq, r.contract_id, r.is_new) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    new = [(5, ""), (7, "#5"), (8, "=a"), (10, None), (11, "b"), *rows[8:]]
+    assert got == sorted([(1, "a", False), (2, "", False), (3, None, False), (4, "a", False), *[(*r, True) for r in new]])
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 100
+    assert [r.seq for r in M.append_new(existing, incoming, 3).filter("is_new").orderBy("seq").collect()] == [5, 7, 8]
